@@ -1,0 +1,3 @@
+"""Intentionally empty: no input of the reproduced work is a stream, and no
+operator has event time, state or late data. Repeated batch runs score only
+unseen texts through ``operators.textwork.unseen`` and ``store_results``."""
