@@ -34,7 +34,7 @@ def stack_sources(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
-def first_match(df: DataFrame, lookup: DataFrame, key: str | list[str], values: list[str], order: str) -> DataFrame:
+def first_match(df: DataFrame, lookup: DataFrame, key: str | list[str], values: list[str], order: str | Column) -> DataFrame:
     """Left lookup that takes the first row of ``lookup`` (by ``order``) per key."""
     keys = [key] if isinstance(key, str) else list(key)
     first = (

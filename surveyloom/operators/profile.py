@@ -10,26 +10,30 @@ PUNCTUATION = r"\p{P}"
 def column_profile(long: DataFrame, year: str = "year") -> DataFrame:
     """One row per column: counts, uniqueness, lengths, punctuation, ``Other:`` entries.
 
-    Works on distinct (column, year, value) counts, so a repeated value is sent
-    once per task however often it occurs.
+    A value is replaced by its hash and its few features where it is read, so the
+    shuffles carry no text; repeats are counted before they are sent.
     """
-    per_value = long.filter(F.col("value").isNotNull()).groupBy("column", year, "value").agg(F.count(F.lit(1)).alias("n"))
-    per_year = per_value.groupBy("column", year).agg(F.count(F.lit(1)).alias("u")).groupBy("column").agg(
+    value = F.col("value")
+    features = long.filter(value.isNotNull()).select(
+        "column", F.col(year).alias("_y"), F.sha2(value, 256).alias("_key"), F.length(value).alias("_len"),
+        (value.rlike(r"^Other:\s").cast("int") + value.rlike(r"^Other,\s").cast("int")).alias("_other"),
+        F.array_sort(F.array_distinct(F.regexp_extract_all(value, F.lit(PUNCTUATION), 0))).alias("_marks"),
+    )
+    per_value = features.groupBy("column", "_y", "_key", "_len", "_other", "_marks").agg(F.count(F.lit(1)).alias("n"))
+    per_year = per_value.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("u")).groupBy("column").agg(
         F.avg("u").alias("mean_unique_per_year")
     )
-    values = per_value.groupBy("column", "value").agg(F.sum("n").alias("n"))
-    length = F.length("value")
-    other = (F.col("value").rlike(r"^Other:\s").cast("int") + F.col("value").rlike(r"^Other,\s").cast("int")) * F.col("n")
+    values = per_value.groupBy("column", "_key", "_len", "_other", "_marks").agg(F.sum("n").alias("n"))
     basics = values.groupBy("column").agg(
         F.sum("n").alias("n_values"),
         F.count(F.lit(1)).alias("n_unique"),
-        (F.sum(length * F.col("n")) / F.sum("n")).alias("avg_length"),
-        F.min(length).alias("min_length"),
-        F.max(length).alias("max_length"),
-        F.sum(other).alias("n_other"),
+        (F.sum(F.col("_len") * F.col("n")) / F.sum("n")).alias("avg_length"),
+        F.min("_len").alias("min_length"),
+        F.max("_len").alias("max_length"),
+        F.sum(F.col("_other") * F.col("n")).alias("n_other"),
     )
-    marks = values.select("column", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(PUNCTUATION), 0))).alias("mark"))
-    punctuation = marks.distinct().groupBy("column").agg(F.array_sort(F.collect_list("mark")).alias("punctuation"))
+    marks = values.select("column", F.explode("_marks").alias("mark")).distinct()
+    punctuation = marks.groupBy("column").agg(F.array_sort(F.collect_list("mark")).alias("punctuation"))
     return (
         basics.join(per_year, "column").join(punctuation, "column", "left")
         .withColumn("punctuation", F.coalesce("punctuation", F.array().cast("array<string>")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.columns import ANY_SHEET, clean_name, create_column
 from surveyloom.operators.ordered import number_rows
+from surveyloom.session import literal_frame
 
 BLOCK_ROWS = 100_000
 
@@ -35,11 +36,8 @@ def sheet_to_long(
     """
     questions = [c for c in sheet.columns if c not in (key, row_no)]
     block = F.floor(F.col(row_no) / block_rows)
-    rows = number_rows(
-        sheet.select(F.col(key).cast("string").alias("key"), row_no, *[F.col(c).cast("string").alias(c) for c in questions]),
-        ["key"], [row_no, *order], block,
-    )
-    cells = F.array(*[F.struct(clean_name(F.lit(c)).alias("column"), F.col(c).alias("value")) for c in questions])
+    rows = number_rows(sheet.withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, "key"), ["key"], [row_no, *order], block)
+    cells = F.array(*[F.struct(clean_name(F.lit(c)).alias("column"), F.col(c).cast("string").alias("value")) for c in questions])
     return (
         rows.select("key", clean_name(F.lit(name)).alias("sheet"), "pos", F.explode(cells).alias("cell"))
         .select("key", "sheet", "cell.column", "pos", "cell.value")
@@ -143,12 +141,12 @@ def process_workbook(
     long = join_workbook(sheets, key, row_no)
     long = long.withColumn("value", F.trim(F.regexp_replace("value", r"(?U)\s+", " ")))
     if renames:
-        table = long.sparkSession.createDataFrame(list(renames.items()), "column string, _new string")
+        table = literal_frame(long.sparkSession, list(renames.items()), "column string, _new string")
         long = long.join(table, "column", "left").withColumn("column", F.coalesce("_new", "column")).drop("_new")
     names = [
         (i, c) for i, c in enumerate(dict.fromkeys(q for s in sheets.values() for q in s.columns if q not in (key, row_no)))
     ]
-    order = long.sparkSession.createDataFrame(names, "position int, raw string").select("position", clean_name(F.col("raw")).alias("column"))
+    order = literal_frame(long.sparkSession, names, "position int, raw string").select("position", clean_name(F.col("raw")).alias("column"))
     if renames:
         order = order.join(table, "column", "left").select("position", F.coalesce("_new", "column").alias("column"))
     filled = long.groupBy("column").agg(F.count("value").alias("filled"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions.rename_rules import KEY_HEADERS
 
@@ -36,10 +36,9 @@ def key_headers(headers: DataFrame, keys: tuple = KEY_HEADERS) -> DataFrame:
     matched = headers.select("*", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select(
         "file", "header", "position", "h.topic", "h.first_only"
     )
-    w = Window.partitionBy("file", "topic").orderBy("position")
-    return matched.withColumn("r", F.row_number().over(w)).filter(~F.col("first_only") | (F.col("r") == 1)).select(
-        "file", "header", "position", "topic"
-    )
+    first = matched.groupBy("file", "topic").agg(F.min("position").alias("_first"))
+    kept = matched.join(first, ["file", "topic"]).filter(~F.col("first_only") | (F.col("position") == F.col("_first")))
+    return kept.select("file", "header", "position", "topic")
 
 
 def rename_headers(headers: DataFrame, rules: tuple, keys: tuple = KEY_HEADERS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app_name: str = "surveyloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -48,3 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A hand-written table as inline values, so that the optimizer knows its size.
+
+    ``schema``: ``name type, ...`` with plain types.
+    """
+    fields = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    entries = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    return spark.sql("SELECT 1 AS _").select(F.inline(F.array(*entries)))
