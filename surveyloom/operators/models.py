@@ -12,6 +12,8 @@ from pyspark.ml.feature import HashingTF, IDF, Imputer, OneHotEncoder, PCA, Rege
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from surveyloom.session import cut_lineage
+
 SEED = 42
 
 
@@ -32,10 +34,11 @@ def scaled_features(df: DataFrame, columns: list[str], out: str = "features", im
 def best_kmeans(df: DataFrame, features: str = "features", ks: range = range(2, 7), out: str = "cluster") -> tuple[DataFrame, int]:
     """k-means with the number of clusters of the best silhouette."""
     judge = ClusteringEvaluator(featuresCol=features, predictionCol=out)
-    best = None
+    rows, best = cut_lineage(df), None
     for k in ks:
-        made = KMeans(k=k, seed=SEED, featuresCol=features, predictionCol=out).fit(df).transform(df)
-        score = judge.evaluate(made) if made.select(out).distinct().count() > 1 else -1.0
+        model = KMeans(k=k, seed=SEED, featuresCol=features, predictionCol=out).fit(rows)
+        made = model.transform(rows)
+        score = judge.evaluate(made) if sum(s > 0 for s in model.summary.clusterSizes) > 1 else -1.0
         if best is None or score > best[0]:
             best = (score, made, k)
     return best[1], best[2]

@@ -7,6 +7,7 @@ and carry only one small row per chunk across.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
@@ -30,29 +31,24 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     )
 
 
-def running_totals(counts: DataFrame, value: str, totals: list[str], by: list[str] = (), chunks: int = 256) -> DataFrame:
+def running_totals(counts: DataFrame, value: str, totals: list[str], chunks: int = 256) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum along ``value``) for each count column.
 
-    ``counts`` holds one row per value (and group). Chunk borders come from a
-    mergeable sketch, so each sort covers about one chunk-th of the values.
+    ``counts`` holds one row per value. The value range is cut at a fixed number
+    of approximate quantiles, so each sort covers about one chunk-th of the
+    values, and only one row per chunk is carried across.
     """
-    by = list(by)
-    probs = [i / chunks for i in range(1, chunks)]
-    if by:
-        cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, ACCURACY).alias("_cuts"))
-        base = counts.join(cuts, by)
-    else:
-        cuts = counts.agg(F.percentile_approx(value, probs, ACCURACY).alias("_cuts"))
-        base = counts.withColumn("_cuts", cuts.scalar())
-    v = F.col(value)
-    base = base.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
-    per_chunk = base.groupBy(*by, "_chunk").agg(*[F.sum(c).alias("_s_" + c) for c in totals])
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        *by, "_chunk", *[F.coalesce(F.sum("_s_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in totals]
+    cuts = counts.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.5 / chunks)
+    borders = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    base = Bucketizer(splits=borders, inputCol=value, outputCol="_chunk").transform(counts)
+    per_chunk = base.groupBy("_chunk").agg(*[F.sum(c).alias("_s_" + c) for c in totals])
+    listed = per_chunk.agg(F.collect_list(F.struct("_chunk", *["_s_" + c for c in totals])).alias("l")).scalar()
+    before = F.filter("_l", lambda e: e["_chunk"] < F.col("_chunk"))
+    offsets = per_chunk.withColumn("_l", listed).select(
+        "_chunk", *[F.aggregate(before, F.lit(0).cast("long"), lambda acc, e: acc + e["_s_" + c]).alias("_o_" + c) for c in totals]
     )
-    inside = Window.partitionBy(*by, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(offsets, [*by, "_chunk"])
+    inside = Window.partitionBy("_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = base.join(offsets, "_chunk")
     for c in totals:
         out = out.withColumn("cum_" + c, F.col("_o_" + c) + F.sum(c).over(inside))
     return out.drop("_chunk", *["_o_" + c for c in totals])

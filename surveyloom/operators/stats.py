@@ -203,15 +203,18 @@ def band_edges(df: DataFrame, year: str, band: str, value: str) -> DataFrame:
 
 # -- correlation -------------------------------------------------------------------
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of the listed columns: ``var_a, var_b, r, n``; one pass, one row out."""
-    pairs = list(combinations(columns, 2))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        aggs += [F.corr(a, b).alias(f"r{k}"), F.sum((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("long")).alias(f"n{k}")]
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(pairs)
-    ])
-    return df.agg(*aggs).select(F.explode(entries).alias("e")).select("e.*")
+    """Pearson correlation of every pair of the listed columns: ``var_a, var_b, r, n``; one pass."""
+    pairs = list(combinations(range(len(columns)), 2))
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    names = F.array(*[F.lit(c) for c in columns])
+    # Pairs are laid out per row and met again by the combining aggregation, which
+    # keeps the generated code small however many columns there are.
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), F.explode(listed).alias("p")).select(
+        "p.i", "p.j", F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y")
+    )
+    both = (F.col("x").isNotNull() & F.col("y").isNotNull()).cast("long")
+    out = rows.groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.sum(both).alias("n"))
+    return out.select(F.get(names, F.col("i")).alias("var_a"), F.get(names, F.col("j")).alias("var_b"), "r", "n")
 
 
 def correlation_edges(df: DataFrame, columns: list[str], above: float = 0.2) -> DataFrame:
@@ -250,21 +253,27 @@ def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:
     return ends.groupBy("node").agg((F.count(F.lit(1)) / (n_nodes - 1)).alias("degree"))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Dominant eigenvector of the unweighted graph by power iteration, of length one.
+def eigenvector_centrality(edges: DataFrame, squarings: int = 8) -> DataFrame:
+    """Dominant eigenvector of the unweighted graph, of length one.
 
-    A node's own value is kept in each round, which leaves the eigenvectors as
-    they are and makes bipartite graphs converge.
+    The adjacency matrix with its diagonal set (which keeps the eigenvectors and
+    makes bipartite graphs converge) is squared a few times by joining it with
+    itself, which stands for ``2 ** squarings`` power iterations. Nodes are
+    variables, so the matrix is small however many rows the panel has.
     """
     from surveyloom.session import cut_lineage
 
-    both = edges.select(F.col("var_a").alias("u"), F.col("var_b").alias("v")).unionByName(edges.select(F.col("var_b").alias("u"), F.col("var_a").alias("v")))
-    both = cut_lineage(both)
-    x = both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    for k in range(rounds):
-        spread = both.join(x, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "x")
-        x = x.unionByName(spread).groupBy("node").agg(F.sum("x").alias("x"))
-        if k % 5 == 4:
-            norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).scalar()
-            x = cut_lineage(x.withColumn("x", F.col("x") / norm))
-    return x.withColumnRenamed("x", "centrality")
+    ends = edges.select(F.col("var_a").alias("i"), F.col("var_b").alias("j"))
+    both = ends.unionByName(ends.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    loops = both.select("i", F.col("i").alias("j")).distinct()
+    m = both.unionByName(loops).withColumn("v", F.lit(1.0))
+    widest = m.groupBy("i").agg(F.sum("v").alias("s")).agg(F.max("s")).scalar()
+    m = cut_lineage(m.withColumn("v", F.col("v") / widest))
+    for k in range(squarings):
+        right = m.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
+        m = m.join(right, "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        if k % 3 == 2:
+            m = cut_lineage(m)
+    x = cut_lineage(m.groupBy(F.col("i").alias("node")).agg(F.sum("v").alias("x")))
+    norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()
+    return x.select("node", (F.col("x") / norm).alias("centrality"))
