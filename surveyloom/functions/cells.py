@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -110,11 +112,28 @@ def payback_band(c: Column) -> Column:
     return F.when(c.isNull(), "No payback").when(c.isin(*V.LONG_PAYBACK), ">3 years").otherwise(c)
 
 
+def found_any(c: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """Whether any alternative of ``a|b|c`` occurs in the text.
+
+    Plain alternatives are looked up as byte runs, which is far cheaper on long
+    texts than a case-insensitive regex; the others stay a regex.
+    """
+    items = [(item, re.sub(r"\\([()])", r"\1", item)) for item in pattern.split("|")]
+    is_plain = lambda item: not re.search(r"[.^$*+?{}\[\]()\\]", re.sub(r"\\[()]", "", item))
+    plain = [text for item, text in items if is_plain(item)]
+    others = [item for item, _ in items if not is_plain(item)]
+    text = F.lower(c) if ignore_case else c
+    hits = [F.contains(text, F.lit(p.lower() if ignore_case else p)) for p in plain]
+    if others:
+        hits.append(c.rlike(("(?i)" if ignore_case else "") + "|".join(others)))
+    return reduce(lambda a, b: a | b, hits)
+
+
 def first_rule(c: Column, rules: tuple, default: str | None = None) -> Column:
     """Value of the first ``(pattern, value)`` whose pattern is found, case ignored."""
     out = None
     for pattern, value in rules:
-        hit = c.rlike("(?i)" + pattern)
+        hit = found_any(c, pattern)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(F.lit(default))
 
@@ -135,17 +154,17 @@ def region_partial(c: Column, regions: tuple = V.REGIONS_PARTIAL) -> Column:
     """Region whose first member name occurs anywhere in the text, in table order."""
     out = F.when(c.isNull(), "Unknown")
     for name, members in regions:
-        out = out.when(c.rlike("|".join(members)), name)
+        out = out.when(found_any(c, "|".join(members), ignore_case=False), name)
     return out.otherwise("Unknown")
 
 
 def initiative_flags(c: Column, prefix: str = "initiative_type_") -> list[Column]:
     """One 0/1 column per initiative type, plus one for an unanswered cell."""
     flags = [
-        F.coalesce(c.rlike("(?i)" + pattern), F.lit(False)).cast("int").alias(prefix + name)
+        F.coalesce(found_any(c, pattern), F.lit(False)).cast("int").alias(prefix + name)
         for name, pattern in V.INITIATIVE_FLAGS
     ]
-    missing = c.isNull() | c.rlike("(?i)" + V.INITIATIVE_NOT_ANSWERED)
+    missing = c.isNull() | found_any(c, V.INITIATIVE_NOT_ANSWERED)
     return flags + [F.coalesce(missing, F.lit(True)).cast("int").alias(prefix + "NA")]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions.fixed_values import COLUMN_PROPERTIES
 
@@ -61,19 +61,24 @@ def is_unnamed(name: Column) -> Column:
     return name.contains("__UNNAMED__") | name.contains("column_")
 
 
+def repeat_number(df: DataFrame, name: str, within: list[str], position: str, out: str, block: int = 100_000) -> DataFrame:
+    """How many times the name occurred before, along a numeric position."""
+    from surveyloom.operators.ordered import number_rows
+
+    return number_rows(df, [*within, name], [position], F.floor(F.col(position) / block), out)
+
+
 def make_unique(df: DataFrame, name: str, within: list[str], position: str, out: str | None = None) -> DataFrame:
-    """Suffix ``_k`` on the k-th repeat of a name (headers of one table, so a short group)."""
-    w = Window.partitionBy(*within, name).orderBy(position)
-    k = F.row_number().over(w) - 1
-    return df.withColumn(out or name, F.when(k == 0, F.col(name)).otherwise(F.concat_ws("_", name, k.cast("string"))))
+    """Suffix ``_k`` on the k-th repeat of a name."""
+    made = F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_k").cast("string")))
+    return repeat_number(df, name, within, position, "_k").withColumn(out or name, made).drop("_k")
 
 
 def number_repeats(df: DataFrame, name: str, within: list[str], position: str, out: str | None = None) -> DataFrame:
     """Like :func:`make_unique`, but adds a ``number=k`` property."""
-    w = Window.partitionBy(*within, name).orderBy(position)
-    k = F.row_number().over(w) - 1
-    numbered = update_column(F.col(name), number=k.cast("string"))
-    return df.withColumn(out or name, F.when(k == 0, F.col(name)).otherwise(numbered))
+    numbered = update_column(F.col(name), number=F.col("_k").cast("string"))
+    made = F.when(F.col("_k") == 0, F.col(name)).otherwise(numbered)
+    return repeat_number(df, name, within, position, "_k").withColumn(out or name, made).drop("_k")
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:

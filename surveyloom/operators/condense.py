@@ -22,15 +22,17 @@ def condense(df: DataFrame, keys: list[str], columns: dict[str, list[str] | str]
     # One empty entry per row keeps groups without any value.
     present = F.array(F.struct(F.lit("").alias("out"), F.lit(0).alias("rank"), F.lit("").alias("value")))
     filled = F.concat(present, F.filter(cells, lambda c: c["value"].isNotNull()))
+    # A single order column stays a plain value, so that its minimum fits a hash aggregation.
+    row = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     seen = (
-        df.select(*keys, F.struct(*order).alias("_row"), F.explode(filled).alias("_c"))
-        .groupBy(*keys, F.col("_c.out").alias("_out"), F.col("_c.value").alias("_value"))
-        .agg(F.min(F.struct(F.col("_c.rank").alias("rank"), F.col("_row").alias("row"))).alias("_first"))
+        df.select(*keys, row.alias("_row"), F.explode(filled).alias("_c"))
+        .groupBy(*keys, F.col("_c.out").alias("_out"), F.col("_c.rank").alias("_rank"), F.col("_c.value").alias("_value"))
+        .agg(F.min("_row").alias("_first"))
     )
     aggs = []
     for out in sources:
-        entry = F.when(F.col("_out") == out, F.struct("_first", "_value"))
-        listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_value"])
+        entry = F.when(F.col("_out") == out, F.struct("_rank", "_first", "_value"))
+        listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_value"]))
         aggs.append(F.when(F.size(listed) > 0, F.array_join(listed, sep)).alias(out))
     return seen.groupBy(*keys).agg(*aggs)
 

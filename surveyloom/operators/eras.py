@@ -29,7 +29,8 @@ def era_mean(
         tag_branch = F.when(F.coalesce(F.max((which_year == tag).cast("int")), F.lit(0)) == 1, tagged_mean(value, which_year, tag)).otherwise(tag_branch)
     out = F.when(F.max(year).between(*tagged_years), tag_branch)
     if dated_years:
-        stated = F.year(cells.parse_date(which_year, "dd MMM yyyy", "d MMM yyyy"))
+        # Only rows of the dated years are parsed.
+        stated = F.when(year.between(*dated_years), F.year(cells.parse_date(which_year, "d MMM yyyy")))
         out = out.when(F.max(year).between(*dated_years), F.avg(F.when(stated == year - 1, value)))
     if plain_years:
         stated = which_year.try_cast("int")

@@ -14,6 +14,8 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions.similarity import cosine
@@ -55,13 +57,11 @@ def context_vectors(columns: DataFrame, window: int, emb: str = "emb", within: l
     """
     shifts = F.sequence(F.lit(-window), F.lit(window))
     keys = list(within)
-    parts = (
-        columns.select(*keys, F.col(position).alias("_at"), emb, F.explode(shifts).alias("_s"))
-        .select(*keys, (F.col("_at") + F.col("_s")).alias(position), F.posexplode(emb).alias("_dim", "_x"))
-    )
-    means = parts.groupBy(*keys, position, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    vectors = means.groupBy(*keys, position).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_m"))), lambda e: e["_m"]).alias("ctx_emb")
+    vectors = (
+        columns.select(*keys, F.col(position).alias("_at"), array_to_vector(emb).alias("_v"), F.explode(shifts).alias("_s"))
+        .select(*keys, (F.col("_at") + F.col("_s")).alias(position), "_v")
+        .groupBy(*keys, position).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+        .select(*keys, position, vector_to_array("_m").alias("ctx_emb"))
     )
     return columns.join(vectors, [*keys, position])
 
@@ -122,8 +122,9 @@ def combine_costs(normalised: DataFrame, weights: dict[str, Column | float], by:
 
 
 def cost_arrays(columns: DataFrame, pairs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataFrame:
-    parts = normalise(cost_components(columns, pairs, block), list(COMPONENTS), ["pair"])
-    return combine_costs(parts, weights, ["pair"])
+    # Column descriptions and raw components are metadata that several steps read again.
+    raw = cut_lineage(cost_components(cut_lineage(columns), pairs, block))
+    return combine_costs(cut_lineage(normalise(raw, list(COMPONENTS), ["pair"])), weights, ["pair"])
 
 
 def cost_pairs(costs: DataFrame, keep: list[str] = ("pair",), values: list[str] = ("cost",)) -> DataFrame:
@@ -353,7 +354,8 @@ def sweep(columns: DataFrame, pairs: DataFrame, truth: DataFrame, trials: DataFr
     ``trials``: ``trial, w_d_col, w_s_col, w_s_ctx, w_s_field, threshold``. All
     trials are matched together, grouped by (trial, pair).
     """
-    parts = cut_lineage(normalise(cost_components(columns, pairs), list(COMPONENTS), ["pair"]))
+    columns = cut_lineage(columns)
+    parts = cut_lineage(normalise(cut_lineage(cost_components(columns, pairs)), list(COMPONENTS), ["pair"]))
     listed = trials.agg(F.collect_list(F.struct(*trials.columns)).alias("_t")).scalar()
     per_trial = parts.withColumn("_t", F.explode(listed)).select("*", "_t.*").drop("_t")
     weights = {c: F.col("w_" + c) for c in COMPONENTS}

@@ -33,7 +33,7 @@ def containing_pairs(stems: DataFrame, pool: DataFrame, gram: int = GRAM) -> Dat
     """
     size = F.least(F.length("stem"), F.lit(gram))
     keys = stems.filter(F.length("stem") > 0).select("stem", size.alias("size"), F.explode(_grams(F.col("stem"), size)).alias("run"))
-    sizes = F.array(*[F.lit(i) for i in range(1, gram + 1)])
+    sizes = keys.agg(F.collect_set("size")).scalar()
     runs = pool.select("match", "pool_order", F.explode(sizes).alias("size")).select(
         "match", "pool_order", F.explode(_grams(F.col("match"), F.col("size"))).alias("run")
     )

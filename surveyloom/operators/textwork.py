@@ -103,17 +103,17 @@ def score_columns(results: DataFrame, vocabulary: dict[str, tuple[str, ...]]) ->
 DETECT_CHARACTERS = 100
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct character triples of the first 100 characters, line breaks as blanks."""
-    head = F.lower(F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, DETECT_CHARACTERS))
-    starts = F.sequence(F.lit(1), F.length(head) - 2)
-    triples = F.transform(starts, lambda i: F.substring(head, i, F.lit(3)))
-    return F.when(F.length(head) >= 3, F.array_distinct(triples)).otherwise(F.array().cast("array<string>"))
+def trigram_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, gram``: distinct character triples of the first 100 characters, line breaks as blanks."""
+    head = F.lower(F.replace(F.substring(text, 1, DETECT_CHARACTERS), F.lit("\n"), F.lit(" ")))
+    heads = df.select(key, head.alias("_head")).filter(F.length("_head") >= 3)
+    starts = F.sequence(F.lit(1), F.length("_head") - 2)
+    return heads.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_head", i, F.lit(3))))).alias("gram"))
 
 
 def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:
     """Log probability of each triple per language, add-one smoothed."""
-    counts = known.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = trigram_rows(known, lang, text).withColumnRenamed(lang, "lang").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     return counts.join(totals, "lang").select(
         "lang", "gram", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"),
@@ -123,7 +123,7 @@ def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:
 
 def detect_languages(texts: DataFrame, profile: DataFrame, target: str = "en") -> DataFrame:
     """``text_key, lang`` of distinct texts: best profile, or the target if nothing fits."""
-    grams = texts.select("text_key", F.explode(trigrams(F.col("text"))).alias("gram"))
+    grams = trigram_rows(texts, "text_key", "text")
     # Against the floor, only the triples a language has matter; the rest adds the floor once each.
     by_gram = profile.groupBy("gram").agg(F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("gain"))).alias("langs"))
     floors = profile.groupBy("lang").agg(F.first("floor").alias("floor"))

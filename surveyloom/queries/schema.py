@@ -8,7 +8,7 @@ from surveyloom.functions.similarity import unit
 from surveyloom.operators import matching, profile
 from surveyloom.operators.ordered import number_rows
 from surveyloom.queries.registry import number, query, table
-from surveyloom.session import literal_frame
+from surveyloom.session import cut_lineage, literal_frame
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz_0123456789"
 TABLES = {
@@ -80,7 +80,7 @@ cost AS (SELECT *, (total - min(total) OVER w) / (max(total) OVER w - min(total)
 SELECT pair, i::INTEGER AS i, column_a, j::INTEGER AS j, column_b, d_col, round(s_col, 6) AS s_col, round(s_ctx, 6) AS s_ctx, round(s_field, 6) AS s_field,
        round(cost, 6) AS cost FROM cost""")
 def cost_table(spark: SparkSession, folder: str) -> DataFrame:
-    columns, pairs = described_columns(spark, folder), table_pairs(spark)
+    columns, pairs = cut_lineage(described_columns(spark, folder)), table_pairs(spark)
     raw = matching.cost_pairs(matching.cost_components(columns, pairs), ["pair"], list(matching.COMPONENTS))
     costs = matching.cost_pairs(matching.cost_arrays(columns, pairs, WEIGHTS)).select("pair", "i", "j", "cost")
     return raw.join(costs, ["pair", "i", "j"]).select(
@@ -95,7 +95,7 @@ g AS (SELECT pair, c, k * (n - k) * (s0 / k - (s - s0) / (n - k)) ** 2 AS gain F
 SELECT pair, round(max_by(c, gain), 6) AS "cluster", (SELECT round(avg(cost) + 1.5 * stddev_pop(cost), 6) FROM cost x WHERE x.pair = g.pair) AS spread, 0.24::DOUBLE AS "fixed"
 FROM g GROUP BY 1""")
 def cost_thresholds(spark: SparkSession, folder: str) -> DataFrame:
-    costs = matching.cost_arrays(described_columns(spark, folder), table_pairs(spark), WEIGHTS)
+    costs = cut_lineage(matching.cost_arrays(described_columns(spark, folder), table_pairs(spark), WEIGHTS))
     out = matching.threshold(costs, "cluster").withColumnRenamed("threshold", "cluster")
     out = out.join(matching.threshold(costs, "spread", z=1.5).withColumnRenamed("threshold", "spread"), "pair")
     out = out.join(matching.threshold(costs, "fixed", 0.24).withColumnRenamed("threshold", "fixed"), "pair")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surveyloom.functions import fixed_values as V
 from surveyloom.operators import models, scores, stats
 from surveyloom.queries.registry import number, query, table
+from surveyloom.session import cut_lineage
 
 # -- labels out of events -------------------------------------------------------------
 LABEL_SQL = """
@@ -255,7 +256,7 @@ def cluster_profile(spark: SparkSession, folder: str) -> DataFrame:
 def feature_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled features, four clusters, a four-part mixture and two components, summed up per cluster pair."""
     orders = table(spark, folder, "orders").select("o_totalprice", F.log1p("o_totalprice").alias("log_total"), F.substring("o_orderpriority", 1, 1).cast("double").alias("code"))
-    scaled = models.scaled_features(orders, ["o_totalprice", "log_total", "code"], impute=True)
+    scaled = cut_lineage(models.scaled_features(orders, ["o_totalprice", "log_total", "code"], impute=True))
     projected, _ = models.principal_components(models.mixture(scaled))
     clustered = models.KMeans(k=4, seed=models.SEED, featuresCol="features", predictionCol="cluster").fit(projected).transform(projected)
     return clustered.groupBy("cluster", "mixture").agg(F.count(F.lit(1)).alias("n"), F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
