@@ -7,16 +7,10 @@ beta function. Inputs are aggregated results (one row per test), never data rows
 from __future__ import annotations
 
 import math
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-# Workers get these helpers by value, so they need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if not (x > 0):

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 
-# Workers get the functions of this module by value, so they need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two unit vectors; zero when either is empty or missing."""
     dot = F.aggregate(

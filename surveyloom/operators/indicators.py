@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions import cells, fixed_values as V
+from surveyloom.session import cut_lineage
 
 
 def max_answered(answers: DataFrame, year: str = "year", respondent: list[str] = ("key",), answered: str = "n_responses") -> DataFrame:
@@ -24,23 +25,36 @@ def label_match(label_cell: Column, label: str, null_as_text: bool = False) -> C
     return F.coalesce(hit, F.lit(null_as_text and needle in "none")).cast("int")
 
 
+def capped(counted: DataFrame, maxcol: DataFrame | None, year: str) -> DataFrame:
+    """Add ``maxcol``: a given table, or the largest ``_filled`` of each year.
+
+    In the second case the counts, one row per respondent and year, are written
+    out, so that the answers themselves are read once.
+    """
+    if maxcol is None:
+        counted = cut_lineage(counted)
+        maxcol = counted.groupBy(year).agg(F.max("_filled").alias("maxcol"))
+    return counted.join(maxcol, year, "left").withColumn("_divisor", F.when(F.col("maxcol") == 0, 1).otherwise(F.col("maxcol")))
+
+
 def label_counts(
-    labels: DataFrame, keys: list[str], maxcol: DataFrame, year: str = "year",
-    pairs: tuple = V.KPI_LABELS, null_as_text: bool = False, mean_names: dict = V.KPI_MEAN_NAMES,
+    labels: DataFrame, keys: list[str], maxcol: DataFrame | None = None, year: str = "year",
+    pairs: tuple = V.KPI_LABELS, null_as_text: bool = False, mean_names: dict = V.KPI_MEAN_NAMES, answered: Column | None = None,
 ) -> DataFrame:
     """Sum and mean (over ``maxcol``) of every (model, label) pair, one row per key.
 
     ``labels``: ``*keys, model, label`` in long form, where ``label`` holds the
-    cell text. One conditional aggregation covers all pairs.
+    cell text. One conditional aggregation covers all pairs. Without ``maxcol``
+    the rows with ``answered`` set are counted along the way.
     """
     name = lambda m, lb: f"{m}_label_{lb}"
     sums = [
         F.sum(F.when(F.col("model") == m, label_match(F.col("label"), lb, null_as_text)).otherwise(0)).cast("long").alias(name(m, lb) + "_sum")
         for m, lb in pairs
     ]
-    counted = labels.groupBy(*keys).agg(*sums).join(maxcol, year, "left")
-    divisor = F.when(F.col("maxcol") == 0, 1).otherwise(F.col("maxcol"))
-    means = [(F.col(name(m, lb) + "_sum") / divisor).alias(mean_names.get((m, lb), name(m, lb) + "_mean")) for m, lb in pairs]
+    filled = F.sum((answered if answered is not None else F.col("label").isNotNull()).cast("long")).alias("_filled")
+    counted = capped(labels.groupBy(*keys).agg(filled, *sums), maxcol, year)
+    means = [(F.col(name(m, lb) + "_sum") / F.col("_divisor")).alias(mean_names.get((m, lb), name(m, lb) + "_mean")) for m, lb in pairs]
     return counted.select(*keys, "maxcol", *[name(m, lb) + "_sum" for m, lb in pairs], *means)
 
 
@@ -52,12 +66,11 @@ def cell_characters(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(out, r"(?U)\s+", "")), F.lit(0))
 
 
-def text_fill(answers: DataFrame, keys: list[str], text: str, maxcol: DataFrame, year: str = "year") -> DataFrame:
+def text_fill(answers: DataFrame, keys: list[str], text: str, maxcol: DataFrame | None = None, year: str = "year") -> DataFrame:
     """Characters written and share of questions filled, one row per key."""
-    n = cell_characters(F.col(text))
-    counted = answers.groupBy(*keys).agg(F.sum(n).cast("long").alias("nchar_sum"), F.sum((n >= 1).cast("long")).alias("_filled"))
-    divisor = F.when(F.col("maxcol") == 0, 1).otherwise(F.col("maxcol"))
-    return counted.join(maxcol, year, "left").select(*keys, "maxcol", "nchar_sum", (F.col("_filled") / divisor).alias("prop_filled"))
+    n = answers.select(*keys, cell_characters(F.col(text)).alias("_n"))
+    counted = n.groupBy(*keys).agg(F.sum("_n").cast("long").alias("nchar_sum"), F.sum((F.col("_n") >= 1).cast("long")).alias("_filled"))
+    return capped(counted, maxcol, year).select(*keys, "maxcol", "nchar_sum", (F.col("_filled") / F.col("_divisor")).alias("prop_filled"))
 
 
 def question_metrics(cells_long: DataFrame, keys: list[str], text: str, score: str) -> DataFrame:

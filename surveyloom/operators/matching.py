@@ -8,12 +8,10 @@ threshold leave the array.
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,9 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from surveyloom.functions.similarity import cosine
 from surveyloom.session import cut_lineage
 
-# Workers get the solver by value, so they need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BLOCK = 512
 COMPONENTS = ("d_col", "s_col", "s_ctx", "s_field")
 
@@ -32,8 +27,8 @@ COMPONENTS = ("d_col", "s_col", "s_ctx", "s_field")
 def sample_values(long: DataFrame, n: int, seed: int = 0, keys: list[str] = ("table", "column")) -> DataFrame:
     """``n`` values per column: distinct non-null values in seeded hash order, repeated if fewer.
 
-    The smallest hashes are found with a combining aggregation of at most ``n``
-    entries, after a first cut inside hash classes, so no column is sorted whole.
+    The smallest hashes are taken inside hash classes first and then among those,
+    so no column is sorted whole.
     """
     values = long.filter(F.col("value").isNotNull()).select(*keys, "value").distinct()
     hashed = values.withColumn("_h", F.xxhash64("value", F.lit(seed)))
@@ -123,7 +118,7 @@ def combine_costs(normalised: DataFrame, weights: dict[str, Column | float], by:
 
 def cost_arrays(columns: DataFrame, pairs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataFrame:
     # Column descriptions and raw components are metadata that several steps read again.
-    raw = cut_lineage(cost_components(cut_lineage(columns), pairs, block))
+    raw = cut_lineage(cost_components(columns, pairs, block))
     return combine_costs(cut_lineage(normalise(raw, list(COMPONENTS), ["pair"])), weights, ["pair"])
 
 
@@ -270,6 +265,7 @@ def match_tables(
     ``solver``: ``mutual`` (mutual best, any size) or ``cheapest`` (lowest total
     cost per table pair).
     """
+    columns = cut_lineage(columns)
     costs = cut_lineage(cost_arrays(columns, pairs, weights))
     limit = threshold(costs, method, value, z)
     if solver == "cheapest":

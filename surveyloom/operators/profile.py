@@ -44,8 +44,8 @@ def column_profile(long: DataFrame, year: str = "year") -> DataFrame:
 def value_samples(long: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
     """Most and least frequent ``n`` values of each column as ``count|value`` text.
 
-    Each end is a bounded top-k: a combining aggregation would need a custom
-    buffer, so counts are first cut to ``n`` per (column, salt) and then per column.
+    Counts are cut to ``n`` per (column, hash class) first and then per column, so
+    no column is sorted whole.
     """
     values = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     salted = values.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(64)))

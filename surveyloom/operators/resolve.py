@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions.similarity import accept_scores, jaro
+from surveyloom.session import cut_lineage
 
 GRAM = 5
 
@@ -72,9 +73,11 @@ def best_name_match(search: DataFrame, pool: DataFrame, finite_length: bool = Fa
     equal lengths is found per (stem, length), and similarities are computed only
     for names that have no equal-length candidate.
     """
-    pool = pool.groupBy("match").agg(F.min("pool_order").alias("pool_order"))
+    # Distinct names and candidates are read by several steps below.
+    pool = cut_lineage(pool.groupBy("match").agg(F.min("pool_order").alias("pool_order")))
     names = search.select("name").distinct().withColumn("stem", search_stem(F.col("name"))).withColumn("_len", F.length("name"))
-    pairs = containing_pairs(names.select("stem").distinct(), pool)
+    names = cut_lineage(names)
+    pairs = cut_lineage(containing_pairs(names.select("stem").distinct(), pool))
     if finite_length:
         scored = names.join(pairs, "stem").withColumn("_score", match_score(F.col("name"), F.col("match"), True))
         return _take_best(scored)
@@ -114,7 +117,7 @@ def resolve_entities(
     order``. Result: ``account, name, ref_id, how``.
     """
     by_isin = reference.dropna(subset=["isin"]).groupBy("isin").agg(F.min_by("ref_id", "order").alias("ref_id"))
-    exact = accounts.join(by_isin, "isin", "left")
+    exact = cut_lineage(accounts.join(by_isin, "isin", "left"))
     found = exact.filter(F.col("ref_id").isNotNull()).select("account", "name", "ref_id", F.lit("isin").alias("how"))
     rest = exact.filter(F.col("ref_id").isNull() & F.col("name").isNotNull()).select("account", "name")
     pool = reference.select(F.col("name").alias("match"), F.col("order").alias("pool_order"))

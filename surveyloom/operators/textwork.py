@@ -9,6 +9,8 @@ from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from surveyloom.session import cut_lineage
+
 Scorer = Callable[[list[str]], list[dict[str, float]]]
 Translator = Callable[[list[str], list[str]], list[str]]
 
@@ -73,7 +75,8 @@ def score_texts(texts: DataFrame, scorers: dict[str, Callable[[], Scorer]], batc
 
 def classify(df: DataFrame, text: str, scorers: dict[str, Callable[[], Scorer]], results: DataFrame | None = None) -> DataFrame:
     """All results for the texts of ``df``: stored ones and newly scored ones."""
-    texts = distinct_texts(df, text)
+    # Every model reads the distinct texts, so they are found once.
+    texts = cut_lineage(distinct_texts(df, text))
     new = None
     for model, load in scorers.items():
         scored = score_texts(unseen(texts, results, model), {model: load})
@@ -104,36 +107,46 @@ DETECT_CHARACTERS = 100
 
 
 def trigram_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, gram``: distinct character triples of the first 100 characters, line breaks as blanks."""
+    """``key, n, gram``: distinct character triples of the first 100 characters, line breaks as blanks.
+
+    ``n`` is the number of triples of the text; a text without any keeps a row.
+    """
     head = F.lower(F.replace(F.substring(text, 1, DETECT_CHARACTERS), F.lit("\n"), F.lit(" ")))
-    heads = df.select(key, head.alias("_head")).filter(F.length("_head") >= 3)
+    heads = df.select(key, head.alias("_head"))
     starts = F.sequence(F.lit(1), F.length("_head") - 2)
-    return heads.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_head", i, F.lit(3))))).alias("gram"))
+    triples = F.when(F.length("_head") >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring("_head", i, F.lit(3)))))
+    return heads.select(key, triples.alias("_g")).select(key, F.size("_g").alias("n"), F.explode_outer("_g").alias("gram"))
 
 
 def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:
-    """Log probability of each triple per language, add-one smoothed."""
-    counts = trigram_rows(known, lang, text).withColumnRenamed(lang, "lang").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """Log probability of each triple per language, add-one smoothed.
+
+    Written out: it is small, read in several places, and its size decides how it
+    is joined.
+    """
+    rows = trigram_rows(known, lang, text).filter(F.col("gram").isNotNull())
+    counts = rows.groupBy(F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    return counts.join(totals, "lang").select(
+    return cut_lineage(counts.join(totals, "lang").select(
         "lang", "gram", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"),
         F.log(1.0 / (F.col("total") + F.col("kinds"))).alias("floor"),
-    )
+    ))
 
 
 def detect_languages(texts: DataFrame, profile: DataFrame, target: str = "en") -> DataFrame:
-    """``text_key, lang`` of distinct texts: best profile, or the target if nothing fits."""
-    grams = trigram_rows(texts, "text_key", "text")
-    # Against the floor, only the triples a language has matter; the rest adds the floor once each.
-    by_gram = profile.groupBy("gram").agg(F.collect_list(F.struct("lang", (F.col("logp") - F.col("floor")).alias("gain"))).alias("langs"))
-    floors = profile.groupBy("lang").agg(F.first("floor").alias("floor"))
-    n = grams.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
-    gains = grams.join(by_gram, "gram").select("text_key", F.explode("langs").alias("l")).groupBy("text_key", F.col("l.lang").alias("lang")).agg(
-        F.sum("l.gain").alias("gain")
-    )
-    total = gains.join(floors, "lang").join(n, "text_key").withColumn("score", F.col("gain") + F.col("floor") * F.col("n"))
-    best = total.groupBy("text_key").agg(F.max(F.struct("score", "lang")).alias("b")).select("text_key", F.col("b.lang").alias("lang"))
-    return texts.select("text_key").join(best, "text_key", "left").select("text_key", F.coalesce("lang", F.lit(target)).alias("lang"))
+    """``text_key, lang`` of distinct texts: best profile, or the target if nothing fits.
+
+    A triple adds its log probability where a language knows it and the
+    language's floor where not, so only the known ones need to meet the profile.
+    """
+    by_gram = cut_lineage(profile.groupBy("gram").agg(
+        F.collect_list(F.struct("lang", "floor", (F.col("logp") - F.col("floor")).alias("gain"))).alias("langs")
+    ))
+    met = trigram_rows(texts, "text_key", "text").join(by_gram, "gram", "left").select("text_key", "n", F.explode_outer("langs").alias("l"))
+    totals = met.groupBy("text_key", F.col("l.lang").alias("lang")).agg(F.sum("l.gain").alias("gain"), F.max("l.floor").alias("floor"), F.max("n").alias("n"))
+    score = F.col("gain") + F.col("floor") * F.col("n")
+    best = totals.groupBy("text_key").agg(F.max(F.when(F.col("lang").isNotNull(), F.struct(score.alias("score"), "lang"))).alias("b"))
+    return best.select("text_key", F.coalesce("b.lang", F.lit(target)).alias("lang"))
 
 
 def translate(
@@ -145,8 +158,8 @@ def translate(
     Texts already in the target language keep their wording and stored
     translations are reused; the rest goes through the supplied translator.
     """
-    texts = distinct_texts(df, text)
-    detected = texts.join(detect_languages(texts, profile, target), "text_key")
+    texts = cut_lineage(distinct_texts(df, text))
+    detected = cut_lineage(texts.join(detect_languages(texts, profile, target), "text_key"))
     same = detected.filter(F.col("lang") == target).select("text_key", "lang", F.col("text").alias("translation"))
     todo = unseen(detected.filter(F.col("lang") != target), results)
 

@@ -24,9 +24,7 @@ def document_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def _label_counts(spark: SparkSession, folder: str, null_as_text: bool) -> DataFrame:
     labels = document_labels(spark, folder)
-    answered = labels.withColumn("n_responses", F.col("label").isNotNull().cast("int"))
-    maxcol = indicators.max_answered(answered, "source", ["lang"])
-    out = indicators.label_counts(labels, ["source", "lang"], maxcol, "source", PAIRS, null_as_text, {})
+    out = indicators.label_counts(labels, ["source", "lang"], None, "source", PAIRS, null_as_text, {})
     means = [c for c in out.columns if c.endswith("_mean")]
     return out.select(*[c for c in out.columns if c not in means], *[number(F.col(c)).alias(c) for c in means])
 
@@ -72,12 +70,18 @@ SELECT role, conv_id, maxcol, nchar_sum, round(filled / CASE WHEN maxcol = 0 THE
 FROM counted JOIN cap USING (role)""")
 def kpi_text_fill(spark: SparkSession, folder: str) -> DataFrame:
     answers = table(spark, folder, "conversations").select("role", "conv_id", "text")
-    counted = answers.select("role", "conv_id", (indicators.cell_characters(F.col("text")) >= 1).cast("int").alias("n_responses"))
-    maxcol = indicators.max_answered(counted, "role", ["conv_id"])
-    out = indicators.text_fill(answers, ["role", "conv_id"], "text", maxcol, "role")
+    out = indicators.text_fill(answers, ["role", "conv_id"], "text", None, "role")
     return out.withColumn("prop_filled", number(F.col("prop_filled")))
 
 
+@query("max_answered", """
+WITH f AS (SELECT role, conv_id, count(text) FILTER (length(text) > 0) AS n FROM conversations GROUP BY 1, 2)
+SELECT role, max(n) AS maxcol FROM f GROUP BY 1""")
+def max_answered(spark: SparkSession, folder: str) -> DataFrame:
+    answers = table(spark, folder, "conversations").select("role", "conv_id", (F.length("text") > 0).cast("int").alias("n_responses"))
+    return indicators.max_answered(answers, "role", ["conv_id"])
+
+
 @query("question_metrics", """
 SELECT conv_id, role, round(avg(CASE WHEN contains(text, ',') THEN 1.0 ELSE 0.0 END), 6) AS score_average,
        sum(length(text))::BIGINT AS number_characters, count(text) AS number_responses

@@ -25,5 +25,12 @@ def frame(spark):
     return lambda schema, rows: spark.createDataFrame(rows, schema)
 
 
+def by_value(module_name):
+    """Let workers get a test module's functions by value."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def tuples(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
