@@ -29,9 +29,22 @@ def strip_list_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"[\[\]']", "")
 
 
+NUMERIC = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+|(?i:nan|inf|infinity))(?:[eE][+-]?\d+)?\s*$"
+
+
+def as_double(c: Column) -> Column:
+    """Number in a text, null when there is none.
+
+    The shape is checked before the cast, because a failing cast raises inside
+    and costs many times more than the check on columns full of words.
+    """
+    text = c.cast("string")
+    return F.when(text.rlike(NUMERIC), text.try_cast("double"))
+
+
 def to_number(c: Column) -> Column:
     """Number out of a printed one-element list; null when it is not one."""
-    return strip_list_marks(c.cast("string")).try_cast("double")
+    return as_double(strip_list_marks(c.cast("string")))
 
 
 def clean_na(c: Column) -> Column:
@@ -79,7 +92,7 @@ def first_present(arr: Column) -> Column:
 
 def list_mean(arr: Column) -> Column:
     """Mean of the numeric, non-null elements; null for none."""
-    nums = F.filter(F.transform(arr, lambda e: e.try_cast("double")), lambda e: e.isNotNull())
+    nums = F.filter(F.transform(arr, as_double), lambda e: e.isNotNull())
     total = F.aggregate(nums, F.lit(0.0), lambda acc, e: acc + e)
     return F.when(F.size(nums) > 0, total / F.size(nums))
 

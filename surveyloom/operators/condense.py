@@ -10,7 +10,8 @@ def condense(df: DataFrame, keys: list[str], columns: dict[str, list[str] | str]
     """Distinct non-null values per group, first-seen order, joined by ``sep``; null for none.
 
     ``columns`` maps an output name to one or several source columns, which are
-    read as one list (source by source, each in row order). Values are made
+    read as one list (source by source, each in row order; rows that tie in the
+    order follow the value). Values are made
     distinct by a combining aggregation before anything is collected, so a key
     with many rows sends each of its values once.
     """
@@ -21,18 +22,17 @@ def condense(df: DataFrame, keys: list[str], columns: dict[str, list[str] | str]
     ])
     # One empty entry per row keeps groups without any value.
     present = F.array(F.struct(F.lit("").alias("out"), F.lit(0).alias("rank"), F.lit("").alias("value")))
-    filled = F.concat(present, F.filter(cells, lambda c: c["value"].isNotNull()))
     # A single order column stays a plain value, so that its minimum fits a hash aggregation.
     row = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     seen = (
-        df.select(*keys, row.alias("_row"), F.explode(filled).alias("_c"))
+        df.select(*keys, row.alias("_row"), F.explode(F.concat(present, cells)).alias("_c")).filter(F.col("_c.value").isNotNull())
         .groupBy(*keys, F.col("_c.out").alias("_out"), F.col("_c.rank").alias("_rank"), F.col("_c.value").alias("_value"))
         .agg(F.min("_row").alias("_first"))
     )
     aggs = []
     for out in sources:
         entry = F.when(F.col("_out") == out, F.struct("_rank", "_first", "_value"))
-        listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_value"]))
+        listed = F.array_distinct(F.sort_array(F.collect_list(entry)).getField("_value"))
         aggs.append(F.when(F.size(listed) > 0, F.array_join(listed, sep)).alias(out))
     return seen.groupBy(*keys).agg(*aggs)
 
@@ -46,7 +46,7 @@ def list_conflicts(df: DataFrame, key: str, ids: str, min_ids: int = 2) -> DataF
     """Keys that carry several ids, with their number and the ids in ascending order."""
     return (
         df.filter(F.col(ids).isNotNull()).select(key, ids).distinct()
-        .groupBy(key).agg(F.count(F.lit(1)).alias("n_ids"), F.array_join(F.array_sort(F.collect_list(F.col(ids).cast("string"))), ", ").alias("ids"))
+        .groupBy(key).agg(F.count(F.lit(1)).alias("n_ids"), F.array_join(F.sort_array(F.collect_list(F.col(ids).cast("string"))), ", ").alias("ids"))
         .filter(F.col("n_ids") >= min_ids)
     )
 

@@ -23,7 +23,7 @@ def era_mean(
     Tagged era: mean over the first tag that occurs at all. Dated era: rows whose
     accounting date lies in the year before. Plain era: the same with a bare year.
     """
-    value = value.try_cast("double")
+    value = cells.as_double(value)
     tag_branch = F.lit(None).cast("double")
     for tag in reversed(tagged):
         tag_branch = F.when(F.coalesce(F.max((which_year == tag).cast("int")), F.lit(0)) == 1, tagged_mean(value, which_year, tag)).otherwise(tag_branch)
@@ -33,7 +33,7 @@ def era_mean(
         stated = F.when(year.between(*dated_years), F.year(cells.parse_date(which_year, "d MMM yyyy")))
         out = out.when(F.max(year).between(*dated_years), F.avg(F.when(stated == year - 1, value)))
     if plain_years:
-        stated = which_year.try_cast("int")
+        stated = F.when(year.isin(*plain_years), cells.as_double(which_year))
         out = out.when(F.max(year).isin(*plain_years), F.avg(F.when(stated == year - 1, value)))
     return out
 
@@ -41,7 +41,7 @@ def era_mean(
 def category_sum(value: Column, category: Column, year: Column, seen: tuple, summed: tuple, years: tuple[int, ...] = (2010, 2018, 2019, 2020)) -> Column:
     """Sum over named categories; null when the year or none of the categories applies."""
     any_seen = F.coalesce(F.max(category.isin(*seen).cast("int")), F.lit(0)) == 1
-    total = F.sum(F.when(category.isin(*summed), value.try_cast("double")))
+    total = F.sum(F.when(category.isin(*summed), cells.as_double(value)))
     return F.when(F.max(year).isin(*years) & any_seen, F.coalesce(total, F.lit(0.0)))
 
 

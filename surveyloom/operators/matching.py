@@ -39,7 +39,7 @@ def sample_values(long: DataFrame, n: int, seed: int = 0, keys: list[str] = ("ta
         salted.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= n)
         .withColumn("_r", F.row_number().over(final)).filter(F.col("_r") <= n)
     )
-    listed = kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda e: e["value"]).alias("_v"))
+    listed = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "value"))).getField("value").alias("_v"))
     index = F.sequence(F.lit(0), F.lit(n - 1))
     return listed.select(*keys, F.transform(index, lambda i: F.get("_v", F.pmod(i, F.size("_v")).cast("int"))).alias("samples"))
 
@@ -64,7 +64,7 @@ def context_vectors(columns: DataFrame, window: int, emb: str = "emb", within: l
 # -- costs -----------------------------------------------------------------------
 def _blocks(columns: DataFrame, block: int) -> DataFrame:
     entry = F.struct("position", "column", "emb", "ctx_emb", "sample_embs")
-    return columns.groupBy("table", F.floor(F.col("position") / block).alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("cols"))
+    return columns.groupBy("table", F.floor(F.col("position") / block).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("cols"))
 
 
 def cost_components(columns: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -31,16 +31,29 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     )
 
 
-def running_totals(counts: DataFrame, value: str, totals: list[str], chunks: int = 256) -> DataFrame:
+CHUNKS = 256
+
+
+def chunk_borders(cuts: list[float]) -> list[float]:
+    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+
+
+def chunk_cuts(df: DataFrame, columns: list[str], chunks: int = CHUNKS) -> list[list[float]]:
+    """Approximate quantiles that cut each column into about equal chunks; one pass, a fixed number of values."""
+    return df.approxQuantile(columns, [i / chunks for i in range(1, chunks)], 0.5 / chunks)
+
+
+def running_totals(counts: DataFrame, value: str, totals: list[str], cuts: list[float] | None = None, chunks: int = CHUNKS) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum along ``value``) for each count column.
 
     ``counts`` holds one row per value. The value range is cut at a fixed number
     of approximate quantiles, so each sort covers about one chunk-th of the
-    values, and only one row per chunk is carried across.
+    values, and only one row per chunk is carried across. ``cuts`` may be given
+    when they are known for several columns at once.
     """
-    cuts = counts.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.5 / chunks)
-    borders = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    base = Bucketizer(splits=borders, inputCol=value, outputCol="_chunk").transform(counts)
+    if cuts is None:
+        cuts = chunk_cuts(counts, [value], chunks)[0]
+    base = Bucketizer(splits=chunk_borders(cuts), inputCol=value, outputCol="_chunk").transform(counts)
     per_chunk = base.groupBy("_chunk").agg(*[F.sum(c).alias("_s_" + c) for c in totals])
     listed = per_chunk.agg(F.collect_list(F.struct("_chunk", *["_s_" + c for c in totals])).alias("l")).scalar()
     before = F.filter("_l", lambda e: e["_chunk"] < F.col("_chunk"))

@@ -17,7 +17,7 @@ def column_profile(long: DataFrame, year: str = "year") -> DataFrame:
     features = long.filter(value.isNotNull()).select(
         "column", F.col(year).alias("_y"), F.sha2(value, 256).alias("_key"), F.length(value).alias("_len"),
         (value.rlike(r"^Other:\s").cast("int") + value.rlike(r"^Other,\s").cast("int")).alias("_other"),
-        F.array_sort(F.array_distinct(F.regexp_extract_all(value, F.lit(PUNCTUATION), 0))).alias("_marks"),
+        F.sort_array(F.array_distinct(F.regexp_extract_all(value, F.lit(PUNCTUATION), 0))).alias("_marks"),
     )
     per_value = features.groupBy("column", "_y", "_key", "_len", "_other", "_marks").agg(F.count(F.lit(1)).alias("n"))
     per_year = per_value.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("u")).groupBy("column").agg(
@@ -33,7 +33,7 @@ def column_profile(long: DataFrame, year: str = "year") -> DataFrame:
         F.sum(F.col("_other") * F.col("n")).alias("n_other"),
     )
     marks = values.select("column", F.explode("_marks").alias("mark")).distinct()
-    punctuation = marks.groupBy("column").agg(F.array_sort(F.collect_list("mark")).alias("punctuation"))
+    punctuation = marks.groupBy("column").agg(F.sort_array(F.collect_list("mark")).alias("punctuation"))
     return (
         basics.join(per_year, "column").join(punctuation, "column", "left")
         .withColumn("punctuation", F.coalesce("punctuation", F.array().cast("array<string>")))

@@ -79,14 +79,18 @@ def best_name_match(search: DataFrame, pool: DataFrame, finite_length: bool = Fa
     names = cut_lineage(names)
     pairs = cut_lineage(containing_pairs(names.select("stem").distinct(), pool))
     if finite_length:
-        scored = names.join(pairs, "stem").withColumn("_score", match_score(F.col("name"), F.col("match"), True))
-        return _take_best(scored)
+        return _take_best(_score(names.join(pairs, "stem"), True))
     equal = pairs.withColumn("_len", F.length("match")).groupBy("stem", "_len").agg(F.min_by("match", "pool_order").alias("match"))
     resolved = names.join(equal, ["stem", "_len"], "left")
     exact = resolved.filter(F.col("match").isNotNull()).select("name", "match")
     open_names = resolved.filter(F.col("match").isNull()).drop("match")
-    scored = open_names.join(pairs, "stem").withColumn("_score", match_score(F.col("name"), F.col("match")))
-    return exact.unionByName(_take_best(scored))
+    return exact.unionByName(_take_best(_score(open_names.join(pairs, "stem"), False)))
+
+
+def _score(candidates: DataFrame, finite_length: bool) -> DataFrame:
+    """Scores of candidate pairs, spread over all tasks first: a common stem has many."""
+    spread = candidates.select("name", "match", "pool_order").repartition("name", "match")
+    return spread.withColumn("_score", match_score(F.col("name"), F.col("match"), finite_length))
 
 
 def _take_best(scored: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from surveyloom.functions.cells import as_double
 from surveyloom.functions.columns import ANY_SHEET, clean_name, create_column
 from surveyloom.operators.ordered import number_rows
 from surveyloom.session import literal_frame
@@ -66,8 +67,8 @@ def to_lists(long: DataFrame, keys: list[str], columns: list[str], max_cell: int
     entry = F.struct("pos", checked.alias("value"))
     aggs = []
     for c in columns:
-        cell = F.array_sort(F.collect_list(F.when(F.col("column") == c, entry)))
-        aggs.append(F.when(F.size(cell) > 0, F.transform(cell, lambda e: e["value"])).alias(c))
+        cell = F.sort_array(F.collect_list(F.when(F.col("column") == c, entry)))
+        aggs.append(F.when(F.size(cell) > 0, cell.getField("value")).alias(c))
     return long.filter(F.col("column").isin(*columns)).groupBy(*keys).agg(*aggs)
 
 
@@ -175,7 +176,7 @@ def auto_types(long: DataFrame) -> DataFrame:
     wide sink picks scalar or list, number or text.
     """
     per_cell = long.groupBy("column", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.count(F.col("value").try_cast("double")).alias("num")
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.count(as_double(F.col("value"))).alias("num")
     )
     return per_cell.groupBy("column").agg(
         (F.max("n") == 1).alias("is_scalar"),

@@ -149,8 +149,8 @@ def transitions(states: DataFrame, entity: str, period: str, state: str) -> Data
 
 def paths(states: DataFrame, entity: str, period: str, state: str, min_periods: int = 2, sep: str = " -> ") -> DataFrame:
     """State sequence per entity as text: ``entity, path`` (one entry per period)."""
-    listed = F.array_sort(F.collect_list(F.struct(period, state)))
-    out = states.groupBy(entity).agg(F.transform(listed, lambda e: e[state]).alias("_s")).filter(F.size("_s") >= min_periods)
+    listed = F.sort_array(F.collect_list(F.struct(period, state)))
+    out = states.groupBy(entity).agg(listed.getField(state).alias("_s")).filter(F.size("_s") >= min_periods)
     return out.select(entity, F.array_join("_s", sep).alias("path"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions import fixed_values as V
 from surveyloom.functions.distributions import f_upper, normal_two_sided, t_two_sided
-from surveyloom.operators.ordered import running_totals
+from surveyloom.operators.ordered import chunk_cuts, running_totals
 
 
 # -- group comparisons -----------------------------------------------------------
@@ -85,7 +85,7 @@ def rank_sum_tests(df: DataFrame, group: str, value: str, groups: list[str]) ->
         df.filter(F.col(value).isNotNull() & F.col(group).isin(*groups)).groupBy(F.col(value).alias("v"))
         .agg(*[F.sum((F.col(group) == g).cast("long")).alias(c) for c, g in zip(cols, groups)])
     )
-    run = running_totals(counted, "v", cols)
+    run = running_totals(counted, "v", cols, chunk_cuts(df, [value])[0])
     pairs = list(combinations(range(len(groups)), 2))
     aggs = [F.sum(c).alias("n_" + c) for c in cols]
     for i, j in pairs:
@@ -241,9 +241,9 @@ def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson"
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each listed column replaced by its average rank; values are counted before they are ordered."""
     out = df.select(*columns)
-    for c in columns:
+    for c, cuts in zip(columns, chunk_cuts(out, columns)):
         counted = out.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        ranks = running_totals(counted, c, ["n"]).select(F.col(c).alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank"))
+        ranks = running_totals(counted, c, ["n"], cuts).select(F.col(c).alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank"))
         out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_rank")).drop("_v", "_rank")
     return out
 

@@ -19,7 +19,7 @@ def cell_labels(labels: DataFrame) -> DataFrame:
     """
     cell = [*KEYS, "column", "sheet", "model"]
     distinct = labels.select(*cell, "label").distinct()
-    return distinct.groupBy(*cell).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("label"))
+    return distinct.groupBy(*cell).agg(F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("label"))
 
 
 def indicator_table(responses: DataFrame, labels: DataFrame, metrics: DataFrame, null_as_text: bool = False) -> DataFrame:

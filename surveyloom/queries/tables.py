@@ -167,16 +167,14 @@ def overrides(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("condense_strings", """
-WITH o AS (SELECT o_custkey, year(o_orderdate) AS year, o_orderdate, o_orderkey, o_orderpriority AS p, o_orderstatus AS s FROM orders),
-p AS (SELECT o_custkey, year, p, min((o_orderdate, o_orderkey)) AS k FROM o GROUP BY 1, 2, 3),
-s AS (SELECT o_custkey, year, s, min((o_orderdate, o_orderkey)) AS k FROM o GROUP BY 1, 2, 3)
-SELECT * FROM (SELECT o_custkey, year, string_agg(p, ', ' ORDER BY k) AS priorities FROM p GROUP BY 1, 2)
-JOIN (SELECT o_custkey, year, string_agg(s, ', ' ORDER BY k) AS statuses FROM s GROUP BY 1, 2) USING (o_custkey, year)""")
+WITH o AS (SELECT o_custkey, year(o_orderdate) AS year, o_orderdate, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+p AS (SELECT o_custkey, year, p, min(o_orderdate) AS k FROM o GROUP BY 1, 2, 3),
+s AS (SELECT o_custkey, year, s, min(o_orderdate) AS k FROM o GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT o_custkey, year, string_agg(p, ', ' ORDER BY k, p) AS priorities FROM p GROUP BY 1, 2)
+JOIN (SELECT o_custkey, year, string_agg(s, ', ' ORDER BY k, s) AS statuses FROM s GROUP BY 1, 2) USING (o_custkey, year)""")
 def condense_strings(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
-    return condense.condense(
-        orders, ["o_custkey", "year"], {"priorities": "o_orderpriority", "statuses": "o_orderstatus"}, ["o_orderdate", "o_orderkey"]
-    )
+    return condense.condense(orders, ["o_custkey", "year"], {"priorities": "o_orderpriority", "statuses": "o_orderstatus"}, ["o_orderdate"])
 
 
 @query("condense_sources", """
@@ -232,16 +230,16 @@ def category_sums(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("verification_fallback", """
 WITH c AS (
-  SELECT l_orderkey, (l_linenumber, l_partkey, l_suppkey, l_returnflag) AS k, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS s, l_linestatus || l_linenumber AS g FROM lineitem),
-s AS (SELECT l_orderkey, string_agg(s, ', ' ORDER BY k) AS s FROM (SELECT l_orderkey, s, min(k) AS k FROM c WHERE s IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
-g AS (SELECT l_orderkey, string_agg(g, ', ' ORDER BY k) AS g FROM (SELECT l_orderkey, g, min(k) AS k FROM c GROUP BY 1, 2) GROUP BY 1)
+  SELECT l_orderkey, l_linenumber AS k, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS s, l_linestatus || l_linenumber AS g FROM lineitem),
+s AS (SELECT l_orderkey, string_agg(s, ', ' ORDER BY k, s) AS s FROM (SELECT l_orderkey, s, min(k) AS k FROM c WHERE s IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT l_orderkey, string_agg(g, ', ' ORDER BY k, g) AS g FROM (SELECT l_orderkey, g, min(k) AS k FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT l_orderkey, coalesce(s, g) AS specific FROM g LEFT JOIN s USING (l_orderkey)""")
 def verification_fallback(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).alias("specific"),
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).alias("specific"),
         F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("general"),
     )
-    return eras.with_fallback(rows, ["l_orderkey"], {"specific": "general"}, ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
+    return eras.with_fallback(rows, ["l_orderkey"], {"specific": "general"}, ["l_linenumber"])
 
 
 @query("id_conflicts", """
