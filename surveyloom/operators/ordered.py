@@ -7,10 +7,14 @@ and carry only one small row per chunk across.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 10_000
+from surveyloom.session import cut_lineage
+
+ACCURACY = 100_000
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str = "pos") -> DataFrame:
@@ -53,18 +57,17 @@ def running_totals(counts: DataFrame, value: str, totals: list[str], cuts: list[
     """
     if cuts is None:
         cuts = chunk_cuts(counts, [value], chunks)[0]
-    base = Bucketizer(splits=chunk_borders(cuts), inputCol=value, outputCol="_chunk").transform(counts)
-    per_chunk = base.groupBy("_chunk").agg(*[F.sum(c).alias("_s_" + c) for c in totals])
-    listed = per_chunk.agg(F.collect_list(F.struct("_chunk", *["_s_" + c for c in totals])).alias("l")).scalar()
-    before = F.filter("_l", lambda e: e["_chunk"] < F.col("_chunk"))
-    offsets = per_chunk.withColumn("_l", listed).select(
-        "_chunk", *[F.aggregate(before, F.lit(0).cast("long"), lambda acc, e: acc + e["_s_" + c]).alias("_o_" + c) for c in totals]
-    )
+    # The counts are read twice below, so they are made once.
+    base = cut_lineage(Bucketizer(splits=chunk_borders(cuts), inputCol=value, outputCol="_chunk").transform(counts))
+    # One row per chunk, a fixed number: what lies before each chunk becomes a literal.
+    per_chunk = {int(r["_chunk"]): r for r in base.groupBy("_chunk").agg(*[F.sum(c).alias(c) for c in totals]).collect()}
     inside = Window.partitionBy("_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(offsets, "_chunk")
+    out = base
     for c in totals:
-        out = out.withColumn("cum_" + c, F.col("_o_" + c) + F.sum(c).over(inside))
-    return out.drop("_chunk", *["_o_" + c for c in totals])
+        sums = [per_chunk[k][c] if k in per_chunk else 0 for k in range(len(chunk_borders(cuts)) - 1)]
+        before = F.array(*[F.lit(v) for v in accumulate(sums[:-1], initial=0)])
+        out = out.withColumn("cum_" + c, F.get(before, F.col("_chunk").cast("int")) + F.sum(c).over(inside))
+    return out.drop("_chunk")
 
 
 def exact_quantiles(

@@ -142,49 +142,59 @@ def context_window(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("label", F.col("position").alias("pos"), F.posexplode("ctx_emb").alias("dim", "value")).withColumn("value", number(F.col("value")))
 
 
-SETS = {"t1": "Brand#1", "t2": "Brand#2", "t3": "Brand#3"}
+# Part types as successive tables, name and brand as their columns.
+SETS = {"t1": "ECONOMY", "t2": "LARGE", "t3": "MEDIUM", "t4": "PROMO", "t5": "SMALL", "t6": "STANDARD"}
 
 
-def brand_mappings(spark: SparkSession, folder: str) -> list[tuple[str, str, DataFrame]]:
-    part = table(spark, folder, "part")
-    names = {t: part.filter(F.col("p_brand") == b).select(F.col("p_name").alias("k")).distinct() for t, b in SETS.items()}
-    out = []
-    for a, b in (("t1", "t2"), ("t2", "t3")):
+def type_mappings(spark: SparkSession, folder: str) -> list[tuple[str, str, DataFrame]]:
+    part = table(spark, folder, "part").select("p_type", F.concat_ws("/", "p_name", "p_brand").alias("k"))
+    names = {t: part.filter(F.col("p_type") == v).select("k").distinct() for t, v in SETS.items()}
+    out, tables = [], list(SETS)
+    for a, b in zip(tables, tables[1:]):
         left, right = names[a].withColumn("column_a", F.col("k")), names[b].withColumn("column_b", F.col("k"))
         out.append((a, b, left.join(right, "k", "full").select("column_a", "column_b")))
     return out
 
 
-CHAIN_SQL = "WITH " + ", ".join(f"{t} AS (SELECT DISTINCT p_name AS k FROM part WHERE p_brand = '{b}')" for t, b in SETS.items()) + """,
-m1 AS (SELECT t1.k AS a, t2.k AS b FROM t1 FULL JOIN t2 ON t1.k = t2.k), m2 AS (SELECT t2.k AS a, t3.k AS b FROM t2 FULL JOIN t3 ON t2.k = t3.k),
-chain AS (SELECT m1.a AS t1, coalesce(m1.b, m2.a) AS t2, m2.b AS t3 FROM m1 FULL JOIN m2 ON m1.b = m2.a)
-"""
+def _chain_sql() -> str:
+    tables = list(SETS)
+    steps = [f"{t} AS (SELECT DISTINCT p_name || '/' || p_brand AS k FROM part WHERE p_type = '{v}')" for t, v in SETS.items()]
+    steps += [f"m{i} AS (SELECT {a}.k AS a, {b}.k AS b FROM {a} FULL JOIN {b} ON {a}.k = {b}.k)" for i, (a, b) in enumerate(zip(tables, tables[1:]), 1)]
+    steps.append("c1 AS (SELECT a AS t1, b AS t2 FROM m1)")
+    for i in range(2, len(tables)):
+        kept = "".join(f"c.t{j}, " for j in range(1, i))
+        steps.append(f"c{i} AS (SELECT {kept}coalesce(c.t{i}, m.a) AS t{i}, m.b AS t{i + 1} FROM c{i - 1} c FULL JOIN m{i} m ON c.t{i} = m.a)")
+    steps.append(f"chain AS (SELECT * FROM c{len(tables) - 1} WHERE coalesce({', '.join(tables)}) IS NOT NULL)")
+    return "WITH " + ", ".join(steps)
+
 
+CHAIN_SQL = _chain_sql()
+FLAGS = "[" + ", ".join(f"{t} IS NOT NULL" for t in SETS) + "]"
 
-@query("chain_mappings", CHAIN_SQL + "SELECT * FROM chain WHERE t1 IS NOT NULL OR t2 IS NOT NULL OR t3 IS NOT NULL")
+
+@query("chain_mappings", CHAIN_SQL + " SELECT * FROM chain")
 def chain_mappings(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.chain_mappings(brand_mappings(spark, folder))
+    return matching.chain_mappings(type_mappings(spark, folder))
 
 
-@query("validity_range", CHAIN_SQL + """
-SELECT coalesce(t3, t2, t1) AS "column",
-  CASE WHEN t3 IS NOT NULL THEN CASE WHEN t2 IS NULL THEN 't3' WHEN t1 IS NULL THEN 't2' ELSE 't1' END
-       WHEN t2 IS NOT NULL THEN CASE WHEN t1 IS NULL THEN 't2' ELSE 't1' END ELSE 't1' END AS "from",
-  CASE WHEN t3 IS NOT NULL THEN 't3' WHEN t2 IS NOT NULL THEN 't2' ELSE 't1' END AS "to" FROM chain""")
+@query("validity_range", CHAIN_SQL + f""",
+l AS (SELECT coalesce({', '.join(reversed(SETS))}) AS col, {FLAGS} AS f, list_max(list_filter(range(1, 7), lambda i: {FLAGS}[i])) AS hi FROM chain),
+g AS (SELECT col, hi, coalesce(list_max(list_filter(range(1, 7), lambda i: NOT f[i] AND i < hi)), 0) + 1 AS lo FROM l)
+SELECT col AS "column", 't' || lo AS "from", 't' || hi AS "to" FROM g""")
 def validity_range(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.validity_range(matching.chain_mappings(brand_mappings(spark, folder)), list(SETS))
+    return matching.validity_range(matching.chain_mappings(type_mappings(spark, folder)), list(SETS))
 
 
-@query("merge_tables", CHAIN_SQL + """
-SELECT CASE p_brand WHEN 'Brand#1' THEN 't1' WHEN 'Brand#2' THEN 't2' ELSE 't3' END AS "table", p_name AS "column", count(*) AS n, sum(p_size)::BIGINT AS total
-FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND (p_name IN (SELECT k FROM t1) AND p_brand = 'Brand#1' OR p_brand <> 'Brand#1') GROUP BY 1, 2""")
+@query("merge_tables", "SELECT CASE p_type " + " ".join(f"WHEN '{v}' THEN '{t}'" for t, v in SETS.items()) + """ END AS "table",
+  p_name || '/' || p_brand AS "column", count(*) AS n, sum(p_size)::BIGINT AS total FROM part GROUP BY 1, 2""")
 def merge_tables(spark: SparkSession, folder: str) -> DataFrame:
-    chain = matching.chain_mappings(brand_mappings(spark, folder))
-    names = matching.canonical_names(chain, list(SETS))
-    brand = F.create_map(*[F.lit(x) for t, b in SETS.items() for x in (b, t)])
-    responses = table(spark, folder, "part").select(F.try_element_at(brand, F.col("p_brand")).alias("table"), F.col("p_name").alias("column"), "p_size").dropna(subset=["table"])
+    names = matching.canonical_names(cut_lineage(matching.chain_mappings(type_mappings(spark, folder))), list(SETS))
+    kind = F.create_map(*[F.lit(x) for t, v in SETS.items() for x in (v, t)])
+    responses = table(spark, folder, "part").select(
+        F.try_element_at(kind, F.col("p_type")).alias("table"), F.concat_ws("/", "p_name", "p_brand").alias("column"), "p_size"
+    )
     merged = matching.merge_tables(responses, names)
-    # A question without a common chain gets a numbered name; count under the name itself.
+    # A question whose chain is broken gets a numbered name; count under the name itself.
     return merged.groupBy("table", F.regexp_replace("column", r"_\d+$", "").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("total"))
 
 
