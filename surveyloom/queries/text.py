@@ -118,7 +118,7 @@ def classify_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("embedded_names")
 def embedded_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest description of every part type by cosine of hashed character runs."""
+    """Cosine of the hashed character runs of each part's name and type."""
     from surveyloom.functions.similarity import cosine
 
     part = table(spark, folder, "part")
