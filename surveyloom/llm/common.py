@@ -17,9 +17,22 @@ SLICE_BYTES = 4_000_000
 BATCH_ROWS = 2_000
 
 
+#: Spark's own setting that removes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_table(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, read back (survives lost executors)."""
-    return cut_lineage(df)
+    """The frame as a table in the shared folder, read back.
+
+    Later steps need no executor that made it, so its shuffle files are given free.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def text_key(c: str = "text") -> Column:

@@ -71,6 +71,11 @@ def rice_decode(code: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
+def owner_width(owners: int) -> int:
+    """Size of an owner's range of 64-bit values."""
+    return min(((1 << 64) - 1) // owners + 1, (1 << 64) - 1)
+
+
 def _normalised(text: str | None) -> bytes:
     return (text or "").encode().translate(None, _DELETE)
 
@@ -80,7 +85,7 @@ def _fingerprints(digests: bytes) -> np.ndarray:
 
 
 def _send(owners: int):
-    width = (1 << 64) // owners + 1
+    width = owner_width(owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -131,7 +136,7 @@ def _own(table: pa.Table) -> pa.Table:
 
 
 def _mark(owners: int):
-    width = (1 << 64) // owners + 1
+    width = owner_width(owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.llm.exact_dedup import exact_dedup
 from surveyloom.llm.packing import pack
+from surveyloom.llm.substring_dedup import substring_dedup
 from surveyloom.llm.token_counts import count_tokens
 from surveyloom.llm.url_filter import filter_urls
 
@@ -46,6 +47,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
