@@ -186,7 +186,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two different texts with one SHA-256 digest, if ever met, end the job with an error.
     """
     spark = docs.sparkSession
-    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    owners = max(owners or int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     blocks = shared_table(source.mapInArrow(_send(owners), BLOCK_SCHEMA))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.llm.exact_dedup import exact_dedup
+from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
 from surveyloom.llm.substring_dedup import substring_dedup
 from surveyloom.llm.token_counts import count_tokens
@@ -29,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 EXACT_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, length(t) AS cp, regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') AS s FROM d),

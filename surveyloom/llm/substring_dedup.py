@@ -220,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; columns beside the two named are not read.
     """
     spark = docs.sparkSession
-    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    owners = max(owners or int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     seed = min(SEED_WORDS, k)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
