@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.llm.exact_dedup import exact_dedup
+from surveyloom.llm.language_id import fit, identify, training_rows
 from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
 from surveyloom.llm.substring_dedup import substring_dedup
@@ -30,6 +31,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identify(docs, fit(training_rows(docs))).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query("op4_ngram_jaccard_join")
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
