@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from surveyloom.llm import language_id, quality_rules, toxicity
 from surveyloom.llm.exact_dedup import exact_dedup
-from surveyloom.llm.language_id import fit, identify, training_rows
 from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
 from surveyloom.llm.substring_dedup import substring_dedup
@@ -34,7 +34,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_language_id")
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return identify(docs, fit(training_rows(docs))).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return language_id.identify(docs, language_id.fit(language_id.training_rows(docs))).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, toxicity.training_rows(table(spark, folder, "labels")))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 @query("op4_ngram_jaccard_join")
