@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveyloom.llm import language_id, quality_rules, toxicity
+from surveyloom.llm import language_id, piece_codec, quality_rules, toxicity
 from surveyloom.llm.exact_dedup import exact_dedup
 from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
@@ -37,6 +37,13 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(language_id.training_rows(docs))).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+@query("op2_sentencepiece_codec")
+def op2_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = piece_codec.encode(table(spark, folder, "documents"))
+    hashed = encoded.select("doc_id", F.struct("text_key", F.xxhash64("ids").alias("ids_hash")).alias("keys"), "ids")
+    return hashed.select("doc_id", F.col("keys.ids_hash").alias("ids_hash"), F.col("keys.text_key").alias("text_key"), "ids")
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

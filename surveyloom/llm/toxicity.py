@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from surveyloom.llm.common import id_remainder, text_slices
+from surveyloom.llm.common import id_remainder, shared_table, text_slices
 from surveyloom.llm.language_id import _tables
 from surveyloom.llm.words import mix
 
@@ -30,8 +30,15 @@ PREFIXES = (4, 5)
 
 #: Strength of the prior, in texts, and what is taken off each token so that clean text scores below 0.
 PRIOR_WEIGHT = 4.0
-OFFSET = 0.5
+OFFSET = 0.3
+
+#: Log-odds count by what is left after so many deviations; one token scores at most ``CAP``.
+SURE = 1.5
 CAP = 6.0
+LEAST_COUNT = 0.5
+
+#: Copies and near copies of a labelled text count once: those that begin with the same words.
+HEAD_WORDS = 8
 SIGNIFICANT = 0.05
 
 PART_SCHEMA = "label int, kind int, bucket int, n bigint"
@@ -128,7 +135,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    """``odds``: score by word bucket; unseen words fall back on ``prefix`` tables, then on ``base``."""
+    """``tables``: clean and toxic texts by (level, bucket); ``decay``, ``k``: the extreme-value law; ``weights``: the curve."""
 
     tables: list[np.ndarray]
     decay: float = 1.0
@@ -136,26 +143,28 @@ class ToxicityModel:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def token_scores(self, keys: np.ndarray) -> np.ndarray:
-        clean, toxic = self.tables
-        return np.clip(_odds(clean, toxic, keys) - OFFSET, -CAP, CAP)
+        odds, spread = _odds(*self.tables, keys)
+        sure = np.sign(odds) * np.maximum(np.abs(odds) - SURE * spread, 0.0)
+        return np.clip(sure, -1.0, CAP) - OFFSET
 
 
-def _odds(clean: np.ndarray, toxic: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Log-odds of a text being toxic given the token, each level the prior of the next.
+def _odds(clean: np.ndarray, toxic: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of a text being toxic given the token, against the rate of the corpus, and their deviation.
 
-    Row ``[-1]`` of a table holds the number of texts.
+    Each level is the prior of the next; column -1 of a table holds the number of texts.
     """
     base = (toxic[0, -1] + 0.5) / (toxic[0, -1] + clean[0, -1] + 1.0)
-    rate = np.full(len(keys), base)
+    a = np.full(len(keys), PRIOR_WEIGHT * base)
+    b = PRIOR_WEIGHT - a
     for kind in range(keys.shape[1]):
-        t, c = toxic[kind, keys[:, kind]], clean[kind, keys[:, kind]]
-        rate = (t + PRIOR_WEIGHT * rate) / (t + c + PRIOR_WEIGHT)
-    rate = np.clip(rate, 1e-6, 1 - 1e-6)
-    return np.log(rate / (1 - rate)) - np.log(base / (1 - base))
+        scale = PRIOR_WEIGHT / (a + b)
+        a, b = a * scale + toxic[kind, keys[:, kind]], b * scale + clean[kind, keys[:, kind]]
+    a, b = np.maximum(a, LEAST_COUNT), np.maximum(b, LEAST_COUNT)
+    return np.log(a / b) - np.log(base / (1 - base)), np.sqrt(1 / a + 1 / b)
 
 
 def evidence(model: ToxicityModel, texts: pa.Array):
-    """Per text: features (best surprise, sum of significant ones, their number, 1) and segments."""
+    """Per text: features (logarithms of the best surprise, of the sum and the number of significant ones, and 1) and segments."""
     found = tokens_of(texts)
     scores = model.token_scores(found.keys)
     cuts = np.searchsorted(found.text, np.arange(len(texts) + 1))
@@ -170,7 +179,7 @@ def evidence(model: ToxicityModel, texts: pa.Array):
             surprise = surprise_of(model, value, b - a)
             p = np.exp(-surprise)
             chosen = p < SIGNIFICANT
-            features[i, :3] = surprise.max(), surprise[chosen].sum(), np.log1p(chosen.sum())
+            features[i, :3] = np.log1p(surprise.max()), np.log1p(surprise[chosen].sum()), np.log1p(chosen.sum())
             kept = [(int(found.start[a + mine[j][0]]), int(found.end[a + mine[j][1] - 1]), float(value[j]), float(p[j])) for j in np.flatnonzero(chosen)]
         passages.append(kept)
     return features, passages
@@ -229,7 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > train_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("l_id", F.lit("toxicity sample")), F.lit(1_000_000)) < int(1_000_000 * train_rows / n) + 1)
     half = F.pmod(F.xxhash64("l_id", F.lit("half")), F.lit(2)) == 0
-    known = docs.join(labelled, docs[id_col] == labelled["l_id"])
+    head = F.xxhash64(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t-\r]+", HEAD_WORDS + 1), 1, HEAD_WORDS))
+    known = shared_table(
+        docs.join(labelled, docs[id_col] == labelled["l_id"]).select("l_id", "label", F.coalesce(F.col(text_col), F.lit("")).alias(text_col), head.alias("head"))
+        .dropDuplicates(["label", "head"]))
 
     def tables(rows: DataFrame) -> list[np.ndarray]:
         counts = rows.select("label", F.col(text_col).alias("text")).mapInArrow(_presence, PART_SCHEMA).groupBy("label", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -242,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     other = known.filter(~half).select("label", F.col(text_col).alias("text"))
     best = other.mapInArrow(_best_segments(spark.sparkContext.broadcast(model)), "label int, best double, n bigint").toArrow()
     value, size, label = (np.asarray(best.column(c)) for c in ("best", "n", "label"))
-    clean = (label == 0) & (value > 0)
+    clean = label == 0
     if clean.sum() >= 20:
         model.decay, model.k = gumbel_fit(value[clean], np.maximum(size[clean], 1))
     rows = other.mapInArrow(_features(spark.sparkContext.broadcast(model)), "label int, f0 double, f1 double, f2 double").toArrow()
@@ -254,12 +266,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def gumbel_fit(value: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """(lambda, K) of best scores by moments: score - log(n) / lambda has a Gumbel law."""
+    """(lambda, K) of best scores from two quantiles, which a few odd texts don't move.
+
+    score - log(n) / lambda has a Gumbel law.
+    """
     decay = 1.0
     for _ in range(30):
-        shifted = value - np.log(n) / decay
-        decay = float(np.clip(np.pi / (np.sqrt(6) * max(shifted.std(), 1e-3)), 0.05, 20.0))
-    mode = (value - np.log(n) / decay).mean() - 0.5772156649015329 / decay
+        middle, high = np.quantile(value - np.log(n) / decay, [0.5, 0.9])
+        decay = float(np.clip((np.log(np.log(2)) - np.log(-np.log(0.9))) / max(high - middle, 1e-3), 0.05, 20.0))
+    mode = np.quantile(value - np.log(n) / decay, 0.5) + np.log(np.log(2)) / decay
     return decay, float(np.exp(decay * mode))
 
 
