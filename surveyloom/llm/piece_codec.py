@@ -39,8 +39,8 @@ BLOCK_CHUNKS = 64
 SIDE_BY_SIDE = 64
 REMEMBERED = 400_000
 
-#: Pieces below this score are never used; they only mark runs that training left out.
-UNUSED_SCORE = -1e8
+#: Pieces below this score (runs of word marks, scored as no merge) count as one less than the least other.
+NO_SCORE = -1e8
 UNKNOWN_PENALTY = 10.0
 
 _RUN = re.compile(f"{MARK}*[^{MARK}]*")
@@ -70,17 +70,18 @@ class Pieces:
                 self.bytes_of.append(b"")
             else:
                 self.bytes_of.append(piece.encode().replace(MARK.encode(), b" "))
-                if model.get_score(i) > UNUSED_SCORE:
-                    if MARK in piece.lstrip(MARK):
-                        raise ValueError(f"piece {piece!r} crosses the start of a word")
-                    hashes.append(self.hash_of(piece))
-                    ids.append(i)
-                    scores.append(model.get_score(i))
-                    longest = max(longest, len(piece))
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"piece {piece!r} crosses the start of a word")
+                hashes.append(self.hash_of(piece))
+                ids.append(i)
+                scores.append(model.get_score(i))
+                longest = max(longest, len(piece))
         order = np.argsort(np.array(hashes, dtype=np.uint64))
         self.hash = np.array(hashes, dtype=np.uint64)[order]
         self.id = np.array(ids, dtype=np.int64)[order]
         self.score = np.array(scores, dtype=np.float64)[order]
+        scored = self.score > NO_SCORE
+        self.score[~scored] = self.score[scored].min() - 1
         self.longest = longest
         self.unknown = float(self.score.min()) - UNKNOWN_PENALTY
         # First entry for the leading bits of a hash, so that a look-up compares few.
@@ -380,20 +381,24 @@ def _decode(model_path: str):
         bytes_of = load_pieces(model_path).bytes_of
         for batch in batches:
             texts = []
-            for ids in batch.column(2):
+            for ids in batch.column(0):
                 raw = b"".join(map(bytes_of.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
                 texts.append((raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) if x.is_valid else 0 for x in batch.column(2)], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text_key", "n_tokens", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
     return run
 
 
-def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, text_key, ids) -> (doc_id, text_key, n_tokens, text). Null ids are an empty text.
+def decode(encoded: DataFrame, *keep: str, ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
+    """The columns ``keep`` and ``text``, decoded from the ids. Null ids are an empty text.
 
     The space in front that encoding adds is taken off, byte pieces are joined to
     characters, bytes that are none become U+FFFD; control ids stand for nothing.
     """
+    from pyspark.sql.types import StringType, StructType
+
     from surveyloom.llm.tokens import tokenizer_path
 
     path = model_path or tokenizer_path("piece_bpe_32k.model")
-    return encoded.select("doc_id", "text_key", "ids").mapInArrow(_decode(path), "doc_id bigint, text_key bigint, n_tokens bigint, text string")
+    rows = encoded.select(ids_col, *keep)
+    schema = StructType([*rows.schema.fields[1:]]).add("text", StringType())
+    return rows.mapInArrow(_decode(path), schema)

@@ -40,8 +40,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_sentencepiece_codec")
 def op2_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
     encoded = piece_codec.encode(table(spark, folder, "documents"))
-    hashed = encoded.select("doc_id", F.struct("text_key", F.xxhash64("ids").alias("ids_hash")).alias("keys"), "ids")
-    return hashed.select("doc_id", F.col("keys.ids_hash").alias("ids_hash"), F.col("keys.text_key").alias("text_key"), "ids")
+    hashed = encoded.select("doc_id", "text_key", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "ids")
+    decoded = piece_codec.decode(hashed, "doc_id", "text_key", "n_tokens", "ids_hash")
+    return decoded.select("doc_id", "n_tokens", "ids_hash", (F.xxhash64("text") == F.col("text_key")).alias("round_trip"))
 
 
 @query("op3_quality_rules")
