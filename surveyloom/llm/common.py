@@ -35,6 +35,16 @@ def shared_table(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def rows_and_text(docs: DataFrame, text_col: str, keep_row: bool) -> Column:
+    """What a task gets of a row: its text, or with ``keep_row`` the row itself as ``row``."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_row else F.col(text_col).alias("text")
+
+
+def texts_of(column: pa.Array, text_col: str) -> pa.Array:
+    """The texts of a column made by ``rows_and_text``."""
+    return column.field(text_col).cast(pa.string()) if pa.types.is_struct(column.type) else column
+
+
 def text_key(c: str = "text") -> Column:
     """64 bits of a text; a null text counts as empty. With the id it tells rows apart."""
     return F.xxhash64(F.coalesce(F.col(c), F.lit("")))

@@ -21,8 +21,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from surveyloom.llm.common import id_remainder, text_slices
+from surveyloom.llm.common import id_remainder, rows_and_text, text_slices, texts_of
 from surveyloom.llm.words import mix
 
 BUCKETS = 1 << 16
@@ -46,7 +47,6 @@ SCRIPT_RANGES = (
 SCRIPTS = ("none", "other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES))
 
 MODEL_SCHEMA = "lang string, kind string, bucket int, n bigint"
-SPAN = "array<struct<start:int,end:int,lang:string>>"
 
 
 @lru_cache(maxsize=1)
@@ -195,12 +195,12 @@ def label_words(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray, penal
     return label
 
 
-def _predict(shared, penalty: float):
+def _predict(shared, penalty: float, text_col: str, keep_row: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
         langs = len(model.langs)
         for batch in batches:
-            for row, texts in text_slices(batch.column(2)):
+            for row, texts in text_slices(texts_of(batch.column(2), text_col)):
                 found = letters_of(texts)
                 sizes = found.sizes
                 counts = np.bincount(found.text, minlength=len(texts))
@@ -225,11 +225,12 @@ def _predict(shared, penalty: float):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(texts)), batch.column(1).slice(row, len(texts)), pa.array(preds, pa.string()), pa.array(shares),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))),
-                ], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
+                    *([batch.column(2).slice(row, len(texts))] if keep_row else []),
+                ], names=["doc_id", "held_out", "lang_pred", "score", "spans", *(["row"] if keep_row else [])])
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep_row: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, spans. No shuffle.
 
     ``lang_pred`` is the language with the most letters, the first by name of equal ones,
@@ -237,11 +238,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     points. A null text, or one without a letter, is ``und`` with score 0 and no spans, as
     is every text if the model has no language. ``held_out`` marks the rows that
     ``training_rows`` leaves out. Rows may repeat; an empty table gives no rows; other
-    columns are not read.
+    columns are not read, unless ``keep_row`` asks for the input row as a struct ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (id_remainder(id_col, 4) == 2).alias("held_out"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_predict(shared, penalty), f"doc_id bigint, held_out boolean, lang_pred string, score double, spans {SPAN}")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (id_remainder(id_col, 4) == 2).alias("held_out"), rows_and_text(docs, text_col, keep_row))
+    schema = StructType([
+        StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()),
+        StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))),
+        *(source.schema.fields[2:] if keep_row else []),
+    ])
+    return source.mapInArrow(_predict(shared, penalty, text_col, keep_row), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from surveyloom.llm.common import shared_table, text_key, text_slices
+from surveyloom.llm.common import rows_and_text, shared_table, text_key, text_slices, texts_of
 from surveyloom.llm.exact_dedup import owner_width, rice_decode, rice_encode
 from surveyloom.llm.words import ROLLER_A, ROLLER_B, Words, hash_words, split_words, window_starts
 
@@ -184,10 +185,10 @@ def _edges(k: int):
     return run
 
 
-def _cut(k: int):
+def _cut(k: int, text_col: str, keep_row: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
+            for row, texts in text_slices(texts_of(batch.column(1), text_col)):
                 words = split_words(texts)
                 marks = np.zeros(len(words.start) + 1, dtype=np.int64)
                 for i, paths in enumerate(batch.column(2).slice(row, len(texts)).to_pylist()):
@@ -206,18 +207,20 @@ def _cut(k: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(texts)), batch.column(3).slice(row, len(texts)), pa.array(words.counts(), pa.int64()), pa.array(removed[words.first[1:]] - removed[words.first[:-1]], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in kept_words]), pa.array(kept_words, pa.binary()).cast(pa.string()),
-                ], names=["doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                    *([batch.column(1).slice(row, len(texts))] if keep_row else []),
+                ], names=["doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept_text", *(["row"] if keep_row else [])])
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, owners: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, owners: int | None = None, keep_row: bool = False) -> DataFrame:
     """One row per input row: doc_id, text_key, n_words, n_removed, kept_sha256, kept_text.
 
     Words are runs outside 0x20 and 0x09-0x0D, taken unchanged. A word goes if a window
     of ``k`` words that covers it starts at another place too, in any text, the same one
     included; windows are judged on the input. A null text has no words. Texts with
     fewer than ``k`` words stay whole. Repeated rows count as other places. An empty
-    table gives no rows; columns beside the two named are not read.
+    table gives no rows; columns beside the two named are not read, unless ``keep_row``
+    asks for the input row as a struct ``row``.
     """
     spark = docs.sparkSession
     owners = max(owners or int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
@@ -232,9 +235,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     paths = shared_table(blocks.drop("sent").join(replies, "sender").mapInArrow(_repeated_paths(owners), PATH_SCHEMA))
 
-    def with_paths(rows: DataFrame, how: str) -> DataFrame:
+    def with_paths(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
         """Texts joined with what is known of them; ``rows``: (r_id, r_key, paths), one for a text."""
-        return source.join(rows, source["doc_id"].eqNullSafe(rows["r_id"]) & (source["text_key"] == rows["r_key"]), how)
+        return texts.join(rows, texts["doc_id"].eqNullSafe(rows["r_id"]) & (texts["text_key"] == rows["r_key"]), how)
 
     sources = (
         paths.filter("branch").groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "edges")).alias("at"))
@@ -242,7 +245,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "c1", "c2", "times")).alias("paths"))
     )
     edges = shared_table(
-        with_paths(sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
+        with_paths(source, sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
     repeated = edges.groupBy("e1", "e2").agg(F.sum("times").alias("n")).filter("n > 1").select("e1", "e2")
     places = edges.join(repeated, ["e1", "e2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
 
@@ -251,5 +254,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = shared_table(
         whole.unionByName(branching).groupBy(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"))
         .agg(F.collect_list(F.struct("start", "edges", "branch", "places")).alias("paths")))
-    return with_paths(found, "left").select("doc_id", "text", "paths", "text_key").mapInArrow(
-        _cut(k), "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    whole_rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), rows_and_text(docs, text_col, keep_row))
+    carried = whole_rows.columns[2]
+    joined = with_paths(whole_rows, found, "left").select("doc_id", carried, "paths", "text_key")
+    schema = StructType([
+        StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()),
+        StructField("kept_sha256", StringType()), StructField("kept_text", StringType()), *([joined.schema[carried]] if keep_row else []),
+    ])
+    return joined.mapInArrow(_cut(k, text_col, keep_row), schema)
