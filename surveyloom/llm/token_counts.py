@@ -43,7 +43,9 @@ class PieceCounter:
         words = [p[1:] for p in pieces if p.startswith(MARK) and len(p) > 1 and MARK not in p[1:]]
         alone = self.model.encode(words, num_threads=1)
         self.whole = frozenset(w for w, ids in zip(words, alone) if len(ids) == 1)
-        self.merged: dict[str, int] = {}
+        # A lone space at the end of a text is a word of nothing but the mark.
+        self.lone_mark = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.merged: dict[str, int] = {"": self.lone_mark}
 
     def words(self, text: str) -> list[str]:
         """Words of a text, each without one space before it."""
@@ -63,7 +65,8 @@ class PieceCounter:
         if unknown:
             if len(merged) > REMEMBERED:
                 merged.clear()
-                unknown = list(set(rest))
+                merged[""] = self.lone_mark
+                unknown = list({w for w in rest if w})
             merged.update(zip(unknown, map(len, self.model.encode(unknown, num_threads=1))))
         return len(words) - len(rest) + sum(map(merged.__getitem__, rest))
 
