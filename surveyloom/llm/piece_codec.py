@@ -153,7 +153,7 @@ class Pieces:
             for n in np.unique(length[length > 0]):
                 chosen = length == n
                 index[chosen] = lattice[n - 1][chosen, begin[chosen]]
-            ids = np.where(index >= 0, self.id[index], -1 - points[rows, np.maximum(begin, 0)].astype(np.int64))
+            ids = np.where(index >= 0, self.id[index], -2 - points[rows, np.maximum(begin, 0)].astype(np.int64))
             found.append(np.where(length > 0, ids, -1))
             at = begin
         if not found:
@@ -164,7 +164,7 @@ class Pieces:
         for ids, keep, unknown in zip(found, known, gaps):
             ids = ids[keep]
             if unknown:
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])])
+                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")])])
             out.append(ids.astype("<u2").tobytes())
         return out
 
@@ -295,35 +295,31 @@ def _product(table: pa.Table) -> pa.Table:
     return pa.table({"name": table.column("name").combine_chunks().slice(0, 1).cast(pa.string()), "block": table.column("block").combine_chunks().slice(0, 1).cast(pa.int32()), "matrix": pa.array([out.tobytes()], pa.binary())})
 
 
-def walk(matrices: np.ndarray, entry: np.ndarray, leave: int | None):
-    """Score vectors before each matrix, and the state after each on a best way that ends in ``leave``."""
-    vectors = [entry]
+def walk(matrices: np.ndarray, enter: int, leave: int | None) -> tuple[list[int], list[int]]:
+    """States before and after each matrix on a best way from ``enter`` to ``leave`` (or to the best end)."""
+    vectors = [np.where(np.arange(matrices.shape[1]) == enter, 0.0, _NONE)]
     for m in matrices:
         vectors.append((vectors[-1][:, None] + m).max(axis=0))
-    state = int(vectors[-1].argmax()) if leave is None else leave
-    after = []
+    states = [int(vectors[-1].argmax()) if leave is None else leave]
     for vector, m in zip(vectors[-2::-1], matrices[::-1]):
-        after.append(state)
-        state = int((vector + m[:, state]).argmax())
-    return vectors[:-1], after[::-1], state
+        states.append(int((vector + m[:, states[-1]]).argmax()))
+    states.reverse()
+    return states[:-1], states[1:]
 
 
 def _walk_blocks(table: pa.Table) -> pa.Table:
     table = table.sort_by("block")
     matrices = _matrices(table.column("matrix"))
-    entry = np.full(matrices.shape[1], _NONE)
-    entry[0] = 0
-    vectors, after, _ = walk(matrices, entry, None)
+    before, after = walk(matrices, 0, None)
     return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "block": table.column("block").combine_chunks().cast(pa.int32()),
-                     "entry": pa.array([v.tobytes() for v in vectors], pa.binary()), "leave": pa.array(after, pa.int32())})
+                     "enter": pa.array(before, pa.int32()), "leave": pa.array(after, pa.int32())})
 
 
 def _walk_chunks(table: pa.Table) -> pa.Table:
     table = table.sort_by("chunk")
-    entry = np.frombuffer(table.column("entry")[0].as_py(), dtype=np.float64)
-    _, after, first = walk(_matrices(table.column("matrix")), entry, table.column("leave")[0].as_py())
+    before, after = walk(_matrices(table.column("matrix")), table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
     return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "chunk": table.column("chunk").combine_chunks().cast(pa.int32()),
-                     "before": pa.array([first, *after[:-1]], pa.int32()), "after": pa.array(after, pa.int32())})
+                     "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32())})
 
 
 def _segment(model_path: str):
@@ -348,7 +344,7 @@ def _encode_giants(source: DataFrame, path: str, chunk_chars: int, block_chunks:
     chunks = shared_table(source.mapInArrow(_chunks(chunk_chars, reach), "name string, doc_id bigint, text_key bigint, chunk int, chars int, body string"))
     matrices = shared_table(chunks.mapInArrow(_transfer(path), "name string, chunk int, matrix binary").withColumn("block", F.floor(F.col("chunk") / block_chunks).cast("int")))
     blocks = matrices.groupBy("name", "block").applyInArrow(_product, "name string, block int, matrix binary")
-    cuts = blocks.groupBy("name").applyInArrow(_walk_blocks, "name string, block int, entry binary, leave int")
+    cuts = blocks.groupBy("name").applyInArrow(_walk_blocks, "name string, block int, enter int, leave int")
     states = matrices.join(cuts, ["name", "block"]).groupBy("name", "block").applyInArrow(_walk_chunks, "name string, chunk int, before int, after int")
     parts = chunks.join(states, ["name", "chunk"]).select("name", "doc_id", "text_key", "chunk", "chars", "body", "before", "after").mapInArrow(_segment(path), "name string, doc_id bigint, text_key bigint, chunk int, ids array<int>")
     return parts.groupBy("name").agg(
