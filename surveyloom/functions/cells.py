@@ -235,9 +235,16 @@ def survey_fiscal_year(survey_year: Column) -> Column:
 
 
 def parse_date(c: Column, *formats: str) -> Column:
-    """First format that parses; null when none does."""
+    """First format that parses; null when none does. Two-digit years from 69 on are of the last century."""
     formats = formats or ("yyyy-MM-dd", "MM/dd/yy", "dd MMM yyyy", "d MMM yyyy")
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+
+    def parsed(f: str) -> Column:
+        day = F.try_to_timestamp(c, F.lit(f)).cast("date")
+        if f.count("y") != 2:
+            return day
+        return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+    return F.coalesce(*[parsed(f) for f in formats])
 
 
 def year_in_text(*cols: Column) -> Column:

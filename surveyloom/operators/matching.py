@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions.similarity import cosine
+from surveyloom.operators.ordered import join_keys
 from surveyloom.session import cut_lineage
 
 BLOCK = 512
@@ -100,7 +99,7 @@ def normalise(df: DataFrame, arrays: list[str], by: list[str]) -> DataFrame:
     bounds = df.groupBy(*by).agg(
         *[F.min(F.array_min(c)).alias("_lo_" + c) for c in arrays], *[F.max(F.array_max(c)).alias("_hi_" + c) for c in arrays]
     )
-    out = df.join(bounds, by)
+    out = join_keys(df, bounds, by)
     for c in arrays:
         lo, spread = F.col("_lo_" + c), F.col("_hi_" + c) - F.col("_lo_" + c)
         out = out.withColumn(c, F.when(spread > 0, F.transform(c, lambda v: (v - lo) / spread)).otherwise(F.transform(c, lambda v: F.lit(0.0))))
@@ -158,7 +157,7 @@ def threshold(costs: DataFrame, method: str = "fixed", value: float = 1.0, z: fl
 
 
 # -- one-to-one matching -------------------------------------------------------------
-def match_one_to_one(candidates: DataFrame, by: list[str] = ("pair",), rounds_per_checkpoint: int = 3, max_rounds: int = 10_000) -> DataFrame:
+def match_one_to_one(candidates: DataFrame, by: list[str] = ("pair",), rounds_per_checkpoint: int = 3) -> DataFrame:
     """Pairs that are each other's cheapest among what is left, round after round.
 
     ``candidates``: ``*by, i, j, cost`` under the threshold. Dropping dearer pairs
@@ -169,8 +168,6 @@ def match_one_to_one(candidates: DataFrame, by: list[str] = ("pair",), rounds_pe
     by = list(by)
     left, chosen, k = cut_lineage(candidates.select(*by, "i", "j", "cost")), None, 0
     while not left.isEmpty():
-        if k >= max_rounds:
-            raise RuntimeError("matching did not finish")
         order = F.struct("cost", "i", "j")
         best_i = left.groupBy(*by, "i").agg(F.min(order).alias("b")).select(*by, "b.i", "b.j", "b.cost")
         best_j = left.groupBy(*by, "j").agg(F.min(order).alias("b")).select(*by, "b.i", "b.j")
@@ -185,69 +182,6 @@ def match_one_to_one(candidates: DataFrame, by: list[str] = ("pair",), rounds_pe
     return chosen if chosen is not None else candidates.select(*by, "i", "j", "cost").limit(0)
 
 
-def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Row/column pairs of the cheapest full matching, by shortest augmenting paths."""
-    flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for start in range(n):
-        dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
-        row, base, free = start, 0.0, -1
-        while free < 0:
-            step = base + c[row] - u[row] - v
-            nearer = ~done & (step < dist)
-            dist[nearer], back[nearer] = step[nearer], row
-            col = int(np.where(done, np.inf, dist).argmin())
-            base, done[col] = dist[col], True
-            if owner[col] < 0:
-                free = col
-            else:
-                row = owner[col]
-        reached = done & (owner >= 0)
-        u[owner[reached]] += base - dist[reached]
-        v[done] -= base - dist[done]
-        u[start] += base
-        while True:
-            row = back[free]
-            owner[free] = row
-            if row == start:
-                break
-            free = int(np.flatnonzero((owner == row) & (np.arange(m) != free))[0])
-    found = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
-    return [(j, i) for i, j in found] if flipped else found
-
-
-def match_cheapest(costs: DataFrame, limit: DataFrame, max_columns: int = 4_000) -> DataFrame:
-    """The one-to-one mapping with the lowest total cost, then cut at the limit.
-
-    Solved per table pair. A pair is one questionnaire against the next, and its
-    size is checked: beyond ``max_columns`` columns on a side use
-    :func:`match_one_to_one`, which stays distributed.
-    """
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(rows["i"].unique())
-        js = np.unique(np.concatenate(rows["js"].to_numpy()))
-        if max(len(ids), len(js)) > max_columns:
-            raise ValueError("table pair too wide for one task: use the mutual-best matching")
-        matrix = np.full((len(ids), len(js)), np.nan)
-        for i, at, cost in zip(rows["i"], rows["js"], rows["cost"]):
-            matrix[np.searchsorted(ids, i), np.searchsorted(js, at)] = cost
-        found = cheapest_assignment(matrix)
-        return pd.DataFrame({
-            "pair": rows["pair"].iloc[0],
-            "i": [int(ids[a]) for a, _ in found], "j": [int(js[b]) for _, b in found],
-            "cost": [float(matrix[a, b]) for a, b in found],
-        })
-
-    types = dict(costs.dtypes)
-    matched = costs.select("pair", "i", "js", "cost").groupBy("pair").applyInPandas(
-        solve, f"pair {types['pair']}, i {types['i']}, j {types['i']}, cost double"
-    )
-    return matched.join(limit, "pair").filter(F.col("cost") <= F.col("threshold")).drop("threshold")
-
-
 def with_unmatched(matches: DataFrame, columns: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pair, column_a, column_b, cost`` with the unmatched columns of both sides as half-empty rows."""
     side = lambda t, p, c: pairs.select("pair", F.col(t).alias("table")).join(columns.select("table", F.col("position").alias(p), F.col("column").alias(c)), "table").drop("table")
@@ -256,20 +190,11 @@ def with_unmatched(matches: DataFrame, columns: DataFrame, pairs: DataFrame) ->
     return out.select("pair", "column_a", "column_b", "cost")
 
 
-def match_tables(
-    columns: DataFrame, pairs: DataFrame, weights: dict[str, float], method: str = "fixed", value: float = 1.0, z: float = 1.0,
-    solver: str = "mutual",
-) -> DataFrame:
-    """Mapping of the columns of successive tables under the cost limit.
-
-    ``solver``: ``mutual`` (mutual best, any size) or ``cheapest`` (lowest total
-    cost per table pair).
-    """
+def match_tables(columns: DataFrame, pairs: DataFrame, weights: dict[str, float], method: str = "fixed", value: float = 1.0, z: float = 1.0) -> DataFrame:
+    """Mutual-best mapping of the columns of successive tables under the cost limit."""
     columns = cut_lineage(columns)
     costs = cut_lineage(cost_arrays(columns, pairs, weights))
     limit = threshold(costs, method, value, z)
-    if solver == "cheapest":
-        return with_unmatched(match_cheapest(costs, limit), columns, pairs)
     under = cost_pairs(costs).join(limit, "pair").filter(F.col("cost") <= F.col("threshold")).select("pair", "i", "j", "cost")
     return with_unmatched(match_one_to_one(under), columns, pairs)
 

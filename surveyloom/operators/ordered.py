@@ -7,6 +7,7 @@ and carry only one small row per chunk across.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
@@ -17,11 +18,20 @@ from surveyloom.session import cut_lineage
 ACCURACY = 100_000
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; ``right`` has one row per key."""
+    named = [f"_key_{i}" for i in range(len(keys))]
+    renamed = right.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[n]) for k, n in zip(keys, named)])
+    return left.join(renamed, same, how).drop(*named)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str = "pos") -> DataFrame:
     """Position 0, 1, 2, ... of each row inside its key.
 
     ``chunk`` must never decrease along ``order`` (row number divided by a block
     size, a date cut to the month, ...), so that a chunk is a consecutive block.
+    A null key is a key; rows with a null chunk come first.
     """
     base = df.withColumn("_chunk", chunk)
     sizes = base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
@@ -29,7 +39,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        base.join(offsets, [*keys, "_chunk"])
+        join_keys(base, offsets, [*keys, "_chunk"])
         .withColumn(out, (F.col("_before") + F.row_number().over(inside) - 1).cast("int"))
         .drop("_chunk", "_before")
     )
@@ -73,7 +83,7 @@ def running_totals(counts: DataFrame, value: str, totals: list[str], cuts: list[
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float | str], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Exact order statistics per group: one row per group, one column per entry of ``probs``.
+    """Exact order statistics per group (a null group is one): one row per group, one column per entry of ``probs``.
 
     A number asks for the nearest rank of ``q * (n - 1)``; ``"median"`` for the
     mean of the middle two. A mergeable sketch brackets every wanted rank; a
@@ -88,7 +98,7 @@ def exact_quantiles(
     bounded = F.percentile_approx("_v", bounds, accuracy)
     if by:
         sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), bounded.alias("_b"))
-        marked = rows.join(sketch, by)
+        marked = join_keys(rows, sketch, by)
     else:
         sketch = rows.agg(F.struct(F.count(F.lit(1)).alias("_n"), bounded.alias("_b")).alias("_s"))
         marked = rows.withColumn("_s", sketch.scalar()).select("_v", "_s._n", "_s._b")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from surveyloom.operators.ordered import join_keys
+
 PUNCTUATION = r"\p{P}"
 
 
@@ -35,14 +37,14 @@ def column_profile(long: DataFrame, year: str = "year") -> DataFrame:
     marks = values.select("column", F.explode("_marks").alias("mark")).distinct()
     punctuation = marks.groupBy("column").agg(F.sort_array(F.collect_list("mark")).alias("punctuation"))
     return (
-        basics.join(per_year, "column").join(punctuation, "column", "left")
+        join_keys(join_keys(basics, per_year, ["column"]), punctuation, ["column"], "left")
         .withColumn("punctuation", F.coalesce("punctuation", F.array().cast("array<string>")))
         .withColumn("share_unique", F.col("n_unique") / F.col("n_values"))
     )
 
 
-def value_samples(long: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
-    """Most and least frequent ``n`` values of each column as ``count|value`` text.
+def value_samples(long: DataFrame, n: int = 3, width: int | None = None) -> DataFrame:
+    """Most and least frequent ``n`` values of each column as ``count|value`` text, cut to ``width`` if given.
 
     Counts are cut to ``n`` per (column, hash class) first and then per column, so
     no column is sorted whole.
@@ -61,9 +63,8 @@ def value_samples(long: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
 
     top = ends([F.desc("n"), F.asc("value")], "top")
     bottom = ends([F.asc("n"), F.desc("value")], "bottom")
-    return top.unionByName(bottom).select(
-        "column", "end", "rank", F.substring(F.concat_ws("|", F.col("n").cast("string"), "value"), 1, width).alias("sample")
-    )
+    sample = F.concat_ws("|", F.col("n").cast("string"), "value")
+    return top.unionByName(bottom).select("column", "end", "rank", (sample if width is None else F.substring(sample, 1, width)).alias("sample"))
 
 
 def free_text_columns(profile: DataFrame) -> DataFrame:

@@ -55,16 +55,13 @@ def join_workbook(sheets: dict[str, DataFrame], key: str, row_no: str) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
-def to_lists(long: DataFrame, keys: list[str], columns: list[str], max_cell: int = 100_000) -> DataFrame:
+def to_lists(long: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Wide sink: one row per key, one ordered ``ARRAY<STRING>`` per listed column.
 
-    A cell must fit in a row, so a longer list is an error rather than cut; the
-    long form has no such limit.
+    A list is one cell of one row; where a key may hold very many rows, keep the long
+    form, which has no such cell.
     """
-    checked = F.when(F.col("pos") < max_cell, F.col("value")).otherwise(
-        F.raise_error(F.lit(f"a cell holds more than {max_cell} entries: keep the long form"))
-    )
-    entry = F.struct("pos", checked.alias("value"))
+    entry = F.struct("pos", "value")
     aggs = []
     for c in columns:
         cell = F.sort_array(F.collect_list(F.when(F.col("column") == c, entry)))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions import fixed_values as V
+from surveyloom.operators.ordered import join_keys
 
 
 # -- rhetoric and action -----------------------------------------------------------
 def first_labels(labels: DataFrame, keys: list[str], question: str = "column") -> DataFrame:
-    """First non-null label per (key, question, model), by position."""
-    return labels.filter(F.col("label").isNotNull()).groupBy(*keys, question, "model").agg(F.min_by("label", "pos").alias("label"))
+    """First non-null label per (key, question, model) by position, null if there is none."""
+    first = F.min_by("label", F.when(F.col("label").isNotNull(), F.struct(F.col("pos").isNull().alias("no_pos"), "pos")))
+    return labels.groupBy(*keys, question, "model").agg(first.alias("label"))
 
 
 def label_score(labels: DataFrame, keys: list[str], points: tuple, question: str = "column", vague: bool = False, out: str = "score") -> DataFrame:
@@ -24,7 +26,7 @@ def label_score(labels: DataFrame, keys: list[str], points: tuple, question: str
     value = F.lit(0.0)
     for model, label, p in points:
         value = value + F.when((F.col("model") == model) & (F.col("label") == label), p).otherwise(0.0)
-    counted = F.col("model").isin(*models).cast("int")
+    counted = (F.col("model").isin(*models) & F.col("label").isNotNull()).cast("int")
     if not vague:
         return labels.groupBy(*keys).agg(F.sum(value).alias("_p"), F.sum(counted).alias("_n")).select(
             *keys, F.when(F.col("_n") > 0, F.col("_p") / F.col("_n")).otherwise(0.0).alias(out)
@@ -42,10 +44,10 @@ def label_score(labels: DataFrame, keys: list[str], points: tuple, question: str
 
 
 def gap_scores(labels: DataFrame, keys: list[str], rhetoric_questions: Column, action_questions: Column, question: str = "column") -> DataFrame:
-    """Rhetoric, action and their gap per key."""
+    """Rhetoric, action and their gap for every key of ``labels``; 0 where nothing was labelled (null label)."""
     rhetoric = label_score(labels.filter(rhetoric_questions), keys, V.RHETORIC_POINTS, question, True, "rhetoric")
     action = label_score(labels.filter(action_questions), keys, V.ACTION_POINTS, question, False, "action")
-    both = rhetoric.join(action, keys, "full")
+    both = join_keys(join_keys(labels.select(*keys).distinct(), rhetoric, keys, "left"), action, keys, "left")
     filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rhetoric", "action")]
     return both.select(*keys, *filled).withColumn("gap", F.col("rhetoric") - F.col("action"))
 
@@ -143,8 +145,9 @@ def transitions(states: DataFrame, entity: str, period: str, state: str) -> Data
     w = Window.partitionBy(entity).orderBy(period)
     moves = states.withColumn("to_state", F.lead(state).over(w)).filter(F.col("to_state").isNotNull())
     counts = moves.groupBy(F.col(state).alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("from_state").agg(F.sum("n").alias("_total"))
-    return counts.join(total, "from_state").select("from_state", "to_state", "n", (F.col("n") / F.col("_total")).alias("share"))
+    # One row per pair of states, so the window is over a few rows; a null state is a state.
+    total = F.sum("n").over(Window.partitionBy("from_state"))
+    return counts.select("from_state", "to_state", "n", (F.col("n") / total).alias("share"))
 
 
 def paths(states: DataFrame, entity: str, period: str, state: str, min_periods: int = 2, sep: str = " -> ") -> DataFrame:

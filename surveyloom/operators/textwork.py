@@ -103,15 +103,13 @@ def score_columns(results: DataFrame, vocabulary: dict[str, tuple[str, ...]]) ->
 
 
 # -- languages ---------------------------------------------------------------------
-DETECT_CHARACTERS = 100
-
-
-def trigram_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, n, gram``: distinct character triples of the first 100 characters, line breaks as blanks.
+def trigram_rows(df: DataFrame, key: str, text: str, characters: int | None = None) -> DataFrame:
+    """``key, n, gram``: distinct character triples, line breaks as blanks.
 
+    Of the whole text, or of its first ``characters`` where a caller wants only those.
     ``n`` is the number of triples of the text; a text without any keeps a row.
     """
-    head = F.lower(F.replace(F.substring(text, 1, DETECT_CHARACTERS), F.lit("\n"), F.lit(" ")))
+    head = F.lower(F.replace(F.col(text) if characters is None else F.substring(text, 1, characters), F.lit("\n"), F.lit(" ")))
     heads = df.select(key, head.alias("_head"))
     starts = F.sequence(F.lit(1), F.length("_head") - 2)
     triples = F.when(F.length("_head") >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring("_head", i, F.lit(3)))))

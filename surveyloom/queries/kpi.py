@@ -151,8 +151,8 @@ WITH cells AS (
 counts AS (SELECT col, value, count(*) AS n FROM cells GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS t,
                   row_number() OVER (PARTITION BY col ORDER BY n, value DESC) AS b FROM counts)
-SELECT col AS "column", 'top' AS "end", t AS rank, substr(n || '|' || value, 1, 30) AS sample FROM ranked WHERE t <= 3
-UNION ALL SELECT col, 'bottom', b, substr(n || '|' || value, 1, 30) FROM ranked WHERE b <= 3""")
+SELECT col AS "column", 'top' AS "end", t AS rank, n || '|' || value AS sample FROM ranked WHERE t <= 3
+UNION ALL SELECT col, 'bottom', b, n || '|' || value FROM ranked WHERE b <= 3""")
 def value_samples(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part").select("p_name", "p_brand", "p_type")
     orders = table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority")

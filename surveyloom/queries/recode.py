@@ -138,8 +138,6 @@ def fiscal_year(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", F.date_format(day, "MM/dd/yy")).when(F.col("o_orderstatus") == "O", F.date_format(day, "dd MMM yyyy"))
         .otherwise(day.cast("string"))
     )
-    # Two-digit years read as 20yy, so the short format is used for 2000 on only.
-    text = F.when((F.col("o_orderstatus") == "F") & (F.year(day) < 2000), day.cast("string")).otherwise(text)
     parsed = cells.parse_date(F.col("text"), "yyyy-MM-dd", "MM/dd/yy", "dd MMM yyyy")
     rows = table(spark, folder, "orders").select("o_orderkey", day.alias("day"), text.alias("text"))
     return rows.select(

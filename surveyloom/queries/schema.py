@@ -107,11 +107,6 @@ def match_columns(spark: SparkSession, folder: str) -> DataFrame:
     return matching.match_tables(described_columns(spark, folder), table_pairs(spark), WEIGHTS, "fixed", 0.6)
 
 
-@query("match_columns_cheapest")
-def match_columns_cheapest(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.match_tables(described_columns(spark, folder), table_pairs(spark), WEIGHTS, "spread", z=1.0, solver="cheapest")
-
-
 @query("sweep")
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
     truth = literal_frame(spark, [

@@ -12,19 +12,20 @@ from surveyloom.session import cut_lineage
 # -- labels out of events -------------------------------------------------------------
 LABEL_SQL = """
 WITH raw AS (
-  SELECT user_id, ts::DATE AS day, hour(ts) // 6 AS q, event_id, event_type,
+  SELECT CASE WHEN user_id % 17 <> 5 THEN user_id END AS user_id, ts::DATE AS day, hour(ts) // 6 AS q, event_id, event_type,
     CASE event_type WHEN 'click' THEN 'environmental_claims' WHEN 'view' THEN 'climate_sentiment' WHEN 'signup' THEN 'climate_commitment'
                     WHEN 'error' THEN 'climate_specificity' ELSE 'netzero_reduction' END AS model,
-    CASE event_type WHEN 'click' THEN CASE WHEN value > 30 THEN 'yes' ELSE 'no' END
+    CASE WHEN value < 10 THEN NULL ELSE CASE event_type WHEN 'click' THEN CASE WHEN value > 30 THEN 'yes' ELSE 'no' END
                     WHEN 'view' THEN CASE WHEN value > 60 THEN 'opportunity' WHEN value > 30 THEN 'risk' ELSE 'neutral' END
                     WHEN 'signup' THEN CASE WHEN value > 20 THEN 'yes' ELSE 'no' END
                     WHEN 'error' THEN CASE WHEN value > 40 THEN 'spec' ELSE 'non' END
-                    ELSE CASE WHEN value > 60 THEN 'net-zero' WHEN value > 20 THEN 'reduction' ELSE 'none' END END AS label
+                    ELSE CASE WHEN value > 60 THEN 'net-zero' WHEN value > 20 THEN 'reduction' ELSE 'none' END END END AS label
   FROM events),
-labels AS (SELECT user_id, day, q, model, min_by(label, event_id) AS label FROM raw GROUP BY 1, 2, 3, 4),
+labels AS (SELECT user_id, day, q, model, min_by(label, event_id) FILTER (label IS NOT NULL) AS label FROM raw GROUP BY 1, 2, 3, 4),
+keys AS (SELECT DISTINCT user_id, day FROM labels),
 rq AS (SELECT user_id, day, q,
     sum(CASE WHEN model = 'environmental_claims' AND label = 'yes' OR model = 'climate_sentiment' AND label = 'opportunity' THEN 1.0 ELSE 0.0 END) AS p,
-    sum(CASE WHEN model IN ('environmental_claims', 'climate_sentiment') THEN 1 ELSE 0 END) AS n,
+    sum(CASE WHEN model IN ('environmental_claims', 'climate_sentiment') AND label IS NOT NULL THEN 1 ELSE 0 END) AS n,
     max(label) FILTER (model = 'climate_commitment') AS c, max(label) FILTER (model = 'climate_specificity') AS s
   FROM labels WHERE q < 3 GROUP BY 1, 2, 3),
 r AS (SELECT user_id, day, sum(p + CASE WHEN c = 'yes' AND s = 'non' THEN 1 ELSE 0 END) AS p,
@@ -32,10 +33,11 @@ r AS (SELECT user_id, day, sum(p + CASE WHEN c = 'yes' AND s = 'non' THEN 1 ELSE
 a AS (SELECT user_id, day,
     sum(CASE WHEN model = 'netzero_reduction' AND label = 'net-zero' THEN 2.0 WHEN model = 'netzero_reduction' AND label = 'reduction' THEN 1.0
              WHEN model = 'climate_specificity' AND label = 'spec' THEN 1.0 ELSE 0.0 END) AS p,
-    sum(CASE WHEN model IN ('netzero_reduction', 'climate_specificity') THEN 1 ELSE 0 END) AS n
+    sum(CASE WHEN model IN ('netzero_reduction', 'climate_specificity') AND label IS NOT NULL THEN 1 ELSE 0 END) AS n
   FROM labels WHERE q > 0 GROUP BY 1, 2),
-g AS (SELECT user_id, day, coalesce(CASE WHEN r.n > 0 THEN r.p / r.n ELSE 0 END, 0) AS rhetoric, coalesce(CASE WHEN a.n > 0 THEN a.p / a.n ELSE 0 END, 0) AS action
-      FROM r FULL JOIN a USING (user_id, day)),
+g AS (SELECT k.user_id, k.day, coalesce(CASE WHEN r.n > 0 THEN r.p / r.n ELSE 0 END, 0) AS rhetoric, coalesce(CASE WHEN a.n > 0 THEN a.p / a.n ELSE 0 END, 0) AS action
+      FROM keys k LEFT JOIN r ON k.user_id IS NOT DISTINCT FROM r.user_id AND k.day = r.day
+      LEFT JOIN a ON k.user_id IS NOT DISTINCT FROM a.user_id AND k.day = a.day),
 gaps AS (SELECT *, rhetoric - action AS gap, 'sector ' || (user_id % 5) AS sector FROM g)
 """
 
@@ -53,8 +55,10 @@ def event_labels(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "error", F.when(v > 40, "spec").otherwise("non"))
         .otherwise(F.when(v > 60, "net-zero").when(v > 20, "reduction").otherwise("none"))
     )
+    # Small values have no label and some rows no user, so that both kinds of gaps are met.
     rows = table(spark, folder, "events").select(
-        "user_id", F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 6).alias("column"), F.col("event_id").alias("pos"), model.alias("model"), label.alias("label")
+        F.when(F.col("user_id") % 17 != 5, F.col("user_id")).alias("user_id"), F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 6).alias("column"),
+        F.col("event_id").alias("pos"), model.alias("model"), F.when(v >= 10, label).alias("label")
     )
     return scores.first_labels(rows, ["user_id", "day"])
 

@@ -72,7 +72,7 @@ def unknown_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DETECT_SQL = """
-WITH d AS (SELECT doc_id, text, lang, lower(substr(replace(text, chr(10), ' '), 1, 100)) AS head FROM documents),
+WITH d AS (SELECT doc_id, text, lang, lower(replace(text, chr(10), ' ')) AS head FROM documents),
 g AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(range(1, greatest(length(head) - 1, 1)), lambda i: substr(head, i, 3)))) AS gram FROM d WHERE length(head) >= 3),
 c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
 t AS (SELECT lang, sum(n) AS total, count(*) AS kinds FROM c GROUP BY 1),

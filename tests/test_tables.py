@@ -52,8 +52,16 @@ def test_join_workbook_keeps_order_and_nulls(frame):
     long = responses.join_workbook({"s 1": one, "s2": two, "no key": frame("z string", [("q",)])}, "k", "row_no")
     wide = responses.to_lists(long, ["key"], ["q1", "q2"])
     assert tuples(wide) == [("1", ["a"], ["y"]), ("2", ["b"], None), ("3", None, ["x", None, "z"])]
-    with pytest.raises(Exception, match="long form"):
-        responses.to_lists(long, ["key"], ["q2"], max_cell=2).collect()
+
+
+def test_null_keys_and_row_numbers_stay(frame):
+    sheet = frame("k string, row_no long, q string", [(None, 0, "a"), ("1", None, "b"), (None, 1, "c")])
+    long = responses.sheet_to_long(sheet, "s", "k", "row_no")
+    assert tuples(long.select("key", "pos", "value")) == [("1", 0, "b"), (None, 0, "a"), (None, 1, "c")]
+    numbered = number_rows(frame("k string, id long", [(None, 5), (None, 3), ("a", 1), ("a", None)]), ["k"], ["id"], F.floor(F.col("id") / 2))
+    assert tuples(numbered) == [("a", 1, 1), ("a", None, 0), (None, 3, 0), (None, 5, 1)]
+    quantiles = exact_quantiles(frame("g string, v double", [(None, 1.0), (None, 3.0), ("a", 5.0)]), ["g"], "v", {"m": "median"})
+    assert tuples(quantiles) == [("a", 5.0), (None, 2.0)]
 
 
 def test_filter_sheets(frame):

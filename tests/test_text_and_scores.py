@@ -180,3 +180,20 @@ def test_forest(frame):
     metrics, importances, adopted = models.forest_adoption(df, "year", "target", ["f"], ["sector"], 2019, 2015, 2022, 2020, trees=5)
     assert metrics.first().accuracy == 1.0 and importances.count() >= 3
     assert {r.year for r in adopted.collect()} == set(range(2015, 2023)) and adopted.filter("year = 2022").first().adoption_pct == 50.0
+
+
+def test_unlabelled_and_unnamed_keys_keep_a_score(frame):
+    rows = frame("k string, column int, pos long, model string, label string", [
+        ("a", 0, 1, "environmental_claims", "yes"), ("b", 0, 2, "environmental_claims", None), (None, 1, 3, "netzero_reduction", "reduction"),
+    ])
+    got = scores.gap_scores(scores.first_labels(rows, ["k"]), ["k"], F.col("column") == 0, F.col("column") == 1)
+    assert tuples(got) == [("a", 1.0, 0.0, 1.0), ("b", 0.0, 0.0, 0.0), (None, 0.0, 1.0, -1.0)]
+    moves = scores.transitions(frame("e string, y int, s string", [("x", 1, None), ("x", 2, "lo"), ("y", 1, "lo"), ("y", 2, "hi")]), "e", "y", "s")
+    assert tuples(moves) == [("lo", "hi", 1, 1.0), (None, "lo", 1, 1.0)]
+
+
+def test_two_digit_years(frame):
+    from surveyloom.functions import cells
+
+    days = frame("t string", [("12/31/98",), ("01/02/69",), ("03/04/68",), ("1999-05-06",)])
+    assert [str(r[0]) for r in days.select(cells.parse_date(F.col("t"))).collect()] == ["1998-12-31", "1969-01-02", "2068-03-04", "1999-05-06"]
