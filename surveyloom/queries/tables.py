@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.functions import columns as C
 from surveyloom.operators import condense, eras, responses, rules
 from surveyloom.queries.registry import number, query, table
-from surveyloom.session import literal_frame
+from surveyloom.session import checkpoint_dir, literal_frame
+from surveyloom.sources import files
 
 
 @query("workbook_join", """
@@ -280,3 +283,18 @@ SELECT p_partkey, CASE WHEN k = 0 THEN p_name ELSE p_name || '_' || k END AS uni
 def numbered_names(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
     return C.make_unique(part, "p_name", ["p_brand"], "p_partkey", "unique_name").select("p_partkey", "unique_name")
+
+
+@query("mixed_layouts", """
+SELECT 'csv' AS kind, c_custkey::VARCHAR AS c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_name END AS c_name, CASE WHEN c_nationkey % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer
+UNION ALL SELECT 'parquet', c_custkey::VARCHAR, CASE WHEN c_nationkey % 2 = 0 THEN c_name END, CASE WHEN c_nationkey % 2 = 1 THEN c_mktsegment END FROM customer""")
+def mixed_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two layouts of one table, written to the shared folder and read back by column name."""
+    customer, base = table(spark, folder, "customer"), f"{checkpoint_dir(spark)}/layouts-{uuid.uuid4().hex}"
+    layouts = [customer.filter("c_nationkey % 2 = 0").select("c_name", "c_custkey"), customer.filter("c_nationkey % 2 = 1").select("c_custkey", "c_mktsegment")]
+    for i, part in enumerate(layouts):
+        files.write_csv(part, f"{base}/csv/{i}")
+        files.write_parquet(part, f"{base}/parquet/{i}")
+    read = {"csv": files.read_csv_by_name(spark, f"{base}/csv/*"), "parquet": files.read_parquet(spark, f"{base}/parquet/*")}
+    parts = [df.select(F.lit(kind).alias("kind"), F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_mktsegment") for kind, df in read.items()]
+    return parts[0].unionByName(parts[1])

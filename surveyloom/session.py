@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,8 @@ def build_session(app_name: str = "surveyloom", master: str | None = None, shuff
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is used as it is. Only a local session without the
-    setting (a test) gets a temporary folder; a cluster without it is refused,
+    ``spark.checkpoint.dir`` is used as it is. Only a session whose executors are this
+    process (a test) gets a temporary folder where it is unset; any other is refused,
     since executors could not share a folder of one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -38,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="surveyloom-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from surveyloom.functions import cells, fixed_values as V
@@ -18,50 +21,90 @@ CONFIG = T.StructType([
 ])
 
 
+def decoded(c: Column) -> Column:
+    """A percent-encoded name as it is; a plus sign stands for itself."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def file_name() -> Column:
-    return F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    return decoded(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
 
+def _csv(spark: SparkSession, multi_line: bool):
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; text columns unless a schema is given (types are never guessed by a scan)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with header; text columns unless a schema is given (types are never guessed by a scan).
+
+    All files have the same header; :func:`read_csv_by_name` takes differing ones.
+    ``multi_line``: cells may hold line breaks, for which a file is read by one task.
+    """
+    reader = _csv(spark, multi_line)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """Files by header line. Only the first block of each file is read; names reach the driver."""
+    start = F.col("_metadata.file_block_start") == 0
+    name = decoded(F.col("_metadata.file_path"))
+    lines = spark.read.text(path).filter(start).select(name.alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    listed = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r.files for r in listed.orderBy("header").collect()]
+
+
+def read_csv_by_name(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, each: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """CSV files whose headers may differ, stacked by column name; a file lacks what its header lacks.
+
+    One scan per distinct header. ``each`` is applied to every layout before the rows are
+    stacked, where a rule depends on the place of a column.
+    """
+    parts = [each(_csv(spark, multi_line).csv(files)) for files in csv_layouts(spark, path)]
+    if not parts:
+        raise ValueError(f"no CSV file in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.parquet(path)
+    """Parquet files stacked by column name; a file may lack columns that others have."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def read_sheets(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False) -> DataFrame:
+    """Sheet tables laid out as ``.../<label>/<year>/<sheet no>_<sheet>.<ext>``, tagged by their path, stacked by column name."""
+    part = lambda i: F.regexp_extract(F.input_file_name(), r"([^/]+)/(\d{4})/(\d+)_([^/]+)\.[^./]+$", i)
+
+    def tagged(df: DataFrame) -> DataFrame:
+        return df.select(
+            part(2).cast("int").alias("year"), part(1).alias("label"), part(3).cast("int").alias("sheet_no"), decoded(part(4)).alias("sheet"), "*"
+        )
 
+    return read_csv_by_name(spark, path, multi_line, tagged) if fmt == "csv" else tagged(read_parquet(spark, path))
 
-def read_sheets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Sheet tables laid out as ``.../<label>/<year>/<sheet no>_<sheet>.<ext>``, tagged by their path."""
-    df = read_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
-    source = F.input_file_name()
-    part = lambda i: F.regexp_extract(source, r"([^/]+)/(\d{4})/(\d+)_([^/]+)\.[^./]+$", i)
-    sheet = F.url_decode(part(4))
-    return df.select(
-        part(2).cast("int").alias("year"), part(1).alias("label"), part(3).cast("int").alias("sheet_no"), sheet.alias("sheet"), "*"
-    )
 
+def read_survey_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """All columns as text, first column of each file dropped, names in lower case, year and file name from the path; stacked by name."""
+    def one_layout(df: DataFrame) -> DataFrame:
+        name = file_name()
+        year = F.regexp_extract(name, r"(\d{4})", 1).cast("int")
+        return df.select(*[F.col(f"`{c}`").cast("string").alias(c.lower()) for c in df.columns[1:]], year.alias("year"), name.alias("filename"))
 
-def read_survey_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text, first column dropped, names in lower case, year and file name from the path."""
-    df = read_csv(spark, path)
-    kept = df.columns[1:]
-    name = F.url_decode(file_name())
-    year = F.regexp_extract(name, r"(\d{4})", 1).cast("int")
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c.lower()) for c in kept], year.alias("year"), name.alias("filename"))
+    return read_csv_by_name(spark, path, multi_line, one_layout)
 
 
-def read_with_nulls(spark: SparkSession, path: str | list[str], tokens: tuple[str, ...] = V.NULL_TOKENS) -> DataFrame:
-    """CSV in which the given cell texts mean null."""
-    df = read_csv(spark, path)
+def read_with_nulls(spark: SparkSession, path: str | list[str], tokens: tuple[str, ...] = V.NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """CSV in which the given cell texts mean null; stacked by name."""
+    df = read_csv_by_name(spark, path, multi_line)
     return df.select(*[cells.null_if_in(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns])
 
 
 def select_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     """Paths below a folder whose name matches the pattern, case ignored (a listing, no content)."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
+    name = decoded(F.regexp_extract("path", r"([^/]+)$", 1))
     return [r.path for r in listing.filter(name.rlike("(?i)" + pattern)).collect()]
 
 

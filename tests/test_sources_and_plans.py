@@ -20,10 +20,14 @@ def test_csv_readers(spark, tmp_path):
     (folder / "Supply 2016_sheet2_C6.csv").write_text('"",Account No,Text\n1,9,Question not applicable\n')
     paths = files.select_files(spark, str(folder), "2015.*c4")
     assert len(paths) == 1 and "2015" in paths[0]
-    got = files.read_survey_csv(spark, str(folder / "Investor 2015_sheet1_C4.csv"))
+    got = files.read_survey_csv(spark, str(folder / "Investor 2015_sheet1_C4.csv"), multi_line=True)
     assert got.columns == ["account no", "text", "year", "filename"]
     assert ("007", 'a, "b"\nline', 2015, "Investor 2015_sheet1_C4.csv") in tuples(got)
-    assert files.read_with_nulls(spark, str(folder)).filter("Text is null").count() == 2
+    assert files.read_with_nulls(spark, str(folder), multi_line=True).filter("Text is null").count() == 2
+    (folder / "Other+ 2017_x.csv").write_text('"",Text,City\n1,NA,Rome\n')
+    stacked = files.read_survey_csv(spark, str(folder), multi_line=True)
+    assert set(stacked.columns) == {"account no", "text", "city", "year", "filename"} and stacked.count() == 4
+    assert tuples(stacked.filter("year = 2017").select("account no", "text", "city", "filename")) == [(None, "NA", "Rome", "Other+ 2017_x.csv")]
 
 
 def test_sheets_from_paths(spark, tmp_path):
@@ -33,6 +37,14 @@ def test_sheets_from_paths(spark, tmp_path):
         (p / f"{sheet}.csv").write_text("key,q\n1,x\n")
     got = files.read_sheets(spark, str(tmp_path / "raw" / "*" / "*" / "*.csv"), "csv")
     assert tuples(got) == [(2015, "investor", 3, "C4 Targets", "1", "x"), (2016, "supply_chain", 0, "Summary", "1", "x")]
+    (tmp_path / "raw" / "investor" / "2015" / "4_Other.csv").write_text("extra,key\nz,2\n")
+    got = files.read_sheets(spark, str(tmp_path / "raw" / "*" / "*" / "*.csv"), "csv").select("sheet", "key", "q", "extra")
+    assert tuples(got) == [("C4 Targets", "1", "x", None), ("Other", "2", None, "z"), ("Summary", "1", "x", None)]
+    for number, columns in ((1, "key string, a long"), (2, "b string, key string")):
+        rows = [("k", 1)] if number == 1 else [("y", "m")]
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "pq" / "lab" / "2015" / f"{number}_s.parquet"))
+    both = files.read_parquet(spark, str(tmp_path / "pq" / "lab" / "2015" / "*"))
+    assert tuples(both.select("key", "a", "b")) == [("k", 1, None), ("m", None, "y")]
 
 
 def test_config_rates_and_writers(spark, frame, tmp_path):
