@@ -15,8 +15,8 @@ from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
 from surveyloom.llm.substring_dedup import substring_dedup
 
-#: A document stays if one language has at least this share of its letters.
-LEAST_LANGUAGE_SHARE = 0.5
+#: A document stays if one language has at least this share of its letters; mixed documents are no fault.
+LEAST_LANGUAGE_SHARE = 0.25
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
