@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions import fixed_values as V
@@ -202,19 +205,57 @@ def band_edges(df: DataFrame, year: str, band: str, value: str) -> DataFrame:
 
 
 # -- correlation -------------------------------------------------------------------
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and pair of columns, over rows that have both: count, means, squares and product about the means."""
+    shift = sums = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        there = ~np.isnan(x)
+        if shift is None:
+            # Values are taken from about their middle, which keeps the sums exact enough.
+            n = there.sum(axis=0)
+            shift = np.where(there, x, 0).sum(axis=0) / np.maximum(n, 1)
+            sums = np.zeros((4, x.shape[1], x.shape[1]))
+        m = there.astype(float)
+        v = np.where(there, x - shift, 0.0)
+        sums += np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+    if sums is None:
+        return
+    i, j = np.triu_indices(len(shift), 1)
+    n, sx, sy = sums[0][i, j], sums[1][i, j], sums[1][j, i]
+    some = n > 0
+    i, j, n, sx, sy = i[some], j[some], n[some], sx[some], sy[some]
+    columns = {
+        "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n, "mx": shift[i] + sx / n, "my": shift[j] + sy / n,
+        "xx": sums[2][i, j] - sx * sx / n, "yy": sums[2][j, i] - sy * sy / n, "xy": sums[3][i, j] - sx * sy / n,
+    }
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of the listed columns: ``var_a, var_b, r, n``; one pass."""
-    pairs = list(combinations(range(len(columns)), 2))
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    """Pearson correlation of every pair of the listed columns: ``var_a, var_b, r, n``.
+
+    One pass; a task leaves one row of moments per pair, however many rows it read.
+    NaN counts as missing, a constant column has a null correlation, and pairs without a
+    row that has both columns are left out.
+    """
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(
+        _pair_moments, "i int, j int, n double, mx double, my double, xx double, yy double, xy double")
+    total = lambda c: F.sum(c)
+    sums = parts.groupBy("i", "j").agg(
+        total("n").alias("n"), total(F.col("n") * F.col("mx")).alias("sx"), total(F.col("n") * F.col("my")).alias("sy"),
+        total(F.col("xx") + F.col("n") * F.col("mx") * F.col("mx")).alias("xx"), total(F.col("yy") + F.col("n") * F.col("my") * F.col("my")).alias("yy"),
+        total(F.col("xy") + F.col("n") * F.col("mx") * F.col("my")).alias("xy"),
+    )
+    about = lambda c, a, b: F.col(c) - F.col(a) * F.col(b) / F.col("n")
+    # What is left of a constant column by rounding is no spread.
+    varied = lambda c, a: F.when(about(c, a, a) > 1e-12 * F.col(c), about(c, a, a))
+    spread = F.sqrt(varied("xx", "sx") * varied("yy", "sy"))
     names = F.array(*[F.lit(c) for c in columns])
-    # Pairs are laid out per row and met again by the combining aggregation, which
-    # keeps the generated code small however many columns there are.
-    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), F.explode(listed).alias("p")).select(
-        "p.i", "p.j", F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y")
+    return sums.select(
+        F.get(names, F.col("i")).alias("var_a"), F.get(names, F.col("j")).alias("var_b"),
+        F.when(spread > 0, F.greatest(F.least(about("xy", "sx", "sy") / spread, F.lit(1.0)), F.lit(-1.0))).alias("r"), F.col("n").cast("long").alias("n"),
     )
-    both = (F.col("x").isNotNull() & F.col("y").isNotNull()).cast("long")
-    out = rows.groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.sum(both).alias("n"))
-    return out.select(F.get(names, F.col("i")).alias("var_a"), F.get(names, F.col("j")).alias("var_b"), "r", "n")
 
 
 def correlation_edges(df: DataFrame, columns: list[str], above: float = 0.2) -> DataFrame:
