@@ -45,9 +45,21 @@ def category_sum(value: Column, category: Column, year: Column, seen: tuple, sum
     return F.when(F.max(year).isin(*years) & any_seen, F.coalesce(total, F.lit(0.0)))
 
 
+EMISSION_COLUMNS = (
+    "scope1", "scope1_which_year", "scope2", "scope2_loc", "scope2_market", "scope2_which_year", "scope3", "scope3_which_category",
+)
+
+
+def distinct_first(rows: DataFrame, keys: list[str], figures: list[str]) -> DataFrame:
+    """Rows that repeat both key and figures once, so that a figure filed twice weighs once."""
+    return rows.select(*dict.fromkeys([*keys, *figures])).distinct()
+
+
 def emission_figures(rows: DataFrame, keys: list[str] = ("year", "account no")) -> DataFrame:
-    """Scope 1, 2 and 3 figures of each (year, account)."""
+    """Scope 1, 2 and 3 figures of each (year, account), over rows that differ in name or figures."""
     c = F.col
+    named = ["name"] if "name" in rows.columns else []
+    rows = distinct_first(rows, [*keys, *named], EMISSION_COLUMNS)
     year = c(keys[0])
     s1, s2 = c("scope1_which_year"), c("scope2_which_year")
     scope2 = F.coalesce(

@@ -14,6 +14,12 @@ def max_answered(answers: DataFrame, year: str = "year", respondent: list[str] =
     return per_respondent.groupBy(year).agg(F.max("_filled").alias("maxcol"))
 
 
+def of_respondents(df: DataFrame, name: str, respondent: str = "respondent") -> DataFrame:
+    """Rows whose respondent holds the name: an entry of a list cell, or a part of a text, case ignored."""
+    listed = df.schema[respondent].dataType.typeName() == "array"
+    return df.filter(F.array_contains(respondent, name) if listed else F.lower(respondent).contains(name.lower()))
+
+
 def label_match(label_cell: Column, label: str, null_as_text: bool = False) -> Column:
     """1 where a cell's text holds the label, case ignored; once per cell.
 

@@ -30,8 +30,8 @@ def sample_values(long: DataFrame, n: int, seed: int = 0, keys: list[str] = ("ta
     so no column is sorted whole.
     """
     values = long.filter(F.col("value").isNotNull()).select(*keys, "value").distinct()
-    hashed = values.withColumn("_h", F.xxhash64("value", F.lit(seed)))
-    salted = hashed.withColumn("_salt", F.pmod("_h", F.lit(64)))
+    hashed = values.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("value").cast("string"))))
+    salted = hashed.withColumn("_salt", F.substring("_h", 31, 2))
     local = Window.partitionBy(*keys, "_salt").orderBy("_h", "value")
     final = Window.partitionBy(*keys).orderBy("_h", "value")
     kept = (

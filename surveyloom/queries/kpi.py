@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveyloom.functions import cells
+from surveyloom.functions import cells, fixed_values as V
 from surveyloom.operators import indicators, profile, responses
 from surveyloom.queries.registry import number, query, table
 
@@ -58,6 +58,43 @@ def kpi_label_counts_null_text(spark: SparkSession, folder: str) -> DataFrame:
     return _label_counts(spark, folder, True)
 
 
+def _indicator_sql() -> str:
+    pairs = list(enumerate(V.KPI_LABELS))
+    cases = lambda k: " ".join(f"WHEN {i} THEN '{p[k]}'" for i, p in pairs)
+    sums = ", ".join(f"sum(CASE WHEN model = '{m}' AND contains(lower(label), '{lb.lower()}') THEN 1 ELSE 0 END)::BIGINT AS \"{m}_label_{lb}_sum\"" for _, (m, lb) in pairs)
+    means = ", ".join(f"round(\"{m}_label_{lb}_sum\" / CASE WHEN maxcol = 0 THEN 1 ELSE maxcol END, 6) AS \"{V.KPI_MEAN_NAMES.get((m, lb), f'{m}_label_{lb}_mean')}\"" for _, (m, lb) in pairs)
+    return f"""
+WITH e AS (
+  SELECT user_id AS account, 2010 + user_id % 11 AS year, CASE event_type WHEN 'click' THEN 'Investor' WHEN 'view' THEN 'investor, supply chain' ELSE 'supply chain' END AS respondent,
+    hour(ts) AS question, value >= 20 AS answered, event_id // 3 % {len(pairs) + 1} AS k FROM events),
+l AS (SELECT *, CASE k {cases(0)} ELSE '{V.KPI_LABELS[0][0]}' END AS model, CASE k {cases(1)} END AS label FROM e WHERE contains(lower(respondent), 'investor')),
+q AS (SELECT account, year, respondent, question, count(*) FILTER (answered) AS n FROM l GROUP BY 1, 2, 3, 4),
+f AS (SELECT account, year, respondent, count(*) FILTER (n >= 1) AS filled FROM q GROUP BY 1, 2, 3),
+cap AS (SELECT year, max(filled)::BIGINT AS maxcol FROM f GROUP BY 1),
+c AS (SELECT account, year, respondent, {sums} FROM l GROUP BY 1, 2, 3)
+SELECT account, c.year, respondent, maxcol, c.* EXCLUDE (account, year, respondent), {means} FROM c JOIN cap USING (year)"""
+
+
+@query("kpi_indicator_table", _indicator_sql())
+def kpi_indicator_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All 20 label counts over the models; the divisor counts questions with an answer, whatever their labels."""
+    k = F.floor(F.col("event_id") / 3) % (len(V.KPI_LABELS) + 1)
+    pick = lambda part: F.get(F.array(*[F.lit(p[part]) for p in V.KPI_LABELS]), k.cast("int"))
+    kind = F.col("event_type")
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").alias("account"), (F.col("user_id") % 11 + 2010).alias("year"),
+        F.when(kind == "click", "Investor").when(kind == "view", "investor, supply chain").otherwise("supply chain").alias("respondent"),
+        F.hour("ts").alias("question"), (F.col("value") >= 20).cast("int").alias("answered"),
+        F.coalesce(pick(0), F.lit(V.KPI_LABELS[0][0])).alias("model"), pick(1).alias("label"),
+    )
+    rows = indicators.of_respondents(rows, "investor")
+    keys = ["account", "year", "respondent"]
+    answers = rows.groupBy(*keys, "question").agg(F.sum("answered").alias("n_responses"))
+    out = indicators.label_counts(rows, keys, indicators.max_answered(answers, "year", ["account", "respondent"]), "year")
+    counted = [*keys, "maxcol", *[c for c in out.columns if c.endswith("_sum")]]
+    return out.select(*counted, *[number(F.col(f"`{c}`")).alias(c) for c in out.columns if c not in counted])
+
+
 @query("kpi_text_fill", r"""
 WITH cells AS (
   SELECT role, conv_id, length(regexp_replace(replace(replace(replace(regexp_replace(text, '[\[\]'']', '', 'g'),

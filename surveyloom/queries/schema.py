@@ -118,10 +118,14 @@ def sweep(spark: SparkSession, folder: str) -> DataFrame:
     return matching.sweep(described_columns(spark, folder), table_pairs(spark), truth, frame)
 
 
-@query("sampled_values")
+@query("sampled_values", """
+WITH v AS (SELECT DISTINCT unnest(['p_name', 'p_brand', 'p_type', 'p_size']) AS col, unnest([p_name, p_brand, p_type, p_size::VARCHAR]) AS value FROM part),
+r AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY md5('0|' || value), value) AS k FROM v WHERE value IS NOT NULL),
+l AS (SELECT col, list(value ORDER BY k) AS vs FROM r WHERE k <= 4 GROUP BY 1)
+SELECT 'part' AS "table", col AS "column", array_to_string(list_transform(range(0, 4), lambda i: vs[i % len(vs) + 1]), ' | ') AS samples FROM l""")
 def sampled_values(spark: SparkSession, folder: str) -> DataFrame:
     long = table(spark, folder, "part").select(F.lit("part").alias("table"), F.explode(F.array(
-        F.struct(F.lit("p_name").alias("column"), F.col("p_name").alias("value")), F.struct(F.lit("p_brand").alias("column"), F.col("p_brand").alias("value")),
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in ("p_name", "p_brand", "p_type", "p_size")],
     )).alias("c")).select("table", "c.column", "c.value")
     return matching.sample_values(long, 4).select("table", "column", F.array_join("samples", " | ").alias("samples"))
 

@@ -194,9 +194,10 @@ def condense_sources(spark: SparkSession, folder: str) -> DataFrame:
     return condense.condense(both, ["o_custkey"], {"priorities": ["first_source", "second_source"]}, ["o_orderdate", "o_orderkey"])
 
 
-@query("era_figures", """
+def _era_sql(distinct: str) -> str:
+    return """
 WITH rows AS (
-  SELECT l_suppkey, year(l_shipdate) AS year, l_quantity AS v, l_linenumber, CASE
+  SELECT """ + distinct + """l_suppkey, year(l_shipdate) AS year, l_quantity AS v, CASE
       WHEN year(l_shipdate) >= 1999 THEN CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Reporting year' WHEN l_returnflag = 'N' THEN 'Row 1' ELSE 'Row 2' END
       WHEN year(l_shipdate) = 1998 THEN (1995 + l_linenumber)::VARCHAR
       ELSE strftime(l_shipdate - to_days((l_linenumber * 100)::INTEGER), '%d %b %Y') END AS tag
@@ -205,8 +206,10 @@ SELECT l_suppkey, year, round(CASE
   WHEN year BETWEEN 1999 AND 2001 THEN coalesce(avg(v) FILTER (tag = 'Reporting year'), avg(v) FILTER (tag = 'Row 1'))
   WHEN year BETWEEN 1995 AND 1997 THEN avg(v) FILTER (try_cast(right(tag, 4) AS INTEGER) = year - 1)
   WHEN year = 1998 THEN avg(v) FILTER (try_cast(tag AS INTEGER) = year - 1) END, 6) AS figure
-FROM rows GROUP BY 1, 2""")
-def era_figures(spark: SparkSession, folder: str) -> DataFrame:
+FROM rows GROUP BY 1, 2"""
+
+
+def tagged_lines(spark: SparkSession, folder: str) -> DataFrame:
     ship, line = F.col("l_shipdate"), F.col("l_linenumber")
     year = F.year(ship)
     tag = (
@@ -214,9 +217,22 @@ def era_figures(spark: SparkSession, folder: str) -> DataFrame:
         .when(year == 1998, (line + 1995).cast("string"))
         .otherwise(F.date_format(F.date_sub(ship.cast("date"), line * 100), "dd MMM yyyy"))
     )
-    rows = table(spark, folder, "lineitem").select("l_suppkey", year.alias("year"), F.col("l_quantity").alias("v"), tag.alias("tag"))
-    figure = eras.era_mean(F.col("v"), F.col("tag"), F.col("year"), tagged_years=(1999, 2001), dated_years=(1995, 1997), plain_years=(1998,))
-    return rows.groupBy("l_suppkey", "year").agg(number(figure).alias("figure"))
+    return table(spark, folder, "lineitem").select("l_suppkey", year.alias("year"), F.col("l_quantity").alias("v"), tag.alias("tag"))
+
+
+def yearly_figure():
+    return number(eras.era_mean(F.col("v"), F.col("tag"), F.col("year"), tagged_years=(1999, 2001), dated_years=(1995, 1997), plain_years=(1998,)))
+
+
+@query("era_figures", _era_sql(""))
+def era_figures(spark: SparkSession, folder: str) -> DataFrame:
+    return tagged_lines(spark, folder).groupBy("l_suppkey", "year").agg(yearly_figure().alias("figure"))
+
+
+@query("era_figures_distinct", _era_sql("DISTINCT "))
+def era_figures_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    rows = eras.distinct_first(tagged_lines(spark, folder), ["l_suppkey", "year"], ["v", "tag"])
+    return rows.groupBy("l_suppkey", "year").agg(yearly_figure().alias("figure"))
 
 
 @query("category_sums", """
