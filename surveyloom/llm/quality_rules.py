@@ -144,7 +144,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     word_chars: code points in words; n_symbols: characters of ``#*$%&|<>``;
     n_dup_lines: lines with a word that equal an earlier one; n_repeat_words: words in
-    8-word windows found twice or more in the text.
+    8-word windows found twice or more in the text. Rows may repeat; an empty table
+    gives no rows; other columns are not read. No shuffle.
     """
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_statistics, STATS_SCHEMA)
 
@@ -229,18 +230,18 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, prune_part: np.ndarra
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> list[list[Condition]]:
-    """Rules from labelled rows (label 0: bad), taken by a hash of the id if there are more than ``train_rows``.
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> list[list[Condition]]:
+    """Rules from the statistics of labelled rows (label 0: bad).
 
-    A document without a label, or with a null one, is not used. Only numbers of the
-    chosen rows reach the driver.
+    From more than ``train_rows`` labels each is taken with the same chance by a hash of
+    its id; so many ids at most are broadcast, and their numbers reach the driver. A
+    document without a label, or with a null one, is not used.
     """
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("label"))
     n = labelled.count()
     if n > train_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("l_id", F.lit("quality sample")), F.lit(1_000_000)) < int(1_000_000 * train_rows / n) + 1)
-    stats = document_statistics(docs.join(labelled.select("l_id"), docs[id_col] == F.col("l_id"), "left_semi"), id_col, text_col)
-    known = stats.join(labelled, F.col("doc_id") == F.col("l_id")).select(
+    known = stats.join(F.broadcast(labelled), F.col("doc_id") == F.col("l_id")).select(
         F.col("label").cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune"), F.col("doc_id"),
         *(f(F.col).alias(name) for name, f in FEATURES.items())).toArrow().sort_by("doc_id")
     x = {name: np.asarray(known.column(name), dtype=np.float64) for name in FEATURES}
@@ -258,15 +259,13 @@ def rules_column(rules: list[list[Condition]]) -> Column:
     return F.lit(0) if chain is None else chain.otherwise(F.lit(0))
 
 
-def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule.
+def judge(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    """One row per row of statistics: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule, kept.
 
     ``base_failed``: fewer than 20 words, or over 30 % of them in repeated windows;
-    ``kept``: not that, and no rule of the list holds (``rule`` 0). A null text has no
-    words and fails. Rows may repeat; an empty table gives no rows; other columns are
-    not read. No shuffle.
+    ``kept``: not that, and no rule of the list holds (``rule`` 0). No shuffle, no Python.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return document_statistics(docs, id_col, text_col).select(
+    return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rules_column(rules).alias("rule"),
     ).select("*", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.llm import language_id, piece_codec, quality_rules, toxicity
+from surveyloom.llm.common import shared_table
 from surveyloom.llm.exact_dedup import exact_dedup
 from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
@@ -47,8 +48,8 @@ def op2_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
+    stats = shared_table(quality_rules.document_statistics(table(spark, folder, "documents")))
+    return quality_rules.judge(stats, quality_rules.fit(stats, table(spark, folder, "labels")))
 
 
 @query("op6_toxicity")
