@@ -230,6 +230,21 @@ ANSWER_INDICATORS = (
     "has_emissions_target", "has_internal_carbon_price", "has_reduction_initiatives",
     "has_low_carbon_products", "engages_value_chain", "engages_policy",
 )
+# Question code behind each answer indicator; the answer that sets it is "Yes".
+ANSWER_QUESTIONS = (
+    ("has_board_oversight", "C1.1"),
+    ("has_strategy_integration", "C3.1"),
+    ("uses_scenario_analysis", "C3.1a"),
+    ("has_risk_process", "C2.1"),
+    ("identified_climate_risks", "C2.3"),
+    ("identified_climate_opportunities", "C2.4"),
+    ("has_emissions_target", "C4.1"),
+    ("has_internal_carbon_price", "C11.3"),
+    ("has_reduction_initiatives", "C4.3"),
+    ("has_low_carbon_products", "C4.5"),
+    ("engages_value_chain", "C12.1"),
+    ("engages_policy", "C12.3"),
+)
 LABEL_INDICATORS = (
     ("has_netzero_target", "netzero_reduction", "net-zero"),
     ("has_renewable_initiative", "renewable", "LABEL_1"),

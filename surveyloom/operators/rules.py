@@ -60,14 +60,14 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, year: str, fi
     name to its SQL type.
     """
     per_year = (
-        overrides.select("key", "rank", "field", "value", F.explode(F.sequence("year_from", "year_to")).alias("_year"))
-        .groupBy("key", "_year")
+        overrides.select(F.col("key").alias("_set_key"), "rank", "field", "value", F.explode(F.sequence("year_from", "year_to")).alias("_set_year"))
+        .groupBy("_set_key", "_set_year")
         .agg(*[
             F.max_by(F.struct("value"), F.when(F.col("field") == f, F.col("rank"))).alias("_new_" + f) for f in fields
         ])
     )
-    out = df.join(per_year, (F.col(key) == F.col("key")) & (F.col(year) == F.col("_year")), "left")
+    out = df.join(per_year, (F.col(key) == F.col("_set_key")) & (F.col(year) == F.col("_set_year")), "left")
     for f, sql_type in fields.items():
         new = F.col("_new_" + f)
         out = out.withColumn(f, F.when(new.isNotNull(), new["value"].try_cast(sql_type)).otherwise(F.col(f)))
-    return out.drop("key", "_year", *["_new_" + f for f in fields])
+    return out.drop("_set_key", "_set_year", *["_new_" + f for f in fields])

@@ -74,6 +74,23 @@ def indicator(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
+def action_indicators(answers: DataFrame, labels: DataFrame, keys: list[str], questions: tuple = V.ANSWER_QUESTIONS, wanted: tuple = V.LABEL_INDICATORS) -> DataFrame:
+    """The 0/1 indicators of each key: a question answered ``Yes``, a model that gave the label.
+
+    ``answers``: ``*keys, column, value``, where the column begins with the question code
+    and a low line; ``labels``: ``*keys, model, label``. A key with only answers or only
+    labels has 0 in the others; null keys are a key.
+    """
+    flag = lambda cond: F.coalesce(F.max(cond.cast("int")), F.lit(0))
+    asked = answers.groupBy(*keys).agg(*[
+        flag((F.substring_index("column", "_", 1) == code) & (F.col("value") == "Yes")).alias(name) for name, code in questions])
+    said = labels.groupBy(*keys).agg(*[flag((F.col("model") == model) & (F.col("label") == label)).alias(name) for name, model, label in wanted])
+    everyone = answers.select(*keys).union(labels.select(*keys)).distinct()
+    out = join_keys(join_keys(everyone, asked, keys, "left"), said, keys, "left")
+    names = [n for n, _ in questions] + [n for n, _, _ in wanted]
+    return out.select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
 def maturity(df: DataFrame, indicators: list[str], out: str = "maturity") -> DataFrame:
     total = F.lit(0)
     for c in indicators:

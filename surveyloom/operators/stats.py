@@ -160,7 +160,11 @@ def lagged_ols(series: DataFrame, by: list[str], time: str, value: str, count: s
     s = s.withColumn("beta_count", F.try_divide(F.col("by_") * F.col("aa") - F.col("ay") * F.col("ab"), det))
     s = s.withColumn("const", F.col("my") - F.col("beta_value") * F.col("ma") - F.col("beta_count") * F.col("mb"))
     r2 = F.try_divide(F.col("beta_value") * F.col("ay") + F.col("beta_count") * F.col("by_"), F.col("yy"))
-    return s.select(*by, "n", "const", "beta_value", "beta_count", r2.alias("r2"))
+    # Errors from the residual variance and the inverse of the normal equations about the means.
+    s = s.withColumn("r2", r2)
+    residual = F.try_divide(F.col("n") * F.col("yy") * (1 - F.col("r2")), F.col("n") - 3)
+    error = lambda c: F.sqrt(F.try_divide(residual * F.col(c), F.col("n") * det))
+    return s.select(*by, "n", "const", "beta_value", "beta_count", "r2", error("bb").alias("se_value"), error("aa").alias("se_count"))
 
 
 def scaled_regression(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
@@ -190,7 +194,8 @@ def marginal_transitions(df: DataFrame, year: str, band: str, value: Column) ->
     sums = df.groupBy(year, band).agg(F.sum(value).alias("_s"))
     totals = sums.groupBy(year).agg(F.sum("_s").alias("_t"))
     shares = sums.join(totals, year).select(year, band, F.try_divide(F.col("_s").cast("double"), F.col("_t").cast("double")).alias("share"))
-    years = totals.select(year).withColumn("_next", F.lead(year).over(Window.partitionBy(F.lit(0)).orderBy(year))).filter("_next is not null")
+    # One row per year: the window is over the years only.
+    years = totals.select(year).withColumn("_next", F.lead(year).over(Window.orderBy(year))).filter("_next is not null")
     now = shares.join(years, year).select(F.col("_next").alias("_y"), F.col(band).alias("from_band"), F.col("share").alias("_a"))
     after = shares.select(F.col(year).alias("_y"), F.col(band).alias("to_band"), F.col("share").alias("_b"))
     n = years.agg(F.count(F.lit(1)).alias("n")).scalar()

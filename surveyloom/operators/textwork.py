@@ -19,8 +19,8 @@ Translator = Callable[[list[str], list[str]], list[str]]
 def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     """Each non-empty text once, with its hash.
 
-    Grouping is on the hash, so the shuffle carries a short key and copies meet
-    before they are sent on.
+    Grouping is on the hash, so texts are compared by a short key, and copies that one
+    task reads meet before they are sent on; one text per task and hash is shuffled.
     """
     key = F.sha2(text, 256)
     rows = df.select(key.alias("text_key"), F.col(text).alias("text")).filter(F.length("text") > 0)

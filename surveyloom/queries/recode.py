@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from surveyloom.functions import cells, fixed_values as V
 from surveyloom.operators import condense, panel, profile, stats
@@ -95,12 +95,9 @@ def recipient_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select("o_orderpriority", *cells.recipient_flags(name))
     kinds = ("investor", "supply_chain", "both")
     counts = rows.groupBy("o_orderpriority").agg(*[F.sum("recipient_" + k).alias("count_" + k) for k in kinds])
-    # Legend order: categories by their total, a handful of rows, numbered by counting the larger ones.
-    totals = counts.select(F.struct((F.col("count_investor") + F.col("count_supply_chain") + F.col("count_both")).alias("t"), "o_orderpriority").alias("s"))
-    listed = totals.agg(F.collect_list("s").alias("l")).scalar()
+    # Legend order: categories by their total; the window is over one row per category.
     total = F.col("count_investor") + F.col("count_supply_chain") + F.col("count_both")
-    ahead = F.size(F.filter("_l", lambda x: (x["t"] > total) | ((x["t"] == total) & (x["o_orderpriority"] <= F.col("o_orderpriority")))))
-    ranked = counts.withColumn("_l", listed).withColumn("legend_rank", ahead.cast("long")).drop("_l")
+    ranked = counts.withColumn("legend_rank", F.row_number().over(Window.orderBy(total.desc(), "o_orderpriority")).cast("long"))
     entries = F.array(*[F.struct(F.lit("count_" + k).alias("recipient_type"), F.col("count_" + k).alias("n")) for k in kinds])
     return ranked.select("o_orderpriority", "legend_rank", F.explode(entries).alias("e")).select("o_orderpriority", "e.recipient_type", "e.n", "legend_rank")
 

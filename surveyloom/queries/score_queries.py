@@ -81,6 +81,53 @@ def gap_by_sector(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("sector", *[number(F.col("avg_" + c)).alias("avg_" + c) for c in ("rhetoric", "action", "gap")], "n")
 
 
+@query("gap_by_day", LABEL_SQL + """
+SELECT day, round(avg(rhetoric), 6) AS avg_rhetoric, round(avg(action), 6) AS avg_action, round(avg(gap), 6) AS avg_gap, count(*) AS n FROM gaps GROUP BY 1""")
+def gap_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    out = scores.score_means(user_gaps(spark, folder), "day", ["rhetoric", "action", "gap"])
+    return out.select("day", *[number(F.col("avg_" + c)).alias("avg_" + c) for c in ("rhetoric", "action", "gap")], "n")
+
+
+@query("gap_overall", LABEL_SQL + """
+SELECT 'all' AS scope, round(avg(gap) FILTER (day < DATE '2024-01-16'), 6) AS pre, round(avg(gap) FILTER (day >= DATE '2024-01-16'), 6) AS post,
+  count(*) FILTER (day < DATE '2024-01-16') AS n_pre, count(*) FILTER (day >= DATE '2024-01-16') AS n_post,
+  round(avg(gap) FILTER (day >= DATE '2024-01-16') - avg(gap) FILTER (day < DATE '2024-01-16'), 6) AS change FROM gaps""")
+def gap_overall(spark: SparkSession, folder: str) -> DataFrame:
+    gaps = user_gaps(spark, folder).withColumn("d", F.datediff("day", F.lit("2024-01-01").cast("date"))).withColumn("scope", F.lit("all"))
+    out = scores.before_after(gaps, "scope", "gap", "d", 15, -1)
+    return out.select("scope", number(F.col("pre")).alias("pre"), number(F.col("post")).alias("post"), "n_pre", "n_post", number(F.col("change")).alias("change"))
+
+
+def _action_sql() -> str:
+    asked = ", ".join(f"coalesce(max((code = '{code}' AND value = 'Yes')::INTEGER), 0) AS {n}" for n, code in V.ANSWER_QUESTIONS)
+    said = ", ".join(f"coalesce(max((model = '{m}' AND label = '{lb}')::INTEGER), 0) AS {n}" for n, m, lb in V.LABEL_INDICATORS)
+    codes = " ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(V.ANSWER_QUESTIONS))
+    models_sql = " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m, _) in enumerate(V.LABEL_INDICATORS))
+    hits = " ".join(f"WHEN {i} THEN '{lb}'" for i, (_, _, lb) in enumerate(V.LABEL_INDICATORS))
+    return f"""
+SELECT o_custkey, year, {asked}, {said} FROM (
+  SELECT o_custkey, year(o_orderdate) AS year, CASE o_orderkey % 13 {codes} ELSE 'C9.9' END AS code,
+    CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' END AS value,
+    CASE o_orderkey // 5 % 5 {models_sql} ELSE 'tcfd' END AS model,
+    CASE WHEN o_orderpriority < '3' THEN CASE o_orderkey // 5 % 5 {hits} ELSE 'risk' END ELSE 'none' END AS label FROM orders) GROUP BY 1, 2"""
+
+
+@query("action_indicators", _action_sql())
+def action_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """The 12 answer and 4 label indicators of every customer and year."""
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    code = pick([c for _, c in V.ANSWER_QUESTIONS] + ["C9.9"], F.col("o_orderkey") % 13)
+    answers = orders.select(
+        "o_custkey", "year", F.concat(code, F.lit("_Question text")).alias("column"),
+        F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "O", "No").alias("value"))
+    at = F.floor(F.col("o_orderkey") / 5) % 5
+    labels = orders.select(
+        "o_custkey", "year", pick([m for _, m, _ in V.LABEL_INDICATORS] + ["tcfd"], at).alias("model"),
+        F.when(F.col("o_orderpriority") < "3", pick([lb for _, _, lb in V.LABEL_INDICATORS] + ["risk"], at)).otherwise("none").alias("label"))
+    return scores.action_indicators(answers, labels, ["o_custkey", "year"])
+
+
 @query("gap_before_after", LABEL_SQL + """
 SELECT sector, round(avg(gap) FILTER (day < DATE '2024-01-16'), 6) AS pre, round(avg(gap) FILTER (day >= DATE '2024-01-16'), 6) AS post,
   count(*) FILTER (day < DATE '2024-01-16') AS n_pre, count(*) FILTER (day >= DATE '2024-01-16') AS n_post,

@@ -90,11 +90,13 @@ def ar1(spark: SparkSession, folder: str) -> DataFrame:
 s AS (SELECT o_orderstatus, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
              covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM l WHERE a IS NOT NULL GROUP BY 1),
 k AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS k1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS k2 FROM s)
-SELECT o_orderstatus, n, round(my - k1 * ma - k2 * mb, 0) AS const, round(k1, 5) AS beta_value, round(k2, 1) AS beta_count, round((k1 * ay + k2 * by_) / yy, 6) AS r2 FROM k""")
+SELECT o_orderstatus, n, round(my - k1 * ma - k2 * mb, 0) AS const, round(k1, 5) AS beta_value, round(k2, 1) AS beta_count, round((k1 * ay + k2 * by_) / yy, 6) AS r2,
+  round(sqrt(n * (yy - k1 * ay - k2 * by_) / (n - 3) * bb / (n * (aa * bb - ab * ab))), 5) AS se_value, round(sqrt(n * (yy - k1 * ay - k2 * by_) / (n - 3) * aa / (n * (aa * bb - ab * ab))), 1) AS se_count FROM k""")
 def ols(spark: SparkSession, folder: str) -> DataFrame:
     out = stats.lagged_ols(monthly(spark, folder), ["o_orderstatus"], "month", "mean", "n")
     return out.select(
-        "o_orderstatus", "n", F.round("const", 0).alias("const"), F.round("beta_value", 5).alias("beta_value"), F.round("beta_count", 1).alias("beta_count"), number(F.col("r2")).alias("r2")
+        "o_orderstatus", "n", F.round("const", 0).alias("const"), F.round("beta_value", 5).alias("beta_value"), F.round("beta_count", 1).alias("beta_count"), number(F.col("r2")).alias("r2"),
+        F.round("se_value", 5).alias("se_value"), F.round("se_count", 1).alias("se_count"),
     )
 
 

@@ -169,6 +169,8 @@ def test_overrides(frame):
     df = frame("acc int, y int, v string", [(1, 2010, "a"), (1, 2012, "a"), (2, 2010, "b"), (3, 2010, "c")])
     fix = frame("key int, year_from int, year_to int, field string, value string, rank int", [(1, 2010, 2015, "v", "x", 0), (1, 2012, 2012, "v", "y", 1), (2, 2009, 2019, "v", None, 2)])
     assert tuples(rules.apply_overrides(df, fix, "acc", "y", {"v": "string"})) == [(1, 2010, "x"), (1, 2012, "y"), (2, 2010, None), (3, 2010, "c")]
+    clashing = df.withColumn("key", F.lit("k")).withColumn("_year", F.lit(1))
+    assert rules.apply_overrides(clashing, fix, "acc", "y", {"v": "string"}).columns == clashing.columns
 
 
 # -- profile --------------------------------------------------------------------------------
