@@ -26,6 +26,7 @@ from surveyloom.llm.words import mix
 
 BUCKETS = 1 << 20
 TRAIN_ROWS = 40_000
+FIT_TASKS = 8
 PREFIXES = (4, 5)
 
 #: Strength of the prior, in texts, and what is taken off each token so that clean text scores below 0.
@@ -37,11 +38,14 @@ SURE = 1.5
 CAP = 6.0
 LEAST_COUNT = 0.5
 
+#: Bytes of text whose letters are laid out at once.
+SLICE = 1_000_000
+
 #: Copies and near copies of a labelled text count once: those that begin with the same words.
 HEAD_WORDS = 8
 SIGNIFICANT = 0.05
 
-PART_SCHEMA = "label int, kind int, bucket int, n bigint"
+PART_SCHEMA = "grp int, kind int, bucket int, n bigint"
 SEGMENT = "array<struct<start:int,end:int,score:double,p_value:double>>"
 
 
@@ -86,20 +90,30 @@ def tokens_of(texts: pa.Array) -> Tokens:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label that hold a bucket, per prefix length and for words; bucket -1: texts."""
+    """Texts of each half and label that hold a bucket, per prefix length and for words; the last bucket counts texts.
+
+    Summed over the whole task in arrays of a fixed size.
+    """
+    total = np.zeros((4, len(PREFIXES) + 1, BUCKETS + 1), dtype=np.int32)
     for batch in batches:
-        labels = np.asarray(batch.column(0))
-        for row, texts in text_slices(batch.column(1)):
+        groups = np.asarray(batch.column(0))
+        for row, texts in text_slices(batch.column(1), SLICE):
             found = tokens_of(texts)
-            mine = labels[row: row + len(texts)]
-            for label in (0, 1):
+            mine = groups[row: row + len(texts)]
+            for group in range(4):
+                total[group, :, -1] += int((mine == group).sum())
+                chosen = (mine == group)[found.text]
                 for kind in range(found.keys.shape[1]):
-                    chosen = (mine == label)[found.text]
                     pairs = np.unique(found.text[chosen] * np.int64(BUCKETS) + found.keys[chosen, kind])
                     bucket, n = np.unique(pairs % BUCKETS, return_counts=True)
-                    bucket, n = np.append(bucket, -1), np.append(n, (mine == label).sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), label, dtype=np.int32)), pa.array(np.full(len(bucket), kind, dtype=np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))],
-                                                     names=["label", "kind", "bucket", "n"])
+                    total[group, kind, bucket] += n.astype(np.int32)
+    for group in range(4):
+        for kind in range(total.shape[1]):
+            bucket = np.flatnonzero(total[group, kind])
+            for low in range(0, len(bucket), 100_000):
+                some = bucket[low: low + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), group, dtype=np.int32)), pa.array(np.full(len(some), kind, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(total[group, kind, some].astype(np.int64))],
+                                                 names=["grp", "kind", "bucket", "n"])
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -140,7 +154,7 @@ class ToxicityModel:
     tables: list[np.ndarray]
     decay: float = 1.0
     k: float = 1.0
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, -1.0)
 
     def token_scores(self, keys: np.ndarray) -> np.ndarray:
         odds, spread = _odds(*self.tables, keys)
@@ -208,7 +222,7 @@ def _best_segments(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
+            for row, texts in text_slices(batch.column(1), SLICE):
                 found = tokens_of(texts)
                 scores = model.token_scores(found.keys)
                 cuts = np.searchsorted(found.text, np.arange(len(texts) + 1))
@@ -220,7 +234,7 @@ def _best_segments(shared):
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
+            for row, texts in text_slices(batch.column(1), SLICE):
                 features, _ = evidence(shared.value, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), *(pa.array(features[:, j]) for j in range(3))], names=["label", "f0", "f1", "f2"])
     return run
@@ -230,28 +244,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from labelled rows, about ``train_rows`` of them by a hash of the id if there are more.
 
     Half of them give the log-odds, the other half the extreme-value law and the curve,
-    so that these see tokens as new texts do. Null labels and ids are not used.
+    so that these see tokens as new texts do. Null labels and ids are not used. The
+    chosen ids, ``train_rows`` of them, are broadcast.
     """
     spark = docs.sparkSession
-    labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("label"))
+    labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.least(F.greatest(F.max(label_col).cast("int"), F.lit(0)), F.lit(1)).alias("label"))
     n = labelled.count()
     if n > train_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("l_id", F.lit("toxicity sample")), F.lit(1_000_000)) < int(1_000_000 * train_rows / n) + 1)
     half = F.pmod(F.xxhash64("l_id", F.lit("half")), F.lit(2)) == 0
-    head = F.xxhash64(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t-\r]+", HEAD_WORDS + 1), 1, HEAD_WORDS))
+    head = F.xxhash64(F.slice(F.split("text", r"[ \t-\r]+", HEAD_WORDS + 1), 1, HEAD_WORDS))
+    texts = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = shared_table(
-        docs.join(labelled, docs[id_col] == labelled["l_id"]).select("l_id", "label", F.coalesce(F.col(text_col), F.lit("")).alias(text_col), head.alias("head"))
+        texts.join(F.broadcast(labelled), texts["d_id"] == labelled["l_id"]).select("l_id", "label", "text", head.alias("head"))
         .dropDuplicates(["label", "head"]))
 
-    def tables(rows: DataFrame) -> list[np.ndarray]:
-        counts = rows.select("label", F.col(text_col).alias("text")).mapInArrow(_presence, PART_SCHEMA).groupBy("label", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros((2, len(PREFIXES) + 1, BUCKETS + 1), dtype=np.float32)
-        label, kind, bucket, n = (np.asarray(counts.column(c)) for c in ("label", "kind", "bucket", "n"))
-        out[label, kind, bucket] = n
-        return [out[0], out[1]]
+    # The sample is bounded, and few tasks leave few sums.
+    grouped = known.select((half.cast("int") * 2 + F.col("label")).alias("grp"), "text").coalesce(FIT_TASKS)
+    counts = grouped.mapInArrow(_presence, PART_SCHEMA).groupBy("grp", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    texts_with = np.zeros((4, len(PREFIXES) + 1, BUCKETS + 1), dtype=np.float32)
+    group, kind, bucket, n = (np.asarray(counts.column(c)) for c in ("grp", "kind", "bucket", "n"))
+    texts_with[group, kind, bucket] = n
 
-    model = ToxicityModel(tables(known.filter(half)))
-    other = known.filter(~half).select("label", F.col(text_col).alias("text"))
+    model = ToxicityModel([texts_with[2], texts_with[3]])
+    other = known.filter(~half).select("label", "text")
     best = other.mapInArrow(_best_segments(spark.sparkContext.broadcast(model)), "label int, best double, n bigint").toArrow()
     value, size, label = (np.asarray(best.column(c)) for c in ("best", "n", "label"))
     clean = label == 0
@@ -261,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = np.column_stack([*(np.asarray(rows.column(c)) for c in ("f0", "f1", "f2")), np.ones(rows.num_rows)])
     if rows.num_rows:
         model.weights = tuple(_logistic(x, np.asarray(rows.column("label"), dtype=np.float64)).tolist())
-    model.tables = tables(known)
+    model.tables = [texts_with[0] + texts_with[2], texts_with[1] + texts_with[3]]
     return model
 
 
@@ -283,7 +299,7 @@ def _score(shared):
         model = shared.value
         weights = np.array(model.weights)
         for batch in batches:
-            for row, texts in text_slices(batch.column(2)):
+            for row, texts in text_slices(batch.column(2), SLICE):
                 features, passages = evidence(model, texts)
                 score = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([
