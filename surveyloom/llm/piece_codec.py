@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from surveyloom.llm.common import shared_table
+from surveyloom.llm.common import shared_table, text_slices
 from surveyloom.llm.words import mix
 
 MARK = "▁"
@@ -36,8 +36,14 @@ CHUNK_CHARS = 4_096
 BLOCK_CHUNKS = 64
 
 #: Chunks that a task lays side by side, and words that a worker remembers.
-SIDE_BY_SIDE = 64
-REMEMBERED = 400_000
+SIDE_BY_SIDE = 32
+REMEMBERED = 200_000
+
+#: Rows decoded before they are handed back.
+DECODE_ROWS = 256
+
+#: Bytes of text whose words a task holds at once.
+SLICE = 1_000_000
 
 #: Pieces below this score (runs of word marks, scored as no merge) count as one less than the least other.
 NO_SCORE = -1e8
@@ -176,7 +182,7 @@ class Pieces:
             n = len(w)
             groups.setdefault(n if n <= 16 else -(-n // 8) * 8 if n <= 128 else 1 << (n - 1).bit_length(), []).append(i)
         for width, members in groups.items():
-            step = max(1, 2_000_000 // (width * 24))
+            step = max(1, 40_000 // width)
             for low in range(0, len(members), step):
                 part = members[low: low + step]
                 text = "".join(words[i].ljust(width, "\0") for i in part)
@@ -206,13 +212,14 @@ def _encode(model_path: str):
         pieces = load_pieces(model_path)
         known: dict[str, bytes] = {}
         for batch in batches:
-            texts = [_RUN.findall(escaped(t.as_py() or ""))[:-1] for t in batch.column(2)]
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({w for words in texts for w in words if w not in known})
-            known.update(zip(new, pieces.words(new)))
-            ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u2") for words in texts]
-            yield _id_batch(batch.column(0), batch.column(1), ids)
+            for row, some in text_slices(batch.column(2), SLICE):
+                texts = [_RUN.findall(escaped(t.as_py()))[:-1] for t in some]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                new = list({w for words in texts for w in words if w not in known})
+                known.update(zip(new, pieces.words(new)))
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u2") for words in texts]
+                yield _id_batch(batch.column(0).slice(row, len(some)), batch.column(1).slice(row, len(some)), ids)
     return run
 
 
@@ -376,11 +383,13 @@ def _decode(model_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = load_pieces(model_path).bytes_of
         for batch in batches:
-            texts = []
-            for ids in batch.column(0):
-                raw = b"".join(map(bytes_of.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                texts.append((raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
+            for low in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(low, DECODE_ROWS)
+                texts = []
+                for ids in part.column(0):
+                    raw = b"".join(map(bytes_of.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
+                    texts.append((raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
     return run
 
 
