@@ -31,6 +31,9 @@ SAMPLE_ROWS = 20_000
 SWITCH_PENALTY = 8.0
 SMOOTHING = 0.5
 
+#: Bytes of text whose letters are laid out at once; words of several such parts go through the pass together.
+LETTER_BYTES = 1_000_000
+
 #: A script counts as one of a language from this share of its letters on.
 SCRIPT_SHARE = 0.001
 
@@ -108,7 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of buckets and scripts per language, summed within a batch."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for row, texts in text_slices(batch.column(1)):
+        for row, texts in text_slices(batch.column(1), LETTER_BYTES):
             found = letters_of(texts)
             mine = langs[row: row + len(texts)]
             sizes = found.sizes
@@ -195,23 +198,40 @@ def label_words(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray, penal
     return label
 
 
+@dataclass
+class ScoredWords:
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    letters: np.ndarray
+
+
+def _scored_words(texts: pa.Array, model: LanguageModel) -> tuple[ScoredWords, np.ndarray]:
+    """Words of the texts and their scores, letters laid out part by part."""
+    parts, scores = [], []
+    for row, some in text_slices(texts, LETTER_BYTES):
+        found = letters_of(some)
+        parts.append((found.text + row, found.start, found.end, found.sizes))
+        if model.langs and len(found.text):
+            allowed = model.scripts[found.script]
+            allowed = allowed | ~allowed.any(axis=1, keepdims=True)
+            sums = np.add.reduceat(model.trigram[found.features], found.cuts, axis=0) + model.word[found.whole]
+            scores.append(np.where(allowed, sums, np.float32(-1e6)))
+    return ScoredWords(*map(np.concatenate, zip(*parts))), np.concatenate(scores) if scores else np.zeros((0, len(model.langs)), dtype=np.float32)
+
+
 def _predict(shared, penalty: float, text_col: str, keep_row: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
         langs = len(model.langs)
         for batch in batches:
             for row, texts in text_slices(texts_of(batch.column(2), text_col)):
-                found = letters_of(texts)
-                sizes = found.sizes
+                found, scores = _scored_words(texts, model)
                 counts = np.bincount(found.text, minlength=len(texts))
                 preds, shares, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
                 if langs and len(found.text):
-                    scores = np.add.reduceat(model.trigram[found.features], found.cuts, axis=0) + model.word[found.whole]
-                    allowed = model.scripts[found.script]
-                    allowed = allowed | ~allowed.any(axis=1, keepdims=True)
-                    scores = np.where(allowed, scores, -1e6)
                     label = label_words(scores, counts, model.prior, penalty)
-                    letters = np.bincount(found.text * langs + label, weights=sizes, minlength=len(texts) * langs).reshape(-1, langs)
+                    letters = np.bincount(found.text * langs + label, weights=found.letters, minlength=len(texts) * langs).reshape(-1, langs)
                     total = letters.sum(axis=1)
                     some = total > 0
                     best = letters.argmax(axis=1)
