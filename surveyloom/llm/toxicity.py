@@ -41,8 +41,6 @@ LEAST_COUNT = 0.5
 #: Bytes of text whose letters are laid out at once.
 SLICE = 1_000_000
 
-#: Copies and near copies of a labelled text count once: those that begin with the same words.
-HEAD_WORDS = 8
 SIGNIFICANT = 0.05
 
 PART_SCHEMA = "grp int, kind int, bucket int, n bigint"
@@ -245,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Half of them give the log-odds, the other half the extreme-value law and the curve,
     so that these see tokens as new texts do. Null labels and ids are not used. The
-    chosen ids, ``train_rows`` of them, are broadcast.
+    chosen ids, ``train_rows`` of them, are broadcast. Texts that are equal but for case
+    and white space count once per label, as the row with the least id; near copies count each.
     """
     spark = docs.sparkSession
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.least(F.greatest(F.max(label_col).cast("int"), F.lit(0)), F.lit(1)).alias("label"))
@@ -253,11 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > train_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("l_id", F.lit("toxicity sample")), F.lit(1_000_000)) < int(1_000_000 * train_rows / n) + 1)
     half = F.pmod(F.xxhash64("l_id", F.lit("half")), F.lit(2)) == 0
-    head = F.xxhash64(F.slice(F.split("text", r"[ \t-\r]+", HEAD_WORDS + 1), 1, HEAD_WORDS))
+    digest = F.sha2(F.lower(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " "))), 256)
     texts = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = shared_table(
-        texts.join(F.broadcast(labelled), texts["d_id"] == labelled["l_id"]).select("l_id", "label", "text", head.alias("head"))
-        .dropDuplicates(["label", "head"]))
+        texts.join(F.broadcast(labelled), texts["d_id"] == labelled["l_id"])
+        .groupBy("label", digest.alias("digest")).agg(F.min(F.struct("l_id", "text")).alias("first")).select("first.l_id", "label", "first.text"))
 
     # The sample is bounded, and few tasks leave few sums.
     grouped = known.select((half.cast("int") * 2 + F.col("label")).alias("grp"), "text").coalesce(FIT_TASKS)
