@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from surveyloom.functions import fixed_values as V
 from surveyloom.functions.similarity import unit
 from surveyloom.operators import matching, profile
 from surveyloom.operators.ordered import number_rows
@@ -43,6 +44,22 @@ def described_columns(spark: SparkSession, folder: str) -> DataFrame:
     return matching.context_vectors(named, 1)
 
 
+def sampled_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the four tables with name vector, context vector and vectors of its hashed sample values."""
+    named, values = [], None
+    for name in TABLES:
+        rows = table(spark, folder, name)
+        named += [(name, "all", i, c) for i, c in enumerate(rows.columns)]
+        entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rows.columns])
+        one = rows.select(F.lit(name).alias("table"), F.explode(entries).alias("e")).select("table", "e.column", "e.value")
+        values = one if values is None else values.unionByName(one)
+    samples = matching.sample_values(values, V.MATCH_SAMPLES).select("table", "column", F.transform("samples", letter_vector).alias("sample_embs"))
+    columns = literal_frame(spark, named, "table string, sheet string, position int, column string").withColumn("emb", letter_vector(F.col("column")))
+    # A column without a value has no samples.
+    found = columns.join(samples, ["table", "column"], "left").withColumn("sample_embs", F.coalesce("sample_embs", F.array().cast("array<array<double>>")))
+    return matching.context_vectors(found, V.MATCH_WINDOW)
+
+
 def table_pairs(spark: SparkSession) -> DataFrame:
     return literal_frame(spark, list(PAIRS), "pair string, a string, b string")
 
@@ -104,18 +121,28 @@ def cost_thresholds(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("match_columns")
 def match_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.match_tables(described_columns(spark, folder), table_pairs(spark), WEIGHTS, "fixed", 0.6)
+    return matching.match_tables(sampled_columns(spark, folder), table_pairs(spark), WEIGHTS, "fixed", 0.6)
+
+
+def sweep_trials(spark: SparkSession) -> DataFrame:
+    """Every combination of three levels of each weight with each method at each of its limits: 729 trials."""
+    limits = [("fixed", t, 0.0) for t in (0.1, V.MATCH_THRESHOLD, 0.5, 1.0, 2.0)] + [("spread", 0.0, z) for z in (0.1, 1.05, 2.0)] + [("cluster", 0.0, 0.0)]
+    out = literal_frame(spark, [(k, *limit) for k, limit in enumerate(limits)], "limit_no int, method string, threshold double, z double")
+    trial = F.col("limit_no")
+    for c in matching.COMPONENTS:
+        out = out.select("*", F.posexplode(F.array(*[F.lit(w) for w in (0.1, 1.05, 2.0)])).alias("k_" + c, "w_" + c))
+        trial = trial * 3 + F.col("k_" + c)
+    return out.select(trial.alias("trial"), *["w_" + c for c in matching.COMPONENTS], "threshold", "method", "z")
 
 
 @query("sweep")
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
     truth = literal_frame(spark, [
         ("customer>supplier", "c_custkey", "s_suppkey"), ("customer>supplier", "c_name", "s_name"), ("customer>supplier", "c_nationkey", "s_nationkey"),
-        ("supplier>part", "s_suppkey", "p_partkey"), ("supplier>part", "s_name", "p_name"), ("part>orders", "p_partkey", "o_orderkey"),
+        ("customer>supplier", "c_acctbal", "s_acctbal"), ("supplier>part", "s_suppkey", "p_partkey"), ("supplier>part", "s_name", "p_name"),
+        ("part>orders", "p_partkey", "o_orderkey"),
     ], "pair string, column_a string, column_b string")
-    trials = [(k, 0.5 + 0.5 * (k % 3), 0.5 + 0.5 * (k % 2), 1.0, 0.3, 0.3 + 0.1 * k, ("fixed", "spread", "cluster")[k % 3], 0.5) for k in range(6)]
-    frame = literal_frame(spark, trials, "trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double, method string, z double")
-    return matching.sweep(described_columns(spark, folder), table_pairs(spark), truth, frame)
+    return matching.sweep(sampled_columns(spark, folder), table_pairs(spark), truth, sweep_trials(spark))
 
 
 @query("sampled_values", """
