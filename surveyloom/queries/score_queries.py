@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.functions import fixed_values as V
@@ -326,12 +328,37 @@ def feature_projection(spark: SparkSession, folder: str) -> DataFrame:
     return clustered.groupBy("cluster", "mixture").agg(F.count(F.lit(1)).alias("n"), F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
 
 
+ADOPTION_TARGETS = ("has_emissions_target", "has_netzero_target", "has_internal_carbon_price", "has_renewable_initiative")
+
+# Labels of a customer-year's disclosure, out of its orders as the flags are.
+DISCLOSURES = (
+    ("sentiment", "CASE WHEN max(o_totalprice) > 300000 THEN 'opportunity' WHEN min(o_totalprice) < 50000 THEN 'risk' ELSE 'neutral' END"),
+    ("tcfd", "element_at(array('governance', 'strategy', 'risk', 'metrics', 'none'), CAST(max(o_orderkey) % 5 AS int) + 1)"),
+    ("specificity", "CASE WHEN count(DISTINCT o_orderdate) >= 2 THEN 1 ELSE 0 END"),
+)
+
+
+def adoption_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer-years with their flags, sector, region and disclosure labels."""
+    labels = table(spark, folder, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(*[F.expr(e).alias(n) for n, e in DISCLOSURES])
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    places = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return customer_flags(spark, folder).join(labels, ["o_custkey", "year"]).join(places.select(F.col("c_custkey").alias("o_custkey"), "region"), "o_custkey", "left")
+
+
 @query("forest_adoption")
 def forest_adoption(spark: SparkSession, folder: str) -> DataFrame:
-    flags = customer_flags(spark, folder)
-    numeric = ["has_board_oversight", "has_strategy_integration", "has_risk_process", "identified_climate_risks", "identified_climate_opportunities"]
-    metrics, _, adopted = models.forest_adoption(flags, "year", "has_emissions_target", numeric, ["sector"], 2000, 1995, 2004, 2001, trees=20)
-    entries = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")])
-    return metrics.select(F.explode(entries).alias("e")).select("e.measure", "e.value").unionByName(
-        adopted.select(F.concat(F.lit("adoption "), F.col("year").cast("string")).alias("measure"), F.col("adoption_pct").alias("value"))
-    )
+    """Per target: measures on the later years, feature importances and adoption by year."""
+    rows = cut_lineage(adoption_rows(spark, folder))
+    numeric = ["has_board_oversight", "has_strategy_integration", "has_risk_process", "identified_climate_risks", "identified_climate_opportunities", "specificity"]
+    parts = []
+    for target in ADOPTION_TARGETS:
+        metrics, importances, adopted = models.forest_adoption(rows, "year", target, numeric, ["sector", "region", "sentiment", "tcfd"], 2000, 1995, 2004, 2001)
+        entries = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")])
+        parts += [
+            metrics.select("target", F.explode(entries).alias("e")).select("target", "e.measure", "e.value"),
+            importances.select("target", F.concat(F.lit("importance "), F.col("feature")).alias("measure"), F.col("importance").alias("value")),
+            adopted.select(F.lit(target).alias("target"), F.concat(F.lit("adoption "), F.col("year").cast("string")).alias("measure"), F.col("adoption_pct").alias("value")),
+        ]
+    return reduce(DataFrame.unionByName, parts)
