@@ -57,9 +57,10 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, outside: np.ndarray = _SPACE) -> Words:
+    """Words of texts; ``outside``: for each byte whether it lies between words."""
     data, offsets = buffer_of(texts)
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     before = np.empty(len(data), dtype=bool)
     before[:1] = False
     before[1:] = inside[:-1]
