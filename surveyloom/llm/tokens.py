@@ -9,6 +9,11 @@ from functools import lru_cache
 #: Characters for which both byte-level libraries split words alike beyond doubt.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ–-…]*")
 
+#: White-space runs from this length on are not left to the fast pattern, which recurses over them.
+LONG_SPACE = 10_000
+
+_SPACE_RUN = re.compile(r"\s{100,}")
+
 END = "<|endoftext|>"
 END_ID = 50256
 
@@ -24,8 +29,8 @@ def byte_bpe(json_path: str, ranks_path: str):
     """texts -> arrays of ids as the ``tokenizers`` library gives them for the json file.
 
     Plain texts are encoded from the same vocabulary given as ranks, several times as
-    fast; texts with rarer characters go to the library itself. The end mark inside a
-    text is one token, as it is there.
+    fast; texts with rarer characters, or with white-space runs of ``LONG_SPACE`` characters,
+    go to the library itself. The end mark inside a text is one token, as it is there.
     """
     import numpy as np
     import public_tokenizers
@@ -41,7 +46,7 @@ def byte_bpe(json_path: str, ranks_path: str):
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     def encode(text: str):
-        if _PLAIN.fullmatch(text) is None:
+        if _PLAIN.fullmatch(text) is None or any(m.end() - m.start() >= LONG_SPACE for m in _SPACE_RUN.finditer(text)):
             return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if END not in text:
             return plain(text)
