@@ -2,11 +2,10 @@
 
 Round 0 runs where the text is: a task tokenises its rows, cuts long documents, and packs
 what it has by best fit in decreasing length. Bins that are nearly full are final; the
-others become items of the next round, in which neighbouring groups are merged and packed
-again, until one group is left or a round joins hardly any bins.
-
-A group never holds more than ``GROUP_ITEMS`` bins, whatever the input: if the leftovers of
-a round don't fit into one group and don't get fewer, each stays a sequence of its own.
+others become items of the next round, dealt to groups of about ``GROUP_ITEMS`` bins, each of
+which is packed again. From then on only bins that are half full at most can be joined with
+one another, and best fit leaves one of these in a group at most, so a round makes them
+fewer by about that factor; rounds go on to the root of the tree, where a single one is left.
 """
 
 from __future__ import annotations
@@ -30,9 +29,6 @@ GROUP_ITEMS = 20_000
 #: A bin with so few free tokens is final.
 NEARLY_FULL = 8
 
-#: A round that lowers the number of open bins by less than this share is the last.
-LEAST_GAIN = 0.02
-
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BIN_SCHEMA = "bin bigint, part bigint, fill int, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -133,24 +129,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     bins = shared_table(source.mapInArrow(_tokenise_and_pack(capacity, paths), BIN_SCHEMA))
     full = F.col("fill") >= capacity - NEARLY_FULL
-    done = [bins.filter(full)]
-    open_bins = bins.filter(~full)
-    n, groups_before = open_bins.count(), None
-    while n > 1:
+    done, open_bins = [bins.filter(full)], bins.filter(~full)
+    while (n := open_bins.count()) > 1:
         groups = -(-n // GROUP_ITEMS)
-        if groups_before is None:
-            # Neighbouring partitions go together; a large one is spread by its bins.
-            part = F.pmod(F.xxhash64("bin"), F.lit(groups))
-        else:
-            part = F.col("part") * F.lit(groups) / F.lit(groups_before)
-        merged = shared_table(
-            open_bins.withColumn("part", F.floor(part).cast("bigint")).groupBy("part").applyInArrow(_merge(capacity), BIN_SCHEMA))
-        done.append(merged.filter(full))
-        open_bins = merged.filter(~full)
-        left = open_bins.count()
-        if groups == 1 or left > n * (1 - LEAST_GAIN):
+        part = F.pmod(F.xxhash64("bin"), F.lit(groups)).cast("bigint")
+        merged = shared_table(open_bins.withColumn("part", part).groupBy("part").applyInArrow(_merge(capacity), BIN_SCHEMA))
+        # Two bins that are more than half full never fit into one.
+        small = F.col("fill") <= capacity // 2
+        done.append(merged.filter(~small))
+        open_bins = merged.filter(small)
+        if groups == 1:
             break
-        n, groups_before = left, groups
     done.append(open_bins)
     rows = done[0]
     for more in done[1:]:
