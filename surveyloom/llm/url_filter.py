@@ -1,8 +1,8 @@
 """URL filters: all wildcard rules at once by a bit-parallel Shift-And automaton.
 
-Each rule is one or more globs over the canonical form of a URL, host + NUL + path.
-Positions of all globs lie one after another in a bit mask of as many 64-bit words as
-needed. A position may loop on a class of characters (a star); one step per character
+Each rule is one or more globs over the canonical form of a URL, host + NUL + path, both
+as UTF-8 bytes. Positions of all globs lie one after another in a bit mask of as many
+64-bit words as needed. A position may loop on a class of bytes (a star); one step per byte
 moves every glob of every URL of a batch, the URLs side by side in arrays.
 """
 
@@ -29,6 +29,8 @@ DEFAULT_BLOCK = ("*ads-track.*/*", "*/login*", "*/wp-admin/*", "*.exe", "*.zip")
 
 SPLIT = "\0"
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 @dataclass(frozen=True)
 class Glob:
@@ -42,7 +44,7 @@ def globs_of(rules, defaults) -> list[Glob]:
     """A host rule is the host itself and any subdomain, then its path and any rest."""
     out = []
     for i, (_, host, path) in enumerate(rules):
-        tail = (*host.lower(), SPLIT, *path, "any*")
+        tail = (*host.translate(_LOWER), SPLIT, *path, "any*")
         out += [Glob(tail, i), Glob(("host*", ".", *tail), i)]
     for pattern in defaults:
         host, slash, path = pattern.partition("/")
@@ -57,7 +59,7 @@ def globs_of(rules, defaults) -> list[Glob]:
 class Automaton:
     """Bit i * 64 + j is position 64 i + j of the globs laid end to end.
 
-    Every glob has a start position, then one position for each character. A star is no
+    Every glob has a start position, then one position for each byte. A star is no
     position of its own: it lets the position before it loop.
     """
 
@@ -71,8 +73,8 @@ class Automaton:
                 if token in ("any*", "host*"):
                     loops[-1] = token
                 else:
-                    moves.append(token)
-                    loops.append(None)
+                    moves += token.encode()
+                    loops += [None] * len(token.encode())
             ends.append(len(moves) - 1)
         self.words = (len(moves) + 63) // 64
         self.rules = np.array([g.rule for g in globs])
@@ -81,7 +83,7 @@ class Automaton:
         self.move = np.zeros((256, self.words), dtype=np.uint64)
         self.loop = np.zeros((256, self.words), dtype=np.uint64)
         for c in range(256):
-            self.move[c] = self._mask([i for i, m in enumerate(moves) if m is not None and ord(m) == c])
+            self.move[c] = self._mask([i for i, m in enumerate(moves) if m == c])
             self.loop[c] = self._mask([i for i, m in enumerate(loops) if m == "any*" or (m == "host*" and c != 0)])
 
     def _mask(self, positions: list[int]) -> np.ndarray:
