@@ -15,15 +15,18 @@ from surveyloom.llm.near_join import near_join
 from surveyloom.llm.packing import pack
 from surveyloom.llm.substring_dedup import substring_dedup
 
-#: A document stays if one language has at least this share of its letters; mixed documents are no fault.
-LEAST_LANGUAGE_SHARE = 0.25
+#: A document goes if more than this share of its letters is in scripts that no learned language uses.
+UNLEARNED_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those in which no language prevails."""
+    """Drops documents without a letter, and those mostly in scripts of which no language was learned.
+
+    How languages mix in a document is no ground: of learned ones all may stay.
+    """
     model = language_id.fit(language_id.training_rows(docs))
     judged = language_id.identify(docs, model, keep_row=True)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("unlearned") <= UNLEARNED_SHARE)).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

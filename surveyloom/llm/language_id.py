@@ -204,6 +204,7 @@ class ScoredWords:
     start: np.ndarray
     end: np.ndarray
     letters: np.ndarray
+    learned: np.ndarray  # whether some language of the model is written in the script
 
 
 def _scored_words(texts: pa.Array, model: LanguageModel) -> tuple[ScoredWords, np.ndarray]:
@@ -211,7 +212,7 @@ def _scored_words(texts: pa.Array, model: LanguageModel) -> tuple[ScoredWords, n
     parts, scores = [], []
     for row, some in text_slices(texts, LETTER_BYTES):
         found = letters_of(some)
-        parts.append((found.text + row, found.start, found.end, found.sizes))
+        parts.append((found.text + row, found.start, found.end, found.sizes, model.scripts[found.script].any(axis=1) if model.langs else np.zeros(len(found.text), dtype=bool)))
         if model.langs and len(found.text):
             allowed = model.scripts[found.script]
             allowed = allowed | ~allowed.any(axis=1, keepdims=True)
@@ -229,6 +230,7 @@ def _predict(shared, penalty: float, text_col: str, keep_row: bool):
                 found, scores = _scored_words(texts, model)
                 counts = np.bincount(found.text, minlength=len(texts))
                 preds, shares, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
+                foreign = np.bincount(found.text, weights=found.letters * ~found.learned, minlength=len(texts)) / np.maximum(np.bincount(found.text, weights=found.letters, minlength=len(texts)), 1)
                 if langs and len(found.text):
                     label = label_words(scores, counts, model.prior, penalty)
                     letters = np.bincount(found.text * langs + label, weights=found.letters, minlength=len(texts) * langs).reshape(-1, langs)
@@ -244,18 +246,19 @@ def _predict(shared, penalty: float, text_col: str, keep_row: bool):
                         spans[found.text[a]].append({"start": int(found.start[a]), "end": int(found.end[b]), "lang": model.langs[label[a]]})
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(texts)), batch.column(1).slice(row, len(texts)), pa.array(preds, pa.string()), pa.array(shares),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))), pa.array(foreign, pa.float64()),
                     *([batch.column(2).slice(row, len(texts))] if keep_row else []),
-                ], names=["doc_id", "held_out", "lang_pred", "score", "spans", *(["row"] if keep_row else [])])
+                ], names=["doc_id", "held_out", "lang_pred", "score", "spans", "unlearned", *(["row"] if keep_row else [])])
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep_row: bool = False) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score, spans. No shuffle.
+    """One row per input row: doc_id, held_out, lang_pred, score, spans, unlearned. No shuffle.
 
     ``lang_pred`` is the language with the most letters, the first by name of equal ones,
     ``score`` its share of all letters, ``spans`` the stretches of one language by code
-    points. A null text, or one without a letter, is ``und`` with score 0 and no spans, as
+    points, ``unlearned`` the share of letters in words of a script that no learned
+    language is written in. A null text, or one without a letter, is ``und`` with score 0 and no spans, as
     is every text if the model has no language. ``held_out`` marks the rows that
     ``training_rows`` leaves out. Rows may repeat; an empty table gives no rows; other
     columns are not read, unless ``keep_row`` asks for the input row as a struct ``row``.
@@ -264,7 +267,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (id_remainder(id_col, 4) == 2).alias("held_out"), rows_and_text(docs, text_col, keep_row))
     schema = StructType([
         StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()),
-        StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))),
+        StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))), StructField("unlearned", DoubleType()),
         *(source.schema.fields[2:] if keep_row else []),
     ])
     return source.mapInArrow(_predict(shared, penalty, text_col, keep_row), schema)
