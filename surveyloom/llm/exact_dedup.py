@@ -3,14 +3,17 @@
 Senders are blocks of rows of one input partition. A block keeps its digests and sends
 each owner (a range of fingerprints) its distinct fingerprints, sorted and Golomb-Rice
 coded. Owners send back one bit for each fingerprint: seen in another block or not.
-Only rows with such a bit, or with a twin in their own block, are suspects; the texts of
-suspects are shuffled and grouped by their bytes, equal texts of one batch counted
-before. Everything else travels as digests.
+Only rows with such a bit, or with a twin in their own block, are suspects. Their
+fingerprints are marked in a bitmap of a fixed size that every task gets; a text whose
+mark is not set stays where it is, the others are shuffled, met with the exact list of
+suspects and grouped by their bytes, equal texts of one batch counted before. Everything
+else travels as digests.
 
 Sizes: a block holds at most ``BLOCK_ROWS`` rows, an owner about (distinct
 fingerprints of all blocks / owners). A group of copies, however large, is one
-fingerprint per block in the exchange, one row per batch in the verification and one
-row per task in the choice of the row that stays.
+fingerprint per block in the exchange, one row per batch in the verification, one
+row per task in the choice of the row that stays, and one row per block when it is told to
+its members.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from surveyloom.llm.common import shared_table, text_key, text_slices
 
 BLOCK_ROWS = 16_384
 
+#: Bits of the bitmap of suspect fingerprints. It spares shuffling, and decides nothing.
+BITS = 1 << 27
+
 _DELETE = b" \t\n\x0b\x0c\r"
 
 BLOCK_SCHEMA = "sender string, doc_id array<bigint>, text_key array<bigint>, digests binary, code_points array<bigint>, sent array<struct<owner:int,code:binary>>"
@@ -158,19 +164,36 @@ def _mark(owners: int):
     return run
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised texts with their fingerprint, equal ones of a batch counted."""
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the bitmap with the bits of a batch of fingerprints."""
     for batch in batches:
-        for _, part in text_slices(batch.column(0)):
-            counted: dict[bytes, int] = {}
-            for text in part.to_pylist():
-                norm = _normalised(text)
-                counted[norm] = counted.get(norm, 0) + 1
-            digests = [hashlib.sha256(norm).digest() for norm in counted]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(_fingerprints(b"".join(digests)).view(np.int64)), pa.array(digests, pa.binary()),
-                pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64()),
-            ], names=["fingerprint", "digest", "bytes", "rows"])
+        bit = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1))
+        if len(bit):
+            cell = (bit >> np.uint64(6)).astype(np.int64)
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first).view(np.int64))], names=["cell", "bits"])
+
+
+def _copies(shared):
+    """Normalised texts whose fingerprint is marked, equal ones of a batch counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            for _, part in text_slices(batch.column(0)):
+                counted: dict[bytes, int] = {}
+                for text in part.to_pylist():
+                    norm = _normalised(text)
+                    counted[norm] = counted.get(norm, 0) + 1
+                texts = list(counted)
+                digests = [hashlib.sha256(norm).digest() for norm in texts]
+                prints = _fingerprints(b"".join(digests))
+                bit = prints & np.uint64(BITS - 1)
+                at = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(prints[at].view(np.int64)), pa.array([digests[i] for i in at], pa.binary()),
+                    pa.array([texts[i] for i in at], pa.binary()), pa.array([counted[texts[i]] for i in at], pa.int64()),
+                ], names=["fingerprint", "digest", "bytes", "rows"])
+    return run
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -199,8 +222,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     suspects = rows.filter("suspect")
     prints = suspects.select("fingerprint").distinct()
+    marks = suspects.select("fingerprint").mapInArrow(_marked, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, dtype=np.uint64)
+    bitmap[marks.column("cell").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
     verified = (
-        source.select("text").mapInArrow(_copies, "fingerprint bigint, digest binary, bytes binary, rows bigint")
+        source.select("text").mapInArrow(_copies(shared), "fingerprint bigint, digest binary, bytes binary, rows bigint")
         .join(prints.hint("shuffle_hash"), "fingerprint", "left_semi")
         .groupBy("fingerprint", "digest", "bytes").agg(F.sum("rows").alias("rows"))
         .groupBy("digest").agg(F.sum("rows").alias("verified_rows"), F.count("*").alias("texts"))
@@ -216,5 +243,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "text_key"]
     single = rows.filter("NOT suspect").select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept")).select(*columns)
-    several = suspects.join(groups, "digest").withColumn("kept", (F.col("sender") == F.col("keep_sender")) & (F.col("place") == F.col("keep_place"))).select(*columns)
+    # A block meets the groups once per digest and tells its own rows.
+    members = suspects.groupBy("sender", "digest").agg(F.collect_list(F.struct("place", "doc_id", "text_key")).alias("rows"))
+    told = members.join(groups, "digest").select("sender", "digest", "group_size", "keep_id", "keep_sender", "keep_place", F.inline("rows"))
+    several = told.withColumn("kept", (F.col("sender") == F.col("keep_sender")) & (F.col("place") == F.col("keep_place"))).select(*columns)
     return single.unionByName(several)
