@@ -10,8 +10,11 @@ segmented alone, each distinct one once, all words of a batch side by side. Gian
 are cut into chunks anywhere. The state at a cut is how many characters a piece from the
 left reaches over it. A chunk gives the matrix of best scores from each entry state to
 each exit state; matrices are combined by (max, +) products, chunks to blocks, blocks to
-texts; the states at the cuts follow, and each chunk is segmented between its states on
-its own.
+texts, which gives the best scores of all states at every cut. With these a chunk knows by
+itself from which entry state the rule for ties comes to each exit state; these maps are
+composed from the end of the text to its start, the state at every cut follows, and each chunk
+is segmented on its own. Scores are multiples of a power of two, so sums do not depend on
+their order, and the ids are those of the text as a whole, whatever the chunks.
 """
 
 from __future__ import annotations
@@ -49,6 +52,9 @@ SLICE = 1_000_000
 NO_SCORE = -1e8
 UNKNOWN_PENALTY = 10.0
 
+#: Scores are rounded to multiples of this, so that their sums are exact.
+SCORE_STEP = 2.0 ** -16
+
 _RUN = re.compile(f"{MARK}*[^{MARK}]*")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -np.inf
@@ -85,7 +91,7 @@ class Pieces:
         order = np.argsort(np.array(hashes, dtype=np.uint64))
         self.hash = np.array(hashes, dtype=np.uint64)[order]
         self.id = np.array(ids, dtype=np.int64)[order]
-        self.score = np.array(scores, dtype=np.float64)[order]
+        self.score = np.round(np.array(scores, dtype=np.float64)[order] / SCORE_STEP) * SCORE_STEP
         scored = self.score > NO_SCORE
         self.score[~scored] = self.score[scored].min() - 1
         self.longest = longest
@@ -302,31 +308,91 @@ def _product(table: pa.Table) -> pa.Table:
     return pa.table({"name": table.column("name").combine_chunks().slice(0, 1).cast(pa.string()), "block": table.column("block").combine_chunks().slice(0, 1).cast(pa.int32()), "matrix": pa.array([out.tobytes()], pa.binary())})
 
 
-def walk(matrices: np.ndarray, enter: int, leave: int | None) -> tuple[list[int], list[int]]:
-    """States before and after each matrix on a best way from ``enter`` to ``leave`` (or to the best end)."""
-    vectors = [np.where(np.arange(matrices.shape[1]) == enter, 0.0, _NONE)]
-    for m in matrices:
-        vectors.append((vectors[-1][:, None] + m).max(axis=0))
-    states = [int(vectors[-1].argmax()) if leave is None else leave]
-    for vector, m in zip(vectors[-2::-1], matrices[::-1]):
-        states.append(int((vector + m[:, states[-1]]).argmax()))
-    states.reverse()
-    return states[:-1], states[1:]
+def forward(matrices: np.ndarray, enter: np.ndarray) -> list[np.ndarray]:
+    """Best score of each state before every matrix."""
+    out = [enter]
+    for m in matrices[:-1]:
+        out.append((out[-1][:, None] + m).max(axis=0))
+    return out
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(raw, dtype=np.float64) for raw in column.to_pylist()])
 
 
-def _walk_blocks(table: pa.Table) -> pa.Table:
+def _enter_blocks(table: pa.Table) -> pa.Table:
     table = table.sort_by("block")
     matrices = _matrices(table.column("matrix"))
-    before, after = walk(matrices, 0, None)
+    enter = forward(matrices, np.where(np.arange(matrices.shape[1]) == 0, 0.0, _NONE))
+    return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "block": table.column("block").combine_chunks().cast(pa.int32()), "enter": pa.array([v.tobytes() for v in enter], pa.binary())})
+
+
+def _enter_chunks(table: pa.Table) -> pa.Table:
+    table = table.sort_by("chunk")
+    enter = forward(_matrices(table.column("matrix")), np.frombuffer(table.column("enter")[0].as_py(), dtype=np.float64))
+    return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "block": table.column("block").combine_chunks().cast(pa.int32()),
+                     "chunk": table.column("chunk").combine_chunks().cast(pa.int32()), "enter": pa.array([v.tobytes() for v in enter], pa.binary())})
+
+
+def _maps(model_path: str):
+    """For each exit state of a chunk the entry state that its best way comes from (-1 without one)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load_pieces(model_path)
+        states = pieces.longest
+        for batch in batches:
+            for low in range(0, batch.num_rows, SIDE_BY_SIDE):
+                part = batch.slice(low, SIDE_BY_SIDE)
+                chars, bodies = part.column("chars").to_numpy(), part.column("body").to_pylist()
+                points = _points(bodies, int(chars.max()) + states - 1)
+                value, back, _ = _forward(pieces, points, chars, _vectors(part.column("enter"))[:, None, :])
+                rows = np.arange(len(bodies))[:, None]
+                at = chars[:, None] + np.arange(states)
+                reached = value[rows, 0, at] > _NONE
+                while (length := back[rows, 0, at].astype(np.int64)).any():
+                    at = at - length
+                yield pa.RecordBatch.from_arrays([
+                    part.column("name"), part.column("block"), part.column("chunk"), pa.array([np.where(r, a, -1).astype(np.int8).tobytes() for r, a in zip(reached, at)], pa.binary()),
+                ], names=["name", "block", "chunk", "map"])
+    return run
+
+
+def _map_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(raw, dtype=np.int8) for raw in column.to_pylist()])
+
+
+def composed(maps: np.ndarray) -> np.ndarray:
+    """From the exit state of the last chunk to the entry state of the first."""
+    out = maps[-1]
+    for m in maps[-2::-1]:
+        out = np.where(out >= 0, m[np.maximum(out, 0)], -1).astype(np.int8)
+    return out
+
+
+def leaving(maps: np.ndarray, last: int) -> list[int]:
+    """Exit state of every chunk, given that of the last."""
+    states = [last]
+    for m in maps[:0:-1]:
+        states.append(int(m[states[-1]]))
+    return states[::-1]
+
+
+def _compose_block(table: pa.Table) -> pa.Table:
+    table = table.sort_by("chunk")
+    return pa.table({"name": table.column("name").combine_chunks().slice(0, 1).cast(pa.string()), "block": table.column("block").combine_chunks().slice(0, 1).cast(pa.int32()),
+                     "map": pa.array([composed(_map_rows(table.column("map"))).tobytes()], pa.binary())})
+
+
+def _leave_blocks(table: pa.Table) -> pa.Table:
+    """A text ends where its last chunk does."""
+    table = table.sort_by("block")
     return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "block": table.column("block").combine_chunks().cast(pa.int32()),
-                     "enter": pa.array(before, pa.int32()), "leave": pa.array(after, pa.int32())})
+                     "leave": pa.array(leaving(_map_rows(table.column("map")), 0), pa.int32())})
 
 
-def _walk_chunks(table: pa.Table) -> pa.Table:
+def _leave_chunks(table: pa.Table) -> pa.Table:
     table = table.sort_by("chunk")
-    before, after = walk(_matrices(table.column("matrix")), table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
     return pa.table({"name": table.column("name").combine_chunks().cast(pa.string()), "chunk": table.column("chunk").combine_chunks().cast(pa.int32()),
-                     "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32())})
+                     "after": pa.array(leaving(_map_rows(table.column("map")), table.column("leave")[0].as_py()), pa.int32())})
 
 
 def _segment(model_path: str):
@@ -337,9 +403,7 @@ def _segment(model_path: str):
                 part = batch.slice(low, SIDE_BY_SIDE)
                 chars, bodies = part.column("chars").to_numpy(), part.column("body").to_pylist()
                 points = _points(bodies, int(chars.max()) + pieces.longest - 1)
-                entry = np.full((len(bodies), 1, pieces.longest), _NONE)
-                entry[np.arange(len(bodies)), 0, part.column("before").to_numpy()] = 0
-                _, back, lattice = _forward(pieces, points, chars, entry)
+                _, back, lattice = _forward(pieces, points, chars, _vectors(part.column("enter"))[:, None, :])
                 ids = pieces.trace(points, lattice, back[:, 0, :], chars + part.column("after").to_numpy())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("name", "doc_id", "text_key", "chunk")), pa.array([np.frombuffer(x, "<u2").tolist() for x in ids], pa.list_(pa.int32()))],
                                                  names=["name", "doc_id", "text_key", "chunk", "ids"])
@@ -351,9 +415,13 @@ def _encode_giants(source: DataFrame, path: str, chunk_chars: int, block_chunks:
     chunks = shared_table(source.mapInArrow(_chunks(chunk_chars, reach), "name string, doc_id bigint, text_key bigint, chunk int, chars int, body string"))
     matrices = shared_table(chunks.mapInArrow(_transfer(path), "name string, chunk int, matrix binary").withColumn("block", F.floor(F.col("chunk") / block_chunks).cast("int")))
     blocks = matrices.groupBy("name", "block").applyInArrow(_product, "name string, block int, matrix binary")
-    cuts = blocks.groupBy("name").applyInArrow(_walk_blocks, "name string, block int, enter int, leave int")
-    states = matrices.join(cuts, ["name", "block"]).groupBy("name", "block").applyInArrow(_walk_chunks, "name string, chunk int, before int, after int")
-    parts = chunks.join(states, ["name", "chunk"]).select("name", "doc_id", "text_key", "chunk", "chars", "body", "before", "after").mapInArrow(_segment(path), "name string, doc_id bigint, text_key bigint, chunk int, ids array<int>")
+    block_enter = blocks.groupBy("name").applyInArrow(_enter_blocks, "name string, block int, enter binary")
+    enter = matrices.join(block_enter, ["name", "block"]).groupBy("name", "block").applyInArrow(_enter_chunks, "name string, block int, chunk int, enter binary")
+    entered = shared_table(chunks.join(enter, ["name", "chunk"]).select("name", "doc_id", "text_key", "block", "chunk", "chars", "body", "enter"))
+    maps = shared_table(entered.select("name", "block", "chunk", "chars", "body", "enter").mapInArrow(_maps(path), "name string, block int, chunk int, map binary"))
+    block_leave = maps.groupBy("name", "block").applyInArrow(_compose_block, "name string, block int, map binary").groupBy("name").applyInArrow(_leave_blocks, "name string, block int, leave int")
+    after = maps.join(block_leave, ["name", "block"]).groupBy("name", "block").applyInArrow(_leave_chunks, "name string, chunk int, after int")
+    parts = entered.join(after, ["name", "chunk"]).select("name", "doc_id", "text_key", "chunk", "chars", "body", "enter", "after").mapInArrow(_segment(path), "name string, doc_id bigint, text_key bigint, chunk int, ids array<int>")
     return parts.groupBy("name").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")).drop("name")
@@ -363,8 +431,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """One row per input row: doc_id, text_key, ids. ``text_key`` is that of the text with word marks as spaces.
 
     A null text counts as empty and has no ids. Texts of more than ``giant_chars`` code
-    points are encoded by chunks; of several best segmentations they get one, which need
-    not be the one that the rule for ties picks. Rows may repeat; an empty table gives
+    points are encoded by chunks, with the same ids. Rows may repeat; an empty table gives
     no rows; columns beside the two named are not read.
     """
     from surveyloom.llm.tokens import tokenizer_path
