@@ -43,13 +43,13 @@ HEAD = 1 << 16
 BITS = 1 << 27
 
 #: Bytes of text handled at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 #: A task sends its dense counts when it has seen so many words, long before a count can overflow.
 FLUSH_WORDS = 1 << 30
 
-#: The best of a language are chosen among those of so many parts at most.
-LAST_PARTS = 64
+#: The best of a language are chosen among those of about so many parts, theirs among as many, and so on.
+MERGED_PARTS = 8
 
 NO_LANGUAGE = "und"
 
@@ -85,7 +85,7 @@ def tokens_of(texts: pa.Array, langs: list[str], seed: int) -> Tokens:
     known = {lang: int.from_bytes(hashlib.blake2b(f"{seed} {lang}".encode(), digest_size=8).digest(), "little") for lang in set(langs)}
     salt = np.array([known[lang] for lang in langs], dtype=np.uint64)
     key = mix(hash_words(words, seed) ^ salt[text]) if len(text) else np.zeros(0, dtype=np.uint64)
-    piece = np.cumsum(_CUT[words.data], dtype=np.int64)[words.start]
+    piece = np.cumsum(_CUT[words.data], dtype=np.int32)[words.start]
     followed = np.zeros(len(text), dtype=bool)
     followed[:-1] = (piece[:-1] == piece[1:]) & (text[:-1] == text[1:])
     return Tokens(words, key, text, followed)
@@ -338,8 +338,9 @@ def collocations(
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     # The best of each part of a language first, so that no task sorts a whole language.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    for some in sorted({parts, min(parts, LAST_PARTS)}, reverse=True):
-        part = Window.partitionBy("lang", F.pmod("salt", F.lit(some))).orderBy(*order)
+    while parts > 1:
+        part = Window.partitionBy("lang", F.pmod("salt", F.lit(parts))).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+        parts = parts // MERGED_PARTS
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).filter(F.col("rank") <= top)
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("bigint").alias("score"))
