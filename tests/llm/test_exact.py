@@ -212,16 +212,14 @@ def unigram():
 
 
 def test_codec(spark, texts, unigram):
-    values = texts + ["  the  quick é you👍 x", "a" * 300, "\x00b", "the end"]
+    values = texts + ["  the  quick é you👍 x", "a" * 300, "\x00b", "the end", *("ab" + " " * n + "cd ef" for n in (1, 14, 15, 16, 17, 20, 33, 40)), " " * 50, "the" + " " * 31]
     frame = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string")
     whole = {r.doc_id: r.ids for r in piece_codec.encode(frame).collect()}
     chunked = {r.doc_id: r.ids for r in piece_codec.encode(frame, giant_chars=20, chunk_chars=17, block_chunks=3).collect()}
-    pieces = piece_codec.load_pieces(tokenizer_path("piece_bpe_32k.model"))
-    score = dict(zip(pieces.id.tolist(), pieces.score.tolist()))
     for d, t in enumerate(values):
         if not any(c in t for c in "👍\x00"):
             assert whole[d] == unigram.encode(t)
-        assert sum(score.get(i, pieces.unknown) for i in whole[d]) == sum(score.get(i, pieces.unknown) for i in chunked[d])
+        assert chunked[d] == whole[d]
     for encoded in (piece_codec.encode(frame), piece_codec.encode(frame, giant_chars=20, chunk_chars=17, block_chunks=3)):
         assert {r.doc_id: r.text for r in piece_codec.decode(encoded, "doc_id").collect()} == dict(enumerate(values))
 
