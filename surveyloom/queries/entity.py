@@ -37,15 +37,18 @@ POOL = "upper(p_name || ' ' || p_type || ' ' || p_brand) || CASE WHEN p_size % 3
 SEARCH = "upper(p_name || ' ' || p_type || ' ' || p_brand) || CASE WHEN p_size % 4 = 0 THEN ' LT' WHEN p_size % 4 = 1 THEN ' CORP' ELSE '' END"
 
 MATCH_SQL = f"""
-WITH s AS (SELECT DISTINCT {SEARCH} AS name FROM part),
+WITH s AS (SELECT {SEARCH} AS name FROM part UNION SELECT upper(substr(p_name, 1, 2 + p_partkey % 2)) FROM part),
 p AS (SELECT {POOL} AS match, min(p_partkey) AS o FROM part GROUP BY 1),
 c AS (SELECT name, match, o FROM s, p WHERE contains(match, substr(name, 1, length(name) // 5 * 4 + (length(name) % 5 * 4) // 5)))
 """
 
 
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Names to look for, among them some of two and three letters, and the pool."""
     part = table(spark, folder, "part")
-    return part.select(F.expr(SEARCH).alias("name")).distinct(), part.select(F.expr(POOL).alias("match"), F.col("p_partkey").alias("pool_order"))
+    short = F.expr("upper(substr(p_name, 1, 2 + cast(p_partkey % 2 as int)))")
+    names = part.select(F.expr(SEARCH).alias("name")).union(part.select(short)).distinct()
+    return names, part.select(F.expr(POOL).alias("match"), F.col("p_partkey").alias("pool_order"))
 
 
 @query("fuzzy_match", MATCH_SQL + """
@@ -79,7 +82,9 @@ def accept_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("resolve_entities", f"""
-WITH acc AS (SELECT p_partkey AS account, CASE WHEN p_size > 25 THEN 'ID' || (p_partkey // 2) END AS isin, {SEARCH} AS name FROM part),
+WITH acc AS (
+  SELECT p_partkey AS account, CASE WHEN p_size > 25 THEN 'ID' || (p_partkey // 2) END AS isin,
+    CASE WHEN p_partkey % 50 = 0 THEN upper(substr(p_name, 1, 2 + p_partkey // 50 % 2)) ELSE {SEARCH} END AS name FROM part),
 ref AS (SELECT p_partkey AS ref_id, CASE WHEN p_size > 15 THEN 'ID' || p_partkey END AS isin, {POOL} AS name FROM part),
 i AS (SELECT isin, min(ref_id) AS ref_id FROM ref WHERE isin IS NOT NULL GROUP BY 1),
 x AS (SELECT account, name, ref_id FROM acc LEFT JOIN i USING (isin)),
@@ -98,7 +103,8 @@ UNION ALL SELECT account, rest.name, o, 'name' FROM rest JOIN ok USING (name) JO
 def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     accounts = part.select(
-        F.col("p_partkey").alias("account"), F.when(F.col("p_size") > 25, F.concat(F.lit("ID"), F.floor(F.col("p_partkey") / 2).cast("string"))).alias("isin"), F.expr(SEARCH).alias("name")
+        F.col("p_partkey").alias("account"), F.when(F.col("p_size") > 25, F.concat(F.lit("ID"), F.floor(F.col("p_partkey") / 2).cast("string"))).alias("isin"),
+        F.expr(f"CASE WHEN p_partkey % 50 = 0 THEN upper(substr(p_name, 1, 2 + cast(p_partkey div 50 % 2 as int))) ELSE {SEARCH} END").alias("name"),
     )
     reference = part.select(
         F.col("p_partkey").alias("ref_id"), F.when(F.col("p_size") > 15, F.concat(F.lit("ID"), F.col("p_partkey").cast("string"))).alias("isin"), F.expr(POOL).alias("name"), F.col("p_partkey").alias("order")
