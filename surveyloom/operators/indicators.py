@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions import cells, fixed_values as V
+from surveyloom.operators.ordered import join_keys
 from surveyloom.session import cut_lineage
 
 
@@ -40,7 +41,8 @@ def capped(counted: DataFrame, maxcol: DataFrame | None, year: str) -> DataFrame
     if maxcol is None:
         counted = cut_lineage(counted)
         maxcol = counted.groupBy(year).agg(F.max("_filled").alias("maxcol"))
-    return counted.join(maxcol, year, "left").withColumn("_divisor", F.when(F.col("maxcol") == 0, 1).otherwise(F.col("maxcol")))
+    # A null year is a year of its own.
+    return join_keys(counted, maxcol, [year], "left").withColumn("_divisor", F.when(F.col("maxcol") == 0, 1).otherwise(F.col("maxcol")))
 
 
 def label_counts(

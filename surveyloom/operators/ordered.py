@@ -7,15 +7,26 @@ and carry only one small row per chunk across.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, DecimalType, FractionalType, IntegerType, LongType, StructField, StructType
 
 from surveyloom.session import cut_lineage
 
-ACCURACY = 100_000
+#: Equal steps into which a round of a selection cuts the open range.
+STEPS = 4096
+
+#: A range with so few rows is sorted by a window.
+LAST_ROWS = 50_000
+
+#: Counted values in one range partition of running totals.
+RANGE_ROWS = 200_000
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -45,89 +56,147 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     )
 
 
-CHUNKS = 256
-
-
-def chunk_borders(cuts: list[float]) -> list[float]:
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
-
-
-def chunk_cuts(df: DataFrame, columns: list[str], chunks: int = CHUNKS) -> list[list[float]]:
-    """Approximate quantiles that cut each column into about equal chunks; one pass, a fixed number of values."""
-    return df.approxQuantile(columns, [i / chunks for i in range(1, chunks)], 0.5 / chunks)
-
+def _differs(c: pa.Array) -> np.ndarray:
+    """Whether each entry differs from the one before it; null equals null."""
+    a, b = c.slice(0, len(c) - 1), c.slice(1)
+    out = np.zeros(len(c), dtype=bool)
+    unequal = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    out[1:] = unequal.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _sum_along(by: list[str], totals: list[str]):
+    """Running sums of sorted rows, begun anew with each key; only the last sums are carried from batch to batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last_key, carried = TaskContext.get().partitionId(), None, [0] * len(totals)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in by:
+                new |= _differs(column[c])
+            key = [column[c][0].as_py() for c in by]
+            new[0] = key != last_key
+            starts = np.flatnonzero(new)
+            sums = []
+            for i, c in enumerate(totals):
+                run_sum = np.cumsum(column[c].to_numpy(zero_copy_only=False).astype(np.int64))
+                # What was summed up before the key began, and for the first key what earlier batches bring.
+                before = np.zeros(len(run_sum), dtype=np.int64)
+                if len(starts):
+                    before[starts] = np.diff(np.insert(run_sum[starts - 1] * (starts > 0), 0, 0))
+                    before = np.cumsum(before)
+                out = run_sum - before
+                first = starts[0] if len(starts) else len(out)
+                out[:first] += carried[i]
+                sums.append(out)
+                carried[i] = int(out[-1])
+            last_key = [column[c][batch.num_rows - 1].as_py() for c in by]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(x) for x in sums], pa.array(np.full(batch.num_rows, part, dtype=np.int32))],
+                names=[*batch.schema.names, *["cum_" + c for c in totals], "_part"])
+    return run
+
+
+def running_totals(counts: DataFrame, value: str, totals: list[str], by: list[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``cum_<c>`` (inclusive running sum along ``value``) for each count column, per key of ``by``.
+
+    ``counts`` holds one row per key and value, with whole counts. It is dealt by range of
+    (key, value), in as many parts as its rows ask for; a part sums up what it holds, and
+    one row per key and part carries what lies before. A null key is a key.
+    """
+    by = list(by)
+    base = cut_lineage(counts)
+    parts = max(-(-base.count() // range_rows), 1)
+    schema = StructType([*base.schema.fields, *[StructField("cum_" + c, LongType()) for c in totals], StructField("_part", IntegerType())])
+    ranged = base.repartitionByRange(parts, *by, value).sortWithinPartitions(*by, value)
+    # Read twice below, so it is made once.
+    summed = cut_lineage(ranged.mapInArrow(_sum_along(by, list(totals)), schema))
+    ends = summed.groupBy(*by, "_part").agg(*[F.sum(c).alias(c) for c in totals])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(*by, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("_before_" + c) for c in totals])
+    out = join_keys(summed, offsets, [*by, "_part"])
+    return out.withColumns({"cum_" + c: F.col("cum_" + c) + F.col("_before_" + c) for c in totals}).select(*base.columns, *["cum_" + c for c in totals])
+
+
+def _step(v: Column, lo: Column, hi: Column, kind: DataType, steps: int) -> Column:
+    """Step of a value between ``lo`` and ``hi``: 0 for lo, the last for hi, never falling in between."""
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        # Infinite values and NaN count as the largest finite ones here; they are their own steps as lo and hi.
+        most = 1.7976931348623157e308
+        bound = lambda c: F.least(F.greatest(c.cast("double"), F.lit(-most)), F.lit(most)) / 2
+        share = F.try_divide(bound(v) - bound(lo), bound(hi) - bound(lo))
+    else:
+        exact = (lambda c: c) if isinstance(kind, DecimalType) else (lambda c: c.cast("decimal(20,0)"))
+        share = F.try_divide((exact(v) - exact(lo)).cast("double"), (exact(hi) - exact(lo)).cast("double"))
+    inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * (steps - 2)), F.lit(steps - 3)) + 1
+    return F.when(v == lo, 0).when(v == hi, steps - 1).otherwise(inner).cast("int")
 
-def running_totals(counts: DataFrame, value: str, totals: list[str], cuts: list[float] | None = None, chunks: int = CHUNKS) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum along ``value``) for each count column.
 
-    ``counts`` holds one row per value. The value range is cut at a fixed number
-    of approximate quantiles, so each sort covers about one chunk-th of the
-    values, and only one row per chunk is carried across. ``cuts`` may be given
-    when they are known for several columns at once.
-    """
-    if cuts is None:
-        cuts = chunk_cuts(counts, [value], chunks)[0]
-    # The counts are read twice below, so they are made once.
-    base = cut_lineage(Bucketizer(splits=chunk_borders(cuts), inputCol=value, outputCol="_chunk").transform(counts))
-    # One row per chunk, a fixed number: what lies before each chunk becomes a literal.
-    per_chunk = {int(r["_chunk"]): r for r in base.groupBy("_chunk").agg(*[F.sum(c).alias(c) for c in totals]).collect()}
-    inside = Window.partitionBy("_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = base
-    for c in totals:
-        sums = [per_chunk[k][c] if k in per_chunk else 0 for k in range(len(chunk_borders(cuts)) - 1)]
-        before = F.array(*[F.lit(v) for v in accumulate(sums[:-1], initial=0)])
-        out = out.withColumn("cum_" + c, F.get(before, F.col("_chunk").cast("int")) + F.sum(c).over(inside))
-    return out.drop("_chunk")
+def _between(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Every value with each bracket of its group that holds it."""
+    if by:
+        found = join_keys(rows, brackets, by)
+    else:
+        # As many rows as ranks are asked for.
+        kinds = {f.name: f.dataType for f in brackets.schema}
+        known = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in brackets.columns]) for r in brackets.collect()]
+        found = rows.select("_v", F.inline(F.array(*known))) if known else rows.select("_v", *[F.lit(None).cast(kinds[c]).alias(c) for c in brackets.columns]).limit(0)
+    return found.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float | str], accuracy: int = ACCURACY
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float | str], last_rows: int = LAST_ROWS, steps: int = STEPS
 ) -> DataFrame:
     """Exact order statistics per group (a null group is one): one row per group, one column per entry of ``probs``.
 
     A number asks for the nearest rank of ``q * (n - 1)``; ``"median"`` for the
-    mean of the middle two. A mergeable sketch brackets every wanted rank; a
-    second pass counts the values outside the brackets and keeps single values
-    only inside, where the exact rank is read off.
+    mean of the middle two. Selection goes in rounds: a round counts the values of an open
+    range in ``steps`` equal steps and goes on inside the one with the wanted rank, between
+    the least and the largest value seen there. As the ends of a range always fall into
+    different steps, this ends by itself, at the latest with a single value; ranges of
+    ``last_rows`` rows or less are sorted by a window. Groups that are this small from
+    the start, however many, are never searched.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
-    wanted = {name: 0.5 if p == "median" else float(p) for name, p in probs.items()}
-    bounds = [q for p in wanted.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    bounded = F.percentile_approx("_v", bounds, accuracy)
-    if by:
-        sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), bounded.alias("_b"))
-        marked = join_keys(rows, sketch, by)
-    else:
-        sketch = rows.agg(F.struct(F.count(F.lit(1)).alias("_n"), bounded.alias("_b")).alias("_s"))
-        marked = rows.withColumn("_s", sketch.scalar()).select("_v", "_s._n", "_s._b")
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(wanted)):
-        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        inside = inside | F.col("_v").between(lo, hi)
-        gap = gap + (F.col("_v") > hi).cast("int")
-    grouped = (
-        marked.withColumn("_kept", F.when(inside, F.col("_v")))
-        .withColumn("_gap", F.when(inside, F.lit(None)).otherwise(gap))
-        .groupBy(*by, "_n", "_kept", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"))
-    )
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = grouped.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_from") <= rank) & (rank < F.col("_to"))
-        checked = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(
-            F.raise_error(F.lit("rank outside its bracket: raise the accuracy"))
-        )
-        return F.max(F.when(hit, checked))
-
+    rows = cut_lineage(df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()))
+    kind = rows.schema["_v"].dataType
     last = F.col("_n") - 1
-    aggs = []
+    ranks: list[Column] = []
+    places: dict[str, list[int]] = {}
     for name, p in probs.items():
-        if p == "median":
-            aggs.append(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias(name))
-        else:
-            aggs.append(at(F.floor(last * F.lit(float(p)) + 0.5)).alias(name))
+        wanted = [F.floor(last / 2), F.ceil(last / 2)] if p == "median" else [F.floor(last * F.lit(float(p)) + 0.5)]
+        places[name] = list(range(len(ranks), len(ranks) + len(wanted)))
+        ranks += wanted
+    rank = F.get(F.array(*[r.cast("bigint") for r in ranks]), F.col("_id"))
+    small = F.col("_n") <= last_rows
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter("_n > 0")
+    ids = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(len(ranks) - 1)))
+    brackets = cut_lineage(groups.select(*by, "_n", F.col("_n").alias("_rows"), F.lit(0).cast("bigint").alias("_before"), "_lo", "_hi", F.explode(ids).alias("_id")))
+    while True:
+        searched = brackets.filter((F.col("_rows") > last_rows) & (F.col("_lo") < F.col("_hi")))
+        if searched.isEmpty():
+            break
+        counted = (
+            _between(rows, searched, by).withColumn("_step", _step(F.col("_v"), F.col("_lo"), F.col("_hi"), kind, steps))
+            .groupBy(*by, "_id", "_n", "_before", "_step").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        )
+        upto = Window.partitionBy(*by, "_id").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+        found = (
+            counted.withColumn("_to", F.col("_before") + F.sum("_c").over(upto)).filter(F.col("_to") > rank)
+            .groupBy(*by, "_id").agg(F.min(F.struct("_step", "_least", "_most", "_c", (F.col("_to") - F.col("_c")).alias("_from"))).alias("_f"))
+        )
+        narrowed = lambda f, c: F.coalesce(F.col(f"_f.{f}"), F.col(c)).alias(c)
+        brackets = cut_lineage(join_keys(brackets, found, [*by, "_id"], "left").select(
+            *by, "_n", narrowed("_c", "_rows"), narrowed("_from", "_before"), narrowed("_least", "_lo"), narrowed("_most", "_hi"), "_id"))
+    grouped = _between(rows, brackets, by).groupBy(*by, "_id", "_n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by, "_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = grouped.withColumn("_to", F.col("_before") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+
+    def at(i: int) -> Column:
+        hit = (F.col("_from") <= ranks[i]) & (ranks[i] < F.col("_to")) & (small | (F.col("_id") == i))
+        return F.max(F.when(hit, F.col("_v")))
+
+    aggs = [(at(own[0]) if len(own) == 1 else (at(own[0]) + at(own[1])) / 2).alias(name) for name, own in places.items()]
     return ranked.groupBy(*by).agg(*aggs)

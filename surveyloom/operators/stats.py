@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions import fixed_values as V
 from surveyloom.functions.distributions import f_upper, normal_two_sided, t_two_sided
-from surveyloom.operators.ordered import chunk_cuts, running_totals
+from surveyloom.operators.ordered import join_keys, running_totals
+from surveyloom.session import cut_lineage
 
 
 # -- group comparisons -----------------------------------------------------------
@@ -88,7 +89,7 @@ def rank_sum_tests(df: DataFrame, group: str, value: str, groups: list[str]) ->
         df.filter(F.col(value).isNotNull() & F.col(group).isin(*groups)).groupBy(F.col(value).alias("v"))
         .agg(*[F.sum((F.col(group) == g).cast("long")).alias(c) for c, g in zip(cols, groups)])
     )
-    run = running_totals(counted, "v", cols, chunk_cuts(df, [value])[0])
+    run = running_totals(counted, "v", cols)
     pairs = list(combinations(range(len(groups)), 2))
     aggs = [F.sum(c).alias("n_" + c) for c in cols]
     for i, j in pairs:
@@ -121,10 +122,11 @@ def autocorrelation(series: DataFrame, by: list[str], time: str, value: str, lag
     numbered = series.select(*by, F.row_number().over(w).alias("_t"), (F.col(value) - F.avg(value).over(Window.partitionBy(*by))).alias("_x"))
     shifted = numbered.select(*by, F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "_t", "_x")
     base = numbered.select(*by, (F.col("_t")).alias("_s"), F.col("_x").alias("_y"))
-    pairs = shifted.withColumn("_s", F.col("_t") + F.col("lag")).join(base, [*by, "_s"])
+    # A null key is a group of its own.
+    pairs = join_keys(shifted.withColumn("_s", F.col("_t") + F.col("lag")), base, [*by, "_s"])
     products = pairs.groupBy(*by, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
     total = numbered.groupBy(*by).agg(F.sum(F.col("_x") * F.col("_x")).alias("_c0"))
-    return products.join(total, by).select(*by, "lag", F.try_divide("_c", "_c0").alias("acf"))
+    return join_keys(products, total, by).select(*by, "lag", F.try_divide("_c", "_c0").alias("acf"))
 
 
 def linear_trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -189,9 +191,10 @@ def share_posterior(df: DataFrame, band: str) -> DataFrame:
 def marginal_transitions(df: DataFrame, year: str, band: str, value: Column) -> DataFrame:
     """Mean over successive years of the product of this year's and next year's band shares.
 
-    Shares only, no observed moves; see ``scores.transitions`` for those.
+    Shares only, no observed moves; see ``scores.transitions`` for those. Rows without
+    a year have no successor and stay out; a null band is a band.
     """
-    sums = df.groupBy(year, band).agg(F.sum(value).alias("_s"))
+    sums = df.filter(F.col(year).isNotNull()).groupBy(year, band).agg(F.sum(value).alias("_s"))
     totals = sums.groupBy(year).agg(F.sum("_s").alias("_t"))
     shares = sums.join(totals, year).select(year, band, F.try_divide(F.col("_s").cast("double"), F.col("_t").cast("double")).alias("share"))
     # One row per year: the window is over the years only.
@@ -285,13 +288,18 @@ def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson"
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each listed column replaced by its average rank; values are counted before they are ordered."""
-    out = df.select(*columns)
-    for c, cuts in zip(columns, chunk_cuts(out, columns)):
-        counted = out.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        ranks = running_totals(counted, c, ["n"], cuts).select(F.col(c).alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank"))
-        out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_rank")).drop("_v", "_rank")
-    return out
+    """Each listed column replaced by its average rank (null stays null).
+
+    All columns are counted, ordered and looked up together, as rows (column, value); each
+    of these is one shuffle, whatever the number of columns.
+    """
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"c{i}").alias("_v")) for i in range(len(columns))])).alias("e")
+    long = rows.select("_row", cells).select("_row", "e.*")
+    counted = long.filter(F.col("_v").isNotNull()).groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranks = running_totals(counted, "_v", ["n"], ["_i"]).select("_i", "_v", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank"))
+    ranked = long.join(ranks, ["_i", "_v"], "left")
+    return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(c) for i, c in enumerate(columns)]).drop("_row")
 
 
 def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:
@@ -299,27 +307,28 @@ def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:
     return ends.groupBy("node").agg((F.count(F.lit(1)) / (n_nodes - 1)).alias("degree"))
 
 
-def eigenvector_centrality(edges: DataFrame, squarings: int = 8) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-12, at_once: int = 6) -> DataFrame:
     """Dominant eigenvector of the unweighted graph, of length one.
 
-    The adjacency matrix with its diagonal set (which keeps the eigenvectors and
-    makes bipartite graphs converge) is squared a few times by joining it with
-    itself, which stands for ``2 ** squarings`` power iterations. Nodes are
-    variables, so the matrix is small however many rows the panel has.
+    A vector with a row per node is multiplied by the edges and scaled to length one,
+    until no entry changes by more than ``tolerance``. Every node keeps its own value as
+    well, which leaves the eigenvectors as they are and makes bipartite graphs converge.
+    A step is one join of edges and vector; ``at_once`` steps run between two looks at the change.
     """
-    from surveyloom.session import cut_lineage
-
     ends = edges.select(F.col("var_a").alias("i"), F.col("var_b").alias("j"))
     both = ends.unionByName(ends.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    loops = both.select("i", F.col("i").alias("j")).distinct()
-    m = both.unionByName(loops).withColumn("v", F.lit(1.0))
-    widest = m.groupBy("i").agg(F.sum("v").alias("s")).agg(F.max("s")).scalar()
-    m = cut_lineage(m.withColumn("v", F.col("v") / widest))
-    for k in range(squarings):
-        right = m.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
-        m = m.join(right, "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        if k % 3 == 2:
-            m = cut_lineage(m)
-    x = cut_lineage(m.groupBy(F.col("i").alias("node")).agg(F.sum("v").alias("x")))
-    norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()
-    return x.select("node", (F.col("x") / norm).alias("centrality"))
+    m = cut_lineage(both.unionByName(both.select("i", F.col("i").alias("j"))).distinct())
+    x = cut_lineage(m.select(F.col("i").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+    while True:
+        y = x
+        for _ in range(at_once):
+            y = m.join(y, m["j"] == y["node"]).groupBy(F.col("i").alias("node")).agg(F.sum("x").alias("x"))
+        y = cut_lineage(y)
+        norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+        if norm is None:
+            return x.select("node", F.col("x").alias("centrality"))
+        y = y.withColumn("x", F.col("x") / norm)
+        change = y.join(x.withColumnRenamed("x", "before"), "node").agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0]
+        x = y
+        if change <= tolerance:
+            return x.select("node", F.col("x").alias("centrality"))

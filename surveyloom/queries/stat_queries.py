@@ -71,12 +71,15 @@ def monthly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("autocorr", MONTH_SQL + """
-, d AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY month) AS t, mean - avg(mean) OVER (PARTITION BY o_orderstatus) AS x FROM y),
+, k AS (SELECT nullif(o_orderstatus, 'P') AS o_orderstatus, month, mean FROM y),
+d AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY month) AS t, mean - avg(mean) OVER (PARTITION BY o_orderstatus) AS x FROM k),
 c0 AS (SELECT o_orderstatus, sum(x * x) AS c0 FROM d GROUP BY 1)
 SELECT a.o_orderstatus, lag::INTEGER AS lag, round(sum(a.x * b.x) / any_value(c0), 6) AS acf
-FROM d a, range(0, 11) l(lag), d b, c0 WHERE a.o_orderstatus = b.o_orderstatus AND b.t = a.t + lag AND c0.o_orderstatus = a.o_orderstatus GROUP BY 1, 2""")
+FROM d a, range(0, 11) l(lag), d b, c0 WHERE a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus AND b.t = a.t + lag AND c0.o_orderstatus IS NOT DISTINCT FROM a.o_orderstatus GROUP BY 1, 2""")
 def autocorr(spark: SparkSession, folder: str) -> DataFrame:
-    out = stats.autocorrelation(monthly(spark, folder), ["o_orderstatus"], "month", "mean")
+    """Monthly means by status; one status is emptied, so that a null group is among them."""
+    rows = monthly(spark, folder).withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("P")))
+    out = stats.autocorrelation(rows, ["o_orderstatus"], "month", "mean")
     return out.withColumn("acf", number(F.col("acf")))
 
 
