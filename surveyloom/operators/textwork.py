@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from surveyloom.session import cut_lineage
 
@@ -40,9 +41,61 @@ def attach_results(df: DataFrame, text: str, results: DataFrame) -> DataFrame:
     return df.withColumn("text_key", F.sha2(text, 256)).join(results, "text_key", "left").drop("text_key")
 
 
-def store_results(results: DataFrame, path: str) -> None:
-    """Append to the result table, one folder per model."""
-    results.write.mode("append").partitionBy("model").parquet(path)
+RESULT_SCHEMA = "text_key string, model string, label string, scores map<string,double>"
+
+
+def store_results(results: DataFrame, path: str, run: str) -> None:
+    """Publish the results of one run; a run that is repeated replaces what it wrote before.
+
+    Rows go to a folder per (model, run), which a repeated run overwrites as a whole.
+    Only then is the run entered in the list of published ones, so what a broken run left is
+    not read. ``results``: ``text_key, model, label, scores``.
+    """
+    spark = results.sparkSession
+    dealt = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run").parquet(f"{path}/{name}")
+    dealt(results.select("text_key", "label", "scores", "model", F.lit(run).alias("run")), "results")
+    written = _read_or_none(spark, f"{path}/results", RESULT_SCHEMA + ", run string")
+    if written is not None:
+        dealt(written.filter(F.col("run") == run).groupBy("model", "run").agg(F.count(F.lit(1)).alias("n")), "published")
+
+
+def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def stored_results(spark: SparkSession, path: str, without_run: str | None = None) -> DataFrame:
+    """``text_key, model, label, scores`` of all published runs, one row per text and model.
+
+    Should two runs have scored the same text side by side, the first run by name counts.
+    ``without_run`` leaves one run out, whose texts are then scored again when it is repeated.
+    """
+    rows, runs = (_read_or_none(spark, f"{path}/{n}", schema) for n, schema in (("results", RESULT_SCHEMA + ", run string"), ("published", "model string, run string, n bigint")))
+    if rows is None or runs is None:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    if without_run is not None:
+        runs = runs.filter(F.col("run") != without_run)
+    known = rows.join(runs.select("model", "run"), ["model", "run"], "left_semi")
+    return known.groupBy("text_key", "model").agg(F.min_by(F.struct("label", "scores"), "run").alias("r")).select("text_key", "model", "r.label", "r.scores")
+
+
+def score_and_store(df: DataFrame, text: str, models: list[str], score: Callable[[str, DataFrame], DataFrame], path: str, run: str) -> DataFrame:
+    """Read, score, write: results for the texts of ``df`` out of the store at ``path``, filled where it lacks them.
+
+    ``score(model, texts)`` gives the results of distinct texts for one model, as
+    :func:`score_texts` does. A run may be repeated, and may follow a broken one.
+    """
+    spark = df.sparkSession
+    texts = cut_lineage(distinct_texts(df, text))
+    for model in models:
+        todo = unseen(texts, stored_results(spark, path, run), model)
+        store_results(score(model, todo).select("text_key", "model", "label", "scores"), path, run)
+    known = stored_results(spark, path).filter(F.col("model").isin(*models))
+    return known.join(texts.select("text_key"), "text_key", "left_semi")
 
 
 # -- classification --------------------------------------------------------------
@@ -107,12 +160,14 @@ def trigram_rows(df: DataFrame, key: str, text: str, characters: int | None = No
     """``key, n, gram``: distinct character triples, line breaks as blanks.
 
     Of the whole text, or of its first ``characters`` where a caller wants only those.
-    ``n`` is the number of triples of the text; a text without any keeps a row.
+    ``n`` is the number of triples of the text; a text without any keeps a row. The text
+    is cut into its characters once, so the cost is in proportion to its length.
     """
     head = F.lower(F.replace(F.col(text) if characters is None else F.substring(text, 1, characters), F.lit("\n"), F.lit(" ")))
-    heads = df.select(key, head.alias("_head"))
-    starts = F.sequence(F.lit(1), F.length("_head") - 2)
-    triples = F.when(F.length("_head") >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring("_head", i, F.lit(3)))))
+    heads = df.select(key, F.split(head, "").alias("_c"))
+    starts = F.sequence(F.lit(0), F.size("_c") - 3)
+    triple = lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2))
+    triples = F.when(F.size("_c") >= 3, F.array_distinct(F.transform(starts, triple)))
     return heads.select(key, triples.alias("_g")).select(key, F.size("_g").alias("n"), F.explode_outer("_g").alias("gram"))
 
 
@@ -135,16 +190,21 @@ def detect_languages(texts: DataFrame, profile: DataFrame, target: str = "en") -
     """``text_key, lang`` of distinct texts: best profile, or the target if nothing fits.
 
     A triple adds its log probability where a language knows it and the
-    language's floor where not, so only the known ones need to meet the profile.
+    language's floor where not. The profile is one row per triple with a column for
+    each of its languages, so a triple of a text meets one row and a text is summed up
+    in one aggregation.
     """
+    floors = {r["lang"]: r["floor"] for r in profile.groupBy("lang").agg(F.max("floor").alias("floor")).collect()}
+    if not floors:
+        return texts.select("text_key", F.lit(target).alias("lang"))
+    gains = {lang: f"_g{i}" for i, lang in enumerate(sorted(floors))}
     by_gram = cut_lineage(profile.groupBy("gram").agg(
-        F.collect_list(F.struct("lang", "floor", (F.col("logp") - F.col("floor")).alias("gain"))).alias("langs")
-    ))
-    met = trigram_rows(texts, "text_key", "text").join(by_gram, "gram", "left").select("text_key", "n", F.explode_outer("langs").alias("l"))
-    totals = met.groupBy("text_key", F.col("l.lang").alias("lang")).agg(F.sum("l.gain").alias("gain"), F.max("l.floor").alias("floor"), F.max("n").alias("n"))
-    score = F.col("gain") + F.col("floor") * F.col("n")
-    best = totals.groupBy("text_key").agg(F.max(F.when(F.col("lang").isNotNull(), F.struct(score.alias("score"), "lang"))).alias("b"))
-    return best.select("text_key", F.coalesce("b.lang", F.lit(target)).alias("lang"))
+        *[F.max(F.when(F.col("lang") == lang, F.col("logp") - F.col("floor"))).alias(g) for lang, g in gains.items()]))
+    met = trigram_rows(texts, "text_key", "text").join(by_gram, "gram", "left")
+    totals = met.groupBy("text_key").agg(F.max("n").alias("n"), *[F.sum(g).alias(g) for g in gains.values()])
+    scores = [F.when(F.col(g).isNotNull(), F.struct((F.col(g) + F.lit(floors[lang]) * F.col("n")).alias("score"), F.lit(lang).alias("lang"))) for lang, g in gains.items()]
+    best = F.array_max(F.array(*scores))["lang"]
+    return totals.select("text_key", F.coalesce(best, F.lit(target)).alias("lang"))
 
 
 def translate(
@@ -185,6 +245,20 @@ def translate_column(df: DataFrame, text: str, translated: DataFrame, extend: bo
     return out if detected else out.drop("lang")
 
 
+def ngram_cosine(a: Column, b: Column, n: int = 3) -> Column:
+    """Cosine of the exact counts of two texts' character runs, framed as in :func:`embed`; for names, not for long texts."""
+    def grams(c: Column) -> Column:
+        framed = F.concat(F.lit("^^"), F.coalesce(F.lower(c), F.lit("")), F.lit("$$"))
+        return F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)), lambda i: F.substring(framed, i, F.lit(n)))
+
+    def count(grams_of: Column, g: Column) -> Column:
+        return F.size(F.filter(grams_of, lambda x: x == g)).cast("double")
+
+    ga, gb = grams(a), grams(b)
+    dot = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, g: acc + count(x, g) * count(y, g))
+    return dot(ga, gb) / F.sqrt(dot(ga, ga) * dot(gb, gb))
+
+
 # -- vectors -----------------------------------------------------------------------
 def embed(df: DataFrame, text: str, out: str = "emb", size: int = 256, n: int = 3) -> DataFrame:
     """Hashed character n-gram vector of length one; any other vectoriser can fill the column instead."""

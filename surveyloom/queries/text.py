@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveyloom.operators import models, textwork
+from surveyloom.functions import fixed_values as V
+from surveyloom.operators import bayes, textwork
 from surveyloom.queries.registry import number, query, table
+from surveyloom.session import checkpoint_dir
 
 VOCABULARY = {"length": ("long", "short")}
 
@@ -30,7 +33,7 @@ def distinct_texts(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("text_key", F.length("text").cast("long").alias("n_chars"))
 
 
-def stored_results(spark: SparkSession, folder: str) -> DataFrame:
+def earlier_results(spark: SparkSession, folder: str) -> DataFrame:
     """Results of an earlier run: the labelled documents."""
     labelled = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     quality = F.max("quality").cast("double")
@@ -46,7 +49,7 @@ s AS (SELECT sha256(text) AS text_key, max(quality)::DOUBLE AS q FROM documents
 SELECT text_key, 'length' AS model, CASE WHEN coalesce(q, least(n / 1000, 1.0)) >= 0.5 THEN 'long' ELSE 'short' END AS label,
   round(coalesce(q, least(n / 1000, 1.0)), 6) AS long_score FROM t LEFT JOIN s USING (text_key)""")
 def incremental_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    results = textwork.classify(table(spark, folder, "documents"), "text", {"length": load_length_scorer}, stored_results(spark, folder))
+    results = textwork.classify(table(spark, folder, "documents"), "text", {"length": load_length_scorer}, earlier_results(spark, folder))
     return results.select("text_key", "model", "label", number(F.try_element_at("scores", F.lit("long"))).alias("long_score"))
 
 
@@ -103,17 +106,109 @@ def translate_texts(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
-@query("classify_docs")
+# What each model learns from: labels made of what the tables say about a document.
+MODEL_SOURCES = {
+    "climate_specificity": "CASE quality WHEN 1 THEN 'spec' ELSE 'non' END",
+    "environmental_claims": "CASE toxic WHEN 1 THEN 'yes' ELSE 'no' END",
+    "transition": "CASE lang WHEN 'en' THEN 'LABEL_0' WHEN 'fr' THEN 'LABEL_1' ELSE 'LABEL_2' END",
+    "climate_commitment": "CASE WHEN quality = 1 AND toxic = 0 THEN 'yes' ELSE 'no' END",
+    "tcfd": "CASE doc_id % 5 WHEN 0 THEN 'strategy' WHEN 1 THEN 'governance' WHEN 2 THEN 'risk' WHEN 3 THEN 'metrics' ELSE 'none' END",
+    "climate_sentiment": "CASE lang WHEN 'de' THEN 'neutral' WHEN 'es' THEN 'risk' ELSE 'opportunity' END",
+    "netzero_reduction": "CASE WHEN toxic = 1 THEN 'net-zero' WHEN quality = 1 THEN 'reduction' ELSE 'none' END",
+    "renewable": "CASE WHEN lang IN ('es', 'fr') THEN 'LABEL_1' ELSE 'LABEL_0' END",
+}
+
+
+def label_model(spark: SparkSession, folder: str) -> bayes.CountModel:
+    """All eight models, from the labelled documents."""
+    known = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    return bayes.fit(known.select("text", *[F.expr(e).alias(m) for m, e in MODEL_SOURCES.items()]), "text", V.MODEL_LABELS)
+
+
+def bayes_sql(texts: str) -> str:
+    """Probabilities ``q(text_key, model, label, p)`` for the distinct texts of a table."""
+    long = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS model, {e} AS label FROM known" for m, e in MODEL_SOURCES.items())
+    return f"""
+WITH known AS (SELECT d.doc_id, text, lang, quality, toxic FROM documents d JOIN labels USING (doc_id)),
+tr AS ({long}),
+kt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS token FROM known),
+c AS (SELECT model, label, token, count(*) AS c FROM tr JOIN kt USING (doc_id) GROUP BY ALL),
+tot AS (SELECT model, label, sum(c) AS total FROM c GROUP BY ALL),
+v AS (SELECT model, count(DISTINCT token) AS v FROM c GROUP BY 1),
+pr AS (SELECT model, label, ln(n / sum(n) OVER (PARTITION BY model)) AS prior FROM (SELECT model, label, count(*) AS n FROM tr GROUP BY 1, 2)),
+x AS (SELECT sha256(text) AS text_key, any_value(text) AS text FROM {texts} WHERE length(text) > 0 GROUP BY 1),
+xt AS (SELECT text_key, token, count(*) AS n FROM (SELECT text_key, unnest(regexp_extract_all(lower(text), '\\w+')) AS token FROM x) GROUP BY ALL),
+kn AS (SELECT text_key, model, sum(n) AS n FROM xt JOIN (SELECT DISTINCT model, token FROM c) USING (token) GROUP BY ALL),
+s AS (SELECT text_key, model, label, sum(n * ln(c + 1)) AS s FROM xt JOIN c USING (token) GROUP BY ALL),
+f AS (SELECT x.text_key, pr.model, pr.label, prior + coalesce(s, 0) - coalesce(kn.n, 0) * ln(total + v) AS score
+  FROM x CROSS JOIN pr JOIN tot USING (model, label) JOIN v USING (model) LEFT JOIN s ON s.text_key = x.text_key AND s.model = pr.model AND s.label = pr.label
+  LEFT JOIN kn ON kn.text_key = x.text_key AND kn.model = pr.model),
+e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY text_key, model)) AS e FROM f),
+q AS (SELECT text_key, model, label, e / sum(e) OVER (PARTITION BY text_key, model) AS p FROM e)
+"""
+
+
+@query("classify_docs", bayes_sql("documents") + "SELECT text_key, model, label, round(p, 6) AS score FROM q")
 def classify_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality label of every document by a bag-of-words model fitted on the labelled ones."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    train = docs.join(table(spark, folder, "labels"), "doc_id").select("text", F.col("quality").cast("double").alias("quality"))
-    model = models.text_classifier(train, "text", "quality")
-    made = model.transform(textwork.distinct_texts(docs, "text"))
-    return made.select(
-        "text_key", F.lit("quality").alias("model"), F.when(F.col("prediction") == 1, "yes").otherwise("no").alias("label"),
-        number(F.get(vector_to_array("probability"), 1)).alias("yes_score"),
-    )
+    """Probability of every label of the eight models for each distinct document text."""
+    scored = bayes.label_scores(textwork.distinct_texts(table(spark, folder, "documents"), "text"), label_model(spark, folder))
+    return scored.select("text_key", "model", F.explode("scores").alias("label", "score")).withColumn("score", number(F.col("score")))
+
+
+@query("top_labels", bayes_sql("documents") + "SELECT text_key, model, max_by(label, p) AS label, round(max(p), 6) AS score FROM q GROUP BY 1, 2")
+def top_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Best label of each model and its score for each distinct document text."""
+    scored = bayes.label_scores(textwork.distinct_texts(table(spark, folder, "documents"), "text"), label_model(spark, folder))
+    return scored.select("text_key", "model", "label", number(F.col("score")).alias("score"))
+
+
+WIDE_LABELS = [(m, lb) for m, labels in V.MODEL_LABELS.items() for lb in labels]
+
+
+@query("labelled_answers", bayes_sql("conversations") + ", w AS (SELECT text_key, " + ", ".join(
+    f"round(max(p) FILTER (model = '{m}' AND label = '{lb}'), 6) AS \"{m}|{lb}\"" for m, lb in WIDE_LABELS) + """ FROM q GROUP BY 1)
+SELECT conv_id, turn, w.* EXCLUDE (text_key) FROM conversations LEFT JOIN w ON text_key = sha256(text)""")
+def labelled_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every answer with the scores of all labels of the eight models, one column each."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    scored = bayes.label_scores(textwork.distinct_texts(rows, "text"), label_model(spark, folder))
+    wide = scored.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("model", "scores"))).alias("m"))
+    cell = lambda m, lb: F.try_element_at(F.try_element_at("m", F.lit(m)), F.lit(lb))
+    return textwork.attach_results(rows, "text", wide).select("conv_id", "turn", *[number(cell(m, lb)).alias(f"{m}|{lb}") for m, lb in WIDE_LABELS])
+
+
+@query("unknown_model_labels", bayes_sql("documents") + """
+, t AS (SELECT text_key, model, max_by(label, p) AS label FROM q GROUP BY 1, 2)
+SELECT model, upper(label) AS label, count(*) AS n FROM t WHERE model IN ('tcfd', 'transition') AND upper(label) <> label GROUP BY 1, 2""")
+def unknown_model_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels outside the vocabulary of their model, where two models' labels are written in capitals."""
+    scored = bayes.label_scores(textwork.distinct_texts(table(spark, folder, "documents"), "text"), label_model(spark, folder))
+    shouted = scored.withColumn("label", F.when(F.col("model").isin("tcfd", "transition"), F.upper("label")).otherwise(F.col("label")))
+    return textwork.check_labels(shouted, V.MODEL_LABELS)
+
+
+@query("stored_scoring", bayes_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)") + """
+, t AS (SELECT text_key, model, max_by(label, p) AS label FROM q WHERE model IN ('climate_sentiment', 'renewable') GROUP BY 1, 2)
+SELECT model, label, count(*) AS n, count(*) AS n_texts FROM t GROUP BY 1, 2""")
+def stored_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs over two tables into one store, the first one done twice: one row per text and model."""
+    model, path = label_model(spark, folder), f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    score = lambda name, texts: bayes.label_scores(texts, model).filter(F.col("model") == name)
+    docs, answers = table(spark, folder, "documents").select("text"), table(spark, folder, "conversations").select("text")
+    for rows, run in ((docs, "first"), (docs, "first"), (docs.unionByName(answers), "second")):
+        textwork.score_and_store(rows, "text", ["climate_sentiment", "renewable"], score, path, run)
+    return textwork.stored_results(spark, path).groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_key").alias("n_texts"))
+
+
+@query("name_similarity", """
+WITH g AS (SELECT p_partkey, unnest(['a', 'b']) AS side, unnest(['^^' || lower(p_name) || '$$', '^^' || lower(p_type) || '$$']) AS t FROM part),
+c AS (SELECT p_partkey, side, gram, count(*) AS n FROM (SELECT p_partkey, side, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM g) GROUP BY ALL),
+k AS (SELECT p_partkey, sqrt(sum(n * n) FILTER (side = 'a')) * sqrt(sum(n * n) FILTER (side = 'b')) AS k FROM c GROUP BY 1),
+d AS (SELECT a.p_partkey, sum(a.n * b.n) AS d FROM c a JOIN c b ON a.p_partkey = b.p_partkey AND a.gram = b.gram AND a.side = 'a' AND b.side = 'b' GROUP BY 1)
+SELECT p_partkey, round(coalesce(d, 0) / k, 6) AS similarity FROM k LEFT JOIN d USING (p_partkey)""")
+def name_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of the exact character runs of each part's name and type."""
+    return table(spark, folder, "part").select("p_partkey", number(textwork.ngram_cosine(F.col("p_name"), F.col("p_type"))).alias("similarity"))
 
 
 @query("embedded_names")
