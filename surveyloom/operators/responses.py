@@ -180,3 +180,31 @@ def auto_types(long: DataFrame) -> DataFrame:
         (F.sum("v") == F.sum("num")).alias("is_numeric"),
         F.sum("v").alias("n_values"),
     )
+
+
+def typed_table(long: DataFrame, keys: list[str], column: str = "column") -> tuple[DataFrame, dict[str, str]]:
+    """(one row per key with a typed column per question, the types by column).
+
+    ``long``: ``*keys, column, pos, value``. The facts of :func:`auto_types` are found
+    first, one row per question; from them follows the schema: a question that never has
+    two rows for a key becomes a single value, others a list in order of ``pos`` (nulls
+    stay in it); values become numbers where every one of them is one. A question
+    without any value is a text. Null keys are a key.
+    """
+    cell = long.select(F.struct(*keys).alias("key"), F.col(column).alias("column"), "value")
+    facts = {r["column"]: r for r in auto_types(cell).orderBy("column").collect()}
+    types, aggs = {}, []
+    for name, f in facts.items():
+        kind = "double" if f["is_numeric"] and f["n_values"] else "string"
+        value = as_double(F.col("value")) if kind == "double" else F.col("value")
+        here = F.col(column) == name
+        if f["is_scalar"]:
+            types[name] = kind
+            aggs.append(F.max(F.when(here, value)).alias(name))
+        else:
+            types[name] = f"array<{kind}>"
+            listed = F.sort_array(F.collect_list(F.when(here, F.struct("pos", value.alias("value"))))).getField("value")
+            aggs.append(F.when(F.size(listed) > 0, listed).alias(name))
+    if not aggs:
+        return long.select(*keys).distinct(), types
+    return long.groupBy(*keys).agg(*aggs), types

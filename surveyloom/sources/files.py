@@ -108,6 +108,27 @@ def select_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return [r.path for r in listing.filter(name.rlike("(?i)" + pattern)).collect()]
 
 
+def read_selected(spark: SparkSession, folder: str, pattern: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Files below a folder whose name matches the pattern, case ignored, of one layout.
+
+    The condition is on the file's metadata, so Spark passes over the other files, and no
+    list of paths is made.
+    """
+    reader = spark.read.format(fmt).option("recursiveFileLookup", True)
+    if fmt == "csv":
+        reader = reader.option("header", True).option("escape", '"')
+    df = (reader.schema(schema) if schema is not None else reader).load(folder)
+    return df.filter(F.col("_metadata.file_name").rlike("(?i)" + pattern))
+
+
+def read_workbooks(spark: SparkSession, path: str, labels: list[str] | None = None, years: list[int] | None = None) -> DataFrame:
+    """What :func:`write_workbooks` wrote; only the folders of the given labels and years are listed and read."""
+    df = spark.read.option("basePath", path).parquet(path)
+    if labels is not None:
+        df = df.filter(F.col("label").isin(list(labels)))
+    return df if years is None else df.filter(F.col("year").isin(list(years)))
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """Workbook configuration, one record per (label, year)."""
     return spark.read.schema(CONFIG).option("multiLine", True).json(path)
