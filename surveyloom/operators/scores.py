@@ -68,6 +68,35 @@ def before_after(scores: DataFrame, by: str, measure: str, year: str, cut: int,
     return out.withColumn("change", F.col("post") - F.col("pre"))
 
 
+def score_report(scores: DataFrame, measures: list[str], year: str, groups: list[str], cut: int | Column, min_rows: int = 50, more_than: int = 10) -> DataFrame:
+    """Means by year, by each group, before and from a cut, by both, and overall, out of one scan.
+
+    ``kind, key, period, avg_<measure>..., n``. ``kind`` is ``time``, the name of a group
+    column, ``<group>_change``, ``before_after`` or ``overall``. Rows without a year stay out.
+    Groups that are null, contain ``None`` or have less than ``min_rows`` rows are left
+    out; the change of a group also needs more than ``more_than`` rows on both sides.
+    """
+    rows = scores.filter(F.col(year).isNotNull()).select(year, *groups, F.when(F.col(year) < cut, "before").otherwise("after").alias("_period"), *measures)
+    every = [year, *groups, "_period"]
+    wanted = [[year], *[[g] for g in groups], *[[g, "_period"] for g in groups], ["_period"], []]
+    report = rows.groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in every]).agg(
+        *[F.avg(m).alias("avg_" + m) for m in measures], F.count(F.lit(1)).alias("n"), *[(F.grouping(c) == 0).alias("_has_" + c) for c in every])
+    kind, key = F.when(F.col("_has_" + year), "time"), F.when(F.col("_has_" + year), F.col(year).cast("string"))
+    for g in groups:
+        has = F.col("_has_" + g)
+        kind = kind.when(has & F.col("_has__period"), g + "_change").when(has, g)
+        key = key.when(has, F.col(g).cast("string"))
+    kind = kind.when(F.col("_has__period"), "before_after").otherwise("overall")
+    named = report.select(kind.alias("kind"), key.alias("key"), F.when(F.col("_has__period"), F.col("_period")).alias("period"), *["avg_" + m for m in measures], "n")
+    of_group = F.col("kind").isin(*groups, *[g + "_change" for g in groups])
+    # One or two rows per group: its sides, or the group itself.
+    own = Window.partitionBy("kind", "key")
+    sized = named.withColumn("_all", F.sum("n").over(own)).withColumn("_least", F.min("n").over(own)).withColumn("_sides", F.count(F.lit(1)).over(own))
+    known = F.col("key").isNotNull() & ~F.col("key").contains("None") & (F.col("_all") >= min_rows)
+    whole = F.col("period").isNull() | ((F.col("_sides") == 2) & (F.col("_least") > more_than))
+    return sized.filter(~of_group | F.coalesce(known & whole, F.lit(False))).drop("_all", "_least", "_sides")
+
+
 # -- indicators --------------------------------------------------------------------
 def indicator(cond: Column) -> Column:
     """1 where the condition holds, else 0 (null included)."""

@@ -27,6 +27,30 @@ def region(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PLACES = tuple(dict.fromkeys(c for _, members in V.REGIONS_PARTIAL for c in members)) + ("Atlantis", "usa", "")
+
+
+def _regions_sql(exact: bool) -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    if exact:
+        whens = [f"WHEN country IN ({', '.join(map(quote, members))}) THEN '{name}'" for name, members in V.REGIONS_EXACT]
+    else:
+        whens = [f"WHEN regexp_matches(country, {quote('|'.join(members))}) THEN '{name}'" for name, members in V.REGIONS_PARTIAL]
+    return "CASE " + " ".join(whens) + " ELSE 'Unknown' END"
+
+
+@query("region_lists", f"""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN p || ' (' || c_mktsegment || ')' ELSE p END AS country
+  FROM (SELECT *, [{', '.join(repr(x) for x in PLACES)}][c_custkey % {len(PLACES)} + 1] AS p FROM customer))
+SELECT c_custkey, country, {_regions_sql(True)} AS region, {_regions_sql(False)} AS region_partial FROM c""")
+def region_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Both rules over all countries of their lists, some with other words around them, some missing."""
+    place = F.get(F.array(*[F.lit(x) for x in PLACES]), (F.col("c_custkey") % len(PLACES)).cast("int"))
+    country = F.when(F.col("c_custkey") % 17 == 0, F.lit(None)).when(F.col("c_custkey") % 3 == 0, F.concat(place, F.lit(" ("), "c_mktsegment", F.lit(")"))).otherwise(place)
+    rows = table(spark, folder, "customer").select("c_custkey", country.alias("country"))
+    return rows.select("*", cells.region_exact(F.col("country")).alias("region"), cells.region_partial(F.col("country")).alias("region_partial"))
+
+
 def _case(column: str, rules: tuple, default: str) -> str:
     whens = " ".join("WHEN regexp_matches({}, '(?i){}') THEN '{}'".format(column, p.replace("'", "''"), v) for p, v in rules)
     return f"CASE {whens} ELSE {default} END"

@@ -141,6 +141,29 @@ def gap_before_after(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("sector", number(F.col("pre")).alias("pre"), number(F.col("post")).alias("post"), "n_pre", "n_post", number(F.col("change")).alias("change"))
 
 
+def _report_sql() -> str:
+    means = "round(avg(rhetoric), 6) AS avg_rhetoric, round(avg(action), 6) AS avg_action, round(avg(gap), 6) AS avg_gap, count(*) AS n"
+    parts = [
+        f"SELECT 'time' AS kind, day::VARCHAR AS key, NULL AS period, {means} FROM p GROUP BY day",
+        f"SELECT 'before_after', NULL, period, {means} FROM p GROUP BY period", f"SELECT 'overall', NULL, NULL, {means} FROM p HAVING count(*) > 0",
+    ]
+    for g in ("sector", "region"):
+        parts.append(f"SELECT '{g}', {g}, NULL, {means} FROM p WHERE {g} IS NOT NULL AND NOT contains({g}, 'None') GROUP BY {g} HAVING count(*) >= 50")
+        parts.append(f"SELECT '{g}_change', {g}, period, {means} FROM p WHERE {g} IN (SELECT {g} FROM p GROUP BY 1 HAVING count(*) >= 50 "
+                     f"AND count(*) FILTER (period = 'before') > 10 AND count(*) FILTER (period = 'after') > 10) AND NOT contains({g}, 'None') GROUP BY {g}, period")
+    regions = "CASE user_id % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'None, east' END"
+    return f", p AS (SELECT *, {regions} AS region, CASE WHEN day < DATE '2024-01-16' THEN 'before' ELSE 'after' END AS period FROM gaps) " + " UNION ALL ".join(parts)
+
+
+@query("gap_report", LABEL_SQL + _report_sql())
+def gap_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Gap means by day, sector, region, before and after, and overall, from one scan of the gaps."""
+    region = F.when(F.col("user_id") % 4 == 0, "north").when(F.col("user_id") % 4 == 1, "south").when(F.col("user_id") % 4 == 2, "None, east")
+    gaps = user_gaps(spark, folder).withColumn("region", region)
+    out = scores.score_report(gaps, ["rhetoric", "action", "gap"], "day", ["sector", "region"], F.lit("2024-01-16").cast("date"))
+    return out.select("kind", "key", "period", *[number(F.col("avg_" + c)).alias("avg_" + c) for c in ("rhetoric", "action", "gap")], "n")
+
+
 @query("sentiment_trend", """
 WITH l AS (SELECT ts::DATE AS day, CASE event_type WHEN 'click' THEN 'opportunity' WHEN 'error' THEN 'risk' WHEN 'view' THEN 'neutral' END AS label FROM events),
 c AS (SELECT day, count(*) FILTER (label = 'opportunity') AS opportunity_count, count(*) FILTER (label = 'risk') AS risk_count,
@@ -263,13 +286,13 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sector_paths", PATH_SQL + """
 , c AS (SELECT sector, count(DISTINCT path) AS n_paths FROM p GROUP BY 1)
-SELECT sector, path, count(*) AS n FROM p WHERE sector IN (SELECT sector FROM c ORDER BY n_paths DESC, sector LIMIT 3) GROUP BY 1, 2""")
+SELECT sector, path, count(*) AS n FROM p WHERE sector IN (SELECT sector FROM c ORDER BY n_paths DESC, sector LIMIT 5) GROUP BY 1, 2""")
 def sector_paths(spark: SparkSession, folder: str) -> DataFrame:
     states = customer_states(spark, folder)
     sectors = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("sector"))
     found = scores.paths(states, "o_custkey", "year", "state").join(sectors, "o_custkey")
     counts = scores.path_counts(found, ["sector"])
-    top = counts.groupBy("sector").agg(F.count(F.lit(1)).alias("n_paths")).orderBy(F.desc("n_paths"), "sector").limit(3)
+    top = counts.groupBy("sector").agg(F.count(F.lit(1)).alias("n_paths")).orderBy(F.desc("n_paths"), "sector").limit(5)
     return counts.join(top.select("sector"), "sector", "left_semi")
 
 
