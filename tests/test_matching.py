@@ -98,16 +98,62 @@ def test_costs_and_mapping(frame):
     trials = frame("trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double", [(1, 1.0, 1.0, 1.0, 1.0, 0.5), (2, 1.0, 1.0, 1.0, 1.0, -1.0)])
     got = {r.trial: r.accuracy for r in matching.sweep(cols, pairs, truth, trials).collect()}
     assert got == {1: pytest.approx(1 / 3), 2: 0.0}
-    ways = frame("variant string, trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double, method string, z double", [
-        ("w0", 1, 1.0, 1.0, 1.0, 1.0, 0.0, "cluster", 0.0), ("w0", 2, 1.0, 1.0, 1.0, 1.0, 0.0, "spread", -9.0), ("w1", 3, 1.0, 1.0, 1.0, 1.0, 0.5, "fixed", 0.0),
+    ways = frame("trial int, w_d_col double, w_s_col double, w_s_ctx double, w_s_field double, threshold double, method string, z double, window int, n_fields int", [
+        (1, 1.0, 1.0, 1.0, 1.0, 0.0, "cluster", 0.0, 0, 2), (2, 1.0, 1.0, 1.0, 1.0, 0.0, "spread", -9.0, 0, 1), (3, 1.0, 1.0, 1.0, 1.0, 0.5, "fixed", 0.0, 1, 2),
     ])
-    wider = matching.context_vectors(cols.drop("ctx_emb"), 1)
-    many = matching.sweep_variants({"w0": cols, "w1": wider}, pairs, truth, ways)
+    many = matching.sweep(matching.context_vectors(cols.drop("ctx_emb"), [0, 1]), pairs, truth, ways, [0, 1])
     got = {r.trial: r.accuracy for r in many.collect()}
     assert got == {1: pytest.approx(1 / 3), 2: 0.0, 3: pytest.approx(1 / 3)}
     assert tuples(matching.best_trial(many)) == [(1, pytest.approx(1 / 3))]
 
 
+def test_one_description_serves_every_window_and_number(frame):
+    """Contexts and samples of a wide description hold those of the narrower ones, over block ends and with null sheets."""
+    rng = random.Random(5)
+    rows = [("t", rng.choice(["s", "u", None]), i if i != 11 else None, f"c{i}", [rng.random(), rng.random()]) for i in range(40)]
+    df = frame("table string, sheet string, position int, column string, emb array<double>", rows)
+    whole = {r["column"]: r.ctx_embs for r in matching.context_vectors(df, [1, 3, 7], block=5).collect()}
+    assert len(whole) == 40
+    for k, w in enumerate((1, 3, 7)):
+        single = {r["column"]: r.ctx_emb for r in matching.context_vectors(df, w).collect()}
+        for _, sheet, at, c, own in rows:
+            near = [own] if at is None else [e for _, s, p, _, e in rows if s == sheet and p is not None and abs(p - at) <= w]
+            assert np.allclose(whole[c][k], np.mean(near, axis=0)) and np.allclose(single[c], whole[c][k])
+    values = frame("table string, column string, value string", [("t", f"c{i}", f"v{j}") for i in range(40) for j in range(i % 6)])
+    spell = lambda c: F.transform(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: (F.length(c) - F.length(F.replace(c, d, F.lit("")))).cast("double"))
+    seven = {r["column"]: r for r in matching.fingerprints(df.drop("emb"), values, spell, 7, [1, 2]).collect()}
+    three = {r["column"]: r for r in matching.fingerprints(df.drop("emb"), values, spell, 3, 2).collect()}
+    for i in range(40):
+        assert three[f"c{i}"].sample_embs == seven[f"c{i}"].sample_embs[:3] and three[f"c{i}"].ctx_emb == seven[f"c{i}"].ctx_embs[1]
+    assert three["c0"].sample_embs == []
+
+
+def test_merge_sections(frame):
+    """Two sheet ranges that ask the same: one question each, rows told apart by their section."""
+    rows = [(s, f"s{s}", s * 10 + k, q, f"{q} {s}", 100 + s) for s in range(4) for k, q in enumerate(("Revenue total", "Head count"))] + [(1, "s1", 19, "Only once", "x", 1)]
+    cells = frame("sheet_no int, sheet string, position int, column string, value string, key int", rows)
+    sections = frame("section string, lo int, hi int", [("one", 0, 1), ("two", 2, 3)])
+    letters = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+    spell = lambda c: F.transform(letters, lambda d: (F.length(c) - F.length(F.replace(F.lower(c), d, F.lit("")))).cast("double"))
+    merged, mapping = matching.merge_sections(cells, sections, ["one", "two"], spell, WEIGHTS, value=0.5)
+    assert tuples(mapping) == [("Head count", "Head count"), ("Only once", None), ("Revenue total", "Revenue total")]
+    got = {(r["table"], r["column"]): r.n for r in merged.groupBy("table", "column").agg(F.count("*").alias("n")).collect()}
+    assert got == {("one", "Head count"): 2, ("one", "Revenue total"): 2, ("two", "Head count"): 2, ("two", "Revenue total"): 2, ("one", "Only once"): 1}
+
+
+def test_long_chains(frame):
+    """Many tables, a question that pauses, and a mapping that is not one to one."""
+    steps = []
+    for k in range(9):
+        rows = [(f"q{k}", f"q{k + 1}"), ("r" if k != 4 else None, "r")]
+        steps.append((f"t{k}", f"t{k + 1}", frame("column_a string, column_b string", rows)))
+    got = tuples(matching.chain_mappings(steps))
+    assert tuple(f"q{k}" for k in range(10)) in got
+    assert ("r",) * 5 + (None,) * 5 in got and (None,) * 5 + ("r",) * 5 in got and len(got) == 3
+    with pytest.raises(ValueError, match="two partners"):
+        matching.chain_mappings([("a", "b", frame("column_a string, column_b string", [("x", "y"), ("x", "z")]))])
+
+
 def test_sections(frame):
     cells = frame("sheet_no int, column string", [(0, "a"), (1, "b"), (2, "c"), (5, "d")])
     sections = frame("section string, lo int, hi int", [("first", 0, 1), ("second", 1, 2)])
@@ -139,6 +185,37 @@ def test_samples(frame):
     assert one == {r["column"]: r.samples for r in matching.sample_values(long, 4).collect()}
 
 
+def test_short_names_and_blocks(frame, monkeypatch):
+    """Against all pairs, with names of one to three letters, repeats, nulls, and many blocks and parts."""
+    from surveyloom.functions.similarity import jaro_batch
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ABÉ ") for _ in range(rng.randint(1, 7)))
+    pool = [(word() + rng.choice(["", " LTD", " CO"]), k) for k in range(150)] + [(None, 7), ("AB", 900), ("AB", 3)]
+    names = {word() for _ in range(60)} | {"A", "AB", "ABA"}
+    monkeypatch.setattr(resolve, "SEARCH_BLOCK", 17)
+    monkeypatch.setattr(resolve, "POOL_PART", 40)
+    monkeypatch.setattr(resolve, "SCORE_BATCH", 13)
+    first = {}
+    for m, k in pool:
+        if m is not None:
+            first[m] = min(first.get(m, k), k)
+    for finite in (False, True):
+        want = {}
+        for n in names:
+            stem = n[: len(n) * 4 // 5]
+            hits = [m for m in first if stem and stem in m]
+            if not hits:
+                continue
+            whole, prefix = jaro_batch(hits, [n] * len(hits)), jaro_batch([m[: len(n)] for m in hits], [n] * len(hits))
+            gap = np.array([abs(len(m) - len(n)) for m in hits], dtype=float)
+            with np.errstate(divide="ignore"):
+                total = np.sqrt(whole * whole + 4 * prefix * prefix + (1 / (1 + gap) if finite else 1 / gap) ** 2)
+            want[n] = max(zip(total, [-first[m] for m in hits], hits))[2]
+        got = resolve.best_name_match(frame("name string", [(n,) for n in names] + [(None,)]), frame("match string, pool_order int", pool), finite)
+        assert {r.name: r.match for r in got.collect()} == want
+
+
 # -- chains ------------------------------------------------------------------------------------
 def test_chain_and_merge(frame):
     m1 = frame("column_a string, column_b string", [("a1", "b1"), ("a2", None), (None, "b3")])

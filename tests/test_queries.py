@@ -10,7 +10,7 @@ import oracle_check
 from surveyloom.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"cluster_profile", "feature_projection", "forest_adoption", "sweep", "match_columns", "classify_docs"}
+SLOW = {"cluster_profile", "feature_projection", "forest_adoption"}
 
 # No name is repeated often enough on the smallest tables.
 MAY_BE_EMPTY = {"eda_redundant"}

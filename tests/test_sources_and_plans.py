@@ -152,3 +152,25 @@ def test_summary_and_prefixes(frame):
     assert tuples(out.select("account no", "name", "status")) == [("1", "A", None), ("2", None, "ok")] and len(out.columns) == 32
     fin, env = survey_panel.prefixed(frame("gvkey string, datadate string", [("1", "05/31/15")]), frame("`319413 x` double, periodenddate string", [(1.0, "2015-06-30")]))
     assert fin.first().fiscal_year == 2014 and "tru_scope1_absolute" in env.columns and env.first().fiscal_year == 2015
+
+
+def test_pruned_reads(spark, tmp_path):
+    """Folders of other labels and years, and files of other names, are not among what is read."""
+    df = spark.range(40).selectExpr("id", "if(id % 2 = 0, 'investor', 'supply_chain') AS label", "cast(2010 + id % 4 AS int) AS year")
+    path = str(tmp_path / "books")
+    files.write_workbooks(df, path)
+    part = files.read_workbooks(spark, path, ["investor"], [2010])
+    assert sorted(r.id for r in part.collect()) == [i for i in range(40) if i % 4 == 0]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "label" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert all("label=investor/year=2010" in r.f for r in part.selectExpr("input_file_name() AS f").distinct().collect())
+    for name in ("a_2015_c4.parquet", "b_2016.parquet"):
+        spark.range(3).selectExpr("id", f"'{name}' AS origin").coalesce(1).write.parquet(str(tmp_path / "raw" / name.split(".")[0]))
+    import os
+    for folder in (tmp_path / "raw").iterdir():
+        for f in folder.glob("part-*.parquet"):
+            os.link(f, tmp_path / f"{folder.name}.parquet")
+    (tmp_path / "named").mkdir()
+    for f in tmp_path.glob("*.parquet"):
+        os.link(f, tmp_path / "named" / f.name)
+    assert {r.origin for r in files.read_selected(spark, str(tmp_path / "named"), "2015.*C4").collect()} == {"a_2015_c4.parquet"}

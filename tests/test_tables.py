@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,24 +26,58 @@ def test_running_totals(spark):
     values = sorted({round(random.gauss(0, 5), 3) for _ in range(500)})
     counts = [random.randint(1, 4) for _ in values]
     df = spark.createDataFrame(list(zip(values, counts)), "v double, n long")
-    got = {r.v: r.cum_n for r in running_totals(df, "v", ["n"], chunks=7).collect()}
+    got = {r.v: r.cum_n for r in running_totals(df, "v", ["n"], range_rows=70).collect()}
     total = 0
     for v, n in zip(values, counts):
         total += n
         assert got[v] == total
 
 
+def test_running_totals_per_key(spark):
+    """Keys that begin and end anywhere in a part, a null key, one key over many parts."""
+    random.seed(4)
+    rows = [(random.choice(["a", "a", "a", "b", "c", None]), float(v), random.randint(0, 3), random.randint(0, 9)) for v in range(700)]
+    df = spark.createDataFrame(rows, "k string, v double, n long, m long")
+    got = {(r.k, r.v): (r.cum_n, r.cum_m) for r in running_totals(df, "v", ["n", "m"], ["k"], range_rows=60).collect()}
+    totals: dict = {}
+    for k, v, n, m in rows:
+        before = totals.get(k, (0, 0))
+        totals[k] = (before[0] + n, before[1] + m)
+        assert got[k, v] == totals[k]
+    assert running_totals(df.limit(0), "v", ["n"], ["k"]).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 997])
 def test_exact_quantiles(spark, n):
     random.seed(n)
     data = [round(random.expovariate(0.1), 1) for _ in range(n)]
     df = spark.createDataFrame([("a", v) for v in data] + [("b", 1.0)], "g string, v double")
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.25, "p99": 0.99, "m": "median"}, accuracy=50).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.25, "p99": 0.99, "m": "median"}, last_rows=9, steps=4).collect()}
     ordered = sorted(data)
     at = lambda q: ordered[int((n - 1) * q + 0.5)]
     assert got["a"].q == at(0.25) and got["a"].p99 == at(0.99)
     assert got["a"].m == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
     assert got["b"].m == 1.0
+    whole = exact_quantiles(df.filter("g = 'a'"), [], "v", {"q": 0.25, "m": "median"}, last_rows=9, steps=4).collect()
+    assert [(r.q, r.m) for r in whole] == [(at(0.25), got["a"].m)]
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(20,6)"])
+def test_exact_quantiles_of_awkward_values(spark, kind):
+    """Hot values, far apart ones, the ends of the type, infinite ones."""
+    random.seed(9)
+    if kind == "double":
+        data = [1e300, -1e300, 5e-324, 0.0, float("inf"), float("-inf")] + [0.1] * 300 + [random.gauss(0, 1) * 10 ** random.randint(-30, 30) for _ in range(300)]
+    elif kind == "bigint":
+        data = [2 ** 63 - 1, -(2 ** 63), 0] + [7] * 300 + [random.randint(-(2 ** 62), 2 ** 62) for _ in range(200)] + list(range(100))
+    else:
+        data = [Decimal(v) / 1000 for v in [10 ** 12, -(10 ** 12), 0] + [5] * 300 + [random.randint(0, 10 ** 9) for _ in range(300)]]
+    df = spark.createDataFrame([(v,) for v in data], f"v {kind}")
+    qs = {f"q{i}": i / 10 for i in range(11)}
+    got = exact_quantiles(df, [], "v", qs, last_rows=5, steps=16).first()
+    ordered = sorted(data)
+    assert [got[q] for q in qs] == [ordered[int((len(data) - 1) * p + 0.5)] for p in qs.values()]
+    assert exact_quantiles(df.limit(0), [], "v", {"q": 0.5}).collect()[0].q is None
 
 
 # -- responses ---------------------------------------------------------------------------
@@ -193,3 +228,38 @@ def test_header_checks(frame):
     assert [r[2] for r in tuples(profile.only_in_one(cols, pairs))] == ["A  b", "A b", "A b_duplicated_1"]
     with pytest.raises(ValueError):
         profile.redundant_headers(cols)
+
+
+# -- rules by index --------------------------------------------------------------------------
+def test_needed_texts():
+    from surveyloom.operators.rules import needed_texts
+
+    assert needed_texts(r"(?s)3\.1a.*comment") == ["comment"] and needed_texts(r"9\.6.*target type") == ["target type"]
+    assert needed_texts("cc8.*emissions|cc8.1|8.csv") == ["emissions", "cc8", "csv"]
+    assert needed_texts("abc?d") == ["ab"] and needed_texts("ab+cd") == ["ab"] and needed_texts("x{2}long[a-z]tail(y|zz)?") == ["long"]
+    assert needed_texts("^isin$") == ["isin"] and needed_texts(r"\s*\d") == [""]
+
+
+def test_rules_by_index_are_the_rules_in_order(spark, frame):
+    """Every rule list over wordings that fit several rules, none, and null headers, years and files."""
+    extra = (((2015,), "", "co?", "short"), (None, "", r"\d{4}", "digits"))
+    words = ["3.1a", "target", "active", "comment", "scope", "why", "forecast", "cc8 emissions", "8.2a", "gross global scope 1", "metric tonnes co2e", "name", "isin", "9.6", "Target Type"]
+    rng = random.Random(8)
+    rows = [(rng.choice([2010, 2011, 2015, 2018, 2020, None]), rng.choice(["cc8.1 x.csv", "8.6a.csv", None, "f"]), " ".join(rng.choices(words, k=rng.randint(0, 5))).upper()) for _ in range(300)] + [(2015, "f", None)]
+    df = frame("year int, file string, header string", rows)
+    for rule_list in (TARGET_RULES + EMISSION_RULES + extra, SUMMARY_RULES, extra):
+        got = rules.topics_by_index(df, rule_list).select("year", "file", "header", "topic")
+        want = df.select("*", rules.topic_of(F.col("header"), rule_list, F.col("year"), F.col("file")).alias("topic"))
+        assert tuples(got) == tuples(want)
+    got = rules.topics_by_index(df.select("header"), SUMMARY_RULES)
+    assert tuples(got) == tuples(df.select("header", rules.topic_of(F.col("header"), SUMMARY_RULES).alias("topic")))
+
+
+def test_typed_table(frame):
+    rows = [(1, "list", 1, "2"), (1, "list", 0, None), (2, "list", 0, "1.5"), (1, "one", 0, "7"), (2, "one", 0, None), (1, "text", 0, "7"), (2, "text", 0, "x"),
+            (1, "words", 0, "a"), (1, "words", 1, "3"), (None, "one", 0, "4"), (2, "empty", 0, None)]
+    wide, types = responses.typed_table(frame("k int, column string, pos int, value string", rows), ["k"])
+    assert types == {"empty": "string", "list": "array<double>", "one": "double", "text": "string", "words": "array<string>"}
+    assert {f.name: f.dataType.simpleString() for f in wide.schema} == {"k": "int"} | types
+    assert tuples(wide.select("k", "list", "one", "text", "words")) == [(1, [None, 2.0], 7.0, "7", ["a", "3"]), (2, [1.5], None, "x", None), (None, None, 4.0, None, None)]
+    assert responses.typed_table(frame("k int, column string, pos int, value string", []), ["k"])[0].count() == 0

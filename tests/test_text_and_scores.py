@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_value, tuples
 from surveyloom.functions import fixed_values as V
-from surveyloom.operators import models, scores, stats, textwork
+from surveyloom.operators import bayes, models, scores, stats, textwork
 
 by_value(__name__)
 
@@ -35,13 +37,76 @@ def test_classify_scores_only_unseen_distinct_texts(frame):
     assert tuples(textwork.check_labels(results, {"m": ("yes",)})) == [("m", "no", 2)]
 
 
-def test_stored_results_round_trip(spark, frame, tmp_path):
-    df = frame("t string", [("abc",), ("a",)])
-    path = str(tmp_path / "results")
-    textwork.store_results(textwork.classify(df, "t", {"m": load_counting}), path)
-    again = textwork.unseen(textwork.distinct_texts(df, "t"), spark.read.parquet(path), "m")
-    assert again.count() == 0
-    assert textwork.unseen(textwork.distinct_texts(df, "t"), spark.read.parquet(path), "other").count() == 2
+def test_stored_results_survive_a_repeated_run(spark, frame, tmp_path):
+    df, path = frame("t string", [("abc",), ("a",), ("a",), (None,)]), str(tmp_path / "results")
+    score = lambda model, texts: textwork.score_texts(texts, {model: load_counting})
+    assert textwork.stored_results(spark, path).count() == 0
+    for _ in range(2):
+        assert textwork.score_and_store(df, "t", ["m"], score, path, "one").count() == 2
+    # A broken run has written its rows but was not entered: nobody reads them.
+    half = textwork.score_texts(textwork.distinct_texts(frame("t string", [("zzz",)]), "t"), {"m": load_counting})
+    half.select("text_key", "label", "scores", "model", F.lit("broken").alias("run")).write.mode("append").partitionBy("model", "run").parquet(path + "/results")
+    assert textwork.stored_results(spark, path).count() == 2
+    more = df.unionByName(frame("t string", [("zzz",), ("b",)]))
+    assert textwork.score_and_store(more, "t", ["m", "n"], score, path, "two").count() == 8
+    rows = textwork.stored_results(spark, path).collect()
+    assert len(rows) == len({(r.text_key, r.model) for r in rows}) == 8
+    # A run that is repeated with more texts keeps those it had.
+    assert textwork.score_and_store(df.unionByName(frame("t string", [("q",)])), "t", ["m"], score, path, "one").count() == 3
+    assert textwork.stored_results(spark, path).count() == 9
+
+
+def test_counting_models(frame):
+    """Against the formula, with a model without rows, a label without rows, unknown tokens and texts without tokens."""
+    vocabulary = {"m": ("x", "y", "never"), "k": ("u", "v"), "none": ("a", "b")}
+    train = [("cat cat dog", "x", "u"), ("dog fish", "y", "u"), ("fish Fish bird", "y", None), ("owl", None, "v"), ("owl cat", "else", "v")]
+    model = bayes.fit(frame("t string, m string, k string, none string", [(*r, None) for r in train]), "t", vocabulary)
+    texts = ["cat", "fish, bird! unheard", "unheard", "", "dog owl owl"]
+    got = {(r.text_key, r.model): r for r in bayes.label_scores(frame("text_key string, text string", [(t, t) for t in texts]), model).collect()}
+    assert len(got) == 2 * len(texts)
+    for name, at in (("m", 1), ("k", 2)):
+        docs = [(re.findall(r"\w+", r[0].lower()), r[at]) for r in train if r[at] in vocabulary[name]]
+        seen = {w for words, _ in docs for w in words}
+        for t in texts:
+            logs = {}
+            for lb in dict.fromkeys(lb for _, lb in docs):
+                own = [w for words, other in docs if other == lb for w in words]
+                logs[lb] = math.log(sum(o == lb for _, o in docs) / len(docs)) + sum(math.log((own.count(w) + 1) / (len(own) + len(seen))) for w in re.findall(r"\w+", t) if w in seen)
+            whole = sum(math.exp(v) for v in logs.values())
+            row = got[t, name]
+            assert row.scores == {lb: pytest.approx(math.exp(v) / whole) for lb, v in logs.items()}
+            assert row.label == max(logs, key=lambda lb: (round(logs[lb], 9), -vocabulary[name].index(lb))) and row.score == pytest.approx(max(row.scores.values()))
+
+
+def test_triples_take_time_in_proportion(frame):
+    """The text is cut into characters once; also with characters beyond two bytes and fewer than three of them."""
+    texts = {1: "aXé\n👍b", 2: "ab", 3: "", 4: None, 5: "xyz" * 100_000}
+    rows = textwork.trigram_rows(frame("k int, t string", list(texts.items())), "k", "t").collect()
+    got = {k: {r.gram for r in rows if r.k == k} for k in texts}
+    assert got[1] == {"axé", "xé ", "é 👍", " 👍b"} and got[2] == got[3] == got[4] == {None} and got[5] == {"xyz", "yzx", "zxy"}
+
+
+def test_name_cosine(frame):
+    rows = frame("a string, b string", [("Abc", "abc"), ("abcabc", "abcx"), ("q", None), ("", "")])
+    def plain(a, b):
+        grams = lambda t: Counter(("^^" + (t or "").lower() + "$$")[i:i + 3] for i in range(len(t or "") + 2))
+        x, y = grams(a), grams(b)
+        return sum(x[g] * y[g] for g in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    for r in rows.select("a", "b", textwork.ngram_cosine(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.c == pytest.approx(plain(r.a, r.b))
+
+
+def test_score_report(frame):
+    """Five kinds of rows; groups that are small, null or hold None, and changes without one side are left out."""
+    rows = [(2014 + i % 3, "a", "n", float(i)) for i in range(60)] + [(2014, "b", "n", 1.0)] * 55 + [(2016, None, "None, x", 9.0)] * 55 + [(None, "a", "n", 1e9)] + [(2015, "c", "s", 2.0)] * 3
+    got = {(r.kind, r.key, r.period): (r.avg_v, r.n) for r in scores.score_report(frame("y int, g string, h string, v double", rows), ["v"], "y", ["g", "h"], 2015).collect()}
+    known = [r for r in rows if r[0] is not None]
+    mean = lambda keep: (pytest.approx(np.mean([r[3] for r in known if keep(r)])), sum(keep(r) for r in known))
+    want = {("time", str(y), None): mean(lambda r, y=y: r[0] == y) for y in (2014, 2015, 2016)}
+    want |= {("before_after", None, "before"): mean(lambda r: r[0] < 2015), ("before_after", None, "after"): mean(lambda r: r[0] >= 2015), ("overall", None, None): mean(lambda r: True)}
+    want |= {("g", k, None): mean(lambda r, k=k: r[1] == k) for k in "ab"} | {("h", "n", None): mean(lambda r: r[2] == "n")}
+    want |= {(f"{c}_change", k, p): mean(lambda r, at=at, k=k, p=p: r[at] == k and (r[0] < 2015) == (p == "before")) for c, at, k in (("g", 1, "a"), ("h", 2, "n")) for p in ("before", "after")}
+    assert got == want
 
 
 def test_languages_and_translation(frame):
