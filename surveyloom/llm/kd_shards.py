@@ -235,7 +235,8 @@ def kd_shards(
     tree.bounds = {n: (whole[f"{p}_lo"], whole[f"{p}_hi"]) for n, p, number in zip(dimensions, places, numeric) if number}
     coded = [_place(F.col(p), *tree.bounds[n]).alias(p) if number else F.col(p) for n, p, number in zip(dimensions, places, numeric)]
     distinct = [0 if number else whole[f"{p}_n"] for p, number in zip(places, numeric)]
-    rows = meta.select("row", "size", *coded, "w1", "w2").withColumn("shard", F.lit(0)).withColumn("leaves", F.lit(tree.shards))
+    # Written, so that the first node is found by its number like any other.
+    rows = shared_table(meta.select("row", "size", *coded, "w1", "w2", F.lit(0).alias("shard"), F.lit(tree.shards).alias("leaves")))
     for _ in range((tree.shards - 1).bit_length()):
         cuts = _cuts(rows, places, numeric, distinct)
         tree.levels.append(cuts)
