@@ -18,10 +18,9 @@ from surveyloom.session import cut_lineage
 TOKEN = r"\w+"
 
 
-def token_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``*keys, token, n``: how often each row's text holds each token."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
-    return df.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``*keys, token``: a row for each token of each text."""
+    return df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)).alias("token"))
 
 
 @dataclass
@@ -50,9 +49,7 @@ def fit(train: DataFrame, text: str, vocabulary: dict[str, tuple[str, ...]]) ->
     of = lambda m, lb: F.col(m) == lb
     docs = train.agg(*[F.count(F.when(of(m, lb), 1)).alias(f"d{i}") for i, (m, lb) in enumerate(labels)]).first()
     labels = [(lb, docs[f"d{i}"]) for i, lb in enumerate(labels) if docs[f"d{i}"]]
-    counted = token_counts(train, models, text).groupBy("token").agg(
-        *[F.coalesce(F.sum(F.when(of(m, lb), F.col("n"))), F.lit(0)).alias(f"c{i}") for i, ((m, lb), _) in enumerate(labels)])
-    counted = cut_lineage(counted)
+    counted = cut_lineage(tokens(train, models, text).groupBy("token").agg(*[F.count(F.when(of(m, lb), 1)).alias(f"c{i}") for i, ((m, lb), _) in enumerate(labels)]))
     own = {m: [i for i, ((x, _), _) in enumerate(labels) if x == m] for m in models}
     known = {m: sum((F.col(f"c{i}") for i in at), F.lit(0)) > 0 for m, at in own.items() if at}
     totals = counted.agg(
@@ -74,10 +71,8 @@ def label_scores(texts: DataFrame, model: CountModel) -> DataFrame:
     if not model.labels:
         return texts.select("text_key", *[F.lit(None).cast(k).alias(n) for n, k in (("model", "string"), ("label", "string"), ("score", "double"), ("scores", "map<string,double>"))]).limit(0)
     models = model.models
-    counted = token_counts(texts, ["text_key"], "text")
-    summed = counted.join(model.gains, "token").groupBy("text_key").agg(
-        *[F.sum(F.col("n") * F.col(f"g{i}")).alias(f"s{i}") for i in range(len(model.labels))],
-        *[F.sum(F.when(F.col(f"k{j}"), F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(models))])
+    summed = tokens(texts, ["text_key"], "text").join(model.gains, "token").groupBy("text_key").agg(
+        *[F.sum(f"g{i}").alias(f"s{i}") for i in range(len(model.labels))], *[F.count(F.when(F.col(f"k{j}"), 1)).alias(f"n{j}") for j in range(len(models))])
     every = texts.select("text_key").join(summed, "text_key", "left").fillna(0)
 
     def entry(j: int, name: str) -> Column:

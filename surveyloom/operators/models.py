@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Imputer, OneHotEncoder, PCA, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -84,6 +82,19 @@ def one_hot(df: DataFrame, column: str, values: list[str], prefix: str | None =
     return df.withColumns({f"{prefix or column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
 
 
+def binary_metrics(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``accuracy, precision, recall, f1`` of 0/1 predictions, one row; a measure without a case is 0."""
+    count = lambda y, h: F.count(F.when((F.col(truth) == y) & (F.col(predicted) == h), 1)).cast("double")
+    c = scored.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
+    zero = lambda e: F.coalesce(e, F.lit(0.0))
+    precision = zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
+    recall = zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
+    return c.select(
+        F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"),
+        precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"),
+    )
+
+
 def forest_adoption(
     df: DataFrame, year: str, target: str, numeric: list[str], categorical: list[str], split_year: int,
     first: int, last: int, observed_until: int, trees: int = 100,
@@ -103,16 +114,7 @@ def forest_adoption(
     rows = df.fillna(0, subset=[*numeric, target])
     train, test = rows.filter(F.col(year) < split_year), rows.filter(F.col(year) >= split_year)
     model = Pipeline(stages=stages).fit(train)
-    scored = model.transform(test).select(F.col(target).cast("double").alias("y"), F.col("_hat").alias("h"))
-    count = lambda y, h: F.sum(((F.col("y") == y) & (F.col("h") == h)).cast("double"))
-    c = scored.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
-    zero = lambda e: F.coalesce(e, F.lit(0.0))
-    precision = zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
-    recall = zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
-    metrics = c.select(
-        F.lit(target).alias("target"), F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"),
-        precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"),
-    )
+    metrics = binary_metrics(model.transform(test).select(F.col(target).cast("double").alias("y"), F.col("_hat").alias("h")), "y", "h").select(F.lit(target).alias("target"), "*")
     attrs = model.transform(train).schema["_f"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
     weights = model.stages[-1].featureImportances
@@ -120,22 +122,9 @@ def forest_adoption(
         [(target, names.get(i, str(i)), float(weights[i])) for i in range(weights.size)], "target string, feature string, importance double"
     )
     seen = rows.filter(F.col(year).between(first, observed_until)).groupBy(F.col(year).cast("int").alias("year")).agg((F.avg(target) * 100).alias("adoption_pct"))
-    future = [
-        model.transform(test.withColumn(year, F.lit(y).cast(dict(df.dtypes)[year]))).agg((F.avg("_hat") * 100).alias("adoption_pct")).select(F.lit(y).alias("year"), "adoption_pct")
-        for y in range(observed_until + 1, last + 1)
-    ]
-    return metrics, importances, reduce(DataFrame.unionByName, future, seen)
-
-
-def text_classifier(train: DataFrame, text: str, label: str, features: int = 1 << 16):
-    """A fitted bag-of-words pipeline for one label; its ``transform`` fills ``probability`` and ``prediction``."""
-    from pyspark.ml.classification import LogisticRegression
-
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+"),
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        LogisticRegression(featuresCol="_idf", labelCol=label, maxIter=20, regParam=0.01),
-    ]).fit(train)
-
-
+    # The test rows in every later year, predicted in one pass.
+    kind = dict(df.dtypes)[year]
+    later = F.explode(F.sequence(F.lit(observed_until + 1).cast(kind), F.lit(last).cast(kind)))
+    moved = model.transform(test.withColumn(year, later)) if last > observed_until else model.transform(test.limit(0))
+    future = moved.groupBy(F.col(year).cast("int").alias("year")).agg((F.avg("_hat") * 100).alias("adoption_pct"))
+    return metrics, importances, seen.unionByName(future)

@@ -23,7 +23,7 @@ from surveyloom.session import cut_lineage
 STEPS = 4096
 
 #: A range with so few rows is sorted by a window.
-LAST_ROWS = 50_000
+LAST_ROWS = 500_000
 
 #: Counted values in one range partition of running totals.
 RANGE_ROWS = 200_000
@@ -126,7 +126,10 @@ def _step(v: Column, lo: Column, hi: Column, kind: DataType, steps: int) -> Colu
         # Infinite values and NaN count as the largest finite ones here; they are their own steps as lo and hi.
         most = 1.7976931348623157e308
         bound = lambda c: F.least(F.greatest(c.cast("double"), F.lit(-most)), F.lit(most)) / 2
-        share = F.try_divide(bound(v) - bound(lo), bound(hi) - bound(lo))
+        # Over many powers of two the steps follow the exponent, which ranges over some 2,100.
+        octave = lambda c: F.when(bound(c) == 0, 0.0).otherwise(F.signum(bound(c)) * (F.log2(F.abs(bound(c))) + 1100))
+        wide = octave(hi) - octave(lo) > 24
+        share = F.when(wide, F.try_divide(octave(v) - octave(lo), octave(hi) - octave(lo))).otherwise(F.try_divide(bound(v) - bound(lo), bound(hi) - bound(lo)))
     else:
         exact = (lambda c: c) if isinstance(kind, DecimalType) else (lambda c: c.cast("decimal(20,0)"))
         share = F.try_divide((exact(v) - exact(lo)).cast("double"), (exact(hi) - exact(lo)).cast("double"))

@@ -307,7 +307,7 @@ def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:
     return ends.groupBy("node").agg((F.count(F.lit(1)) / (n_nodes - 1)).alias("degree"))
 
 
-def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-12, at_once: int = 6) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-10, at_once: int = 8) -> DataFrame:
     """Dominant eigenvector of the unweighted graph, of length one.
 
     A vector with a row per node is multiplied by the edges and scaled to length one,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from surveyloom.session import cut_lineage
 
@@ -16,6 +19,10 @@ Scorer = Callable[[list[str]], list[dict[str, float]]]
 Translator = Callable[[list[str], list[str]], list[str]]
 
 
+#: Characters of text whose triples a task finds at once; a longer text is handled alone.
+TRIPLE_CHARS = 2_000_000
+
+
 # -- distinct texts and results ------------------------------------------------
 def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     """Each non-empty text once, with its hash.
@@ -156,19 +163,44 @@ def score_columns(results: DataFrame, vocabulary: dict[str, tuple[str, ...]]) ->
 
 
 # -- languages ---------------------------------------------------------------------
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct triples of code points of each text as numbers: 21 bits a character, so none are confused."""
+    for batch in batches:
+        texts, first = batch.column(1), 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < TRIPLE_CHARS):
+                size += len(texts[last].as_py() or "")
+                last += 1
+            values = [t or "" for t in texts.slice(first, last - first).to_pylist()]
+            lengths = np.array([len(v) for v in values], dtype=np.int64)
+            points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            n = np.maximum(lengths - 2, 0)
+            text = np.repeat(np.arange(len(values)), n)
+            at = np.arange(int(n.sum())) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
+            code = (points[at] << 42) | (points[at + 1] << 21) | points[at + 2]
+            order = np.lexsort((code, text))
+            text, code = text[order], code[order]
+            new = np.ones(len(code), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (code[1:] != code[:-1])
+            text, code = text[new], code[new]
+            offsets = np.searchsorted(text, np.arange(len(values) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))], names=["key", "grams"])
+            first = last
+
+
 def trigram_rows(df: DataFrame, key: str, text: str, characters: int | None = None) -> DataFrame:
     """``key, n, gram``: distinct character triples, line breaks as blanks.
 
     Of the whole text, or of its first ``characters`` where a caller wants only those.
-    ``n`` is the number of triples of the text; a text without any keeps a row. The text
-    is cut into its characters once, so the cost is in proportion to its length.
+    ``n`` is the number of triples of the text; a text without any keeps a row. A triple is
+    a number made of its code points. The cost is in proportion to the length of the text.
     """
     head = F.lower(F.replace(F.col(text) if characters is None else F.substring(text, 1, characters), F.lit("\n"), F.lit(" ")))
-    heads = df.select(key, F.split(head, "").alias("_c"))
-    starts = F.sequence(F.lit(0), F.size("_c") - 3)
-    triple = lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2))
-    triples = F.when(F.size("_c") >= 3, F.array_distinct(F.transform(starts, triple)))
-    return heads.select(key, triples.alias("_g")).select(key, F.size("_g").alias("n"), F.explode_outer("_g").alias("gram"))
+    rows = df.select(F.col(key).alias("key"), head.alias("head"))
+    schema = StructType([StructField("key", rows.schema["key"].dataType), StructField("grams", ArrayType(LongType()))])
+    found = rows.mapInArrow(_triples, schema)
+    return found.select(F.col("key").alias(key), F.nullif(F.size("grams"), F.lit(0)).alias("n"), F.explode_outer("grams").alias("gram"))
 
 
 def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:

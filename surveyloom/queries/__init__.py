@@ -2,5 +2,5 @@
 
 from surveyloom.queries.registry import ORACLE, QUERIES  # noqa: F401
 from surveyloom.queries import (  # noqa: F401
-    amounts, entity, join_queries, kpi, recode, schema, score_queries, stat_queries, tables, text,
+    amounts, entity, file_queries, join_queries, kpi, recode, schema, score_queries, stat_queries, tables, text,
 )

@@ -119,10 +119,10 @@ MODEL_SOURCES = {
 }
 
 
-def label_model(spark: SparkSession, folder: str) -> bayes.CountModel:
-    """All eight models, from the labelled documents."""
+def label_model(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(V.MODEL_LABELS)) -> bayes.CountModel:
+    """All eight models, or some of them, from the labelled documents."""
     known = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    return bayes.fit(known.select("text", *[F.expr(e).alias(m) for m, e in MODEL_SOURCES.items()]), "text", V.MODEL_LABELS)
+    return bayes.fit(known.select("text", *[F.expr(MODEL_SOURCES[m]).alias(m) for m in names]), "text", {m: V.MODEL_LABELS[m] for m in names})
 
 
 def bayes_sql(texts: str) -> str:
@@ -192,11 +192,12 @@ def unknown_model_labels(spark: SparkSession, folder: str) -> DataFrame:
 SELECT model, label, count(*) AS n, count(*) AS n_texts FROM t GROUP BY 1, 2""")
 def stored_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Two runs over two tables into one store, the first one done twice: one row per text and model."""
-    model, path = label_model(spark, folder), f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
-    score = lambda name, texts: bayes.label_scores(texts, model).filter(F.col("model") == name)
+    names = ("climate_sentiment", "renewable")
+    models, path = {m: label_model(spark, folder, (m,)) for m in names}, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    score = lambda name, texts: bayes.label_scores(texts, models[name])
     docs, answers = table(spark, folder, "documents").select("text"), table(spark, folder, "conversations").select("text")
     for rows, run in ((docs, "first"), (docs, "first"), (docs.unionByName(answers), "second")):
-        textwork.score_and_store(rows, "text", ["climate_sentiment", "renewable"], score, path, run)
+        textwork.score_and_store(rows, "text", list(names), score, path, run)
     return textwork.stored_results(spark, path).groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_key").alias("n_texts"))
 
 

@@ -52,13 +52,13 @@ def test_exact_quantiles(spark, n):
     random.seed(n)
     data = [round(random.expovariate(0.1), 1) for _ in range(n)]
     df = spark.createDataFrame([("a", v) for v in data] + [("b", 1.0)], "g string, v double")
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.25, "p99": 0.99, "m": "median"}, last_rows=9, steps=4).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.25, "p99": 0.99, "m": "median"}, last_rows=9, steps=32).collect()}
     ordered = sorted(data)
     at = lambda q: ordered[int((n - 1) * q + 0.5)]
     assert got["a"].q == at(0.25) and got["a"].p99 == at(0.99)
     assert got["a"].m == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
     assert got["b"].m == 1.0
-    whole = exact_quantiles(df.filter("g = 'a'"), [], "v", {"q": 0.25, "m": "median"}, last_rows=9, steps=4).collect()
+    whole = exact_quantiles(df.filter("g = 'a'"), [], "v", {"q": 0.25, "m": "median"}, last_rows=9, steps=32).collect()
     assert [(r.q, r.m) for r in whole] == [(at(0.25), got["a"].m)]
 
 
@@ -74,7 +74,7 @@ def test_exact_quantiles_of_awkward_values(spark, kind):
         data = [Decimal(v) / 1000 for v in [10 ** 12, -(10 ** 12), 0] + [5] * 300 + [random.randint(0, 10 ** 9) for _ in range(300)]]
     df = spark.createDataFrame([(v,) for v in data], f"v {kind}")
     qs = {f"q{i}": i / 10 for i in range(11)}
-    got = exact_quantiles(df, [], "v", qs, last_rows=5, steps=16).first()
+    got = exact_quantiles(df, [], "v", qs, last_rows=9, steps=256).first()
     ordered = sorted(data)
     assert [got[q] for q in qs] == [ordered[int((len(data) - 1) * p + 0.5)] for p in qs.values()]
     assert exact_quantiles(df.limit(0), [], "v", {"q": 0.5}).collect()[0].q is None

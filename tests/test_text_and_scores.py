@@ -82,8 +82,10 @@ def test_triples_take_time_in_proportion(frame):
     """The text is cut into characters once; also with characters beyond two bytes and fewer than three of them."""
     texts = {1: "aXé\n👍b", 2: "ab", 3: "", 4: None, 5: "xyz" * 100_000}
     rows = textwork.trigram_rows(frame("k int, t string", list(texts.items())), "k", "t").collect()
-    got = {k: {r.gram for r in rows if r.k == k} for k in texts}
+    spelled = lambda g: None if g is None else "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0))
+    got = {k: {spelled(r.gram) for r in rows if r.k == k} for k in texts}
     assert got[1] == {"axé", "xé ", "é 👍", " 👍b"} and got[2] == got[3] == got[4] == {None} and got[5] == {"xyz", "yzx", "zxy"}
+    assert {r.k: r.n for r in rows} == {1: 4, 2: None, 3: None, 4: None, 5: 3}
 
 
 def test_name_cosine(frame):
