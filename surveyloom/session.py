@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,7 +27,59 @@ def build_session(app_name: str = "surveyloom", master: str | None = None, shuff
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    atexit.register(remove_intermediate, spark)
+    return spark
+
+
+#: Paths of the tables that this process has written on the way to its results.
+_WRITTEN: list[str] = []
+
+#: Attribute of a Spark context that workers have been given the package of.
+_SHIPPED = "_surveyloom_shipped"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder on the way to its results, which then can't be read again.
+
+    Runs when a process that called :func:`build_session` ends, if its session is still there.
+    """
+    if spark.sparkContext._jsc is None:
+        return
+    while _WRITTEN:
+        fs, at = _file_system(spark, _WRITTEN.pop())
+        fs.delete(at, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to Python workers on other machines, once per Spark context.
+
+    Workers of an in-process master find it where the driver does.
+    """
+    context = spark.sparkContext
+    if re.match(r"local($|\[)", context.master) or getattr(context, _SHIPPED, False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{checkpoint_dir(spark)}/surveyloom-{uuid.uuid4().hex}.zip"
+    fs, at = _file_system(spark, path)
+    stream = fs.create(at)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(path)
+    setattr(context, _SHIPPED, True)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -54,6 +110,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/surveyloom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,6 +16,9 @@ def spark():
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from surveyloom.session import remove_intermediate
+
+    remove_intermediate(session)
     session.stop()
 
 
