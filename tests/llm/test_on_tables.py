@@ -39,6 +39,15 @@ def test_quality(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) / len(rows) > 0.95
 
 
+def test_toxicity_held_out(spark):
+    """Most labels of rows that were not learned from, and few false alarms."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op6_toxicity"](spark, LARGER).filter("held_out").join(labels, "doc_id").collect()
+    clean = [r for r in rows if r.toxic == 0]
+    assert len(rows) > 50 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    assert sum(r.predicted for r in clean) / len(clean) < 0.03 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
 def test_pipeline(spark, tmp_path):
     """Against a plain version of each stage's decision, on the rows the stage got."""
     import re
