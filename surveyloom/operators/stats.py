@@ -307,10 +307,6 @@ def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:
     return ends.groupBy("node").agg((F.count(F.lit(1)) / (n_nodes - 1)).alias("degree"))
 
 
-#: Entries of a graph whose steps are not spread over tasks.
-SMALL_GRAPH = 100_000
-
-
 def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-10, at_once: int = 8) -> DataFrame:
     """Dominant eigenvector of the unweighted graph, of length one.
 
@@ -318,18 +314,15 @@ def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-10, at_once:
     until no entry changes by more than ``tolerance``. Every node keeps its own value as
     well, which leaves the eigenvectors as they are and makes bipartite graphs converge.
     A step is one join of edges and vector; ``at_once`` steps run between two looks at the change.
-    The edges of up to ``SMALL_GRAPH`` entries stay in one partition, which spares the shuffles of a step.
     """
     ends = edges.select(F.col("var_a").alias("i"), F.col("var_b").alias("j"))
     both = ends.unionByName(ends.select(F.col("j").alias("i"), F.col("i").alias("j")))
     m = cut_lineage(both.unionByName(both.select("i", F.col("i").alias("j"))).distinct())
     x = cut_lineage(m.select(F.col("i").alias("node")).distinct().withColumn("x", F.lit(1.0)))
-    together = (lambda df: df.coalesce(1)) if m.count() <= SMALL_GRAPH else (lambda df: df)
-    m = together(m)
     while True:
-        y = together(x)
+        y = x
         for _ in range(at_once):
-            y = m.join(y.hint("shuffle_hash"), m["j"] == y["node"]).groupBy(F.col("i").alias("node")).agg(F.sum("x").alias("x"))
+            y = m.join(y, m["j"] == y["node"]).groupBy(F.col("i").alias("node")).agg(F.sum("x").alias("x"))
         y = cut_lineage(y)
         norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         if norm is None:
