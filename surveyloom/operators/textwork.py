@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from surveyloom.session import cut_lineage
 
@@ -22,6 +22,9 @@ Translator = Callable[[list[str], list[str]], list[str]]
 #: Characters of text whose triples a task finds at once; a longer text is handled alone.
 TRIPLE_CHARS = 2_000_000
 
+#: Numbers of a language profile up to which every task holds it, 64 MB.
+HELD_VALUES = 8_000_000
+
 
 # -- distinct texts and results ------------------------------------------------
 def distinct_texts(df: DataFrame, text: str) -> DataFrame:
@@ -163,30 +166,53 @@ def score_columns(results: DataFrame, vocabulary: dict[str, tuple[str, ...]]) ->
 
 
 # -- languages ---------------------------------------------------------------------
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct triples of code points of each text as numbers: 21 bits a character, so none are confused."""
+def _triples(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, text, code) of slices: distinct triples of code points of each text as numbers, sorted by text and number.
+
+    21 bits a character, so no triples are confused.
+    """
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size < TRIPLE_CHARS):
+            size += len(texts[last].as_py() or "")
+            last += 1
+        values = [t or "" for t in texts.slice(first, last - first).to_pylist()]
+        lengths = np.array([len(v) for v in values], dtype=np.int64)
+        points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        n = np.maximum(lengths - 2, 0)
+        ends = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat((np.cumsum(lengths) - lengths) - (ends - n), n)
+        code = (points[at] << 42) | (points[at + 1] << 21) | points[at + 2]
+        for low, high in zip((ends - n).tolist(), ends.tolist()):
+            code[low:high].sort()
+        text = np.repeat(np.arange(len(values)), n)
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (code[1:] != code[:-1])
+        yield keys.slice(first, last - first), text[new], code[new]
+        first = last
+
+
+def _triple_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, text, code in _triples(batch.column(0), batch.column(1)):
+            offsets = np.searchsorted(text, np.arange(len(keys) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))], names=["key", "grams"])
+
+
+def _triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, first = batch.column(1), 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size < TRIPLE_CHARS):
-                size += len(texts[last].as_py() or "")
-                last += 1
-            values = [t or "" for t in texts.slice(first, last - first).to_pylist()]
-            lengths = np.array([len(v) for v in values], dtype=np.int64)
-            points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-            n = np.maximum(lengths - 2, 0)
-            text = np.repeat(np.arange(len(values)), n)
-            at = np.arange(int(n.sum())) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
-            code = (points[at] << 42) | (points[at + 1] << 21) | points[at + 2]
-            order = np.lexsort((code, text))
-            text, code = text[order], code[order]
-            new = np.ones(len(code), dtype=bool)
-            new[1:] = (text[1:] != text[:-1]) | (code[1:] != code[:-1])
-            text, code = text[new], code[new]
-            offsets = np.searchsorted(text, np.arange(len(values) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))], names=["key", "grams"])
-            first = last
+        for keys, text, code in _triples(batch.column(0), batch.column(1)):
+            names = keys.dictionary_encode()
+            group = names.indices.to_numpy()[text]
+            for i, name in enumerate(names.dictionary):
+                grams, times = np.unique(code[group == i], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(grams), name.type), pa.array(grams), pa.array(times)], names=["key", "gram", "n"])
+
+
+def _heads(df: DataFrame, key: str, text: str, characters: int | None) -> DataFrame:
+    head = F.lower(F.replace(F.col(text) if characters is None else F.substring(text, 1, characters), F.lit("\n"), F.lit(" ")))
+    return df.select(F.col(key).alias("key"), head.alias("head"))
 
 
 def trigram_rows(df: DataFrame, key: str, text: str, characters: int | None = None) -> DataFrame:
@@ -196,21 +222,22 @@ def trigram_rows(df: DataFrame, key: str, text: str, characters: int | None = No
     ``n`` is the number of triples of the text; a text without any keeps a row. A triple is
     a number made of its code points. The cost is in proportion to the length of the text.
     """
-    head = F.lower(F.replace(F.col(text) if characters is None else F.substring(text, 1, characters), F.lit("\n"), F.lit(" ")))
-    rows = df.select(F.col(key).alias("key"), head.alias("head"))
+    rows = _heads(df, key, text, characters)
     schema = StructType([StructField("key", rows.schema["key"].dataType), StructField("grams", ArrayType(LongType()))])
-    found = rows.mapInArrow(_triples, schema)
+    found = rows.mapInArrow(_triple_lists, schema)
     return found.select(F.col("key").alias(key), F.nullif(F.size("grams"), F.lit(0)).alias("n"), F.explode_outer("grams").alias("gram"))
 
 
 def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:
     """Log probability of each triple per language, add-one smoothed.
 
-    Written out: it is small, read in several places, and its size decides how it
-    is joined.
+    Texts without a language are left out. Tasks count the texts of a slice before anything is
+    shuffled. Written out: it is small, read in several places, and its size decides how it
+    is met.
     """
-    rows = trigram_rows(known, lang, text).filter(F.col("gram").isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n"))
+    rows = _heads(known.filter(F.col(lang).isNotNull()), lang, text, None)
+    schema = StructType([StructField("lang", rows.schema["key"].dataType), StructField("gram", LongType()), StructField("n", LongType())])
+    counts = rows.mapInArrow(_triple_counts, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     return cut_lineage(counts.join(totals, "lang").select(
         "lang", "gram", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"),
@@ -218,27 +245,56 @@ def language_profile(known: DataFrame, text: str, lang: str) -> DataFrame:
     ))
 
 
-def detect_languages(texts: DataFrame, profile: DataFrame, target: str = "en") -> DataFrame:
+def detect_languages(texts: DataFrame, profile: DataFrame, target: str = "en", held_values: int = HELD_VALUES) -> DataFrame:
     """``text_key, lang`` of distinct texts: best profile, or the target if nothing fits.
 
     A triple adds its log probability where a language knows it and the
-    language's floor where not. The profile is one row per triple with a column for
-    each of its languages, so a triple of a text meets one row and a text is summed up
-    in one aggregation.
+    language's floor where not; scores are compared to nine decimals, the last language by
+    name wins a tie. The profile is one row per triple with a column for each of its
+    languages. If it has at most ``held_values`` numbers, every task holds it and texts stay
+    where they are; a larger one is joined to the texts' triples. Both give the same languages.
     """
     floors = {r["lang"]: r["floor"] for r in profile.groupBy("lang").agg(F.max("floor").alias("floor")).collect()}
     if not floors:
         return texts.select("text_key", F.lit(target).alias("lang"))
-    gains = {lang: f"_g{i}" for i, lang in enumerate(sorted(floors))}
+    langs = sorted(floors)
+    gains = {lang: f"_g{i}" for i, lang in enumerate(langs)}
     by_gram = cut_lineage(profile.groupBy("gram").agg(
         *[F.max(F.when(F.col("lang") == lang, F.col("logp") - F.col("floor"))).alias(g) for lang, g in gains.items()]))
+    if by_gram.count() * (1 + len(langs)) <= held_values:
+        return _detect_held(texts, by_gram, floors, target)
     met = trigram_rows(texts, "text_key", "text").join(by_gram, "gram", "left")
     totals = met.groupBy("text_key").agg(F.max("n").alias("n"), *[F.sum(g).alias(g) for g in gains.values()])
-    scores = [F.when(F.col(g).isNotNull(), F.struct((F.col(g) + F.lit(floors[lang]) * F.col("n")).alias("score"), F.lit(lang).alias("lang"))) for lang, g in gains.items()]
+    scores = [F.when(F.col(g).isNotNull(), F.struct(F.round(F.col(g) + F.lit(floors[lang]) * F.col("n"), 9).alias("score"), F.lit(lang).alias("lang"))) for lang, g in gains.items()]
     best = F.array_max(F.array(*scores))["lang"]
     return totals.select("text_key", F.coalesce(best, F.lit(target)).alias("lang"))
 
 
+def _detect_held(texts: DataFrame, by_gram: DataFrame, floors: dict[str, float], target: str) -> DataFrame:
+    """Languages of texts by a profile whose size the caller has checked."""
+    langs = sorted(floors)
+    table = by_gram.orderBy("gram").toArrow()
+    # A triple that a language knows adds at least log 2, so no gain means not known.
+    gains = np.stack([table.column(f"_g{i}").fill_null(0.0).to_numpy() for i in range(len(langs))], axis=1)
+    held = texts.sparkSession.sparkContext.broadcast((table.column("gram").to_numpy(), gains))
+    floor = np.array([floors[lang] for lang in langs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, gains = held.value
+        for batch in batches:
+            for keys, text, code in _triples(batch.column(0), batch.column(1)):
+                at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
+                known = grams[at] == code
+                n = np.bincount(text, minlength=len(keys))
+                gain = np.stack([np.bincount(text, np.where(known, gains[at, i], 0.0), len(keys)) for i in range(len(floor))], axis=1)
+                score = np.where(gain > 0, np.round(gain + floor * n[:, None], 9), -np.inf)
+                best = len(floor) - 1 - np.argmax(score[:, ::-1], axis=1)
+                lang = [langs[b] if s else target for b, s in zip(best.tolist(), (gain > 0).any(axis=1).tolist())]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(lang, pa.string())], names=["text_key", "lang"])
+
+    return _heads(texts, "text_key", "text", None).mapInArrow(run, StructType([texts.schema["text_key"], StructField("lang", StringType())]))
+
+
 def translate(
     df: DataFrame, text: str, load: Callable[[], Translator], profile: DataFrame, target: str = "en",
     results: DataFrame | None = None, batch: int = 64,

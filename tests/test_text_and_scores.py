@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -264,3 +265,16 @@ def test_two_digit_years(frame):
 
     days = frame("t string", [("12/31/98",), ("01/02/69",), ("03/04/68",), ("1999-05-06",)])
     assert [str(r[0]) for r in days.select(cells.parse_date(F.col("t"))).collect()] == ["1998-12-31", "1969-01-02", "2068-03-04", "1999-05-06"]
+
+
+def test_large_profiles_give_the_same_languages(frame):
+    rng = random.Random(3)
+    words = {"a": ["mora", "tile", "sun"], "b": ["grün", "mora", "日本語"], "c": ["tile", "qu", "𝒳𝒴𝒵"]}
+    rows = [(lang, " ".join(rng.choices(words[lang], k=rng.randrange(1, 9)))) for lang in words for _ in range(20)] + [(None, "mora mora"), ("a", None)]
+    known = frame("l string, t string", rows)
+    texts = frame("text_key string, text string", [(str(i), t) for i, (_, t) in enumerate(rows)] + [("short", "mo"), ("none", None), ("strange", "zzzz")])
+    profile = textwork.language_profile(known, "t", "l")
+    held = tuples(textwork.detect_languages(texts, profile))
+    assert held == tuples(textwork.detect_languages(texts, profile, held_values=0))
+    assert len(held) == len(rows) + 3
+    assert {dict(held)[k] for k in ("short", "none", "strange")} == {"en"}
