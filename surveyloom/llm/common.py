@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,6 +36,39 @@ def shared_table(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+#: Bits of a bitmap of text keys, 16 MB. It spares shuffling, and decides nothing.
+KEY_BITS = 1 << 27
+
+
+def _key_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(KEY_BITS - 1))
+        cell, first = np.unique(bit >> np.uint64(6), return_index=True)
+        if len(cell):
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(bits.view(np.int64))], names=["cell", "bits"])
+
+
+def marks_of(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test for values of the bigint column ``key``: true for each of them, and for few others.
+
+    The values are marked in a bitmap of a fixed size that every task gets, so rows that
+    have no partner need not be shuffled to a join with ``keys``, which stays exact.
+    """
+    spark = keys.sparkSession
+    found = keys.select(key).mapInArrow(_key_cells, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(KEY_BITS // 64, dtype=np.uint64)
+    bitmap[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(values: pd.Series) -> pd.Series:
+        bit = values.to_numpy(dtype=np.int64).view(np.uint64) & np.uint64(KEY_BITS - 1)
+        return pd.Series((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+
+    return marked
+
+
 def rows_and_text(docs: DataFrame, text_col: str, keep_row: bool) -> Column:
     """What a task gets of a row: its text, or with ``keep_row`` the row itself as ``row``."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_row else F.col(text_col).alias("text")

@@ -1,16 +1,21 @@
 """N-gram Jaccard self-join with Bayesian pruning of candidate pairs.
 
 Texts with the same words in the same order are one class, compared once. Classes that
-share a band of MinHash values are candidates; candidates are gathered into components,
-and each component is compared inside tasks: its classes are dealt into blocks of
-bounded weight, a task holds two blocks. There the MinHash values of a candidate pair
+share a band of MinHash values are candidates. The MinHash values of a candidate pair
 are compared some at a time; given m of n equal, the similarity has a Beta(m + 1,
 n - m + 1) posterior (uniform prior), and a pair goes as soon as the probability that it
-reaches the threshold is below the tolerance. The pairs left are verified on their whole
-shingle sets. Pairs never become rows: a task emits, for each class, the links it has
-found and the least class it is linked with.
-
-A component of any size is split over as many tasks as pairs of blocks. Missed links: a
+reaches the threshold is below the tolerance.
+
+That is done twice. First in each bucket of a band, on one byte of each value: bytes of
+equal values are equal, so no pair goes there that would stay on whole values. What
+stays connects classes into components, so texts that only chance bands chain together
+are not gathered. A bucket is searched along its links, seen classes are not compared
+again, and gives one edge per class. Then each component is compared inside tasks: its
+classes are dealt into blocks of bounded weight, a task holds two blocks. The pairs
+left there are verified on their whole shingle sets. Pairs never become rows: a task
+emits, for each class, the links it has found and the least class it is linked with.
+
+A bucket or a component of any size is split over as many tasks as pairs of blocks. Missed links: a
 pair at the threshold shares none of the bands with probability (1 - 0.8^5)^25 < 5e-5,
 and falls under the tolerance with 1e-6 a step.
 """
@@ -25,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from surveyloom.llm.common import shared_table, text_key, text_slices
+from surveyloom.llm.common import marks_of, shared_table, text_key, text_slices
 from surveyloom.llm.graph import components
 from surveyloom.llm.words import ROLLER_A, ROLLER_B, hash_words, mix, split_words, window_starts
 
@@ -40,6 +45,9 @@ TOLERANCE = 1e-6
 BLOCK_WEIGHT = 256
 WEIGHT_SHINGLES = 2_000
 
+#: Classes in a block of a bucket; a task holds two blocks of a bucket that has more.
+BUCKET_BLOCK = 2_048
+
 #: From so many pairs on, a task verifies by matrix products instead of pair by pair.
 DENSE_PAIRS = 3_000
 
@@ -101,6 +109,13 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each MinHash value."""
+    for batch in batches:
+        low = np.ascontiguousarray((_signs(batch.column(1)) & np.uint32(255)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in low], pa.binary())], names=["member", "code"])
+
+
 def _signs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
@@ -141,6 +156,49 @@ def least_equal(threshold: float, tolerance: float) -> np.ndarray:
     return out
 
 
+def chained(codes: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """For each row of codes, the first row that pairs outliving the incremental comparison connect it with."""
+    least = least_equal(threshold, tolerance)
+    root, left = np.arange(len(codes)), np.arange(len(codes))
+    while len(left):
+        seed, left = left[0], left[1:]
+        reached = [seed]
+        while reached and len(left):
+            code = codes[reached.pop()]
+            at, equal = np.arange(len(left)), np.zeros(len(left), dtype=np.int64)
+            for step in range(0, HASHES, STEP):
+                equal += (codes[left[at], step: step + STEP] == code[step: step + STEP]).sum(axis=1)
+                alive = equal >= least[step + STEP]
+                at, equal = at[alive], equal[alive]
+            root[left[at]] = seed
+            reached.extend(left[at].tolist())
+            left = np.delete(left, at)
+    return root
+
+
+def _bucket_edges(threshold: float, tolerance: float):
+    """Sorted rows (band, i, j, node, code) -> an edge from each class to the first one of its chain in the bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, codes = None, [], []
+
+        def edges() -> pa.RecordBatch:
+            node = np.array(nodes, dtype=np.int64)
+            first = node[chained(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, HASHES), threshold, tolerance)]
+            return pa.RecordBatch.from_arrays([pa.array(node[first < node]), pa.array(first[first < node])], names=["u", "v"])
+
+        for batch in batches:
+            for *now, node, code in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != key and len(nodes) > 1:
+                    yield edges()
+                if now != key:
+                    key, nodes, codes = now, [], []
+                nodes.append(node)
+                codes.append(code)
+        if len(nodes) > 1:
+            yield edges()
+    return run
+
+
 def candidate_pairs(signs_a: np.ndarray, signs_b: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of a, row of b) that share a band and outlive the incremental comparison."""
     keys_a, keys_b = band_keys(signs_a), band_keys(signs_b)
@@ -259,19 +317,29 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         .select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "size", "at.doc_id", "at.text_key", "at.shingles", "at.minhash"))
 
     bands = classes.select("node", "minhash").mapInArrow(_bands, "band bigint, node bigint")
-    buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = components(bands.join(buckets, "band").filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    buckets = bands.groupBy("band").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = shared_table(bands.join(buckets, "band"))
+    codes = classes.select("node", "minhash").join(met.select("node").distinct(), "node", "left_semi").mapInArrow(_codes, "member bigint, code binary")
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        met.join(codes, F.col("node") == F.col("member")).withColumn("block", part)
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "code")
+    )
+    members = components(
+        dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_bucket_edges(threshold, tolerance), "u bigint, v bigint"))
 
     weighed = members.join(classes.select("node", "size", "doc_id", "text_key", "shingles", "minhash"), "node")
     blocks = weighed.groupBy("root").agg(F.ceil(F.sum(1 + F.col("shingles") / WEIGHT_SHINGLES) / BLOCK_WEIGHT).cast("int").alias("blocks"))
     texts = weighed.join(blocks, "root").select(
         "root", "node", "size", "blocks", "minhash", F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # Only texts of a component are shuffled to their class.
+    carried = source.filter(marks_of(weighed, "text_key")(F.col("text_key")))
     groups = (
-        source.join(texts, source["doc_id"].eqNullSafe(texts["r_id"]) & (source["text_key"] == texts["r_key"]))
+        carried.join(texts, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
         .select("text", "root", "node", "size", "blocks", "minhash")
         .mapInArrow(_shingles(k), "root bigint, node bigint, size bigint, blocks int, minhash binary, shingles binary")
-        .withColumn("block", block)
+        .withColumn("block", part)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "blocks", "block", "minhash", "shingles")
     )

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from surveyloom.llm import language_id, piece_codec, quality_rules, toxicity
+from surveyloom.llm import language_id, near_join as near_module, piece_codec, quality_rules, toxicity
 from surveyloom.llm.common import keep_rows
 from surveyloom.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
 from surveyloom.llm.graph import components
@@ -87,6 +87,49 @@ def test_near_join(docs, texts):
     assert got == {d: (root[d], links[d]) for d in range(len(texts))}
 
 
+def test_chained_rows_are_components_of_surviving_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (4, 128), dtype=np.uint8)
+    codes = base[rng.integers(0, 4, 90)].copy()
+    codes[rng.random(codes.shape) < 0.3] = 7
+    least = least_equal(0.8, 1e-6)
+    root = np.arange(len(codes))
+    linked = [(i, j) for i in range(90) for j in range(i) if all((codes[i, :n] == codes[j, :n]).sum() >= least[n] for n in range(16, 129, 16))]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in linked:
+            if root[i] != root[j]:
+                root[[i, j]], changed = min(root[i], root[j]), True
+    assert 4 <= len(set(root.tolist())) < 90
+    assert near_module.chained(codes, 0.8, 1e-6).tolist() == root.tolist()
+
+
+def test_chance_bands_do_not_gather(spark, monkeypatch):
+    """Texts that share bands but are not near are no component; links are those of a brute-force comparison."""
+    monkeypatch.setattr(near_module, "BUCKET_BLOCK", 8)
+    rng = random.Random(11)
+    texts, now = [], [f"w{i}" for i in range(60)]
+    for step in range(80):
+        # Each text keeps about half of the shingles of the one before, every fourth nearly all.
+        now = [w if rng.random() > (0.005 if step % 4 == 3 else 0.07) else f"n{step}_{i}" for i, w in enumerate(now)]
+        texts.append(" ".join(now))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(56)} for t in texts]
+    want = [sum(1 for j in range(80) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(80)]
+    sizes = []
+    gathered = near_module.components
+
+    def noted(edges):
+        found = gathered(edges)
+        sizes.append(found.groupBy("root").count().agg({"count": "max"}).first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(near_module, "components", noted)
+    got = {r.doc_id: r.n_links for r in near_join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(80)] == want
+    assert sizes[0] < 20
+
+
 def test_near_join_split_group(spark, monkeypatch):
     """A group over several blocks, and dense verification, find every link."""
     from surveyloom.llm import near_join as module
