@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from surveyloom.llm.common import rows_and_text, shared_table, text_key, text_slices, texts_of
+from surveyloom.llm.common import marks_of, rows_and_text, shared_table, text_key, text_slices, texts_of
 from surveyloom.llm.exact_dedup import owner_width, rice_decode, rice_encode
 from surveyloom.llm.words import ROLLER_A, ROLLER_B, Words, hash_words, split_words, window_starts
 
@@ -239,13 +239,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Texts joined with what is known of them; ``rows``: (r_id, r_key, paths), one for a text."""
         return texts.join(rows, texts["doc_id"].eqNullSafe(rows["r_id"]) & (texts["text_key"] == rows["r_key"]), how)
 
-    sources = (
+    sources = shared_table(
         paths.filter("branch").groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "edges")).alias("at"))
         .groupBy(F.col("at.doc_id").alias("r_id"), F.col("at.text_key").alias("r_key"))
         .agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "c1", "c2", "times")).alias("paths"))
     )
     edges = shared_table(
-        with_paths(source, sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
+        with_paths(source.filter(marks_of(sources, "r_key")(F.col("text_key"))), sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
     repeated = edges.groupBy("e1", "e2").agg(F.sum("times").alias("n")).filter("n > 1").select("e1", "e2")
     places = edges.join(repeated, ["e1", "e2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
 
@@ -256,7 +256,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.struct("start", "edges", "branch", "places")).alias("paths")))
     whole_rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), rows_and_text(docs, text_col, keep_row))
     carried = whole_rows.columns[2]
-    joined = with_paths(whole_rows, found, "left").select("doc_id", carried, "paths", "text_key")
+    # Texts without a path stay where they are; those that a path is known of meet it.
+    has_path = marks_of(found, "r_key")(F.col("text_key"))
+    met = with_paths(whole_rows.filter(has_path), found, "left").select("doc_id", carried, "paths", "text_key")
+    joined = whole_rows.filter(~has_path).select("doc_id", carried, F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), "text_key").unionByName(met)
     schema = StructType([
         StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()),
         StructField("kept_sha256", StringType()), StructField("kept_text", StringType()), *([joined.schema[carried]] if keep_row else []),
