@@ -333,18 +333,49 @@ def translate_column(df: DataFrame, text: str, translated: DataFrame, extend: bo
     return out if detected else out.drop("lang")
 
 
+def _run_numbers(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) of the character runs of each text; equal runs of the texts have equal numbers."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    runs = np.maximum(lengths - (n - 1), 0)
+    at = np.arange(int(runs.sum())) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(runs) - runs), runs)
+    number, bits = points[at], 21
+    for k in range(1, n):
+        if bits > 42:
+            number, bits = np.unique(number, return_inverse=True)[1].astype(np.int64), 42
+        number, bits = (number << 21) | points[at + k], bits + 21
+    return np.repeat(np.arange(len(texts)), runs), number
+
+
+def _run_cosines(a: list[str], b: list[str], n: int) -> np.ndarray:
+    """Cosine of the counts of runs of a[i] and b[i]; NaN where a text has no run."""
+    text, number = _run_numbers([*a, *b], n)
+    in_b = text >= len(a)
+    row = text - len(a) * in_b
+    order = np.lexsort((number, row))
+    row, number, in_b = row[order], number[order], in_b[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))[: len(row)])
+    times_b = np.add.reduceat(in_b.astype(np.int64), first) if len(first) else np.zeros(0)
+    times_a = np.diff(first, append=len(row)) - times_b
+    dot = lambda x, y: np.bincount(row[first], weights=x * y, minlength=len(a))
+    with np.errstate(invalid="ignore"):
+        return dot(times_a, times_b) / np.sqrt(dot(times_a, times_a) * dot(times_b, times_b))
+
+
 def ngram_cosine(a: Column, b: Column, n: int = 3) -> Column:
-    """Cosine of the exact counts of two texts' character runs, framed as in :func:`embed`; for names, not for long texts."""
-    def grams(c: Column) -> Column:
-        framed = F.concat(F.lit("^^"), F.coalesce(F.lower(c), F.lit("")), F.lit("$$"))
-        return F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)), lambda i: F.substring(framed, i, F.lit(n)))
+    """Cosine of the exact counts of two texts' character runs, framed as in :func:`embed`.
+
+    Runs are numbered and sorted, so the cost is in proportion to the length of the texts.
+    """
+    framed = lambda c: F.concat(F.lit("^^"), F.coalesce(F.lower(c), F.lit("")), F.lit("$$"))
 
-    def count(grams_of: Column, g: Column) -> Column:
-        return F.size(F.filter(grams_of, lambda x: x == g)).cast("double")
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        part = (x.str.len() + y.str.len()).cumsum().to_numpy(dtype=np.int64) // TRIPLE_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(x)]
+        return pd.Series(np.concatenate([_run_cosines(x.iloc[i:j].tolist(), y.iloc[i:j].tolist(), n) for i, j in zip(cuts, cuts[1:])]))
 
-    ga, gb = grams(a), grams(b)
-    dot = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, g: acc + count(x, g) * count(y, g))
-    return dot(ga, gb) / F.sqrt(dot(ga, ga) * dot(gb, gb))
+    return cosine(framed(a), framed(b))
 
 
 # -- vectors -----------------------------------------------------------------------

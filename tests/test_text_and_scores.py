@@ -97,6 +97,14 @@ def test_name_cosine(frame):
         return sum(x[g] * y[g] for g in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
     for r in rows.select("a", "b", textwork.ngram_cosine(F.col("a"), F.col("b")).alias("c")).collect():
         assert r.c == pytest.approx(plain(r.a, r.b))
+    # Long texts too, in time in proportion to their length.
+    rng = np.random.default_rng(1)
+    a, b = ("".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 60_000)) for _ in range(2))
+    x, y = (Counter(map("".join, zip(t, t[1:], t[2:]))) for t in ("^^" + a + "$$", "^^" + a[:40_000] + b + "$$"))
+    want = sum(x[g] * y[g] for g in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    assert [r.c for r in frame("a string, b string", [(a, a[:40_000] + b)] * 3).select(textwork.ngram_cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [pytest.approx(want)] * 3
+    for n in (1, 2, 4):
+        assert frame("a string, b string", [("abca", "abca")]).select(textwork.ngram_cosine(F.col("a"), F.col("b"), n)).first()[0] == pytest.approx(1.0)
 
 
 def test_score_report(frame):
