@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions import fixed_values as V
 from surveyloom.functions.distributions import f_upper, normal_two_sided, t_two_sided
-from surveyloom.operators.ordered import join_keys, running_totals
+from surveyloom.operators.ordered import RANGE_ROWS, join_keys, running_totals
 from surveyloom.session import cut_lineage
 
 
@@ -213,6 +213,10 @@ def band_edges(df: DataFrame, year: str, band: str, value: str) -> DataFrame:
 
 
 # -- correlation -------------------------------------------------------------------
+#: Values that every task may hold the ranks of.
+COMMON_VALUES = 10_000
+
+
 def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and pair of columns, over rows that have both: count, means, squares and product about the means."""
     shift = sums = None
@@ -290,16 +294,30 @@ def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson"
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each listed column replaced by its average rank (null stays null).
 
-    All columns are counted, ordered and looked up together, as rows (column, value); each
-    of these is one shuffle, whatever the number of columns.
+    All columns are counted and ordered together, as rows (column, value). Values that hold
+    more than one in ``COMMON_VALUES`` of all cells, which are fewer than that, are looked up
+    where the rows are, so no value brings many rows to one task; cells of other values
+    are joined, and meet their rows again in parts of bounded size.
     """
+    at = range(len(columns))
     rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"c{i}").alias("_v")) for i in range(len(columns))])).alias("e")
-    long = rows.select("_row", cells).select("_row", "e.*")
-    counted = long.filter(F.col("_v").isNotNull()).groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("n"))
-    ranks = running_totals(counted, "_v", ["n"], ["_i"]).select("_i", "_v", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank"))
-    ranked = long.join(ranks, ["_i", "_v"], "left")
-    return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(c) for i, c in enumerate(columns)]).drop("_row")
+    cells = lambda of: F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), of(i).alias("_v")) for i in at])).alias("e")
+    counted = rows.select(cells(lambda i: F.col(f"c{i}"))).select("e.*").filter(F.col("_v").isNotNull()).groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranks = cut_lineage(running_totals(counted, "_v", ["n"], ["_i"]).select("_i", "_v", "n", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("_rank")))
+    few = (ranks.agg(F.sum("n")).first()[0] or 0) / COMMON_VALUES
+    common, other = ranks.filter(F.col("n") > few), ranks.filter(F.col("n") <= few)
+    near = rows
+    for i in at:
+        near = near.join(F.broadcast(common.filter(F.col("_i") == i).select(F.col("_v").alias(f"c{i}"), F.col("_rank").alias(f"r{i}"))), f"c{i}", "left")
+    rest = other.agg(F.sum("n")).first()[0] or 0
+    if not rest:
+        return near.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
+    parts = -(-rest // RANGE_ROWS)
+    left = near.select("_row", cells(lambda i: F.when(F.col(f"r{i}").isNull(), F.col(f"c{i}")))).select("_row", "e.*").filter(F.col("_v").isNotNull())
+    found = left.join(other.select("_i", "_v", "_rank"), ["_i", "_v"]).select("_row", "_i", "_rank")
+    far = found.repartition(parts, "_row").groupBy("_row").agg(*[F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(f"f{i}") for i in at])
+    both = near.select("_row", *[f"r{i}" for i in at]).repartition(parts, "_row").join(far, "_row", "left")
+    return both.select(*[F.coalesce(f"r{i}", f"f{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def degree_centrality(edges: DataFrame, n_nodes: int) -> DataFrame:

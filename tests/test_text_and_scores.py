@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,25 @@ def test_correlations(frame):
     assert [r.r for r in stats.correlation_table(df.select("a", "b"), ["a", "b"], "spearman").collect()] == [pytest.approx(1.0)]
 
 
+def test_ranks_of_common_values_move_no_rows(spark, frame):
+    """A value that many rows hold is looked up where they are; ranks are those of pandas."""
+    values = [(float(i % 3) if i % 7 else None, float((i * i) % 30_011), float("nan") if i % 500 == 0 else -0.0 if i % 2 else 0.0) for i in range(20_000)]
+    df = frame("a double, b double, c double", values)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stats.average_ranks(df, ["a", "b", "c"])
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # NaN is the greatest value here, so it is put as an infinite one.
+    columns = [pd.Series([v[i] for v in values], dtype=float) for i in range(3)]
+    columns[2] = columns[2].fillna(np.inf)
+    want = sorted(zip(*[[None if pd.isna(x) else x for x in c.rank()] for c in columns]), key=repr)
+    assert got == want
+
+
 def test_centrality(frame):
     edges = frame("var_a string, var_b string, weight double", [("hub", x, 0.5) for x in "abc"] + [("a", "b", 0.3)])
     assert {r.node: r.degree for r in stats.degree_centrality(edges, 5).collect()}["hub"] == 0.75
