@@ -1,8 +1,9 @@
 """Text models by counting: multinomial naive Bayes for several models at once, as joins and sums.
 
-A model is a table with a row per token and a column per (model, label). Texts are scored
-by one join on their tokens and one sum per text, so nothing but counts moves, and a
-text of any length is never held in Python.
+A model is a table with a row per token and a column per (model, label). Its most frequent
+tokens are held by every executor, so they are met where the texts lie and leave one row of
+sums per text; only rare tokens are shuffled to a join. A text of any length is never held
+in Python.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from surveyloom.session import cut_lineage
 #: A token is a run of ASCII letters, digits and low lines, in lower case.
 TOKEN = r"\w+"
 
+#: Numbers of the frequent tokens that every executor holds, 32 MB.
+HELD_VALUES = 4_000_000
+
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``*keys, token``: a row for each token of each text."""
@@ -25,12 +29,16 @@ def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 @dataclass
 class CountModel:
-    """Gains of tokens, and per (model, label) its prior and what an unknown token adds."""
+    """Gains of tokens, and per (model, label) its prior and what an unknown token adds.
+
+    ``levels`` counts the tokens of each ``level``, steps of the logarithm of how often a token was read.
+    """
 
     gains: DataFrame
     labels: list[tuple[str, str]]
     prior: list[float]
     floor: list[float]
+    levels: dict[int, int]
 
     @property
     def models(self) -> list[str]:
@@ -49,20 +57,47 @@ def fit(train: DataFrame, text: str, vocabulary: dict[str, tuple[str, ...]]) ->
     of = lambda m, lb: F.col(m) == lb
     docs = train.agg(*[F.count(F.when(of(m, lb), 1)).alias(f"d{i}") for i, (m, lb) in enumerate(labels)]).first()
     labels = [(lb, docs[f"d{i}"]) for i, lb in enumerate(labels) if docs[f"d{i}"]]
-    counted = cut_lineage(tokens(train, models, text).groupBy("token").agg(*[F.count(F.when(of(m, lb), 1)).alias(f"c{i}") for i, ((m, lb), _) in enumerate(labels)]))
+    counted = cut_lineage(tokens(train, models, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(of(m, lb), 1)).alias(f"c{i}") for i, ((m, lb), _) in enumerate(labels)]))
     own = {m: [i for i, ((x, _), _) in enumerate(labels) if x == m] for m in models}
     known = {m: sum((F.col(f"c{i}") for i in at), F.lit(0)) > 0 for m, at in own.items() if at}
     totals = counted.agg(
-        *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(labels))], *[F.count(F.when(k, 1)).alias(f"v{j}") for j, k in enumerate(known.values())]).first()
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(labels))], *[F.count(F.when(k, 1)).alias(f"v{j}") for j, k in enumerate(known.values())]).first()
     kinds = dict(zip(known, (totals[f"v{j}"] for j in range(len(known)))))
     gains = cut_lineage(counted.select(
-        "token", *[F.log(F.col(f"c{i}") + 1.0).alias(f"g{i}") for i in range(len(labels))], *[k.alias(f"k{j}") for j, k in enumerate(known.values())]))
+        "token", F.floor(4 * F.log2("n")).cast("int").alias("level"), *[F.log(F.col(f"c{i}") + 1.0).alias(f"g{i}") for i in range(len(labels))], *[k.alias(f"k{j}") for j, k in enumerate(known.values())]))
     prior = [math.log(n / sum(labels[i][1] for i in own[m])) for (m, _), n in labels]
     floor = [-math.log(max(totals[f"c{i}"] + kinds[m], 1)) for i, ((m, _), _) in enumerate(labels)]
-    return CountModel(gains, [lb for lb, _ in labels], prior, floor)
+    levels = {r["level"]: r["count"] for r in gains.groupBy("level").count().collect()}
+    return CountModel(gains, [lb for lb, _ in labels], prior, floor, levels)
 
 
-def label_scores(texts: DataFrame, model: CountModel) -> DataFrame:
+def _sums_of_tokens(texts: DataFrame, model: CountModel, held_values: int) -> DataFrame:
+    """``text_key``, gains per label ``s0..`` and known tokens per model ``n0..`` of each text.
+
+    The most frequent levels of tokens whose numbers come to at most ``held_values`` are
+    held; the others are joined.
+    """
+    n_labels, n_models = len(model.labels), len(model.models)
+    sums = [*[F.coalesce(F.sum(f"g{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(n_labels)], *[F.count(F.when(F.col(f"k{j}"), 1)).alias(f"n{j}") for j in range(n_models)]]
+    room, lowest = held_values // (n_labels + n_models), max(model.levels, default=0) + 1
+    for level in sorted(model.levels, reverse=True):
+        room -= model.levels[level]
+        if room < 0:
+            break
+        lowest = level
+    held, rare = model.gains.filter(F.col("level") >= lowest).drop("level"), model.gains.filter(F.col("level") < lowest).drop("level")
+    # A text without a token keeps a row.
+    words = texts.select("text_key", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)).alias("token"))
+    near = words.join(F.broadcast(held), "token", "left").groupBy("text_key").agg(*sums)
+    if lowest <= min(model.levels, default=0):
+        return near
+    far = words.filter(F.col("token").isNotNull()).join(F.broadcast(held.select("token")), "token", "left_anti").join(rare, "token").groupBy("text_key").agg(*sums)
+    names = [*[f"s{i}" for i in range(n_labels)], *[f"n{j}" for j in range(n_models)]]
+    both = near.join(far.select(F.col("text_key"), *[F.col(c).alias("_" + c) for c in names]), "text_key", "left")
+    return both.select("text_key", *[(F.col(c) + F.coalesce("_" + c, F.lit(0))).alias(c) for c in names])
+
+
+def label_scores(texts: DataFrame, model: CountModel, held_values: int = HELD_VALUES) -> DataFrame:
     """``text_key, model, label, score, scores`` of distinct texts: best label, its probability, all of them.
 
     ``texts``: ``text_key, text``. Tokens that a model has not seen are passed over; a text
@@ -71,9 +106,7 @@ def label_scores(texts: DataFrame, model: CountModel) -> DataFrame:
     if not model.labels:
         return texts.select("text_key", *[F.lit(None).cast(k).alias(n) for n, k in (("model", "string"), ("label", "string"), ("score", "double"), ("scores", "map<string,double>"))]).limit(0)
     models = model.models
-    summed = tokens(texts, ["text_key"], "text").join(model.gains, "token").groupBy("text_key").agg(
-        *[F.sum(f"g{i}").alias(f"s{i}") for i in range(len(model.labels))], *[F.count(F.when(F.col(f"k{j}"), 1)).alias(f"n{j}") for j in range(len(models))])
-    every = texts.select("text_key").join(summed, "text_key", "left").fillna(0)
+    every = _sums_of_tokens(texts, model, held_values)
 
     def entry(j: int, name: str) -> Column:
         at = [i for i, (m, _) in enumerate(model.labels) if m == name]
