@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,19 @@ def stored_results(spark: SparkSession, path: str, without_run: str | None = Non
     return known.groupBy("text_key", "model").agg(F.min_by(F.struct("label", "scores"), "run").alias("r")).select("text_key", "model", "r.label", "r.scores")
 
 
+def _with_stored(df: DataFrame, text: str, models: list[str], results: DataFrame) -> DataFrame:
+    """``text_key, text`` of distinct texts, and ``stored0..``: whether there are results for each model.
+
+    Texts and keys of results meet in one shuffle. Written out; a text that no model asks for is left null.
+    """
+    rows = df.select(F.sha2(text, 256).alias("text_key"), F.col(text).alias("text"), F.lit(None).cast("string").alias("model")).filter(F.length("text") > 0)
+    done = results.filter(F.col("model").isin(*models)).select("text_key", F.lit(None).cast("string").alias("text"), "model")
+    stored = [F.coalesce(F.max(F.col("model") == m), F.lit(False)).alias(f"stored{i}") for i, m in enumerate(models)]
+    met = rows.unionByName(done).groupBy("text_key").agg(F.any_value("text", ignoreNulls=True).alias("text"), *stored).filter(F.col("text").isNotNull())
+    asked = reduce(lambda a, b: a | b, [~F.col(f"stored{i}") for i in range(len(models))], F.lit(False))
+    return cut_lineage(met.select("text_key", F.when(asked, F.col("text")).alias("text"), *[f"stored{i}" for i in range(len(models))]))
+
+
 def score_and_store(df: DataFrame, text: str, models: list[str], score: Callable[[str, DataFrame], DataFrame], path: str, run: str) -> DataFrame:
     """Read, score, write: results for the texts of ``df`` out of the store at ``path``, filled where it lacks them.
 
@@ -100,9 +114,9 @@ def score_and_store(df: DataFrame, text: str, models: list[str], score: Callable
     :func:`score_texts` does. A run may be repeated, and may follow a broken one.
     """
     spark = df.sparkSession
-    texts = cut_lineage(distinct_texts(df, text))
-    for model in models:
-        todo = unseen(texts, stored_results(spark, path, run), model)
+    texts = _with_stored(df, text, models, stored_results(spark, path, run))
+    for i, model in enumerate(models):
+        todo = texts.filter(~F.col(f"stored{i}")).select("text_key", "text")
         store_results(score(model, todo).select("text_key", "model", "label", "scores"), path, run)
     known = stored_results(spark, path).filter(F.col("model").isin(*models))
     return known.join(texts.select("text_key"), "text_key", "left_semi")

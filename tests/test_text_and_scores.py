@@ -80,6 +80,34 @@ def test_counting_models(frame):
             assert row.label == max(logs, key=lambda lb: (round(logs[lb], 9), -vocabulary[name].index(lb))) and row.score == pytest.approx(max(row.scores.values()))
 
 
+def test_texts_are_scored_where_they_lie(spark, frame):
+    """Frequent tokens are held, rare ones joined; wherever the line is drawn, scores are the same, and tokens of held ones meet no shuffled join."""
+    words = [f"w{i}" for i in range(12)]
+    train = [(" ".join(words[: k + 1] * (1 + k % 2)), "xy"[k % 2], "uv"[k % 3 == 0]) for k in range(12)]
+    model = bayes.fit(frame("t string, m string, k string", train), "t", {"m": ("x", "y"), "k": ("u", "v")})
+    texts = frame("text_key string, text string", [("a", "w0 w11 w11 W3, w5"), ("b", "unheard"), ("c", ""), ("d", "w11 w10"), ("e", " ".join(words))])
+    rows = lambda held: {(r.text_key, r.model): (r.label, {k: round(v, 12) for k, v in r.scores.items()}) for r in bayes.label_scores(texts, model, held).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(rows(10**6)) == 10 and rows(10**6) == rows(0) == rows(30)
+        assert "SortMergeJoin" not in bayes.label_scores(texts, model)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_store_shuffles_texts_once(frame, tmp_path):
+    """What a model still has to score is read as it is, without another join of texts and stored keys."""
+    plans = []
+    def score(model, texts):
+        plans.append(texts._jdf.queryExecution().toString())
+        return textwork.score_texts(texts, {model: load_counting})
+    df, path = frame("t string", [("abc",), ("a",), ("a",), (None,), ("",)]), str(tmp_path / "results")
+    assert textwork.score_and_store(df, "t", ["m"], score, path, "one").count() == 2
+    assert textwork.score_and_store(df.unionByName(frame("t string", [("b",)])), "t", ["m", "n"], score, path, "two").count() == 6
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+
+
 def test_triples_take_time_in_proportion(frame):
     """The text is cut into characters once; also with characters beyond two bytes and fewer than three of them."""
     texts = {1: "aXé\n👍b", 2: "ab", 3: "", 4: None, 5: "xyz" * 100_000}
