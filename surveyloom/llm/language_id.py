@@ -31,9 +31,12 @@ SAMPLE_ROWS = 20_000
 SWITCH_PENALTY = 8.0
 SMOOTHING = 0.5
 
-#: Bytes of text whose letters are laid out at once; words of several such parts go through the pass together.
+#: Bytes of text whose letters are counted at once.
 LETTER_BYTES = 1_000_000
 
+#: Bytes of text whose words go through the pass together, and of those whose letters are laid out at once.
+PASS_BYTES, PASS_LETTER_BYTES = 1_000_000, 250_000
+
 #: A script counts as one of a language from this share of its letters on.
 SCRIPT_SHARE = 0.001
 
@@ -210,7 +213,7 @@ class ScoredWords:
 def _scored_words(texts: pa.Array, model: LanguageModel) -> tuple[ScoredWords, np.ndarray]:
     """Words of the texts and their scores, letters laid out part by part."""
     parts, scores = [], []
-    for row, some in text_slices(texts, LETTER_BYTES):
+    for row, some in text_slices(texts, PASS_LETTER_BYTES):
         found = letters_of(some)
         parts.append((found.text + row, found.start, found.end, found.sizes, model.scripts[found.script].any(axis=1) if model.langs else np.zeros(len(found.text), dtype=bool)))
         if model.langs and len(found.text):
@@ -226,7 +229,7 @@ def _predict(shared, penalty: float, text_col: str, keep_row: bool):
         model: LanguageModel = shared.value
         langs = len(model.langs)
         for batch in batches:
-            for row, texts in text_slices(texts_of(batch.column(2), text_col)):
+            for row, texts in text_slices(texts_of(batch.column(2), text_col), PASS_BYTES):
                 found, scores = _scored_words(texts, model)
                 counts = np.bincount(found.text, minlength=len(texts))
                 preds, shares, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]

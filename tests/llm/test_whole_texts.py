@@ -62,3 +62,28 @@ def test_rules_outside_ascii(spark):
     rules = (("block", "é.com", "/"), ("block", "例.com", "/"), ("block", "A.com", "/é/"))
     got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules=rules, defaults=("*/naï*",)).collect()}
     assert got == {0: ("é.com/", "block"), 1: ("é.com/", "block"), 2: ("例.com/", "block"), 3: ("A.com/é/", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "allow")}
+
+
+def test_language_pass_holds_little(spark):
+    """Memory of a task does not grow with the bytes of a batch beyond the texts themselves."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from surveyloom.llm import language_id as lid
+
+    rng = np.random.default_rng(0)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3_000)]
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(2_400)]
+    table = lambda rows: np.zeros((rows, 5), dtype=np.float32)
+    model = lid.LanguageModel(list("abcde"), table(lid.BUCKETS), table(lid.BUCKETS), np.ones((len(lid.SCRIPTS), 5), dtype=bool), np.zeros(5))
+    shared = type("Shared", (), {"value": model})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    lid._tables()
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in lid._predict(shared, lid.SWITCH_PENALTY, "text", False)(iter([batch]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
