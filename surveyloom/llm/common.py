@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from surveyloom.session import cut_lineage
@@ -14,7 +14,10 @@ from surveyloom.session import cut_lineage
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 4_000_000
 
-#: Rows that one Arrow batch may carry between Spark and Python.
+#: Bytes of text whose words are laid out as arrays at once; these take some twenty times as much.
+WORD_BYTES = 1_000_000
+
+#: Rows of an Arrow batch that are made Python values at once.
 BATCH_ROWS = 2_000
 
 
@@ -49,22 +52,30 @@ def _key_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(bits.view(np.int64))], names=["cell", "bits"])
 
 
-def marks_of(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test for values of the bigint column ``key``: true for each of them, and for few others.
-
-    The values are marked in a bitmap of a fixed size that every task gets, so rows that
-    have no partner need not be shuffled to a join with ``keys``, which stays exact.
-    """
-    spark = keys.sparkSession
+def marked_keys(keys: DataFrame, key: str) -> Broadcast:
+    """Values of the bigint column ``key``, marked in a bitmap of a fixed size that every task gets."""
     found = keys.select(key).mapInArrow(_key_cells, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(KEY_BITS // 64, dtype=np.uint64)
     bitmap[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
 
-    @F.pandas_udf("boolean")
-    def marked(values: pd.Series) -> pd.Series:
-        bit = values.to_numpy(dtype=np.int64).view(np.uint64) & np.uint64(KEY_BITS - 1)
-        return pd.Series((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+def is_marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """True for each value that is marked, and for few others."""
+    bit = values.view(np.uint64) & np.uint64(KEY_BITS - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marked_by(shared: Broadcast) -> Callable[[Column], Column]:
+    """``is_marked`` for a column.
+
+    Rows that have no partner need not be shuffled to a join with the keys, which stays
+    exact. Where a step in Python follows in the same task, the test belongs into that step, as
+    each of the two would hold a Python worker.
+    """
+    @F.arrow_udf("boolean")
+    def marked(values: pa.Array) -> pa.Array:
+        return pa.array(is_marked(shared.value, values.to_numpy()))
 
     return marked
 

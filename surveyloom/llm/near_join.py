@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from surveyloom.llm.common import marks_of, shared_table, text_key, text_slices
+from surveyloom.llm.common import BATCH_ROWS, WORD_BYTES, marked_by, marked_keys, shared_table, text_key, text_slices
 from surveyloom.llm.graph import components
 from surveyloom.llm.words import ROLLER_A, ROLLER_B, hash_words, mix, split_words, window_starts
 
@@ -79,7 +79,7 @@ def minhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch.column(2), 1_000_000):
+            for row, texts in text_slices(batch.column(2), WORD_BYTES):
                 words = split_words(texts)
                 hashes, text = shingle_hashes(words, k)
                 n = np.maximum(words.counts() - k + 1, 0)
@@ -130,7 +130,7 @@ def _shingles(k: int):
     """Whole shingle sets of the texts, sorted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch.column(0)):
+            for row, texts in text_slices(batch.column(0), WORD_BYTES):
                 words = split_words(texts)
                 hashes, _ = shingle_hashes(words, k)
                 cuts = np.cumsum(np.maximum(words.counts() - k + 1, 0))[:-1]
@@ -286,13 +286,14 @@ def _compare(threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["root"], row["i"], row["j"])
-                if now != key and held:
-                    yield group(held)
-                    held = []
-                key = now
-                held.append(row)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                for row in batch.slice(at, BATCH_ROWS).to_pylist():
+                    now = (row["root"], row["i"], row["j"])
+                    if now != key and held:
+                        yield group(held)
+                        held = []
+                    key = now
+                    held.append(row)
         if held:
             yield group(held)
     return run
@@ -334,7 +335,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     texts = weighed.join(blocks, "root").select(
         "root", "node", "size", "blocks", "minhash", F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"))
     # Only texts of a component are shuffled to their class.
-    carried = source.filter(marks_of(weighed, "text_key")(F.col("text_key")))
+    carried = source.filter(marked_by(marked_keys(weighed, "text_key"))(F.col("text_key")))
     groups = (
         carried.join(texts, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")))
         .select("text", "root", "node", "size", "blocks", "minhash")

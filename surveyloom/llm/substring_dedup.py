@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from surveyloom.llm.common import marks_of, rows_and_text, shared_table, text_key, text_slices, texts_of
+from surveyloom.llm.common import WORD_BYTES, is_marked, marked_by, marked_keys, rows_and_text, shared_table, text_key, text_slices, texts_of
 from surveyloom.llm.exact_dedup import owner_width, rice_decode, rice_encode
 from surveyloom.llm.words import ROLLER_A, ROLLER_B, Words, hash_words, split_words, window_starts
 
@@ -84,6 +84,13 @@ def paths_of(words: Words, k: int, seed: int):
     return text[begin], first - words.first[text[begin]], n, value[begin], c1, c2, twice
 
 
+def _paths_by_parts(texts: pa.Array, k: int, seed: int) -> Iterator[tuple]:
+    """``paths_of`` the texts, words laid out part by part."""
+    for row, some in text_slices(texts, WORD_BYTES):
+        text, *rest = paths_of(split_words(some), k, seed)
+        yield text + row, *rest
+
+
 def _block_paths(k: int, seed: int, owners: int):
     width = owner_width(owners)
 
@@ -107,7 +114,7 @@ def _block_paths(k: int, seed: int, owners: int):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for row, texts in text_slices(batch.column(2)):
-                text, start, n, minimizer, c1, c2, twice = paths_of(split_words(texts), k, seed)
+                text, start, n, minimizer, c1, c2, twice = map(np.concatenate, zip(*_paths_by_parts(texts, k, seed)))
                 if not len(text):
                     continue
                 used, place = np.unique(text, return_inverse=True)
@@ -168,7 +175,7 @@ def _edges(k: int):
     """Edges of the paths that have their source coordinate in a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch.column(0)):
+            for row, texts in text_slices(batch.column(0), WORD_BYTES):
                 words = split_words(texts)
                 a, b = ROLLER_A.prefix(hash_words(words)), ROLLER_B.prefix(hash_words(words, 1))
                 sources = batch.column(1).slice(row, len(texts)).to_pylist()
@@ -185,13 +192,19 @@ def _edges(k: int):
     return run
 
 
-def _cut(k: int, text_col: str, keep_row: bool):
+def _cut(k: int, text_col: str, keep_row: bool, others: Broadcast | None = None):
+    """Texts without the words of their paths. Rows whose key is marked in ``others`` are not dealt with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(texts_of(batch.column(1), text_col)):
-                words = split_words(texts)
+            for row, texts in text_slices(texts_of(batch.column(1), text_col), WORD_BYTES):
+                some = batch.slice(row, len(texts))
+                if others is not None:
+                    some = some.filter(pa.array(~is_marked(others.value, some.column(3).to_numpy())))
+                    if not some.num_rows:
+                        continue
+                words = split_words(texts_of(some.column(1), text_col))
                 marks = np.zeros(len(words.start) + 1, dtype=np.int64)
-                for i, paths in enumerate(batch.column(2).slice(row, len(texts)).to_pylist()):
+                for i, paths in enumerate(some.column(2).to_pylist()):
                     for p in paths or ():
                         places = np.arange(p["edges"]) if not p["branch"] else np.array(p["places"] or [], dtype=np.int64)
                         first = words.first[i] + p["start"] + np.unique(places)
@@ -205,9 +218,9 @@ def _cut(k: int, text_col: str, keep_row: bool):
                     keep = words.first[i] + np.flatnonzero(~gone[words.first[i]: words.first[i + 1]])
                     kept_words.append(b" ".join([raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist())]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(texts)), batch.column(3).slice(row, len(texts)), pa.array(words.counts(), pa.int64()), pa.array(removed[words.first[1:]] - removed[words.first[:-1]], pa.int64()),
+                    some.column(0), some.column(3), pa.array(words.counts(), pa.int64()), pa.array(removed[words.first[1:]] - removed[words.first[:-1]], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in kept_words]), pa.array(kept_words, pa.binary()).cast(pa.string()),
-                    *([batch.column(1).slice(row, len(texts))] if keep_row else []),
+                    *([some.column(1)] if keep_row else []),
                 ], names=["doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept_text", *(["row"] if keep_row else [])])
     return run
 
@@ -236,8 +249,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paths = shared_table(blocks.drop("sent").join(replies, "sender").mapInArrow(_repeated_paths(owners), PATH_SCHEMA))
 
     def with_paths(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        """Texts joined with what is known of them; ``rows``: (r_id, r_key, paths), one for a text."""
-        return texts.join(rows, texts["doc_id"].eqNullSafe(rows["r_id"]) & (texts["text_key"] == rows["r_key"]), how)
+        """Texts joined with what is known of them; ``rows``: (r_id, r_key, paths), one for a text.
+
+        Texts are always shuffled, so that the test of their marks and the step after the
+        join never need two Python workers for one task.
+        """
+        return texts.join(rows.hint("merge"), texts["doc_id"].eqNullSafe(rows["r_id"]) & (texts["text_key"] == rows["r_key"]), how)
 
     sources = shared_table(
         paths.filter("branch").groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "edges")).alias("at"))
@@ -245,7 +262,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "c1", "c2", "times")).alias("paths"))
     )
     edges = shared_table(
-        with_paths(source.filter(marks_of(sources, "r_key")(F.col("text_key"))), sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
+        with_paths(source.filter(marked_by(marked_keys(sources, "r_key"))(F.col("text_key"))), sources, "inner").select("text", "paths").mapInArrow(_edges(k), "e1 bigint, e2 bigint, c1 bigint, c2 int, place int, times bigint"))
     repeated = edges.groupBy("e1", "e2").agg(F.sum("times").alias("n")).filter("n > 1").select("e1", "e2")
     places = edges.join(repeated, ["e1", "e2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
 
@@ -257,11 +274,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole_rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), rows_and_text(docs, text_col, keep_row))
     carried = whole_rows.columns[2]
     # Texts without a path stay where they are; those that a path is known of meet it.
-    has_path = marks_of(found, "r_key")(F.col("text_key"))
-    met = with_paths(whole_rows.filter(has_path), found, "left").select("doc_id", carried, "paths", "text_key")
-    joined = whole_rows.filter(~has_path).select("doc_id", carried, F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), "text_key").unionByName(met)
+    has_path = marked_keys(found, "r_key")
+    met = with_paths(whole_rows.filter(marked_by(has_path)(F.col("text_key"))), found, "left").select("doc_id", carried, "paths", "text_key")
+    alone = whole_rows.select("doc_id", carried, F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), "text_key")
     schema = StructType([
         StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()),
-        StructField("kept_sha256", StringType()), StructField("kept_text", StringType()), *([joined.schema[carried]] if keep_row else []),
+        StructField("kept_sha256", StringType()), StructField("kept_text", StringType()), *([met.schema[carried]] if keep_row else []),
     ])
-    return joined.mapInArrow(_cut(k, text_col, keep_row), schema)
+    return alone.mapInArrow(_cut(k, text_col, keep_row, has_path), schema).unionByName(met.mapInArrow(_cut(k, text_col, keep_row), schema))

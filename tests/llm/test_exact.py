@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from surveyloom.llm import language_id, near_join as near_module, piece_codec, quality_rules, toxicity
+from surveyloom.llm import language_id, near_join as near_module, piece_codec, quality_rules, substring_dedup as substring_module, toxicity
 from surveyloom.llm.common import keep_rows
 from surveyloom.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
 from surveyloom.llm.graph import components
@@ -333,3 +333,39 @@ def test_automaton_many_words():
     assert automaton.words > 3
     hit = automaton.run([b"x.h7.example\0/p7/q", b"h7.example\0/p8/", b"n.net\0/a.exe", b"aXX\0/bYc", b"aXX\0/bYcd", b"\0"])
     assert [sorted({int(r) for r, h in zip(automaton.rules, row) if h}) for row in hit] == [[7], [], [-1], [-1], [], []]
+
+
+def test_words_are_laid_out_in_small_parts(monkeypatch):
+    """A batch of longer texts is laid out a megabyte at a time, with the same results."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(5_000)], k=40_000)) for _ in range(12)]
+    laid_out = []
+    split = substring_module.split_words
+
+    def noted(some):
+        laid_out.append(sum(len(t) for t in some.to_pylist()))
+        return split(some)
+
+    monkeypatch.setattr(near_module, "split_words", noted)
+    monkeypatch.setattr(substring_module, "split_words", noted)
+    numbers, text = pa.array(range(12), pa.int64()), pa.array(texts)
+    sets = [*near_module._shingles(5)([pa.RecordBatch.from_arrays([text, numbers, numbers, numbers, numbers, text], names=list("abcdef"))])]
+    assert sum(b.num_rows for b in sets) == 12
+    cut_rows = [*substring_module._cut(35, "text", False)([pa.RecordBatch.from_arrays([numbers, text, pa.nulls(12), numbers], names=list("abcd"))])]
+    assert [t for b in cut_rows for t in b.column(5).to_pylist()] == texts
+    whole = substring_module.paths_of(split(text), 35, 8)
+    parts = [np.concatenate(p) for p in zip(*substring_module._paths_by_parts(text, 35, 8))]
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(parts[0]) > 12
+    assert max(laid_out) <= 1_000_000
+
+
+def test_cutting_holds_one_python_worker(docs, capsys):
+    """No task tests marks in one Python worker and handles texts in another."""
+    substring_dedup(docs).explain()
+    above = []
+    for line in capsys.readouterr().out.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, n) for d, n in above if d < depth] + [(depth, line)]
+        if "ArrowEvalPython" in line:
+            since = max([i for i, (_, n) in enumerate(above) if "Exchange" in n], default=0)
+            assert not any("MapInArrow" in n for _, n in above[since:])
