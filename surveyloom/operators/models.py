@@ -14,6 +14,9 @@ from surveyloom.session import cut_lineage
 
 SEED = 42
 
+#: Rows that a task of a forest learns from.
+FOREST_ROWS = 25_000
+
 
 def scaled_features(df: DataFrame, columns: list[str], out: str = "features", impute: bool = False) -> DataFrame:
     """Assembled columns with zero mean and unit deviation; median imputation on request."""
@@ -82,9 +85,13 @@ def one_hot(df: DataFrame, column: str, values: list[str], prefix: str | None =
     return df.withColumns({f"{prefix or column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
 
 
-def binary_metrics(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """``accuracy, precision, recall, f1`` of 0/1 predictions, one row; a measure without a case is 0."""
-    count = lambda y, h: F.count(F.when((F.col(truth) == y) & (F.col(predicted) == h), 1)).cast("double")
+def binary_metrics(scored: DataFrame, truth: str, predicted: str, times: str | None = None) -> DataFrame:
+    """``accuracy, precision, recall, f1`` of 0/1 predictions, one row; a measure without a case is 0.
+
+    ``times``: how many cases a row stands for.
+    """
+    each = F.col(times) if times else F.lit(1)
+    count = lambda y, h: F.coalesce(F.sum(F.when((F.col(truth) == y) & (F.col(predicted) == h), each)), F.lit(0)).cast("double")
     c = scored.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
     zero = lambda e: F.coalesce(e, F.lit(0.0))
     precision = zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
@@ -105,26 +112,50 @@ def forest_adoption(
     observed shares up to ``observed_until``, predicted shares of the test rows
     moved to the later years.
     """
-    stages = [
+    return forest_adoptions(df, year, [target], numeric, categorical, split_year, first, last, observed_until, trees)[0]
+
+
+def forest_adoptions(
+    df: DataFrame, year: str, targets: list[str], numeric: list[str], categorical: list[str], split_year: int,
+    first: int, last: int, observed_until: int, trees: int = 100,
+) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """:func:`forest_adoption` of each target.
+
+    Features are made once for all targets. Every forest learns from all rows, which are dealt
+    out evenly; test rows that agree in all features are predicted once and counted.
+    """
+    features = Pipeline(stages=[
         StringIndexer(inputCols=categorical, outputCols=["_x_" + c for c in categorical], handleInvalid="keep"),
         OneHotEncoder(inputCols=["_x_" + c for c in categorical], outputCols=["_o_" + c for c in categorical], dropLast=True),
         VectorAssembler(inputCols=[*numeric, year, *["_o_" + c for c in categorical]], outputCol="_f", handleInvalid="keep"),
-        RandomForestClassifier(featuresCol="_f", labelCol=target, predictionCol="_hat", numTrees=trees, seed=SEED),
-    ]
-    rows = df.fillna(0, subset=[*numeric, target])
+    ])
+    rows = df.fillna(0, subset=[*numeric, *targets])
     train, test = rows.filter(F.col(year) < split_year), rows.filter(F.col(year) >= split_year)
-    model = Pipeline(stages=stages).fit(train)
-    metrics = binary_metrics(model.transform(test).select(F.col(target).cast("double").alias("y"), F.col("_hat").alias("h")), "y", "h").select(F.lit(target).alias("target"), "*")
-    attrs = model.transform(train).schema["_f"].metadata["ml_attr"]["attrs"]
+    made = features.fit(train)
+    learned = cut_lineage(made.transform(train).select("_f", *targets))
+    # The table is small in bytes, and a forest works long on a row: its tasks are cut by rows.
+    parts = -(-learned.count() // FOREST_ROWS)
+    dealt = learned.repartition(parts) if parts > 1 else learned
+    attrs = learned.schema["_f"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-    weights = model.stages[-1].featureImportances
-    importances = df.sparkSession.createDataFrame(
-        [(target, names.get(i, str(i)), float(weights[i])) for i in range(weights.size)], "target string, feature string, importance double"
-    )
-    seen = rows.filter(F.col(year).between(first, observed_until)).groupBy(F.col(year).cast("int").alias("year")).agg((F.avg(target) * 100).alias("adoption_pct"))
+    alike = cut_lineage(test.groupBy(*numeric, *categorical, year, *targets).agg(F.count(F.lit(1)).alias("_n")))
     # The test rows in every later year, predicted in one pass.
     kind = dict(df.dtypes)[year]
     later = F.explode(F.sequence(F.lit(observed_until + 1).cast(kind), F.lit(last).cast(kind)))
-    moved = model.transform(test.withColumn(year, later)) if last > observed_until else model.transform(test.limit(0))
-    future = moved.groupBy(F.col(year).cast("int").alias("year")).agg((F.avg("_hat") * 100).alias("adoption_pct"))
-    return metrics, importances, seen.unionByName(future)
+    moved = alike.groupBy(*numeric, *categorical).agg(F.sum("_n").alias("_n"))
+    moved = moved.withColumn(year, later) if last > observed_until else moved.withColumn(year, F.lit(None).cast(kind)).limit(0)
+    tested, moved = made.transform(alike), made.transform(moved)
+
+    out = []
+    for target in targets:
+        model = RandomForestClassifier(featuresCol="_f", labelCol=target, predictionCol="_hat", numTrees=trees, seed=SEED).fit(dealt)
+        metrics = binary_metrics(model.transform(tested).select(F.col(target).cast("double").alias("y"), F.col("_hat").alias("h"), "_n"), "y", "h", "_n")
+        weights = model.featureImportances
+        importances = df.sparkSession.createDataFrame(
+            [(target, names.get(i, str(i)), float(weights[i])) for i in range(weights.size)], "target string, feature string, importance double"
+        )
+        seen = rows.filter(F.col(year).between(first, observed_until)).groupBy(F.col(year).cast("int").alias("year")).agg((F.avg(target) * 100).alias("adoption_pct"))
+        share = F.sum(F.col("_hat") * F.col("_n")) / F.sum("_n") * 100
+        future = model.transform(moved).groupBy(F.col(year).cast("int").alias("year")).agg(share.alias("adoption_pct"))
+        out.append((metrics.select(F.lit(target).alias("target"), "*"), importances, seen.unionByName(future)))
+    return out

@@ -376,8 +376,8 @@ def forest_adoption(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut_lineage(adoption_rows(spark, folder))
     numeric = ["has_board_oversight", "has_strategy_integration", "has_risk_process", "identified_climate_risks", "identified_climate_opportunities", "specificity"]
     parts = []
-    for target in ADOPTION_TARGETS:
-        metrics, importances, adopted = models.forest_adoption(rows, "year", target, numeric, ["sector", "region", "sentiment", "tcfd"], 2000, 1995, 2004, 2001)
+    made = models.forest_adoptions(rows, "year", list(ADOPTION_TARGETS), numeric, ["sector", "region", "sentiment", "tcfd"], 2000, 1995, 2004, 2001)
+    for target, (metrics, importances, adopted) in zip(ADOPTION_TARGETS, made):
         entries = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")])
         parts += [
             metrics.select("target", F.explode(entries).alias("e")).select("target", "e.measure", "e.value"),

@@ -334,3 +334,26 @@ def test_large_profiles_give_the_same_languages(frame):
     assert held == tuples(textwork.detect_languages(texts, profile, held_values=0))
     assert len(held) == len(rows) + 3
     assert {dict(held)[k] for k in ("short", "none", "strange")} == {"en"}
+
+
+def test_forests_share_features_and_spread_rows(frame, monkeypatch):
+    """Forests of several targets are those of each alone; rows are dealt to as many tasks as they need."""
+    rows = [(y, s, int(s == "a"), int(s == "a"), int(y % 2 == 0)) for y in range(2015, 2021) for s in "ab" for _ in range(6)]
+    df = frame("year int, sector string, f int, t1 int, t2 int", rows).coalesce(1)
+    rest = ("year", ["f"], ["sector"], 2019, 2015, 2022, 2020)
+    together = models.forest_adoptions(df, rest[0], ["t1", "t2"], *rest[1:], trees=5)
+    for target, found in zip(("t1", "t2"), together):
+        alone = models.forest_adoption(df, rest[0], target, *rest[1:], trees=5)
+        assert [tuples(x) for x in found] == [tuples(x) for x in alone]
+    tasks, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models, "FOREST_ROWS", 10)
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, ds: tasks.append(ds.rdd.getNumPartitions()) or fit(self, ds))
+    metrics, _, adopted = models.forest_adoption(df, rest[0], "t1", *rest[1:], trees=5)
+    assert tasks == [5] and metrics.first().accuracy == 1.0 and adopted.filter("year = 2022").first().adoption_pct == 50.0
+
+
+def test_metrics_of_counted_rows(frame):
+    counted = frame("y double, h double, n long", [(1.0, 1.0, 3), (0.0, 1.0, 1), (1.0, 0.0, 2), (0.0, 0.0, 4)])
+    spread = counted.selectExpr("y", "h", "explode(sequence(1, n)) AS i")
+    assert models.binary_metrics(counted, "y", "h", "n").first() == models.binary_metrics(spread, "y", "h").first()
+    assert tuple(models.binary_metrics(counted.limit(0), "y", "h", "n").first()) == (None, 0.0, 0.0, 0.0)
